@@ -8,23 +8,45 @@ from pyspark.sql import functions as F
 from jobscope.functions.names import _col
 
 
+# Variant type names and the JSON kind each stands for.
+KINDS = {
+    "STRING": "string",
+    "BIGINT": "int",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+    "FLOAT": "number",
+    "BOOLEAN": "bool",
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "VOID": "null",
+}
+
+
 def member(doc: Column | str, path: str) -> Column:
     """The member as a variant: SQL null when absent, a JSON null when it is there but null."""
     return F.variant_get(_col(doc), path, "variant")
 
 
 def json_kind(value: Column | str) -> Column:
-    """string, int, number, bool, object, array or null; SQL null when there is no value."""
+    """string, int, number, bool, object, array or null; SQL null when there is no value.
+
+    One table lookup on the type name, so that the value is looked at once.
+    """
+    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return kinds[F.regexp_extract(F.schema_of_variant(_col(value)), "^[A-Z]+", 0)]
+
+
+def kind_differs(value: Column | str, kinds: tuple[str, ...]) -> Column:
+    """Whether a value has none of the given JSON kinds; null when there is no value.
+
+    Plain type names are compared directly, which is cheaper than :func:`json_kind`.
+    """
     schema = F.schema_of_variant(_col(value))
-    return (
-        F.when(schema == "STRING", "string")
-        .when(schema == "BIGINT", "int")
-        .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "number")
-        .when(schema == "BOOLEAN", "bool")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "VOID", "null")
-    )
+    fits = schema.isin([name for name, kind in KINDS.items() if kind in kinds])
+    for name in ("DECIMAL", "OBJECT", "ARRAY"):
+        if KINDS[name] in kinds:
+            fits |= schema.startswith(name)
+    return ~fits
 
 
 def text_member(doc: Column | str, path: str) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions import arg_type, json_kind
-from jobscope.operators.ordered import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small
+from jobscope.operators.shape import once
 
 KEY = ["service", "role", "job_type"]
 
@@ -159,11 +160,11 @@ def check_payloads(jobs: DataFrame, contract: DataFrame) -> DataFrame:
     """
     item = F.struct("position", "arg_name", arg_type("arg_type").alias("arg_type"), "required")
     per_type = contract.groupBy(F.col("job_type").alias("type")).agg(F.array_sort(F.collect_list(item)).alias("expected"))
-    parsed = jobs.select("job_id", "type", F.try_parse_json("args_json").alias("args"))
-    joined = parsed.join(broadcast_if_small(per_type), "type")
-    each = joined.select("job_id", "type", "args", F.inline("expected"))
-    value = F.try_variant_get(F.col("args"), F.lit("$"), "array<variant>")
-    kind = json_kind(F.get(value, F.col("position").cast("int")))
+    joined = jobs.select("job_id", "type", "args_json").join(broadcast_if_small(per_type), "type")
+    parsed = once(joined, args=F.try_variant_get(F.try_parse_json("args_json"), F.lit("$"), "array<variant>"))
+    each = parsed.select("job_id", "type", "args", F.inline("expected"))
+    each = once(each, kind=json_kind(F.get("args", F.col("position").cast("int"))))
+    kind = F.col("kind")
     fits = (
         F.col("arg_type").isin("any")
         | (kind == F.col("arg_type"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.functions import backoff_seconds, dash_if_null
-from jobscope.operators.ordered import broadcast_if_small, with_last_seen, with_neighbours
+from jobscope.operators.ordered import with_last_seen, with_neighbours
+from jobscope.operators.shape import broadcast_if_small
 from jobscope.schemas import CRON_HISTORY_LIMIT
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from jobscope.functions import duration
 from jobscope.functions.timing import parse_duration
-from jobscope.operators.ordered import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small
 from jobscope.operators.search import jobs_by_id
+from jobscope.operators.shape import once
 from jobscope.schemas import TERMINAL_STATES
 
 
@@ -150,7 +151,7 @@ def normalise_enqueue(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     a uniqueness window needs a key.
     """
     args = F.coalesce("args", F.lit("[]"))
-    checked = requests.withColumn("_args", F.try_parse_json(args)).withColumn(
+    checked = once(requests, _args=F.try_parse_json(args)).withColumn(
         "reason",
         F.when(F.coalesce(F.col("type"), F.lit("")) == "", "type is required").when(F.col("_args").isNull(), "invalid args JSON"),
     )

@@ -16,35 +16,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobscope.operators.shape import estimated_bytes
+
 SMALL_INPUT_BYTES = 1 << 30
-BROADCAST_BYTES = 64 << 20
 HEAVY_SHARE = 1e-4
-HEAVY_LIMIT = 5_000
+HEAVY_ROWS = 1_000_000
+HEAVY_LIMIT = 10_000
 TRACKED_ITEMS = 100_000
 _FIRST_SLICE = "0001-01-01 00:00:00"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; it reads file sizes, not data."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimate is below ``limit``; otherwise the join is left to AQE.
-
-    A streaming frame has no estimate and is returned as it is.
-    """
-    if df.isStreaming:
-        return df
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
-
 def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], small_bytes: int = SMALL_INPUT_BYTES, share: float = HEAVY_SHARE) -> list[int]:
-    """Hashes of keys with more than ``share`` of the rows.
+def heavy_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    small_bytes: int = SMALL_INPUT_BYTES,
+    share: float = HEAVY_SHARE,
+    min_rows: int = HEAVY_ROWS,
+) -> list[int]:
+    """Hashes of keys with more than ``share`` of the rows and more than ``min_rows``.
 
     At most ``1 / share`` keys can qualify, so the answer is bounded whatever the data.  The sketch is
     merged from small partial states: no shuffle by key.
@@ -59,7 +52,7 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], small_bytes: int = SMALL_INPU
         )
         .first()
     )
-    return [item["item"] for item in row["top"] or [] if item["count"] > share * row["n"]]
+    return [item["item"] for item in row["top"] or [] if item["count"] > max(share * row["n"], min_rows)]
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], ts: str, heavy: Sequence[int], grain: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.operators.ordered import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small
 from jobscope.schemas import NDJSON_BATCH
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions import percent_text, short_error
-from jobscope.operators.ordered import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small
 from jobscope.schemas import FAILURE_LIMIT, IMPORTABLE_STATES, SEARCH_LIMIT, SHORT_ID, TERMINAL_STATES
 
 

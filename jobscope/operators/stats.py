@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.functions.timing import parse_duration
-from jobscope.operators.ordered import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small
 from jobscope.schemas import BOTTLENECK_LIMIT, STATES, WAITING_STATES
 
 STALE_AFTER = "5m"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jobscope.operators.search import Page, page
@@ -35,6 +35,14 @@ def workflow_list(states: DataFrame, state: str | None = None, limit: int = SEAR
     return page(states, ["workflow_id"], limit)
 
 
+def _cut_counting_open(paths: DataFrame) -> tuple[DataFrame, int, int]:
+    """Write the paths to the shared folder; also the number of rows and of unfinished rows, counted on the way."""
+    seen = Observation()
+    counted = paths.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("up").alias("open"))
+    written = cut_lineage(counted, "depth")
+    return written, seen.get["rows"], seen.get["open"]
+
+
 def dependency_depth(edges: DataFrame) -> DataFrame:
     """Depth and root of every step when each step depends on at most one other.
 
@@ -51,10 +59,9 @@ def dependency_depth(edges: DataFrame) -> DataFrame:
         F.when(F.col("_known"), 1).otherwise(F.when(F.col("depends_on").isNotNull(), 1).otherwise(0)).cast("bigint").alias("depth"),
         F.when(F.col("_known"), F.col("depends_on")).otherwise(F.coalesce("depends_on", "step_id")).alias("root"),
     )
-    current = cut_lineage(current, "depth")
-    total = current.count()
+    current, total, waiting = _cut_counting_open(current)
     rounds = 0
-    while current.filter(F.col("up").isNotNull()).limit(1).count() and 2**rounds <= 2 * total:
+    while waiting and 2**rounds <= 2 * total:
         above = current.select(
             "workflow_id", F.col("step_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root").alias("_root")
         )
@@ -62,7 +69,7 @@ def dependency_depth(edges: DataFrame) -> DataFrame:
         open_steps = current.filter(F.col("up").isNotNull()).join(above, ["workflow_id", "up"]).select(
             "workflow_id", "step_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_root").alias("root")
         )
-        current = cut_lineage(current.filter(F.col("up").isNull()).unionByName(open_steps), "depth")
+        current, _, waiting = _cut_counting_open(current.filter(F.col("up").isNull()).unionByName(open_steps))
         rounds += 1
     cyclic = F.col("up").isNotNull()
     return current.select(

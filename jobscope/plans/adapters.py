@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions import class_to_type, delay_to_timestamp, epoch_text, json_kind, member, wrap_in_array
-from jobscope.functions.jsons import text_member
+from jobscope.functions.jsons import kind_differs, text_member
+from jobscope.operators.shape import once, spread
 
 CANONICAL = ["type", "queue", "args", "priority", "scheduled_at", "meta"]
 
@@ -47,15 +48,25 @@ PAYLOAD_TYPES = {
 }
 
 
-def _parsed(raw: DataFrame, payload: str, fmt: str) -> DataFrame:
-    """Add the parsed document ``_v`` and the reason why it cannot be read, if any."""
-    doc = raw.withColumn("_v", F.try_parse_json(payload))
-    # One JSON null as whole payload is an empty document.
-    kind = json_kind("_v")
-    reason = F.when(F.col("_v").isNull(), "invalid JSON").when(~kind.isin("object", "null"), "not an object")
+def _starts_object(text: str) -> Column:
+    """Whether valid JSON text is an object; a lone null counts as an empty one."""
+    start = F.ltrim(text)
+    return start.startswith("{") | start.startswith("n")
+
+
+def _parsed(raw: DataFrame, payload: str, fmt: str, required: tuple[str, str] | None = None) -> DataFrame:
+    """Add the parsed document ``_v`` and the reason why it cannot become a job, if any.
+
+    ``required`` names a text member that must not be empty and the reason given when it is.
+    """
+    doc = once(spread(raw), _v=F.try_parse_json(payload))
+    reason = F.when(F.col("_v").isNull(), "invalid JSON").when(~_starts_object(payload), "not an object")
     for name, allowed in PAYLOAD_TYPES[fmt].items():
-        reason = F.coalesce(reason, F.when(~json_kind(member("_v", f"$.{name}")).isin(*allowed), f"bad type: {name}"))
-    return doc.withColumn("_reason", reason)
+        reason = F.coalesce(reason, F.when(kind_differs(member("_v", f"$.{name}"), allowed), f"bad type: {name}"))
+    if required:
+        path, message = required
+        reason = F.coalesce(reason, F.when(_text(path) == "", message))
+    return once(doc, _reason=reason)
 
 
 def _split(df: DataFrame, raw: DataFrame, drop: list[str]) -> Conversion:
@@ -82,10 +93,6 @@ def _positive(path: str) -> Column:
     return F.when(value > 0, value)
 
 
-def _require(df: DataFrame, value: Column, reason: str) -> DataFrame:
-    return df.withColumn("_reason", F.coalesce("_reason", F.when(value == "", reason)))
-
-
 def from_sidekiq(raw: DataFrame, payload: str = "payload") -> Conversion:
     """Class name to type, queue ``default`` when empty, epoch text when scheduled."""
     df = _parsed(_keep_raw(raw), payload, "sidekiq")
@@ -104,10 +111,10 @@ def from_sidekiq(raw: DataFrame, payload: str = "payload") -> Conversion:
 
 def from_bullmq(raw: DataFrame, as_of: dt.datetime, name: str = "name", data: str = "data", opts: str = "opts") -> Conversion:
     """Job hashes, one row per job with the fields as columns; unreadable options are ignored."""
-    df = _keep_raw(raw).withColumn("_o", F.try_parse_json(opts))
+    df = once(spread(_keep_raw(raw)), _o=F.try_parse_json(opts))
     usable = json_kind("_o") == "object"
     for field in ("delay", "priority"):
-        usable &= F.coalesce(json_kind(member("_o", f"$.{field}")).isin(*_INT), F.lit(True))
+        usable &= F.coalesce(~kind_differs(member("_o", f"$.{field}"), _INT), F.lit(True))
     df = df.withColumn("_o", F.when(usable, F.col("_o")))
     priority = F.try_variant_get("_o", "$.priority", "int")
     out = df.withColumns(
@@ -140,10 +147,10 @@ def from_bullmq_envelope(raw: DataFrame, as_of: dt.datetime, payload: str = "pay
 
 def from_celery(raw: DataFrame, payload: str = "payload") -> Conversion:
     """Task name from the headers; the body is base64 or plain JSON ``[args, kwargs, embed]``."""
-    df = _parsed(_keep_raw(raw), payload, "celery")
+    df = _parsed(_keep_raw(raw), payload, "celery", required=("$.headers.task", "missing task header"))
     body = _text("$.body")
     decoded = F.coalesce(F.try_to_binary(body, F.lit("base64")).cast("string"), body)
-    df = _require(df, _text("$.headers.task"), "missing task header").withColumn("_b", F.try_parse_json(decoded))
+    df = once(df, _b=F.try_parse_json(decoded))
     kwargs = F.when(json_kind(member("_b", "$[1]")) == "object", member("_b", "$[1]"))
     out = df.withColumns(
         {
@@ -175,8 +182,7 @@ def from_faktory(raw: DataFrame, payload: str = "payload") -> Conversion:
 
 def from_river(raw: DataFrame, payload: str = "payload") -> Conversion:
     """``queue`` holds the name of the list; the job's own queue wins."""
-    df = _parsed(_keep_raw(raw), payload, "river")
-    df = _require(df, _text("$.kind"), "missing kind")
+    df = _parsed(_keep_raw(raw), payload, "river", required=("$.kind", "missing kind"))
     job_id = F.coalesce(F.try_variant_get("_v", "$.id", "bigint"), F.lit(0).cast("bigint"))
     out = df.withColumns(
         {

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from jobscope.functions import json_kind
 from jobscope.functions.jsons import text_member
-from jobscope.operators.ordered import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small
+from jobscope.operators.shape import once, spread
 from jobscope.sources.keyspace import bullmq_queues, bullmq_rows, celery_rows, river_rows, sidekiq_rows
 
 # Fixed value: entries per queue looked at for types in the sampled River analysis.
@@ -33,7 +34,7 @@ def _levels(rows: DataFrame, typed: Column) -> DataFrame:
 
 def analyze_sidekiq(keyspace: DataFrame) -> DataFrame:
     """Queue lists by class; scheduled and retrying jobs count in the total only."""
-    rows = sidekiq_rows(keyspace).withColumn("_v", F.try_parse_json("payload"))
+    rows = once(spread(sidekiq_rows(keyspace)), _v=F.try_parse_json("payload"))
     rows = rows.withColumn("job_type", F.coalesce(text_member("_v", "$.class"), F.lit("")))
     counted = _levels(rows.select("queue", "job_type", "_v", "source_set"), (json_kind("_v") == "object") & (F.col("source_set") == "queue"))
     return counted.filter((F.col("level") == "total") | F.col("queue").isNotNull())
@@ -50,7 +51,7 @@ def analyze_bullmq(keyspace: DataFrame) -> DataFrame:
 
 def analyze_celery(keyspace: DataFrame) -> DataFrame:
     """Messages by task header; messages without one count as pending only."""
-    rows = celery_rows(keyspace).withColumn("_v", F.try_parse_json("payload"))
+    rows = once(spread(celery_rows(keyspace)), _v=F.try_parse_json("payload"))
     rows = rows.withColumn("job_type", text_member("_v", "$.headers.task"))
     return _levels(rows.select("queue", "job_type"), F.coalesce(F.col("job_type"), F.lit("")) != "")
 
@@ -64,7 +65,7 @@ def analyze_faktory(sizes: DataFrame, raw_jobs: DataFrame | None = None) -> Data
     if raw_jobs is None:
         return result
     typed = (
-        raw_jobs.withColumn("_v", F.try_parse_json("payload"))
+        once(spread(raw_jobs), _v=F.try_parse_json("payload"))
         .filter(json_kind("_v") == "object")
         .groupBy(F.col("list_queue").alias("queue"), F.coalesce(text_member("_v", "$.jobtype"), F.lit("")).alias("job_type"))
         .agg(F.count("*").alias("jobs"))
@@ -83,7 +84,7 @@ def analyze_river(keyspace: DataFrame, sample: int | None = RIVER_SAMPLE) -> Dat
         first = Window.partitionBy("queue").orderBy("idx")
         rows = rows.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= sample)
     typed = (
-        rows.withColumn("_v", F.try_parse_json("payload"))
+        once(spread(rows), _v=F.try_parse_json("payload"))
         .filter(json_kind("_v") == "object")
         .groupBy("queue", F.coalesce(text_member("_v", "$.kind"), F.lit("")).alias("job_type"))
         .agg(F.count("*").alias("jobs"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions import name_to_type
+from jobscope.operators.shape import spread
 
 # Patterns that find job definitions.
 SIDEKIQ_WORKER = r"class\s+(\w+)\s*\n(?:[^}]*?)include\s+Sidekiq::Worker"
@@ -27,7 +28,12 @@ RUBY_REACH = 200
 PYTHON_REACH = 100
 RUBY_QUEUE, PYTHON_QUEUE = "default", "celery"
 
-DEFINITION = ["path", "framework", "name", "queue", "retry_count"]
+# Text without which a file holds no definition of a framework.
+HINTS = {
+    "sidekiq": r"Sidekiq::Worker|ApplicationJob|ActiveJob::Base",
+    "bullmq": r"new\s+Worker|\.add\s*\(",
+    "celery": r"@(?:app\.task|shared_task|celery\.task)",
+}
 
 
 def _before(n: int) -> str:
@@ -68,7 +74,8 @@ def _extract_sidekiq(df: DataFrame) -> DataFrame:
 
 
 def _extract_celery(df: DataFrame) -> DataFrame:
-    pattern = _before(PYTHON_REACH) + CELERY_TASK + _after(PYTHON_REACH)
+    # The look-behind is costly, so it is tried only where a decorator starts.
+    pattern = "(?=@)" + _before(PYTHON_REACH) + CELERY_TASK + _after(PYTHON_REACH)
     tasks = F.arrays_zip(
         _find(pattern, 2).alias("name"), _find(pattern, 1).alias("lead"), _find(pattern, 0).alias("match"), _find(pattern, 3).alias("rest")
     )
@@ -102,6 +109,8 @@ def _extract_bullmq(df: DataFrame, strict: bool) -> DataFrame:
 
 def extract_jobs(files: DataFrame, framework: str, strict: bool = False) -> DataFrame:
     """Job definitions of one framework: path, framework, name, queue, retry_count."""
+    # A cheap test skips files that cannot match; only the others are dealt out for the patterns.
+    files = spread(files.filter(F.col("content").rlike(HINTS[framework])).select("path", "content"))
     if framework == "sidekiq":
         return _extract_sidekiq(files)
     if framework == "bullmq":

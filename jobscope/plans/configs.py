@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions import class_to_type
+from jobscope.operators.shape import once, spread
 from jobscope.schemas import BULLMQ_CONFIG, CELERY_CONFIG, SIDEKIQ_WORKERS
 
 # Attempts meant by "retry: true", queue of a task route without one.
@@ -46,9 +47,11 @@ def parse_worker_yaml(configs: DataFrame) -> DataFrame:
         except ImportError as error:
             raise RuntimeError("reading worker YAML needs PyYAML on the executors") from error
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
         def workers(content: str):
             try:
-                document = yaml.safe_load(content) or {}
+                document = yaml.load(content, Loader=loader) or {}
             except yaml.YAMLError:
                 return None
             found = []
@@ -64,7 +67,7 @@ def parse_worker_yaml(configs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "workers": batch["content"].map(workers)})
 
-    return configs.select("path", "content").mapInPandas(parse, f"path string, workers {SIDEKIQ_WORKERS}")
+    return spread(configs.select("path", "content")).mapInPandas(parse, f"path string, workers {SIDEKIQ_WORKERS}")
 
 
 def convert_sidekiq_configs(configs: DataFrame) -> Converted:
@@ -87,7 +90,7 @@ def convert_sidekiq_configs(configs: DataFrame) -> Converted:
 
 def convert_bullmq_configs(configs: DataFrame) -> Converted:
     """Queues and their jobs; positive attempts give a retry policy, unknown backoff names a warning."""
-    doc = configs.select("path", F.from_json("content", BULLMQ_CONFIG).alias("c"))
+    doc = once(spread(configs.select("path", "content")), c=F.from_json("content", BULLMQ_CONFIG))
     rows = doc.select("path", F.explode("c.queues").alias("q")).select("path", F.col("q.name").alias("queue"), F.explode("q.jobs").alias("j"))
     attempts = F.when(F.col("j.opts.attempts") > 0, F.col("j.opts.attempts"))
     kind = F.col("j.opts.backoff.type")
@@ -122,7 +125,7 @@ def convert_celery_configs(configs: DataFrame) -> Converted:
 
     The three maps of a file sit in one row, so they are matched by map lookups without any shuffle.
     """
-    doc = configs.select("path", F.from_json("content", CELERY_CONFIG).alias("c"))
+    doc = once(spread(configs.select("path", "content")), c=F.from_json("content", CELERY_CONFIG))
     routes = doc.select(
         "path",
         F.col("c.task_annotations").alias("annotations"),

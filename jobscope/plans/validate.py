@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.functions import args_state, json_kind, member
-from jobscope.functions.jsons import text_member
+from jobscope.functions import args_state, member
+from jobscope.functions.jsons import kind_differs, text_member
+from jobscope.operators.shape import once, spread
 from jobscope.schemas import CONVERTED_CONFIG, MANIFEST
 
 # Messages of the job rules.
@@ -39,10 +40,11 @@ def _blank(c: Column) -> Column:
 
 def with_job_errors(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Non-empty lines with an ``errors`` array; a line that cannot be read has exactly one error."""
-    parsed = lines.filter(F.col(raw) != "").withColumn("_v", F.try_parse_json(raw))
-    unreadable = F.when(F.col("_v").isNull() | ~json_kind("_v").isin("object", "null"), INVALID_JSON)
+    parsed = once(spread(lines.filter(F.col(raw) != "")), _v=F.try_parse_json(raw))
+    start = F.ltrim(raw)
+    unreadable = F.when(F.col("_v").isNull() | ~(start.startswith("{") | start.startswith("n")), INVALID_JSON)
     for name, kinds in JOB_MEMBERS.items():
-        wrong = ~json_kind(member("_v", f"$.{name}")).isin(*kinds)
+        wrong = kind_differs(member("_v", f"$.{name}"), kinds)
         unreadable = F.coalesce(unreadable, F.when(wrong, BAD_TYPE + name))
     args = args_state("_v")
     rules = _errors(
@@ -51,9 +53,9 @@ def with_job_errors(lines: DataFrame, raw: str = "raw") -> DataFrame:
         F.when(args == "missing", MISSING + "args").when(args == "not_array", NOT_ARRAY),
         F.when(F.try_variant_get("_v", "$.priority", "bigint") < 0, NEGATIVE),
     )
-    parsed = parsed.withColumn("_unreadable", unreadable)
+    parsed = once(parsed, _unreadable=unreadable)
     errors = F.when(F.col("_unreadable").isNotNull(), F.array("_unreadable")).otherwise(rules)
-    return parsed.withColumn("errors", errors).drop("_v", "_unreadable")
+    return once(parsed, errors=errors).drop("_v", "_unreadable")
 
 
 def validate_jobs(lines: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
@@ -78,7 +80,7 @@ def first_errors(errors: DataFrame, order: list[str], limit: int = 20) -> DataFr
 
 def validate_config(configs: DataFrame, content: str = "content") -> DataFrame:
     """Errors of converted configurations, one row per (path, job index, message)."""
-    doc = configs.select("path", F.from_json(content, CONVERTED_CONFIG).alias("c"))
+    doc = once(spread(configs.select("path", content)), c=F.from_json(content, CONVERTED_CONFIG))
     jobs = doc.select("path", F.posexplode("c.jobs").alias("job", "j"))
     errors = _errors(
         F.when(_blank(F.col("j.type")), "missing type"),
@@ -90,7 +92,7 @@ def validate_config(configs: DataFrame, content: str = "content") -> DataFrame:
 
 def parse_manifests(manifests: DataFrame, content: str = "content") -> DataFrame:
     """Job types of JSON manifests, one row per entry, with the defaults for queue and argument type."""
-    doc = manifests.select("path", F.from_json(content, MANIFEST).alias("m"))
+    doc = once(spread(manifests.select("path", content)), m=F.from_json(content, MANIFEST))
     entries = doc.select("path", F.posexplode("m.job_types").alias("job_type", "t"))
     queue = F.when(_blank(F.col("t.queue")), "default").otherwise(F.col("t.queue"))
     args = F.transform(
@@ -105,7 +107,7 @@ def validate_manifest(manifests: DataFrame, content: str = "content") -> DataFra
     ``job_type`` and ``arg`` are positions, null when the error is not about one.
     """
     none = F.lit(None).cast("int")
-    doc = manifests.select("path", F.from_json(content, MANIFEST).alias("m"))
+    doc = once(spread(manifests.select("path", content)), m=F.from_json(content, MANIFEST))
     empty = doc.filter(F.coalesce(F.size("m.job_types"), F.lit(0)) < 1).select(
         "path", none.alias("job_type"), none.alias("arg"), F.lit("manifest contains no job types").alias("message")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions import function_to_type
+from jobscope.operators.shape import once, spread
 
 # Patterns of workflow code.
 WORKFLOW = r"func\s+(\w+)\(ctx\s+workflow\.Context"
@@ -63,6 +64,7 @@ def extract_temporal(files: DataFrame, strict: bool = False) -> Imported:
     # The text behind the k-th header is the (k+1)-th piece.
     bodies = F.slice(F.split("content", WORKFLOW), 2, F.size(headers))
     found = F.arrays_zip(headers.alias("name"), bodies.alias("body"))
+    files = spread(files.filter(F.contains("content", F.lit("workflow.Context"))).select("path", "content"))
     rows = files.select("path", "content", F.explode(found).alias("w")).select(
         "path",
         F.col("w.name").alias("workflow"),
@@ -99,8 +101,10 @@ def extract_airflow(files: DataFrame) -> Imported:
     An edge counts when its downstream name is a task of the file.
     """
     tasks = F.arrays_zip(_find("content", TASK, 1).alias("name"), _find("content", TASK, 2).alias("task_id"))
-    rows = files.select("path", "content", F.explode(_find("content", DAG, 1)).alias("workflow")).select(
-        "path", "content", "workflow", F.transform(tasks, lambda t: _step(t["name"], "task", t["task_id"])).alias("steps")
+    files = spread(files.filter(F.contains("content", F.lit("DAG("))).select("path", "content"))
+    rows = once(
+        files.select("path", "content", F.explode(_find("content", DAG, 1)).alias("workflow")),
+        steps=F.transform(tasks, lambda t: _step(t["name"], "task", t["task_id"])),
     )
     workflows = rows.select(
         "path", F.lit("airflow").alias("source"), "workflow", F.size("steps").alias("step_count"), F.lit(False).alias("parallel")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope.functions import key_suffix
-from jobscope.operators.ordered import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small
 from jobscope.schemas import KEYSPACE
 
 # Key names of the supported stores.

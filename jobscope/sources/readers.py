@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope.operators.ordered import BROADCAST_BYTES, estimated_bytes
+from jobscope.operators.shape import BROADCAST_BYTES, estimated_bytes, once
 from jobscope.schemas import EXPORT_DOCUMENT, EXPORT_VERSION, LIVE_JOB
 
 _BLOCK_ROW_BYTES = 400
@@ -67,15 +67,15 @@ def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_configs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, content), one file per row."""
-    return spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def read_source_tree(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """(path, content) of all files below ``root``; ``pattern`` is a file-name glob."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def read_event_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -94,6 +94,6 @@ def parse_event_lines(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """
     kept = [c for c in lines.columns if c != raw]
     data = lines.filter(F.col(raw).startswith("data:")).select(*kept, F.trim(F.substr(raw, F.lit(6))).alias("data"))
-    parsed = data.withColumn("_v", F.try_parse_json("data"))
+    parsed = once(data, _v=F.try_parse_json("data"))
     fields = [F.try_variant_get("_v", f"$.{name}", "string").alias(name) for name in ("type", "event", "job_id", "queue")]
     return parsed.select(*kept, "data", F.col("_v").isNotNull().alias("is_json"), *fields)

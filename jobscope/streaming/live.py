@@ -77,12 +77,14 @@ def start_unique(events: DataFrame, key: str, within_seconds: int, tie: str = "e
     table = _table(columns, "unique", path)
 
     def step(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
         oldest = batch.agg(F.min("ts").alias("ts")).first()["ts"]
         if oldest is None:
             return
         recent = table.read(before=epoch).filter(F.col("ts") >= F.lit(oldest - dt.timedelta(seconds=within_seconds)).cast(columns.schema["ts"].dataType))
         last = recent.groupBy(key).agg(F.max("ts").alias("ts"))
         table.write(unique_within(batch, key, "ts", tie, within_seconds, last_kept=last, heavy=heavy), epoch)
+        batch.unpersist()
 
     return start(columns, step, "append", **options), table
 
@@ -146,6 +148,7 @@ def start_latency(events: DataFrame, within_seconds: int = 3600, path: str | Non
     out = EpochTable(spark, f"{base}/latencies", ddl(history.start_to_finish(empty, within_seconds, heavy=[])))
 
     def step(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
         oldest = batch.agg(F.min("ts").alias("ts")).first()["ts"]
         if oldest is None:
             return
@@ -159,5 +162,6 @@ def start_latency(events: DataFrame, within_seconds: int = 3600, path: str | Non
         both = earlier.unionByName(batch)
         out.write(history.start_to_finish(both, within_seconds, heavy=heavy), epoch)
         starts.write(last_starts(batch.filter(F.col("type") == "job.started")), epoch)
+        batch.unpersist()
 
     return start(columns, step, "append", **options), out
