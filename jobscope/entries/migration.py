@@ -246,7 +246,7 @@ def read_export(t):
     "raw_faktory",
 )
 def api_dump(t):
-    """Job pages as JSON lines, one per order month and queue, read back and converted."""
+    """Job pages as JSON lines, read back and converted."""
     path = work_dir(t.spark, "api")
     pages = t.raw_faktory.select(
         F.col("list_queue").alias("queue"), F.lit(1).cast("bigint").alias("size"), F.array(F.try_parse_json("payload")).alias("jobs")

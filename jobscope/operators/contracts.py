@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions import arg_type, json_kind
-from jobscope.operators.shape import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small, measured
 from jobscope.operators.shape import once
 
 KEY = ["service", "role", "job_type"]
@@ -160,7 +160,7 @@ def check_payloads(jobs: DataFrame, contract: DataFrame) -> DataFrame:
     """
     item = F.struct("position", "arg_name", arg_type("arg_type").alias("arg_type"), "required")
     per_type = contract.groupBy(F.col("job_type").alias("type")).agg(F.array_sort(F.collect_list(item)).alias("expected"))
-    joined = jobs.select("job_id", "type", "args_json").join(broadcast_if_small(per_type), "type")
+    joined = jobs.select("job_id", "type", "args_json").join(broadcast_if_small(measured(per_type)), "type")
     parsed = once(joined, args=F.try_variant_get(F.try_parse_json("args_json"), F.lit("$"), "array<variant>"))
     each = parsed.select("job_id", "type", "args", F.inline("expected"))
     each = once(each, kind=json_kind(F.get("args", F.col("position").cast("int"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobscope.functions import backoff_seconds, dash_if_null
 from jobscope.operators.ordered import with_last_seen, with_neighbours
-from jobscope.operators.shape import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small, measured
 from jobscope.schemas import CRON_HISTORY_LIMIT
 
 
@@ -34,7 +34,7 @@ def retry_history(attempts: DataFrame, heavy=None) -> DataFrame:
 
 def retry_plan(jobs: DataFrame, policies: DataFrame, initial_default: int = 1) -> DataFrame:
     """Jobs with their type's policy and the wait before the next attempt; no policy means exponential."""
-    joined = jobs.select("job_id", "type", "attempt", "max_attempts").join(broadcast_if_small(policies), "type", "left")
+    joined = jobs.select("job_id", "type", "attempt", "max_attempts").join(broadcast_if_small(measured(policies)), "type", "left")
     strategy = F.coalesce("strategy", F.lit("exponential"))
     initial = F.coalesce("initial_seconds", F.lit(initial_default))
     limit = F.coalesce("policy_max_attempts", "max_attempts")
@@ -133,7 +133,7 @@ def paused_queues(queues: DataFrame, control: DataFrame) -> DataFrame:
     flags = control.filter((F.col("entity_kind") == "queue") & (F.col("field") == "paused")).select(
         F.col("entity").alias("queue"), (F.col("value") == "true").alias("paused")
     )
-    return queues.join(broadcast_if_small(flags), "queue", "left").withColumn("paused", F.coalesce("paused", F.lit(False)))
+    return queues.join(broadcast_if_small(measured(flags)), "queue", "left").withColumn("paused", F.coalesce("paused", F.lit(False)))
 
 
 def start_to_finish(events: DataFrame, within_seconds: int = 3600, heavy=None) -> DataFrame:

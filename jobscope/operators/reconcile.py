@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.operators.shape import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small, measured
 from jobscope.schemas import NDJSON_BATCH
 
 
@@ -19,7 +19,8 @@ def apply_mapping(jobs: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     types = mapping.groupBy(F.col("source_type").alias("type")).agg(F.min("target_type").alias("_type"))
     queues = mapping.groupBy(F.col("source_queue").alias("queue")).agg(F.min("target_queue").alias("_queue"))
-    mapped = jobs.join(broadcast_if_small(types), "type", "left").join(broadcast_if_small(queues), "queue", "left")
+    types, queues = broadcast_if_small(measured(types)), broadcast_if_small(measured(queues))
+    mapped = jobs.join(types, "type", "left").join(queues, "queue", "left")
     renamed = {"type": F.coalesce("_type", "type"), "queue": F.coalesce("_queue", "queue")}
     return mapped.select(*[renamed[c].alias(c) if c in renamed else F.col(c) for c in jobs.columns])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobscope.session import cut_lineage
+
 BROADCAST_BYTES = 64 << 20
 # Inputs below this size per core do not fill the cores with one task per file split.
 SPREAD_BYTES = 8 << 20
@@ -25,6 +27,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """A reduction of a large input, written out so that its true size is known before it is joined.
+
+    The estimate of an aggregate is that of its input, which would rule out a broadcast and shuffle the
+    other, larger side.  Inputs that are small anyway, and streams, are returned as they are.
+    """
+    if df.isStreaming or estimated_bytes(df) <= BROADCAST_BYTES:
+        return df
+    return cut_lineage(df, "measured")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input to all cores before costly per-row work.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.functions.timing import parse_duration
-from jobscope.operators.shape import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small, measured
 from jobscope.schemas import BOTTLENECK_LIMIT, STATES, WAITING_STATES
 
 STALE_AFTER = "5m"
@@ -222,15 +222,17 @@ def rate_limits(limits: DataFrame, jobs: DataFrame, overrides: DataFrame | None
     )
 
 
-def exact_percentile(df: DataFrame, group: str, value: str, q: float, out: str, width: float = 1.0) -> DataFrame:
+def exact_percentile(df: DataFrame, group: str, value: str, q: float, out: str) -> DataFrame:
     """Interpolated exact percentile per group without bringing a group together.
 
-    Values are counted, ranked within buckets of ``width`` and shifted by the counts of the buckets before;
-    only the one or two values around the wanted position are left for the last step.
+    Values are counted, ranked within logarithmic buckets and shifted by the counts of the buckets before;
+    only the one or two values around the wanted position are left for the last step.  The buckets grow
+    with the logarithm of the value range, so the running sum over them stays short.
     """
+    bucket = F.floor(F.signum(value) * F.log1p(F.abs(value)) * 1000)
     counted = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(group, F.floor(F.col(value) / width).alias("_bucket"), F.col(value).alias("_v"))
+        .groupBy(group, bucket.alias("_bucket"), F.col(value).alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -322,7 +324,7 @@ def match_subscriptions(subscriptions: DataFrame, events: DataFrame) -> DataFram
     """
     wanted = subscriptions.filter("active").select("id", "url", F.explode(F.array_distinct("events")).alias("type"))
     seen = events.groupBy("type").agg(F.count("*").alias("events"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
-    return wanted.join(broadcast_if_small(seen), "type")
+    return wanted.join(broadcast_if_small(measured(seen)), "type")
 
 
 def metrics_exposition(metric_rows: DataFrame, prefix: str = "") -> DataFrame:

@@ -11,19 +11,32 @@ from pyspark.sql import functions as F
 
 from jobscope.functions import json_kind
 from jobscope.functions.jsons import text_member
-from jobscope.operators.shape import broadcast_if_small
 from jobscope.operators.shape import once, spread
-from jobscope.sources.keyspace import bullmq_queues, bullmq_rows, celery_rows, river_rows, sidekiq_rows
+from jobscope.sources.keyspace import (
+    bullmq_queues,
+    bullmq_rows,
+    celery_queues,
+    celery_rows,
+    river_rows,
+    sidekiq_queues,
+    sidekiq_rows,
+)
 
 # Fixed value: entries per queue looked at for types in the sampled River analysis.
 RIVER_SAMPLE = 100
 
 
-def _levels(rows: DataFrame, typed: Column) -> DataFrame:
-    """Counts per (queue, job_type), per queue and in total; ``typed`` marks rows whose type counts."""
-    rows = rows.withColumn("typed", F.coalesce(typed, F.lit(False)))
+def _levels(rows: DataFrame, typed: Column, queues: DataFrame | None = None) -> DataFrame:
+    """Jobs per (queue, job_type), per queue and in total; ``typed`` marks rows whose type counts.
+
+    ``queues`` are listed even without jobs: each adds a row that counts nothing.
+    """
+    rows = rows.select("queue", "job_type", F.coalesce(typed, F.lit(False)).alias("typed"), F.lit(1).cast("bigint").alias("n"))
+    if queues is not None:
+        nothing = [F.lit(None).cast("string").alias("job_type"), F.lit(False).alias("typed"), F.lit(0).cast("bigint").alias("n")]
+        rows = rows.unionByName(queues.select("queue", *nothing))
     q, t, k = F.col("queue"), F.col("job_type"), F.col("typed")
-    grouped = rows.groupingSets([[q, t, k], [q], []], q, t, k).agg(F.count("*").alias("jobs"), F.grouping_id().alias("g"))
+    grouped = rows.groupingSets([[q, t, k], [q], []], q, t, k).agg(F.sum("n").alias("jobs"), F.grouping_id().alias("g"))
     level = F.when(F.col("g") == 0, "type").when(F.col("g") == 3, "queue").otherwise("total")
     return (
         grouped.withColumn("level", level)
@@ -36,24 +49,22 @@ def analyze_sidekiq(keyspace: DataFrame) -> DataFrame:
     """Queue lists by class; scheduled and retrying jobs count in the total only."""
     rows = once(spread(sidekiq_rows(keyspace)), _v=F.try_parse_json("payload"))
     rows = rows.withColumn("job_type", F.coalesce(text_member("_v", "$.class"), F.lit("")))
-    counted = _levels(rows.select("queue", "job_type", "_v", "source_set"), (json_kind("_v") == "object") & (F.col("source_set") == "queue"))
+    readable = (json_kind("_v") == "object") & (F.col("source_set") == "queue")
+    counted = _levels(rows, readable, sidekiq_queues(keyspace))
     return counted.filter((F.col("level") == "total") | F.col("queue").isNotNull())
 
 
 def analyze_bullmq(keyspace: DataFrame) -> DataFrame:
-    """Wait lists by job name; queues without waiting jobs are listed with zero."""
-    counted = _levels(bullmq_rows(keyspace).withColumn("job_type", F.col("name")), F.col("name").isNotNull())
-    busy = counted.filter(F.col("level") == "queue").select("queue")
-    idle = bullmq_queues(keyspace).join(broadcast_if_small(busy), "queue", "left_anti")
-    zero = F.lit(0).cast("bigint")
-    return counted.unionByName(idle.select(F.lit("queue").alias("level"), "queue", F.lit(None).cast("string").alias("job_type"), zero.alias("jobs")))
+    """Wait lists by job name; only the names are read from the job hashes."""
+    rows = bullmq_rows(keyspace, fields=("name",)).withColumn("job_type", F.col("name"))
+    return _levels(rows, F.col("name").isNotNull(), bullmq_queues(keyspace))
 
 
 def analyze_celery(keyspace: DataFrame) -> DataFrame:
     """Messages by task header; messages without one count as pending only."""
     rows = once(spread(celery_rows(keyspace)), _v=F.try_parse_json("payload"))
     rows = rows.withColumn("job_type", text_member("_v", "$.headers.task"))
-    return _levels(rows.select("queue", "job_type"), F.coalesce(F.col("job_type"), F.lit("")) != "")
+    return _levels(rows, F.coalesce(F.col("job_type"), F.lit("")) != "", celery_queues(keyspace))
 
 
 def analyze_faktory(sizes: DataFrame, raw_jobs: DataFrame | None = None) -> DataFrame:
@@ -79,7 +90,7 @@ def analyze_river(keyspace: DataFrame, sample: int | None = RIVER_SAMPLE) -> Dat
     The rank filter is applied before the shuffle as well, so each task sends at most ``sample`` rows per queue.
     """
     rows = river_rows(keyspace)
-    lengths = _levels(rows.select("queue", F.lit(None).cast("string").alias("job_type")), F.lit(False))
+    lengths = _levels(rows.withColumn("job_type", F.lit(None).cast("string")), F.lit(False))
     if sample is not None:
         first = Window.partitionBy("queue").orderBy("idx")
         rows = rows.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= sample)

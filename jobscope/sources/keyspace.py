@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope.functions import key_suffix
-from jobscope.operators.shape import broadcast_if_small
+from jobscope.operators.shape import broadcast_if_small, measured
 from jobscope.schemas import KEYSPACE
 
 # Key names of the supported stores.
@@ -31,16 +31,22 @@ def read_api_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return pages.select("queue", "size"), jobs.select("list_queue", F.to_json("job").alias("payload"))
 
 
+def sidekiq_queues(keyspace: DataFrame) -> DataFrame:
+    """Names of the registered queues."""
+    registered = keyspace.filter((F.col("kind") == "set") & (F.col("key") == SIDEKIQ_QUEUES))
+    return registered.select(F.col("value").alias("queue")).distinct()
+
+
 def sidekiq_rows(keyspace: DataFrame) -> DataFrame:
     """Entries of the registered queue lists, then of the schedule and retry sets; duplicates are kept."""
-    queues = keyspace.filter((F.col("kind") == "set") & (F.col("key") == SIDEKIQ_QUEUES)).select(F.col("value").alias("queue")).distinct()
+    queues = sidekiq_queues(keyspace)
     lists = keyspace.filter((F.col("kind") == "list") & F.col("key").startswith(SIDEKIQ_QUEUE)).select(
         F.lit("queue").alias("source_set"), key_suffix("key", SIDEKIQ_QUEUE).alias("queue"), "idx", F.col("value").alias("payload")
     )
     sets = keyspace.filter((F.col("kind") == "zset") & F.col("key").isin(SIDEKIQ_SETS)).select(
         F.col("key").alias("source_set"), F.lit(None).cast("string").alias("queue"), "idx", F.col("value").alias("payload")
     )
-    return lists.join(broadcast_if_small(queues), "queue", "left_semi").select(sets.columns).unionByName(sets)
+    return lists.join(broadcast_if_small(measured(queues)), "queue", "left_semi").select(sets.columns).unionByName(sets)
 
 
 def bull_part(key: Column | str, part: int) -> Column:
@@ -55,11 +61,11 @@ def bullmq_queues(keyspace: DataFrame) -> DataFrame:
     return named.select(bull_part("key", 2).alias("queue")).distinct()
 
 
-def bullmq_rows(keyspace: DataFrame, sets: tuple[str, ...] = ("wait",)) -> DataFrame:
+def bullmq_rows(keyspace: DataFrame, sets: tuple[str, ...] = ("wait",), fields: tuple[str, ...] = ("name", "data", "opts")) -> DataFrame:
     """Waiting job ids with the fields of their hash; ids without a hash keep null fields.
 
     ``sets`` may name further lists (delayed, prioritized, active).  Hash fields are folded per job before
-    the join, with a map-side partial aggregate.
+    the join, with a map-side partial aggregate; only ``fields`` are read.
     """
     rest = bull_part("key", 3)
     ids = keyspace.filter(F.col("kind").isin("list", "zset") & F.col("key").startswith(BULL) & rest.isin(list(sets))).select(
@@ -70,9 +76,9 @@ def bullmq_rows(keyspace: DataFrame, sets: tuple[str, ...] = ("wait",)) -> DataF
         return F.max(F.when(F.col("field") == name, F.col("value"))).alias(name)
 
     hashes = (
-        keyspace.filter((F.col("kind") == "hash") & F.col("key").startswith(BULL) & F.col("field").isin("name", "data", "opts"))
+        keyspace.filter((F.col("kind") == "hash") & F.col("key").startswith(BULL) & F.col("field").isin(list(fields)))
         .groupBy(bull_part("key", 2).alias("queue"), rest.alias("id"))
-        .agg(field("name"), field("data"), field("opts"))
+        .agg(*[field(name) for name in fields])
     )
     return ids.join(hashes, ["queue", "id"], "left")
 
@@ -86,7 +92,7 @@ def celery_queues(keyspace: DataFrame, default: str = CELERY_DEFAULT) -> DataFra
 
 def celery_rows(keyspace: DataFrame) -> DataFrame:
     lists = keyspace.filter(F.col("kind") == "list").select(F.col("key").alias("queue"), "idx", F.col("value").alias("payload"))
-    return lists.join(broadcast_if_small(celery_queues(keyspace)), "queue", "left_semi")
+    return lists.join(broadcast_if_small(measured(celery_queues(keyspace))), "queue", "left_semi")
 
 
 def river_rows(keyspace: DataFrame) -> DataFrame:
@@ -97,11 +103,10 @@ def river_rows(keyspace: DataFrame) -> DataFrame:
 
 def discover_queues(keyspace: DataFrame) -> DataFrame:
     """All queues of a mixed dump as (system, queue)."""
-    sidekiq = keyspace.filter((F.col("kind") == "set") & (F.col("key") == SIDEKIQ_QUEUES)).select(F.col("value").alias("queue"))
     river = keyspace.filter(F.col("key").startswith(RIVER_QUEUE)).select(key_suffix("key", RIVER_QUEUE).alias("queue"))
     found = None
     for system, queues in (
-        ("sidekiq", sidekiq.distinct()),
+        ("sidekiq", sidekiq_queues(keyspace)),
         ("bullmq", bullmq_queues(keyspace)),
         ("celery", celery_queues(keyspace)),
         ("river", river.distinct()),

@@ -40,6 +40,14 @@ class EpochTable:
         newest = F.max_by(F.struct(*others), F.col("epoch"))
         return rows.groupBy(*keys).agg(newest.alias("_last")).select(*keys, "_last.*")
 
+    def compact(self, keys: Sequence[str], path: str) -> EpochTable:
+        """The latest rows as a new table in ``path``, numbered as the last batch they include."""
+        last = self.read().agg(F.max("epoch")).first()[0]
+        target = EpochTable(self.spark, path, self.schema)
+        if last is not None:
+            target.write(self.latest(keys), last)
+        return target
+
 
 def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -80,3 +80,9 @@ def test_sql_functions(spark):
     fn.register_functions(spark)
     got = spark.sql("SELECT class_to_type('Mailers::WelcomeEmail'), split_list('a,,b'), epoch_text(2.5D), route_target('x', 100)").first()
     assert tuple(got) == ("mailers.welcome.email", ["a", "b"], "2", True)
+    got = spark.sql(
+        "SELECT state_class('dead'), arg_type('Integer'), key_suffix('queue:a', 'queue:'), audit_grade(45, 50), duration_seconds('5m'), duration_seconds('x'), "
+        "backoff_seconds('linear', 3, 10), is_json_array('[1]'), is_json_array('{}'), celery_body('W10='), "
+        "delay_to_timestamp(5000, TIMESTAMP_NTZ '2024-01-01 00:00:00'), dash_if_null(NULL), percent_text(0.425), short_error(repeat('x', 61))"
+    ).first()
+    assert tuple(got) == ("failed", "int", "a", "A", 300, None, 30.0, True, False, "[]", "2024-01-01T00:00:05Z", "-", "42%", "x" * 57 + "...")
