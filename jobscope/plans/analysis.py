@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from jobscope.functions import json_kind
 from jobscope.functions.jsons import text_member
-from jobscope.operators.shape import once, spread
+from jobscope.operators.shape import broadcast_if_small, measured, once, spread
 from jobscope.sources.keyspace import (
     bullmq_queues,
     bullmq_rows,
@@ -87,13 +87,15 @@ def analyze_faktory(sizes: DataFrame, raw_jobs: DataFrame | None = None) -> Data
 def analyze_river(keyspace: DataFrame, sample: int | None = RIVER_SAMPLE) -> DataFrame:
     """Full list lengths; types from the first ``sample`` entries of each queue, or from all with None.
 
-    The rank filter is applied before the shuffle as well, so each task sends at most ``sample`` rows per queue.
+    The first positions are ranked without the payloads, and the rank filter is applied before the shuffle
+    as well: each task sends at most ``sample`` narrow rows per queue.  Payloads are picked by position.
     """
     rows = river_rows(keyspace)
     lengths = _levels(rows.withColumn("job_type", F.lit(None).cast("string")), F.lit(False))
     if sample is not None:
-        first = Window.partitionBy("queue").orderBy("idx")
-        rows = rows.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= sample)
+        by_position = Window.partitionBy("queue").orderBy("idx")
+        first = rows.select("queue", "idx", F.row_number().over(by_position).alias("_rank")).filter(F.col("_rank") <= sample)
+        rows = rows.join(broadcast_if_small(measured(first.select("queue", "idx"))), ["queue", "idx"], "left_semi")
     typed = (
         once(spread(rows), _v=F.try_parse_json("payload"))
         .filter(json_kind("_v") == "object")

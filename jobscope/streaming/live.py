@@ -18,7 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 from jobscope.functions import route
 from jobscope.operators import history, stats
 from jobscope.operators.ordered import unique_within
+from jobscope.schemas import NDJSON_BATCH
 from jobscope.session import work_dir
+from jobscope.sources.sinks import send_in_batches
 from jobscope.streaming.tables import EpochTable, ddl, start
 
 WATERMARK = "1 hour"
@@ -138,6 +140,16 @@ def start_stale(heartbeats: DataFrame, stale_after: str = "5 minutes", watermark
     return start(sessions, table.write, "append", **options), table
 
 
+def start_sender(jobs: DataFrame, send: Callable[[list[dict]], None], size: int = NDJSON_BATCH, **options) -> StreamingQuery:
+    """Hand every arriving job to ``send`` in batches from the tasks; at least once after a failure."""
+    return start(jobs, lambda batch, epoch: send_in_batches(batch, send, size), "append", **options)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the windowed operators of a query dropped because they were later than the watermark."""
+    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
+
+
 def start_latency(events: DataFrame, within_seconds: int = 3600, path: str | None = None, heavy=None, **options) -> tuple[StreamingQuery, EpochTable]:
     """Latency of each finish from the job's latest start; starts of earlier batches are carried over."""
     spark = events.sparkSession

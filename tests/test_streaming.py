@@ -115,3 +115,28 @@ def test_repeated_batch_replaces_its_part(spark, tmp_path):
     table.write(part, 0)
     table.write(part, 1)
     assert table.read().count() == 4 and table.read(before=1).count() == 2
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 12)
+    folder = str(tmp_path)
+    for times in ([at], [at + dt.timedelta(hours=5)], [at - dt.timedelta(hours=3), at + dt.timedelta(hours=6)], [at + dt.timedelta(hours=6)]):
+        rows = [(1, t, "j", "job.enqueued", "a", 1.0) for t in times]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    query, table = live.start_history(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder), "1h")
+    drain(query)
+    assert table.latest(["timestamp"]).agg(F.sum("enqueued")).first()[0] == 4
+    assert live.late_rows(query) == 1
+
+
+def test_sender(spark, events, tmp_path):
+    target = str(tmp_path)
+
+    def send(batch):
+        import uuid
+
+        with open(f"{target}/{uuid.uuid4()}", "w") as f:
+            f.write(str(len(batch)))
+
+    drain(live.start_sender(stream(spark, events).select("job_id"), send, size=100))
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 1500
