@@ -40,7 +40,7 @@ def stream_filter(t):
 @query(
     "stream_history",
     """SELECT date_trunc('hour', ts) AS timestamp, count(*) FILTER (WHERE type = 'job.enqueued') AS enqueued, count(*) FILTER (WHERE type = 'job.completed') AS completed,
-      count(*) FILTER (WHERE type = 'job.failed') AS failed, round(avg(latency_ms) FILTER (WHERE type = 'job.completed'), 4) AS avg_latency_ms FROM job_events GROUP BY 1""",
+      count(*) FILTER (WHERE type = 'job.failed') AS failed, CAST(round(CAST(CAST(sum(CAST(latency_ms AS DECIMAL(20, 6))) FILTER (WHERE type = 'job.completed') AS DOUBLE) / nullif(count(latency_ms) FILTER (WHERE type = 'job.completed'), 0) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS avg_latency_ms FROM job_events GROUP BY 1""",
     "job_events",
 )
 def stream_history(t):

@@ -99,7 +99,7 @@ def worker_list(t):
 
 
 _FLOW = """count(*) FILTER (WHERE type = 'job.enqueued') AS enqueued, count(*) FILTER (WHERE type = 'job.completed') AS completed,
-  count(*) FILTER (WHERE type = 'job.failed') AS failed, round(avg(latency_ms) FILTER (WHERE type = 'job.completed'), 4) AS avg_latency_ms"""
+  count(*) FILTER (WHERE type = 'job.failed') AS failed, CAST(round(CAST(CAST(sum(CAST(latency_ms AS DECIMAL(20, 6))) FILTER (WHERE type = 'job.completed') AS DOUBLE) / nullif(count(latency_ms) FILTER (WHERE type = 'job.completed'), 0) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS avg_latency_ms"""
 
 _STATE_ROWS = " UNION ALL ".join(
     f"SELECT 'jobs' AS section, '{s}' AS metric, CAST(count(*) FILTER (WHERE state = '{s}') AS DOUBLE) AS value FROM jobs"
@@ -150,7 +150,7 @@ def history_1d(t):
 
 
 _METRICS = f"""WITH {_PAUSED}, e AS (SELECT count(*) FILTER (WHERE type = 'job.enqueued') AS q, count(*) FILTER (WHERE type = 'job.completed') AS c,
-      count(*) FILTER (WHERE type = 'job.failed') AS f, round(avg(latency_ms) FILTER (WHERE type = 'job.completed'), 4) AS l,
+      count(*) FILTER (WHERE type = 'job.failed') AS f, CAST(round(CAST(CAST(sum(CAST(latency_ms AS DECIMAL(20, 6))) FILTER (WHERE type = 'job.completed') AS DOUBLE) / nullif(count(latency_ms) FILTER (WHERE type = 'job.completed'), 0) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS l,
       CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT) AS up FROM job_events),
     m AS (SELECT 'jobs_enqueued_total' AS metric, CAST(q AS DOUBLE) AS value FROM e UNION ALL SELECT 'jobs_completed_total', c FROM e
     UNION ALL SELECT 'jobs_failed_total', f FROM e UNION ALL SELECT 'avg_latency_ms', l FROM e UNION ALL SELECT 'uptime_seconds', up FROM e
@@ -177,7 +177,7 @@ def metrics_text(t):
 @query(
     "bottleneck",
     """WITH d AS (SELECT queue, count(*) FILTER (WHERE state IN ('available', 'scheduled', 'retryable')) AS depth,
-        round(avg(CAST(date_diff('microsecond', started_at, completed_at) AS DOUBLE) / 1000), 4) AS avg_duration_ms FROM jobs GROUP BY queue),
+        CAST(round(CAST(CAST(sum(CAST(date_diff('microsecond', started_at, completed_at) AS DECIMAL(20, 3)) / 1000) AS DOUBLE) / nullif(count(completed_at), 0) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS avg_duration_ms FROM jobs GROUP BY queue),
       e AS (SELECT queue, round(count(*) FILTER (WHERE type = 'job.failed') / nullif(count(*) FILTER (WHERE type IN ('job.failed', 'job.completed')), 0), 6) AS error_rate
         FROM job_events GROUP BY queue)
     SELECT d.queue, depth, avg_duration_ms, error_rate FROM d LEFT JOIN e ON d.queue = e.queue ORDER BY avg_duration_ms DESC, d.queue LIMIT 10""",

@@ -111,13 +111,20 @@ def worker_summary(workers: DataFrame, as_of: dt.datetime) -> DataFrame:
 ENQUEUED, COMPLETED, FAILED = "job.enqueued", "job.completed", "job.failed"
 
 
+def exact_avg(value: Column, digits: int = 4) -> Column:
+    """Average over an exact decimal sum, rounded as a decimal: it does not depend on the order of the rows."""
+    total = F.sum(value.cast("decimal(20,6)")).cast("double")
+    average = total / F.nullif(F.count(value), F.lit(0))
+    return F.round(average.cast("decimal(30,10)"), digits).cast("double")
+
+
 def _throughput() -> list[Column]:
     kind = F.col("type")
     return [
         F.count_if(kind == ENQUEUED).alias("enqueued"),
         F.count_if(kind == COMPLETED).alias("completed"),
         F.count_if(kind == FAILED).alias("failed"),
-        F.round(F.avg(F.when(kind == COMPLETED, F.col("latency_ms"))), 4).alias("avg_latency_ms"),
+        exact_avg(F.when(kind == COMPLETED, F.col("latency_ms"))).alias("avg_latency_ms"),
     ]
 
 
@@ -177,7 +184,7 @@ def metrics(jobs: DataFrame, events: DataFrame, workers: DataFrame, queues: Data
         F.count_if(F.col("type") == ENQUEUED).alias("jobs_enqueued_total"),
         F.count_if(F.col("type") == COMPLETED).alias("jobs_completed_total"),
         F.count_if(F.col("type") == FAILED).alias("jobs_failed_total"),
-        F.round(F.avg(F.when(F.col("type") == COMPLETED, F.col("latency_ms"))), 4).alias("avg_latency_ms"),
+        exact_avg(F.when(F.col("type") == COMPLETED, F.col("latency_ms"))).alias("avg_latency_ms"),
         span.alias("uptime_seconds"),
     ).withColumn("throughput_per_second", F.round(F.col("jobs_completed_total") / F.nullif(F.col("uptime_seconds"), F.lit(0)), 6))
     active = jobs.agg(F.count_if(F.col("state") == "active").alias("jobs_active"))
@@ -191,9 +198,10 @@ def metrics(jobs: DataFrame, events: DataFrame, workers: DataFrame, queues: Data
 
 def bottleneck(jobs: DataFrame, events: DataFrame, limit: int = BOTTLENECK_LIMIT) -> DataFrame:
     """Slowest queues first: depth, average duration and error rate."""
-    duration_ms = (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000.0
+    micros = F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    duration_ms = micros.cast("decimal(20,3)") / 1000
     per_queue = jobs.groupBy("queue").agg(
-        F.count_if(F.col("state").isin(WAITING_STATES)).alias("depth"), F.round(F.avg(duration_ms), 4).alias("avg_duration_ms")
+        F.count_if(F.col("state").isin(WAITING_STATES)).alias("depth"), exact_avg(duration_ms).alias("avg_duration_ms")
     )
     done = F.count_if(F.col("type").isin(COMPLETED, FAILED))
     errors = events.groupBy("queue").agg(F.round(F.count_if(F.col("type") == FAILED) / F.nullif(done, F.lit(0)), 6).alias("error_rate"))
