@@ -207,22 +207,24 @@ def unique_within(
             .applyInPandas(_chain_ends(window), f"k {key_type}, cut bigint, upto bigint, chain_end bigint, start bigint")
         )
         entries = (
-            steps.repartition("k")
-            .sortWithinPartitions("k", "cut", "upto")
-            .mapInPandas(_follow_slices(window), f"k {key_type}, cut bigint, entry bigint")
+            _in_order(steps, ["k"], ["cut", "upto"]).mapInPandas(_follow_slices(window), f"k {key_type}, cut bigint, entry bigint")
         )
         entries = entries.withColumnRenamed("entry", "_entry")
         instants = instants.join(entries, ["k", "cut"], "left").withColumn("entry", F.coalesce("_entry", "entry"))
-    columns = ["k", "t", "tie", "us", "cut", "entry"]
-    kept = (
-        instants.select(columns)
-        .repartition("k", "cut")
-        .sortWithinPartitions("k", "cut", "us")
-        .mapInPandas(_keep_chain(window), instants.select(columns).schema)
-    )
+    instants = _in_order(instants.select("k", "t", "tie", "us", "cut", "entry"), ["k", "cut"], ["us"])
+    kept = instants.mapInPandas(_keep_chain(window), instants.schema)
     return kept.select(F.col("k").alias(key), F.col("t").alias(ts), F.col("tie").alias(tie))
 
 
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a key together and in order, for a function that streams over them.
+
+    A repartition is dropped when the rows are already distributed that way, and adaptive execution may
+    then split or re-read the partitions.  A window states the need where it cannot be dropped.
+    """
+    return df.withColumn("_position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def _chain_ends(window: int):
     def table(group: pd.DataFrame) -> pd.DataFrame:
         us = np.sort(group["us"].to_numpy())

@@ -88,6 +88,14 @@ def test_unique_within_carries_on(data, heavy, rows, spark, within):
         assert rows(ordered.unique_within(df, "k", "ts", "id", within, last_kept=frame, heavy=chosen)) == want
 
 
+def test_streamed_rows_are_clustered_by_a_window(data, heavy):
+    """A plain repartition may be dropped or split by adaptive execution; a window's need may not."""
+    plan = ordered.unique_within(data[0], "k", "ts", "id", 60, heavy=heavy)._jdf.queryExecution().sparkPlan().toString()
+    lines = [line.strip(" :+-") for line in plan.splitlines()]
+    below = [lines[i + 1] for i, line in enumerate(lines) if line.startswith("MapInPandas")]
+    assert len(below) == 2 and all(line.startswith("Window") for line in below)
+
+
 def test_exact_percentile(data, spark):
     from jobscope.operators.stats import exact_percentile
 
