@@ -80,9 +80,9 @@ def stream_unique(t):
     "subscriptions job_events",
 )
 def stream_sub_match(t):
-    running, table = live.start_subscription_match(subscriptions_with_lists(t), job_events(t))
+    running, table = live.start_subscription_match(job_events(t))
     drain(running)
-    return table.latest(["id", "type"]).select("id", "url", "type", "events", "first_at", "last_at")
+    return live.subscription_matches(subscriptions_with_lists(t), table)
 
 
 @query(

@@ -21,6 +21,8 @@ class Tables:
     """Entities of one data folder: ``t.jobs`` is the jobs view, ``t.base("part")`` a stored table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # Stored times carry no zone and mean UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -330,9 +330,18 @@ def match_subscriptions(subscriptions: DataFrame, events: DataFrame) -> DataFram
     Events are counted per type first: the join then has as many rows as subscriptions have types, not
     one per subscription and event.
     """
+    return match_type_counts(subscriptions, count_types(events))
+
+
+def count_types(events: DataFrame) -> DataFrame:
+    """Events per type with the first and the last time."""
+    return events.groupBy("type").agg(F.count("*").alias("events"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+
+
+def match_type_counts(subscriptions: DataFrame, counts: DataFrame) -> DataFrame:
+    """Active subscriptions with the counts of the types they name, each type once."""
     wanted = subscriptions.filter("active").select("id", "url", F.explode(F.array_distinct("events")).alias("type"))
-    seen = events.groupBy("type").agg(F.count("*").alias("events"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
-    return wanted.join(broadcast_if_small(measured(seen)), "type")
+    return wanted.join(broadcast_if_small(measured(counts)), "type")
 
 
 def metrics_exposition(metric_rows: DataFrame, prefix: str = "") -> DataFrame:

@@ -91,11 +91,19 @@ def start_unique(events: DataFrame, key: str, within_seconds: int, tie: str = "e
     return start(columns, step, "append", **options), table
 
 
-def start_subscription_match(subscriptions: DataFrame, events: DataFrame, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
-    """Matched events per subscription and type.  The stream is counted per type before it meets the table."""
-    matched = stats.match_subscriptions(subscriptions, events)
-    table = _table(matched, "subscriptions", path)
-    return start(matched, table.write, "update", **options), table
+def start_subscription_match(events: DataFrame, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
+    """Events counted per type as they arrive: a batch writes one row per type it saw, however many subscribe.
+
+    Read it with :func:`subscription_matches`, which sees the subscriptions as they are then.
+    """
+    counted = stats.count_types(events)
+    table = _table(counted, "types", path)
+    return start(counted, table.write, "update", **options), table
+
+
+def subscription_matches(subscriptions: DataFrame, table: EpochTable) -> DataFrame:
+    """Matched events per active subscription and type."""
+    return stats.match_type_counts(subscriptions, table.latest(["type"]))
 
 
 def start_dual_run(jobs: DataFrame, percent: int | Callable[[], int], path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable, EpochTable]:

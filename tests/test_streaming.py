@@ -65,12 +65,14 @@ def test_latency(spark, events, rows):
     assert rows(table.read().drop("epoch")) == rows(history.start_to_finish(events[1], 3600, heavy=[]))
 
 
-def test_subscriptions(spark, events, rows):
+def test_subscriptions(spark, events, rows, tmp_path):
     subs = spark.createDataFrame([("s1", "u", ["job.failed", "job.failed"], True), ("s2", "u", ["job.enqueued"], False)], "id string, url string, events array<string>, active boolean")
-    query, table = live.start_subscription_match(subs, stream(spark, events))
+    query, table = live.start_subscription_match(stream(spark, events))
     drain(query)
     want = stats.match_subscriptions(subs, events[1])
-    assert rows(table.latest(["id", "type"]).select(want.columns)) == rows(want)
+    assert want.count() == 1 and rows(live.subscription_matches(subs, table).select(want.columns)) == rows(want)
+    compacted = table.compact(["type"], str(tmp_path / "compact"))
+    assert rows(live.subscription_matches(subs, compacted).select(want.columns)) == rows(want)
 
 
 def test_filter(spark, events):
