@@ -23,7 +23,9 @@ SAMPLE_ROWS = 8000
 HOLD_OUT = 5
 THRESHOLD = 0.3
 SEGMENT = 1024
-BINS = 10
+#: Quantiles between which a feature's bins lie; finer at both ends, where rare faults show.
+QUANTILES = (0.0, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
+BINS = len(QUANTILES)
 STEPS = 300
 
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -90,7 +92,7 @@ class Model:
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> Model:
     """Minimise the non-negative risk by full-batch gradient steps with adaptive rates."""
     both = np.concatenate([positive, unlabelled])
-    edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[:-1], axis=0).T.astype(np.float32)
+    edges = np.quantile(both, QUANTILES, axis=0).T.astype(np.float32)
     prior = float(np.clip(prior, 0.01, 0.99))
     model = Model(edges, np.zeros(edges.shape[0] * (BINS + 1)), float(np.log(prior / (1 - prior))))
     p, u = model.bins(positive), model.bins(unlabelled)
