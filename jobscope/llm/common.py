@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -42,16 +42,17 @@ def map_text(
     start: Callable[[], Callable[[list], list]],
     text: str = "text",
     keep: Sequence[str] | None = None,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Columns computed from whole texts, one result per row.
 
     ``start`` runs once per task and returns a function from a list of texts (``bytes`` in UTF-8, or None) to one
-    sequence per field.  ``keep`` names the input columns that are passed on (all by default); an input column
+    sequence per field; the values of ``extra`` follow the texts as further lists.  ``keep`` names the input columns that are passed on (all by default); an input column
     that has the name of a new field is dropped.
     """
     new = [f.name for f in fields]
     kept = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)]
-    data = df.select(*[col(f.name) for f in kept], col(text).cast("binary").alias("__text"))
+    data = df.select(*[col(f.name) for f in kept], col(text).cast("binary").alias("__text"), *[c.alias(f"__extra{i}") for i, c in enumerate(extra)])
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in kept] + new
 
@@ -60,8 +61,8 @@ def map_text(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            results = compute(batch.column(batch.num_columns - 1).to_pylist())
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
+            results = compute(*[batch.column(i).to_pylist() for i in range(len(kept), batch.num_columns)])
+            arrays = [batch.column(i) for i in range(len(kept))]
             arrays += [pa.array(r, type=t) for r, t in zip(results, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 

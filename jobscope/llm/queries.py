@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import language, quality, simhash
+from jobscope.llm import language, quality, simhash, suffixes
 from jobscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(docs, model, keep=["doc_id"])
     predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
     return found.select("doc_id", quality.held_out().alias("held_out"), "score", predicted)
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated 400-byte strings."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
