@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import language, quality, simhash, suffixes
+from jobscope.llm import language, packing, quality, simhash, suffixes
 from jobscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -48,3 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without repeated 400-byte strings."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 1024 tokens."""
+    definition = Path(tokenizer_path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    return packing.pack(table(spark, sf_dir, "documents"), definition)
