@@ -55,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without repeated 400-byte strings."""
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], kept="")
 
 
 @query

@@ -219,20 +219,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return spans.mapInArrow(_merge, "doc long, crc long, spans array<long>")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, kept: str = "bytes", prefix: str = "") -> DataFrame:
     """The columns ``keep`` (all by default) with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept``.
 
     Every byte covered by a ``window``-byte string that also starts anywhere else goes, in the same text or
     another; texts are judged as they came in, and matches never cross texts.  Null counts as empty; texts
     shorter than the window keep everything; equal texts of at least the window lose everything.  ``kept`` has
-    the remaining bytes (not with ``with_text=False``).  Input columns with the names of the new ones are dropped.
+    the remaining bytes; with ``kept="text"`` it is a string without characters that were cut in half, and with
+    ``kept=""`` it is left out.  New names start with ``prefix``; input columns with the same names are dropped.
     """
     spans = stored(repeated_spans(docs, window), "spans").select(*[F.col(c).alias(f"__{c}") for c in ("doc", "crc", "spans")])
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     same = (F.coalesce("doc_id", F.lit(-1)) == F.col("__doc")) & (F.crc32(body) == F.col("__crc"))
     joined = docs.join(small(spans), same, "left")
-    fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
-    fields += [T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * with_text
+    fields = [T.StructField(prefix + n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    fields += [T.StructField(prefix + "kept_sha256", T.StringType())]
+    if kept:
+        fields.append(T.StructField(prefix + "kept", T.StringType() if kept == "text" else T.BinaryType()))
 
     def start():
         def compute(texts, spans):
@@ -240,11 +243,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
             for text, span in zip(texts, spans):
                 text, span = text or b"", span or []
                 edges = [0, *span, len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                rows.append((len(text), len(text) - len(kept), len(span) // 2, hashlib.sha256(kept).hexdigest(), kept))
+                rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                out = rest.decode("utf-8", "ignore") if kept == "text" else rest
+                rows.append((len(text), len(text) - len(rest), len(span) // 2, hashlib.sha256(rest).hexdigest(), out))
             return list(zip(*rows))
 
         return compute
 
-    keep = keep or [c for c in docs.columns]
+    keep = docs.columns if keep is None else keep
     return map_text(joined, fields, start, keep=keep, extra=[F.col("__spans")])
