@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import language, packing, quality, simhash, suffixes
+from jobscope.llm import language, packing, polytope, quality, simhash, suffixes
 from jobscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 tokens."""
     definition = Path(tokenizer_path("byte_bpe_50k.json")).read_text(encoding="utf-8")
     return packing.pack(table(spark, sf_dir, "documents"), definition)
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every vector."""
+    return polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
