@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import language, packing, polytope, quality, simhash, suffixes, topk, urls
+from jobscope.llm import language, licences, packing, pieces, polytope, quality, simhash, suffixes, topk, urls
 from jobscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,16 @@ SELECT * FROM ranked WHERE rank <= 5
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"), Path(tokenizer_path("piece_bpe_32k.model")).read_bytes())
+
+
+@query
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs), keep=["doc_id"])
