@@ -142,9 +142,9 @@ FROM lineitem""",
     "source_files": """
 SELECT concat('repo', CAST(p_partkey % 10 AS STRING), '/f', CAST(p_partkey AS STRING)) AS path,
   CASE p_partkey % 4
-   WHEN 0 THEN concat('class Job', CAST(p_partkey AS STRING), 'Worker', chr(10), '  include Sidekiq::Worker', chr(10), '  sidekiq_options queue: :', CASE WHEN p_size % 2 = 0 THEN 'mailer' ELSE 'low' END, ', retry: 5', chr(10), 'end')
+   WHEN 0 THEN concat('class Job', CAST(p_partkey AS STRING), 'Worker', chr(10), '  include Sidekiq::Worker', chr(10), repeat('  # a note above the options', 12), chr(10), '  sidekiq_options queue: :', CASE WHEN p_size % 2 = 0 THEN 'mailer' ELSE 'low' END, ', retry: 5', chr(10), 'end', chr(10), 'class Next', CAST(p_partkey AS STRING), 'Worker', chr(10), '  include Sidekiq::Worker', chr(10), 'end')
    WHEN 1 THEN concat('const w = new Worker("q', CAST(p_size AS STRING), '", fn);', chr(10), 'await q.add("job', CAST(p_size AS STRING), '", {})')
-   WHEN 2 THEN concat('@shared_task(queue="q', CAST(p_size AS STRING), '")', chr(10), 'def task_', CAST(p_partkey AS STRING), '(x):', chr(10), '    pass')
+   WHEN 2 THEN concat('@shared_task', chr(10), 'def next_', CAST(p_partkey AS STRING), '(x):', chr(10), '    pass', chr(10), '@shared_task(queue="q', CAST(p_size AS STRING), '")', chr(10), 'def task_', CAST(p_partkey AS STRING), '(x):', chr(10), '    pass')
    ELSE concat('with DAG("dag', CAST(p_partkey AS STRING), '") as dag:', chr(10), '  a = BashOperator(', chr(10), '    task_id="extract_data",', chr(10), '  )', chr(10), '  b = PythonOperator(', chr(10), '    task_id="load_data",', chr(10), '  )', chr(10), '  c = BashOperator(', chr(10), '    task_id="check",', chr(10), '  )', chr(10), '  a >> b >> c') END AS content
 FROM part""",
     "workflow_code": """

@@ -78,7 +78,9 @@ def cfg_validate(t):
     return validate.validate_config(t.converted_configs)
 
 
-_CODE = """defs AS (SELECT path, 'sidekiq' AS framework, concat('Job', CAST(p_partkey AS VARCHAR), 'Worker') AS name, CASE WHEN p_size % 2 = 0 THEN 'mailer' ELSE 'low' END AS queue, 5 AS retry_count, p_partkey, p_size FROM f WHERE p_partkey % 4 = 0
+_CODE = """defs AS (SELECT path, 'sidekiq' AS framework, concat('Job', CAST(p_partkey AS VARCHAR), 'Worker') AS name, CASE WHEN p_size % 2 = 0 THEN 'mailer' ELSE 'low' END AS queue, CAST(5 AS BIGINT) AS retry_count, p_partkey, p_size FROM f WHERE p_partkey % 4 = 0
+  UNION ALL SELECT path, 'sidekiq', concat('Next', CAST(p_partkey AS VARCHAR), 'Worker'), 'default', NULL, p_partkey, p_size FROM f WHERE p_partkey % 4 = 0
+  UNION ALL SELECT path, 'celery', concat('next_', CAST(p_partkey AS VARCHAR)), 'celery', NULL, p_partkey, p_size FROM f WHERE p_partkey % 4 = 2
   UNION ALL SELECT path, 'bullmq', concat('q', CAST(p_size AS VARCHAR)), concat('q', CAST(p_size AS VARCHAR)), NULL, p_partkey, p_size FROM f WHERE p_partkey % 4 = 1
   UNION ALL SELECT path, 'bullmq', concat('job', CAST(p_size AS VARCHAR)), '', NULL, p_partkey, p_size FROM f WHERE p_partkey % 4 = 1
   UNION ALL SELECT path, 'celery', concat('task_', CAST(p_partkey AS VARCHAR)), concat('q', CAST(p_size AS VARCHAR)), NULL, p_partkey, p_size FROM f WHERE p_partkey % 4 = 2)"""
@@ -97,7 +99,7 @@ def code_queues(t):
 
 @query(
     "code_plan",
-    f"""WITH {_FILES}, {_CODE} SELECT path, framework, name, CASE framework WHEN 'sidekiq' THEN concat('job', CAST(p_partkey AS VARCHAR), '.worker') ELSE replace(name, '_', '.') END AS target_type, queue FROM defs""",
+    f"""WITH {_FILES}, {_CODE} SELECT path, framework, name, CASE framework WHEN 'sidekiq' THEN concat(lower(replace(name, 'Worker', '')), '.worker') ELSE replace(name, '_', '.') END AS target_type, queue FROM defs""",
 )
 def code_plan(t):
     return code.plan_migration(code.extract_all(t.source_files))

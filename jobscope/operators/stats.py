@@ -231,7 +231,7 @@ def rate_limits(limits: DataFrame, jobs: DataFrame, overrides: DataFrame | None
 
 
 def exact_percentile(df: DataFrame, group: str, value: str, q: float, out: str) -> DataFrame:
-    """Interpolated exact percentile per group without bringing a group together.
+    """Interpolated exact percentile per group, the null group included, without bringing a group together.
 
     Values are counted, ranked within logarithmic buckets and shifted by the counts of the buckets before;
     only the one or two values around the wanted position are left for the last step.  The buckets grow
@@ -248,6 +248,7 @@ def exact_percentile(df: DataFrame, group: str, value: str, q: float, out: str)
         counted.groupBy(group, "_bucket")
         .agg(F.sum("_n").alias("_in"))
         .withColumns({"_below": F.coalesce(F.sum("_in").over(before), F.lit(0)), "_all": F.sum("_in").over(Window.partitionBy(group))})
+        .withColumnsRenamed({group: "_group", "_bucket": "_inside"})
     )
     inside = Window.partitionBy(group, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     position = (F.col("_all") - 1) * q
@@ -259,7 +260,7 @@ def exact_percentile(df: DataFrame, group: str, value: str, q: float, out: str)
 
     return (
         counted.withColumn("_run", F.sum("_n").over(inside))
-        .join(buckets, [group, "_bucket"])
+        .join(buckets, (F.col(group).eqNullSafe(F.col("_group"))) & (F.col("_bucket") == F.col("_inside")))
         .groupBy(group)
         .agg(at(F.floor(position)).alias("_lo"), at(F.ceil(position)).alias("_hi"), F.max(position - F.floor(position)).alias("_part"))
         .select(group, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
@@ -277,14 +278,14 @@ def health(events: DataFrame, slo_ms: float = 100.0, error_budget: float = 0.05,
     )
     tail = exact_percentile(events, "queue", "latency_ms", 0.95, "p95")
     violations = (
-        counts.join(tail, "queue", "left")
+        counts.join(tail.withColumnRenamed("queue", "_queue"), F.col("queue").eqNullSafe(F.col("_queue")), "left")
         .filter((F.col("failed") / F.nullif(F.col("done"), F.lit(0)) > error_budget) | (F.col("p95") > slo_ms))
         .agg(F.count("*").alias("slo_violations"))
     )
     hourly = events.groupBy("queue", F.date_trunc("hour", "ts").alias("hour")).agg(F.count_if(F.col("type") == FAILED).alias("failures"))
     usual = hourly.groupBy("queue").agg(F.avg("failures").alias("mean"), F.stddev_pop("failures").alias("dev"))
     anomalies = (
-        hourly.join(usual, "queue")
+        hourly.join(usual.withColumnRenamed("queue", "_queue"), F.col("queue").eqNullSafe(F.col("_queue")))
         .filter(F.col("failures") > F.col("mean") + sigmas * F.col("dev"))
         .agg(F.count("*").alias("anomaly_count"))
     )

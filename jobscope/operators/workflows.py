@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -77,11 +79,11 @@ def dependency_depth(edges: DataFrame) -> DataFrame:
     )
 
 
-def dependency_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def dependency_levels(edges: DataFrame) -> DataFrame:
     """Longest path to every step of a general graph; ``edges`` has one row per (step, depends_on).
 
-    One round per level: a step is placed when all its dependencies are.  Steps on or behind a cycle
-    get a null level.  Dependencies on unknown steps are ignored.
+    One round per level, until a round places nothing: a step is placed when all its dependencies are.
+    Steps on or behind a cycle get a null level.  Dependencies on unknown steps are ignored.
     """
     spark, key = edges.sparkSession, ["workflow_id", "step_id"]
     out = work_dir(spark, "levels")
@@ -91,7 +93,7 @@ def dependency_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     links = cut_lineage(links.join(known, ["workflow_id", "depends_on"], "left_semi"), "links")
     waiting = cut_lineage(links.groupBy(*key).agg(F.count("*").alias("missing")), "waiting")
     steps.join(waiting, key, "left_anti").write.parquet(f"{out}/level=0")
-    for level in range(max_rounds):
+    for level in itertools.count():
         placed = spark.read.schema(steps.schema).parquet(f"{out}/level={level}")
         if not placed.limit(1).count():
             break

@@ -18,6 +18,7 @@ from jobscope.functions import class_to_type, delay_to_timestamp, epoch_text, js
 from jobscope.functions.jsons import kind_differs, text_member
 from jobscope.operators.shape import once, spread
 
+_LARGEST = 2**31 - 1
 CANONICAL = ["type", "queue", "args", "priority", "scheduled_at", "meta"]
 
 
@@ -63,6 +64,8 @@ def _parsed(raw: DataFrame, payload: str, fmt: str, required: tuple[str, str] |
     reason = F.when(F.col("_v").isNull(), "invalid JSON").when(~_starts_object(payload), "not an object")
     for name, allowed in PAYLOAD_TYPES[fmt].items():
         reason = F.coalesce(reason, F.when(kind_differs(member("_v", f"$.{name}"), allowed), f"bad type: {name}"))
+        if name.endswith("priority"):
+            reason = F.coalesce(reason, _too_large(F.try_variant_get("_v", f"$.{name}", "decimal(38,0)")))
     if required:
         path, message = required
         reason = F.coalesce(reason, F.when(_text(path) == "", message))
@@ -88,6 +91,11 @@ def _or(value: Column, default: str | Column) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(default) if isinstance(default, str) else default)
 
 
+def _too_large(value: Column) -> Column:
+    """The reason for a priority that 32 bits cannot hold."""
+    return F.when((value > _LARGEST) | (value < -_LARGEST), "priority out of range")
+
+
 def _positive(path: str) -> Column:
     value = F.try_variant_get("_v", path, "int")
     return F.when(value > 0, value)
@@ -119,7 +127,10 @@ def from_bullmq(raw: DataFrame, as_of: dt.datetime, name: str = "name", data: st
     priority = F.try_variant_get("_o", "$.priority", "int")
     out = df.withColumns(
         {
-            "_reason": F.when(F.coalesce(F.col(name), F.lit("")) == "", "missing job name"),
+            "_reason": F.coalesce(
+                F.when(F.coalesce(F.col(name), F.lit("")) == "", "missing job name"),
+                _too_large(F.try_variant_get("_o", "$.priority", "decimal(38,0)")),
+            ),
             "type": F.col(name),
             "args": F.when(F.col(data).isNull(), "[]").otherwise(wrap_in_array(data)),
             "priority": F.when(priority > 0, priority),

@@ -6,12 +6,12 @@ jobs of a queue, ``total`` all of them.  The three levels come from one grouping
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions import json_kind
 from jobscope.functions.jsons import text_member
-from jobscope.operators.shape import broadcast_if_small, measured, once, spread
+from jobscope.operators.shape import once, spread
 from jobscope.sources.keyspace import (
     bullmq_queues,
     bullmq_rows,
@@ -22,9 +22,6 @@ from jobscope.sources.keyspace import (
     sidekiq_rows,
 )
 
-# Fixed value: entries per queue looked at for types in the sampled River analysis.
-RIVER_SAMPLE = 100
-
 
 def _levels(rows: DataFrame, typed: Column, queues: DataFrame | None = None) -> DataFrame:
     """Jobs per (queue, job_type), per queue and in total; ``typed`` marks rows whose type counts.
@@ -84,18 +81,10 @@ def analyze_faktory(sizes: DataFrame, raw_jobs: DataFrame | None = None) -> Data
     return result.unionByName(typed.select(F.lit("type").alias("level"), "queue", "job_type", "jobs"))
 
 
-def analyze_river(keyspace: DataFrame, sample: int | None = RIVER_SAMPLE) -> DataFrame:
-    """Full list lengths; types from the first ``sample`` entries of each queue, or from all with None.
-
-    The first positions are ranked without the payloads, and the rank filter is applied before the shuffle
-    as well: each task sends at most ``sample`` narrow rows per queue.  Payloads are picked by position.
-    """
+def analyze_river(keyspace: DataFrame) -> DataFrame:
+    """Full list lengths, and types from all entries of each queue."""
     rows = river_rows(keyspace)
     lengths = _levels(rows.withColumn("job_type", F.lit(None).cast("string")), F.lit(False))
-    if sample is not None:
-        by_position = Window.partitionBy("queue").orderBy("idx")
-        first = rows.select("queue", "idx", F.row_number().over(by_position).alias("_rank")).filter(F.col("_rank") <= sample)
-        rows = rows.join(broadcast_if_small(measured(first.select("queue", "idx"))), ["queue", "idx"], "left_semi")
     typed = (
         once(spread(rows), _v=F.try_parse_json("payload"))
         .filter(json_kind("_v") == "object")

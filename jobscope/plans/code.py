@@ -23,9 +23,7 @@ BULLMQ_ADD = r"""\.add\s*\(\s*['"]([^'"]+)['"]"""
 CELERY_TASK = r"@(?:app\.task|shared_task|celery\.task)\s*(?:\([^)]*\))?\s*\ndef\s+(\w+)"
 CELERY_QUEUE = r"""queue\s*=\s*['"]([^'"]+)['"]"""
 CELERY_RETRY = r"max_retries\s*=\s*(\d+)"
-# How far around a match the options are looked for, and the default queues.
-RUBY_REACH = 200
-PYTHON_REACH = 100
+# The default queues.
 RUBY_QUEUE, PYTHON_QUEUE = "default", "celery"
 
 # Text without which a file holds no definition of a framework.
@@ -36,16 +34,11 @@ HINTS = {
 }
 
 
-def _before(n: int) -> str:
-    """A look-behind whose group holds the ``n`` characters before the match, or all if there are fewer."""
-    return rf"(?<=(\A[\s\S]{{0,{n - 1}}}|[\s\S]{{{n}}}))"
+# A worker's options stand between its class line and the next one.
+SIDEKIQ_SCOPE = r"(?m)" + SIDEKIQ_WORKER + r"[\s\S]*?(?=^\s*class\s|\z)"
 
 
-def _after(n: int) -> str:
-    return rf"(?=([\s\S]{{0,{n}}}))"
-
-
-def _find(pattern: str, group: int) -> Column:
+def _find(pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all("content", F.lit(pattern), F.lit(group))
 
 
@@ -53,37 +46,30 @@ def _option(block: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(block, pattern, 1), F.lit(""))
 
 
-def _definitions(df: DataFrame, framework: str, found: Column, queue_pattern: str, retry_pattern: str, default: str) -> DataFrame:
-    rows = df.select("path", F.explode(found).alias("d"))
-    block = F.col("d.block")
-    return rows.select(
-        "path",
-        F.lit(framework).alias("framework"),
-        F.col("d.name").alias("name"),
-        F.coalesce(_option(block, queue_pattern), F.lit(default)).alias("queue"),
-        F.try_to_number(_option(block, retry_pattern), F.lit("999999999")).cast("int").alias("retry_count"),
-    )
+def _definition(framework: str, name: Column, queue: Column, retry: Column | None = None) -> Column:
+    count = F.lit(None).cast("bigint") if retry is None else retry.try_cast("bigint")
+    return F.struct(F.lit(framework).alias("framework"), name.alias("name"), queue.alias("queue"), count.alias("retry_count"))
 
 
-def _extract_sidekiq(df: DataFrame) -> DataFrame:
-    pattern = SIDEKIQ_WORKER + _after(RUBY_REACH)
-    workers = F.arrays_zip(_find(pattern, 1).alias("name"), _find(pattern, 0).alias("match"), _find(pattern, 2).alias("rest"))
-    blocks = F.transform(workers, lambda w: F.struct(w["name"].alias("name"), F.concat(w["match"], w["rest"]).alias("block")))
-    active = F.transform(_find(ACTIVE_JOB, 1), lambda n: F.struct(n.alias("name"), F.lit("").alias("block")))
-    return _definitions(df, "sidekiq", F.concat(blocks, active), SIDEKIQ_QUEUE, SIDEKIQ_RETRY, RUBY_QUEUE)
+def _sidekiq(strict: bool) -> list[Column]:
+    def worker(block: Column) -> Column:
+        name = F.regexp_extract(block, r"class\s+(\w+)", 1)
+        return _definition("sidekiq", name, F.coalesce(_option(block, SIDEKIQ_QUEUE), F.lit(RUBY_QUEUE)), _option(block, SIDEKIQ_RETRY))
 
+    active = F.transform(_find(ACTIVE_JOB, 1), lambda n: _definition("sidekiq", n, F.lit(RUBY_QUEUE)))
+    return [F.transform(_find(SIDEKIQ_SCOPE), worker), active]
 
-def _extract_celery(df: DataFrame) -> DataFrame:
-    # The look-behind is costly, so it is tried only where a decorator starts.
-    pattern = "(?=@)" + _before(PYTHON_REACH) + CELERY_TASK + _after(PYTHON_REACH)
-    tasks = F.arrays_zip(
-        _find(pattern, 2).alias("name"), _find(pattern, 1).alias("lead"), _find(pattern, 0).alias("match"), _find(pattern, 3).alias("rest")
-    )
-    blocks = F.transform(tasks, lambda t: F.struct(t["name"].alias("name"), F.concat(t["lead"], t["match"], t["rest"]).alias("block")))
-    return _definitions(df, "celery", blocks, CELERY_QUEUE, CELERY_RETRY, PYTHON_QUEUE)
 
+def _celery(strict: bool) -> list[Column]:
+    def task(block: Column) -> Column:
+        # The block is the decorator with the def line; its options are the task's own.
+        name = F.regexp_extract(block, r"def\s+(\w+)\z", 1)
+        return _definition("celery", name, F.coalesce(_option(block, CELERY_QUEUE), F.lit(PYTHON_QUEUE)), _option(block, CELERY_RETRY))
 
-def _extract_bullmq(df: DataFrame, strict: bool) -> DataFrame:
+    return [F.transform(_find(CELERY_TASK), task)]
+
+
+def _bullmq(strict: bool) -> list[Column]:
     """Workers and added job names, each name once per file.
 
     With ``strict`` a worker is left out when the file also creates a queue of its name.
@@ -94,35 +80,36 @@ def _extract_bullmq(df: DataFrame, strict: bool) -> DataFrame:
         workers = F.array_except(workers, queues)
         added = F.array_except(added, queues)
     added = F.array_except(added, workers)
-    found = F.concat(
-        F.transform(workers, lambda n: F.struct(n.alias("name"), n.alias("queue"))),
-        F.transform(added, lambda n: F.struct(n.alias("name"), F.lit("").alias("queue"))),
-    )
-    return df.select("path", F.explode(found).alias("d")).select(
-        "path",
-        F.lit("bullmq").alias("framework"),
-        F.col("d.name").alias("name"),
-        F.col("d.queue").alias("queue"),
-        F.lit(None).cast("int").alias("retry_count"),
-    )
+    return [
+        F.transform(workers, lambda n: _definition("bullmq", n, n)),
+        F.transform(added, lambda n: _definition("bullmq", n, F.lit(""))),
+    ]
+
+
+EXTRACTORS = {"sidekiq": _sidekiq, "bullmq": _bullmq, "celery": _celery}
+
+
+def _extract(files: DataFrame, frameworks: list[str], strict: bool = False) -> DataFrame:
+    hint = "|".join(HINTS[f] for f in frameworks)
+    # A cheap test skips files that cannot match; only the others are dealt out for the patterns.
+    files = spread(files.filter(F.col("content").rlike(hint)).select("path", "content"))
+    found = []
+    for framework in frameworks:
+        possible = F.col("content").rlike(HINTS[framework])
+        found += [F.when(possible, c) for c in EXTRACTORS[framework](strict)]
+    return files.select("path", F.inline(F.flatten(F.array_compact(F.array(*found)))))
 
 
 def extract_jobs(files: DataFrame, framework: str, strict: bool = False) -> DataFrame:
     """Job definitions of one framework: path, framework, name, queue, retry_count."""
-    # A cheap test skips files that cannot match; only the others are dealt out for the patterns.
-    files = spread(files.filter(F.col("content").rlike(HINTS[framework])).select("path", "content"))
-    if framework == "sidekiq":
-        return _extract_sidekiq(files)
-    if framework == "bullmq":
-        return _extract_bullmq(files, strict)
-    if framework == "celery":
-        return _extract_celery(files)
-    raise ValueError(f"unsupported framework: {framework}")
+    if framework not in EXTRACTORS:
+        raise ValueError(f"unsupported framework: {framework}")
+    return _extract(files, [framework], strict)
 
 
 def extract_all(files: DataFrame) -> DataFrame:
-    found = [extract_jobs(files, f) for f in ("sidekiq", "bullmq", "celery")]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    """Job definitions of all frameworks, from one scan."""
+    return _extract(files, list(EXTRACTORS))
 
 
 def code_queues(definitions: DataFrame) -> DataFrame:

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope.operators.shape import BROADCAST_BYTES, estimated_bytes, once
+from jobscope.operators.shape import broadcast_if_small, measured, once
 from jobscope.schemas import EXPORT_DOCUMENT, EXPORT_VERSION, LIVE_JOB
 
-_BLOCK_ROW_BYTES = 400
-
 
 def read_job_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """Job lines as (file, line, raw); blank lines are dropped but counted in the line numbers.
@@ -30,10 +28,7 @@ def read_job_ndjson(spark: SparkSession, path: str) -> DataFrame:
         .agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
         .select("file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-    if (estimated_bytes(scan) / split + len(scan.inputFiles())) * _BLOCK_ROW_BYTES < BROADCAST_BYTES:
-        blocks = F.broadcast(blocks)
-    numbered = lines.join(blocks, ["file", "_block"])
+    numbered = lines.join(broadcast_if_small(measured(blocks)), ["file", "_block"])
     return numbered.filter(F.col("raw") != "").select(
         "file", (F.col("_offset") + F.col("_id") - F.col("_first") + 1).alias("line"), "raw"
     )
@@ -59,7 +54,8 @@ def read_export_document(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
 def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(header, jobs) of an export folder with a header and job lines."""
     header = spark.read.schema("version string, source struct<backend:string,url:string,version:string>, exported_at string").json(f"{path}/header")
-    version = header.select(_versioned("version")).agg(F.max("version"))
+    missing = F.raise_error(F.lit("the export has no header")).cast("string")
+    version = header.select(_versioned("version")).agg(F.coalesce(F.max("version"), missing).alias("version"))
     jobs = spark.read.schema(LIVE_JOB).json(f"{path}/jobs")
     # The check is part of the plan: reading jobs of another version fails.
     return header, jobs.filter(version.scalar() == EXPORT_VERSION)

@@ -105,3 +105,10 @@ def test_exact_percentile(data, spark):
     got = {r.g: r.p for r in exact_percentile(df, "g", "v", 0.95, "p").collect()}
     want = {r.g: r.p for r in df.groupBy("g").agg(F.percentile("v", 0.95).alias("p")).collect()}
     assert got == pytest.approx(want)
+
+
+def test_exact_percentile_of_the_null_group(spark):
+    from jobscope.operators.stats import exact_percentile
+
+    df = spark.createDataFrame([(None, float(i)) for i in range(11)] + [("a", 1.0)], "g string, v double")
+    assert {r.g: r.p for r in exact_percentile(df, "g", "v", 0.5, "p").collect()} == {None: 5.0, "a": 1.0}

@@ -185,9 +185,28 @@ def test_code_extraction(spark, rows):
     assert [r.name for r in strict.collect()] == ["send"]
 
 
-def test_python_options_near_the_file_start(spark):
-    files = spark.createDataFrame([("c.py", "queue='early'\n@celery.task\ndef go():\n    pass")], "path string, content string")
-    assert code.extract_jobs(files, "celery").first().queue == "early"
+def test_options_belong_to_their_own_definition(spark, rows):
+    far = "  # note\n" * 60
+    ruby = f"class A\n  include Sidekiq::Worker\n{far}  sidekiq_options queue: 'late', retry: 99999999999\nend\nclass B\n  include Sidekiq::Worker\nend\nclass C\n  include Sidekiq::Worker\n  sidekiq_options queue: 'fast'\nend"
+    python = "queue='early'\n@celery.task\ndef go():\n    pass\n@shared_task(queue='slow')\ndef other():\n    pass"
+    files = spark.createDataFrame([("a.rb", ruby), ("c.py", python)], "path string, content string")
+    got = code.extract_all(files).select("name", "queue", "retry_count")
+    assert rows(got) == [("A", "late", 99999999999), ("B", "default", None), ("C", "fast", None), ("go", "celery", None), ("other", "slow", None)]
+
+
+def test_one_scan_for_all_frameworks(spark, tmp_path):
+    spark.createDataFrame([("a", "x")], "path string, content string").write.parquet(str(tmp_path / "t"))
+    found = code.extract_all(spark.read.parquet(str(tmp_path / "t")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_priorities_beyond_32_bits_are_rejected(spark):
+    from jobscope.plans import adapters
+
+    raw = spark.createDataFrame([("q", '{"jobtype":"a","priority":3000000000}'), ("q", '{"jobtype":"a","priority":3}')], "queue string, payload string")
+    found = adapters.convert("faktory", raw)
+    assert [r.reason for r in found.rejects.collect()] == ["priority out of range"]
+    assert [r.priority for r in found.jobs.collect()] == [3]
 
 
 def test_temporal(spark, rows):

@@ -44,6 +44,10 @@ def test_export_folder(spark, tmp_path):
     spark.createDataFrame([('{"version":"3"}',)], "value string").write.text(f"{path}/header")
     with pytest.raises(Exception, match="unsupported export version"):
         readers.read_export(spark, path)[1].collect()
+    (tmp_path / "out" / "header").rename(tmp_path / "out" / "third")
+    (tmp_path / "out" / "header").mkdir()
+    with pytest.raises(Exception, match="no header"):
+        readers.read_export(spark, path)[1].collect()
 
 
 def test_job_lines_keep_raw_json(spark):
