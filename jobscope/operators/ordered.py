@@ -1,10 +1,10 @@
 """Ordered per-key computations that stay parallel when one key holds a large part of the rows.
 
-A window over a key sends all rows of that key to one task.  The helpers here look for heavy keys
-first (one sketch pass over the key columns, skipped for small inputs).  Rows of heavy keys are
-windowed per (key, time slice); what crosses a slice border - the neighbouring row, the rows counted
-so far, the last value seen - is taken from one summary row per slice.  All other keys, and every
-input without heavy keys, use the plain window.
+A window over a key sends all rows of that key to one task.  The helpers here look for keys with more rows than
+a task should hold (an aggregate over the keys, skipped for small inputs) and cut those keys at quantiles of
+their own times.  Their rows are windowed per (key, slice); what crosses a slice border - the neighbouring row,
+the rows counted so far, the last value seen - is taken from one summary row per slice.  All other keys, and
+every input without heavy keys, use the plain window.  Null keys are keys like any other.
 """
 
 from __future__ import annotations
@@ -13,55 +13,82 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobscope.operators.shape import estimated_bytes
+from jobscope.operators.shape import broadcast_if_small, estimated_bytes
+from jobscope.session import cut_lineage
 
 SMALL_INPUT_BYTES = 1 << 30
-HEAVY_SHARE = 1e-4
-HEAVY_ROWS = 1_000_000
-HEAVY_LIMIT = 10_000
-TRACKED_ITEMS = 100_000
-_FIRST_SLICE = "0001-01-01 00:00:00"
+#: A key with more rows is cut in slices of about this many.
+ROWS_PER_SLICE = 1_000_000
+#: Slices that one key is cut in at most; beyond it slices grow.
+MOST_SLICES = 10_000
+_NONE = np.iinfo(np.int64).min
 
 
-def key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
+def _micros(ts: str | Column) -> Column:
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def heavy_keys(
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    condition = F.lit(True)
+    for i, key in enumerate(keys):
+        condition &= F.col(key).eqNullSafe(F.col(f"{prefix}{i}"))
+    return condition
+
+
+def _renamed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({key: f"{prefix}{i}" for i, key in enumerate(keys)})
+
+
+def heavy_slices(
     df: DataFrame,
     keys: Sequence[str],
+    ts: str,
+    rows_per_slice: int = ROWS_PER_SLICE,
     small_bytes: int = SMALL_INPUT_BYTES,
-    share: float = HEAVY_SHARE,
-    min_rows: int = HEAVY_ROWS,
-) -> list[int]:
-    """Hashes of keys with more than ``share`` of the rows and more than ``min_rows``.
+) -> DataFrame | None:
+    """(keys, _cuts) of keys with more than ``rows_per_slice`` rows: the times that cut them into slices.
 
-    At most ``1 / share`` keys can qualify, so the answer is bounded whatever the data.  The sketch is
-    merged from small partial states: no shuffle by key.
+    None where no key is heavy.  Rows are counted by a partial aggregate; only heavy keys' times are looked at
+    again.  There are at most rows / ``rows_per_slice`` heavy keys; the table is written out and broadcast only
+    if it is small.
     """
     if estimated_bytes(df) < small_bytes:
-        return []
-    row = (
-        df.select(key_hash(keys).alias("h"))
-        .agg(
-            F.expr(f"approx_top_k(h, {HEAVY_LIMIT}, {TRACKED_ITEMS})").alias("top"),
-            F.count("*").alias("n"),
-        )
-        .first()
-    )
-    return [item["item"] for item in row["top"] or [] if item["count"] > max(share * row["n"], min_rows)]
+        return None
+    heavy = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows_per_slice), "heavy")
+    most = heavy.agg(F.max("_rows")).first()[0]
+    if most is None:
+        return None
+    slices = min(MOST_SLICES, max(2, -(-most // rows_per_slice)))
+    times = df.select(*keys, _micros(ts).alias("_us"))
+    times = times.join(broadcast_if_small(_renamed(heavy, keys, "_h")), _same(keys, "_h"))
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    cuts = times.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_us", shares, 10 * slices)).alias("_cuts"))
+    return cut_lineage(cuts, "slices")
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], ts: str, heavy: Sequence[int], grain: str) -> DataFrame:
-    cut = F.coalesce(F.date_trunc(grain, F.col(ts).cast("timestamp")), F.lit(_FIRST_SLICE).cast("timestamp"))
-    return df.withColumn("_slice", F.when(key_hash(keys).isin(list(heavy)), cut))
+def _sliced(df: DataFrame, keys: Sequence[str], ts: str, heavy: DataFrame) -> DataFrame:
+    """Add ``_slice``: the number of a heavy key's cuts at or before the row; null for other keys."""
+    joined = df.join(broadcast_if_small(_renamed(heavy, keys, "_h")), _same(keys, "_h"), "left")
+    before = F.size(F.filter("_cuts", lambda c: c <= F.coalesce(_micros(ts), F.lit(_NONE))))
+    return joined.withColumn("_slice", F.when(F.col("_cuts").isNotNull(), before)).select(*df.columns, "_slice")
 
 
-def _heavy(df: DataFrame, keys: Sequence[str], heavy: Sequence[int] | None) -> Sequence[int]:
-    return heavy_keys(df, keys) if heavy is None else heavy
+def _across(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the summary of their key's slice."""
+    slices = _renamed(summary, [*keys, "_slice"], "_s")
+    joined = rows.join(slices, _same([*keys, "_slice"], "_s"), "left")
+    return joined.drop(*[f"_s{i}" for i in range(len(keys) + 1)])
+
+
+def _heavy(df: DataFrame, keys: Sequence[str], ts: str, heavy: DataFrame | Sequence | None) -> DataFrame | None:
+    """What a caller passes as ``heavy``: None to look for heavy keys, [] for none, or their slices."""
+    if heavy is None:
+        return heavy_slices(df, keys, ts)
+    return heavy if isinstance(heavy, DataFrame) else None
 
 
 def with_neighbours(
@@ -70,8 +97,7 @@ def with_neighbours(
     order: Sequence[str],
     next_of: dict[str, str] | None = None,
     previous_of: dict[str, str] | None = None,
-    heavy: Sequence[int] | None = None,
-    grain: str = "day",
+    heavy: DataFrame | Sequence | None = None,
 ) -> DataFrame:
     """Add columns of the next and the previous row of the same key.
 
@@ -79,13 +105,13 @@ def with_neighbours(
     new column names to the column to fetch.
     """
     next_of, previous_of = next_of or {}, previous_of or {}
-    heavy = _heavy(df, keys, heavy)
-    if not heavy:
+    heavy = _heavy(df, keys, order[0], heavy)
+    if heavy is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns(
             {o: F.lead(c).over(w) for o, c in next_of.items()} | {o: F.lag(c).over(w) for o, c in previous_of.items()}
         )
-    df = _sliced(df, keys, order[0], heavy, grain)
+    df = _sliced(df, keys, order[0], heavy)
     w = Window.partitionBy(*keys, "_slice").orderBy(*order)
     inner = df.withColumns(
         {o: F.lead(c).over(w) for o, c in next_of.items()}
@@ -101,7 +127,7 @@ def with_neighbours(
         .agg(F.min_by(values, position).alias("_head"), F.max_by(values, position).alias("_tail"))
         .select(*keys, "_slice", F.lead("_head").over(across).alias("_after"), F.lag("_tail").over(across).alias("_before"))
     )
-    joined = inner.join(edges, [*keys, "_slice"], "left")
+    joined = _across(inner, edges, keys)
     joined = joined.withColumns(
         {o: F.when(F.col("_ends"), F.col("_after")[c]).otherwise(F.col(o)) for o, c in next_of.items()}
         | {o: F.when(F.col("_starts"), F.col("_before")[c]).otherwise(F.col(o)) for o, c in previous_of.items()}
@@ -114,14 +140,13 @@ def with_row_number(
     keys: Sequence[str],
     order: Sequence[str],
     out: str,
-    heavy: Sequence[int] | None = None,
-    grain: str = "day",
+    heavy: DataFrame | Sequence | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row within its key; ``order[0]`` is a timestamp."""
-    heavy = _heavy(df, keys, heavy)
-    if not heavy:
+    heavy = _heavy(df, keys, order[0], heavy)
+    if heavy is None:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    df = _sliced(df, keys, order[0], heavy, grain)
+    df = _sliced(df, keys, order[0], heavy)
     inner = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -130,7 +155,7 @@ def with_row_number(
         .agg(F.count("*").alias("_n"))
         .select(*keys, "_slice", F.sum("_n").over(earlier).alias("_offset"))
     )
-    joined = inner.join(offsets, [*keys, "_slice"], "left")
+    joined = _across(inner, offsets, keys)
     return joined.withColumn(out, (F.col(out) + F.coalesce("_offset", F.lit(0))).cast("bigint")).drop("_slice", "_offset")
 
 
@@ -140,16 +165,15 @@ def with_last_seen(
     order: Sequence[str],
     value: str,
     out: str,
-    heavy: Sequence[int] | None = None,
-    grain: str = "day",
+    heavy: DataFrame | Sequence | None = None,
 ) -> DataFrame:
     """Add the latest non-null ``value`` at or before each row of the same key."""
-    heavy = _heavy(df, keys, heavy)
+    heavy = _heavy(df, keys, order[0], heavy)
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    if not heavy:
+    if heavy is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*so_far)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    df = _sliced(df, keys, order[0], heavy, grain)
+    df = _sliced(df, keys, order[0], heavy)
     w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(*so_far)
     inner = df.withColumn(out, F.last(value, ignorenulls=True).over(w))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,7 +183,7 @@ def with_last_seen(
         .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
         .select(*keys, "_slice", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
     )
-    joined = inner.join(carried, [*keys, "_slice"], "left")
+    joined = _across(inner, carried, keys)
     return joined.withColumn(out, F.coalesce(F.col(out), F.col("_carried"))).drop("_slice", "_carried")
 
 
@@ -170,49 +194,44 @@ def unique_within(
     tie: str,
     within_seconds: int,
     last_kept: DataFrame | None = None,
-    heavy: Sequence[int] | None = None,
-    grain: str = "hour",
+    heavy: DataFrame | Sequence | None = None,
 ) -> DataFrame:
     """Rows kept when a key may occur only once per window.
 
     A row is kept when it comes at least ``within_seconds`` after the last *kept* row of its key; among
-    rows of one instant the smallest ``tie`` counts.  Returns (key, ts, tie).  ``last_kept`` (key, ts), at
-    most one row per key, carries on from an earlier call.
+    rows of one instant the smallest ``tie`` counts.  Rows without a time are left out; a null key is a key.
+    Returns (key, ts, tie).  ``last_kept`` (key, ts), at most one row per key, carries on from an earlier call.
 
     The rule is a chain: each kept row decides the next.  Sorted partitions are streamed with one carried
     value per key.  A heavy key is cut into time slices; for each slice the end of the chain is tabulated
     for every possible start, the tables are followed in order, and then all slices run in parallel.
     """
     window = int(within_seconds * 1_000_000)
-    heavy = _heavy(df, [key], heavy)
-    instants = (
-        df.groupBy(F.col(key).alias("k"), F.col(ts).alias("t"))
-        .agg(F.min(tie).alias("tie"))
-        .withColumn("us", F.unix_micros(F.col("t").cast("timestamp")))
-        .withColumn("cut", F.lit(None).cast("bigint"))
-    )
+    df = df.where(F.col(ts).isNotNull())
+    heavy = _heavy(df, [key], ts, heavy)
+    instants = df.groupBy(F.col(key).alias("k"), F.col(ts).alias("t")).agg(F.min(tie).alias("tie")).withColumn("us", _micros("t"))
+    # Python gets the key as text that is never null, and no number that could be.
+    text = F.coalesce(F.concat(F.lit("="), F.col("k").cast("string")), F.lit(""))
+    instants = instants.withColumns({"g": text, "cut": F.lit(-1)})
     if last_kept is None:
-        instants = instants.withColumn("entry", F.lit(None).cast("bigint"))
+        instants = instants.withColumn("entry", F.lit(_NONE))
     else:
-        start = F.unix_micros(F.col(ts).cast("timestamp")) + window
-        instants = instants.join(last_kept.select(F.col(key).alias("k"), start.alias("entry")), "k", "left")
-    if heavy:
-        hot = F.xxhash64("k").isin(list(heavy))
-        instants = instants.withColumn("cut", F.when(hot, F.unix_micros(F.date_trunc(grain, F.col("t").cast("timestamp")))))
-        key_type = instants.schema["k"].dataType.simpleString()
+        last = last_kept.where(F.col(ts).isNotNull()).select(F.col(key).alias("_last"), (_micros(ts) + window).alias("entry"))
+        instants = instants.join(last, F.col("k").eqNullSafe(F.col("_last")), "left").drop("_last")
+        instants = instants.withColumn("entry", F.coalesce("entry", F.lit(_NONE)))
+    if heavy is not None:
+        instants = _sliced(instants, ["k"], "t", heavy.withColumnRenamed(key, "k"))
+        instants = instants.withColumn("cut", F.coalesce("_slice", F.lit(-1))).drop("_slice")
         steps = (
-            instants.filter(F.col("cut").isNotNull())
-            .select("k", "cut", "us", "entry")
-            .groupBy("k", "cut")
-            .applyInPandas(_chain_ends(window), f"k {key_type}, cut bigint, upto bigint, chain_end bigint, start bigint")
+            instants.filter("cut >= 0")
+            .select("g", "cut", "us", "entry")
+            .groupBy("g", "cut")
+            .applyInPandas(_chain_ends(window), "g string, cut int, upto bigint, chain_end bigint, start bigint")
         )
-        entries = (
-            _in_order(steps, ["k"], ["cut", "upto"]).mapInPandas(_follow_slices(window), f"k {key_type}, cut bigint, entry bigint")
-        )
-        entries = entries.withColumnRenamed("entry", "_entry")
-        instants = instants.join(entries, ["k", "cut"], "left").withColumn("entry", F.coalesce("_entry", "entry"))
-    instants = _in_order(instants.select("k", "t", "tie", "us", "cut", "entry"), ["k", "cut"], ["us"])
-    kept = instants.mapInPandas(_keep_chain(window), instants.schema)
+        entries = _in_order(steps, ["g"], ["cut", "upto"]).mapInPandas(_follow_slices(window), "g string, cut int, _entry bigint")
+        instants = instants.join(entries, ["g", "cut"], "left").withColumn("entry", F.coalesce("_entry", "entry"))
+    instants = _in_order(instants.select("g", "cut", "us", "entry", "k", "t", "tie"), ["g", "cut"], ["us"])
+    kept = instants.mapInArrow(_keep_chain(window), instants.select("k", "t", "tie").schema)
     return kept.select(F.col("k").alias(key), F.col("t").alias(ts), F.col("tie").alias(tie))
 
 
@@ -226,9 +245,11 @@ def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def _chain_ends(window: int):
+    none = _NONE
+
     def table(group: pd.DataFrame) -> pd.DataFrame:
         us = np.sort(group["us"].to_numpy())
-        cut, start = int(group["cut"].iloc[0]), group["entry"].iloc[0]
+        start = int(group["entry"].iloc[0])
         following = np.searchsorted(us, us + window)
         end = np.where(following < len(us), following, np.arange(len(us)))
         while True:
@@ -236,13 +257,13 @@ def _chain_ends(window: int):
             if np.array_equal(further, end):
                 break
             end = further
-        starts = min(int(np.searchsorted(us, cut + window)) + 1, len(us))
-        if not pd.isna(start):
+        # The row kept last before the slice is older than its first row, so no chain starts later than this.
+        starts = min(int(np.searchsorted(us, us[0] + window)) + 1, len(us))
+        if start != none:
             starts = len(us)
         chain_end, upto = us[end[:starts]], us[:starts]
         last = np.append(chain_end[1:] != chain_end[:-1], True)
-        known = np.iinfo(np.int64).min if pd.isna(start) else int(start)
-        return pd.DataFrame({"k": group["k"].iloc[0], "cut": cut, "upto": upto[last], "chain_end": chain_end[last], "start": known})
+        return pd.DataFrame({"g": group["g"].iloc[0], "cut": group["cut"].iloc[0], "upto": upto[last], "chain_end": chain_end[last], "start": start})
 
     return table
 
@@ -253,7 +274,7 @@ def _follow_slices(window: int):
         done = False
         for batch in batches:
             rows = []
-            for k, c, upto, chain_end, start in zip(batch["k"], batch["cut"], batch["upto"], batch["chain_end"], batch["start"]):
+            for k, c, upto, chain_end, start in zip(batch["g"], batch["cut"], batch["upto"], batch["chain_end"], batch["start"]):
                 if k != key:
                     key, cut, allowed = k, None, start
                 if c != cut:
@@ -261,23 +282,18 @@ def _follow_slices(window: int):
                     rows.append((k, c, allowed))
                 if not done and upto >= allowed:
                     allowed, done = chain_end + window, True
-            yield pd.DataFrame(rows, columns=["k", "cut", "entry"])
+            yield pd.DataFrame(rows, columns=["g", "cut", "_entry"])
 
     return follow
 
 
 def _keep_chain(window: int):
-    smallest = np.iinfo(np.int64).min
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, allowed = None, smallest
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, allowed = None, 0
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            us = batch["us"].to_numpy()
-            keys = batch["k"].to_numpy()
-            cuts = batch["cut"].fillna(smallest).to_numpy().astype("int64")
-            entries = batch["entry"].fillna(smallest).to_numpy().astype("int64")
+            keys, cuts, us, entries = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             change = np.flatnonzero((keys[1:] != keys[:-1]) | (cuts[1:] != cuts[:-1])) + 1
             bounds = np.concatenate(([0], change, [len(us)]))
             kept = []
@@ -289,6 +305,6 @@ def _keep_chain(window: int):
                     kept.append(i)
                     allowed = us[i] + window
                     i += 1 + int(np.searchsorted(us[i + 1 : hi], allowed))
-            yield batch.iloc[kept]
+            yield batch.select(["k", "t", "tie"]).take(pa.array(kept, pa.int64()))
 
     return keep

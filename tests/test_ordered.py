@@ -27,16 +27,51 @@ def data(spark):
 
 @pytest.fixture(scope="module")
 def heavy(data):
-    return ordered.heavy_keys(data[0], KEY, small_bytes=0, share=0.05, min_rows=0)
+    return ordered.heavy_slices(data[0], KEY, "ts", rows_per_slice=100, small_bytes=0)
 
 
-def test_heavy_keys_found(data, heavy):
-    want = data[0].filter("k = 'hot'").select(ordered.key_hash(KEY)).first()[0]
-    assert heavy == [want]
+def test_heavy_keys_found(heavy):
+    found = heavy.collect()
+    assert [r.k for r in found] == ["hot"] and len(found[0]._cuts) >= 5
 
 
-def test_small_inputs_skip_the_sketch(data):
-    assert ordered.heavy_keys(data[0], KEY) == []
+def test_small_inputs_are_not_counted(data):
+    assert ordered.heavy_slices(data[0], KEY, "ts") is None
+
+
+def test_inputs_without_heavy_keys(data):
+    assert ordered.heavy_slices(data[0], KEY, "ts", rows_per_slice=100_000, small_bytes=0) is None
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null keys, keys above 2^53, null times, and all rows of a key within one hour."""
+    rnd = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(900):
+        key = rnd.choice([None, None, 2**53, 2**53 + 1, 7])
+        spread = 3600 if key == 7 else 40 * 3600
+        rows.append((key, None if rnd.random() < 0.05 else start + dt.timedelta(seconds=rnd.randrange(spread)), i, f"v{i}" if i % 3 else None))
+    df = spark.createDataFrame(rows, "k bigint, ts timestamp_ntz, id bigint, v string")
+    return df, rows, ordered.heavy_slices(df, KEY, "ts", rows_per_slice=60, small_bytes=0)
+
+
+def test_odd_keys_and_times_agree_on_both_paths(odd, rows):
+    df, raw, heavy = odd
+    assert heavy.count() >= 4
+    for call in (
+        lambda h: ordered.with_neighbours(df, KEY, ORDER, next_of={"n": "id"}, previous_of={"p": "id"}, heavy=h),
+        lambda h: ordered.with_row_number(df, KEY, ORDER, "rn", heavy=h),
+        lambda h: ordered.with_last_seen(df, KEY, ORDER, "v", "s", heavy=h),
+    ):
+        plain = call([])
+        assert rows(plain) == rows(call(heavy).select(plain.columns))
+    timed = [(r[0] if r[0] is not None else -1, *r[1:]) for r in raw if r[1] is not None]
+    for within in (60, 7200):
+        want = sorted(((None if k == -1 else k, t, i) for k, t, i in greedy(timed, within)), key=repr)
+        for chosen in ([], heavy):
+            assert rows(ordered.unique_within(df, "k", "ts", "id", within, heavy=chosen)) == want
 
 
 def test_neighbours(data, heavy, rows):
@@ -92,7 +127,7 @@ def test_streamed_rows_are_clustered_by_a_window(data, heavy):
     """A plain repartition may be dropped or split by adaptive execution; a window's need may not."""
     plan = ordered.unique_within(data[0], "k", "ts", "id", 60, heavy=heavy)._jdf.queryExecution().sparkPlan().toString()
     lines = [line.strip(" :+-") for line in plan.splitlines()]
-    below = [lines[i + 1] for i, line in enumerate(lines) if line.startswith("MapInPandas")]
+    below = [lines[i + 1] for i, line in enumerate(lines) if line.startswith(("MapInPandas", "MapInArrow"))]
     assert len(below) == 2 and all(line.startswith("Window") for line in below)
 
 

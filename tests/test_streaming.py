@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobscope.operators import history, stats
-from jobscope.operators.ordered import heavy_keys, unique_within
+from jobscope.operators.ordered import heavy_slices, unique_within
 from jobscope.streaming import live
 from jobscope.streaming.tables import EpochTable, drain
 
@@ -52,8 +52,8 @@ def test_dashboard(spark, events, rows):
 
 @pytest.mark.parametrize("sliced", [False, True])
 def test_unique(spark, events, rows, sliced):
-    heavy = heavy_keys(events[1], ["job_id"], small_bytes=0, share=0.1, min_rows=0) if sliced else []
-    assert bool(heavy) == sliced
+    heavy = heavy_slices(events[1], ["job_id"], "ts", rows_per_slice=40, small_bytes=0) if sliced else []
+    assert (heavy != []) == sliced and heavy is not None
     query, table = live.start_unique(stream(spark, events), "job_id", 5000, heavy=heavy)
     drain(query)
     assert rows(table.read().drop("epoch")) == rows(unique_within(events[1], "job_id", "ts", "event_id", 5000, heavy=[]))
