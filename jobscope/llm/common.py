@@ -31,6 +31,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return cut_lineage(df, f"llm-{purpose}")
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = files(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_FILE_BYTES) -> DataFrame:
     """A stored table with a broadcast hint if its files are within ``limit``, else unchanged (shuffled join)."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
@@ -52,9 +61,15 @@ def map_text(
     """
     new = [f.name for f in fields]
     kept = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)]
-    data = df.select(*[col(f.name) for f in kept], col(text).cast("binary").alias("__text"), *[c.alias(f"__extra{i}") for i, c in enumerate(extra)])
+    # mapInArrow reads dots in names as paths, so columns travel under plain names.
+    carried = [f"__c{i}" for i in range(len(kept))]
+    data = df.select(
+        *[col(f.name).alias(c) for f, c in zip(kept, carried)],
+        col(text).cast("binary").alias("__text"),
+        *[c.alias(f"__extra{i}") for i, c in enumerate(extra)],
+    )
     types = [to_arrow_type(f.dataType) for f in fields]
-    names = [f.name for f in kept] + new
+    names = carried + new
 
     def run(batches):
         compute = start()
@@ -66,4 +81,5 @@ def map_text(
             arrays += [pa.array(r, type=t) for r, t in zip(results, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return data.mapInArrow(run, T.StructType(kept + list(fields)))
+    schema = T.StructType([T.StructField(c, f.dataType) for f, c in zip(kept, carried)] + list(fields))
+    return data.mapInArrow(run, schema).toDF(*[f.name for f in kept], *new)

@@ -26,7 +26,7 @@ SEGMENT = 1024
 #: Quantiles between which a feature's bins lie; finer at both ends, where rare faults show.
 QUANTILES = (0.0, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
 BINS = len(QUANTILES)
-STEPS = 300
+STEPS = 1200
 
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -90,7 +90,7 @@ class Model:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> Model:
-    """Minimise the non-negative risk by full-batch gradient steps with adaptive rates."""
+    """Minimise the non-negative risk by full-batch gradient steps with adaptive, falling rates."""
     both = np.concatenate([positive, unlabelled])
     edges = np.quantile(both, QUANTILES, axis=0).T.astype(np.float32)
     prior = float(np.clip(prior, 0.01, 0.99))
@@ -111,9 +111,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
             change += gradient(p, prior * (s_p - 1) / len(p))
         else:
             change = -change
-        change[:-1] += 1e-4 * model.weights
+        change[:-1] += 3e-5 * model.weights
         first, second = 0.9 * first + 0.1 * change, 0.99 * second + 0.01 * change**2
-        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        rate = 0.1 * (1 - (step - 1) / steps)
+        move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         model.weights -= move[:-1]
         model.bias -= move[-1]
     return model

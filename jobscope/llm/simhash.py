@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobscope.llm.common import map_text, small, stored
+from jobscope.llm.common import col, map_text, small, stored
 from jobscope.llm.components import components, forest
 
 SEED = 42
@@ -50,8 +50,8 @@ def fingerprint(text: bytes | None, width: int) -> int:
     return int(np.packbits(total * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) and ``fp``: the fingerprint of the text as a signed long.
+def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
+    """The columns ``keep`` (all by default) and ``name``: the fingerprint of the text as a signed long.
 
     Words are runs without white space, A-Z lower-cased; null and empty texts have fingerprint zero.
     """
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None)
     def start():
         return lambda texts: [np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)]
 
-    return map_text(docs, [T.StructField("fp", T.LongType())], start, keep=keep)
+    return map_text(docs, [T.StructField(name, T.LongType())], start, keep=keep)
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -196,14 +196,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD)
 def keep_one(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """The documents without those that a document with a smaller id stands for; all columns are kept.
 
-    Rows that share a doc_id count as one document: one of them stays.  Rows with a null doc_id stay only if
-    nothing else of their component does.
+    Rows that share a doc_id count as one document: one of them stays.  Rows without a doc_id stay if nothing
+    with an id is in their component, one of each fingerprint.
     """
-    found = near_duplicates(docs, width, threshold)
-    ids = stored(found.where("doc_id <=> component_id").groupBy("doc_id").count(), "kept")
-    kept = docs.join(small(ids.select(F.col("doc_id").alias("__kept"))), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = ids.where("count > 1").select(F.col("doc_id").alias("__twice"))
-    if repeated.isEmpty():
+    found = stored(near_duplicates(docs, width, threshold), "found")
+    own = F.max((F.col("doc_id") == F.col("component_id")).cast("int"))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), own.alias("own")).where("own = 1")
+    ids = stored(ids.select(F.col("doc_id").alias("__id"), "n"), "kept")
+    kept = docs.join(small(ids.select("__id")), docs["doc_id"] == F.col("__id"), "left_semi")
+    repeated = ids.where("n > 1").select("__id")
+    if not repeated.isEmpty():
+        twice = kept["doc_id"] == F.col("__id")
+        kept = kept.join(repeated, twice, "left_anti").union(kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id"]))
+    alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__alone")).distinct()
+    if alone.isEmpty():
         return kept
-    twice = kept["doc_id"].eqNullSafe(F.col("__twice"))
-    return kept.join(repeated, twice, "left_anti").union(kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id"]))
+    rest = fingerprints(docs.where("doc_id is null"), width, name="__fp").dropDuplicates(["__fp"])
+    rest = rest.join(alone, F.col("__fp") == F.col("__alone"), "left_semi")
+    return kept.union(rest.select(*map(col, docs.columns)))
