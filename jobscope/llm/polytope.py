@@ -148,8 +148,12 @@ def _links(cosine: float):
                 # Whichever of the two lives here has this key as its home bucket.
                 living = np.where(visit[theirs] == 0, theirs, mine)
                 here = np.where((living == mine) == lower, x[everyone, table[mine], 0], y[everyone, table[mine], 0])
-                here = np.where((visit[mine] == 0) & (visit[theirs] == 0), home, here)
-                counted = (table[mine] == table_met) & (here == home)
+                both = (visit[mine] == 0) & (visit[theirs] == 0)
+                here = np.where(both, home, here)
+                # Two that live in a crowded bucket also visit each other's block: the smaller one's counts.
+                shared = x[everyone, table_met, 0] == y[everyone, table_met, 0]
+                smaller = (living == mine) == lower
+                counted = (table[mine] == table_met) & (here == home) & (both | ~shared | smaller)
                 mine, theirs = mine[counted], theirs[counted]
                 for r, other in ((mine, theirs), (theirs, mine)):
                     nodes, code = np.unique(node[r], return_inverse=True)

@@ -120,8 +120,9 @@ def _search(k: int):
         found = []
         for query_id, vector in zip(queries.column("query_id").to_pylist(), vectors):
             open_, scores = _best(ids, lists, matrix, query_id, np.array(vector, dtype=kind), k)
-            best = sorted(zip((-scores).tolist(), ids[open_].tolist()))[:k]
-            found += [(query_id, i, max(-(2**63), min(2**63 - 1, -s))) for s, i in best]
+            held = [max(-(2**63), min(2**63 - 1, s)) for s in scores.tolist()] if kind is object else scores.tolist()
+            best = sorted(zip(held, ids[open_].tolist()), key=lambda x: (-x[0], x[1]))[:k]
+            found += [(query_id, i, s) for s, i in best]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=_FOUND) if found else _FOUND.empty_table()
 
     return search
@@ -131,7 +132,7 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int = K, query_
     """(query_id, rank, vec_id, score): the ``k`` best rows by inner product for each (query_id, vector).
 
     A query's own id is left out; missing components count as zero; ties go to the smaller id; a query with fewer
-    candidates gets them all.  Blocks of queries meet every shard.
+    candidates gets them all.  Scores beyond the range of long are held at its ends, and then tie.  Blocks of queries meet every shard.
     """
     blocks = max(1, -(-queries.count() // query_rows))
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
