@@ -2,16 +2,17 @@
 
 Suffixes are ordered only as far as the length looked for, most significant digits first, and a suffix whose
 digits so far are unique leaves the sort.  Suffixes that are still equal at full depth are exactly the repeated
-windows.  Three passes:
+windows.  The passes:
 
 1. The first digit of a window is its smallest block (by hash, the first one on ties) and stands for all windows
    that have it as their smallest: they start in one run before the block.  Equal windows have the same smallest
    block at the same place, so a block that occurs once rules out its whole run.
 2. The second digit is all that the run's windows cover.  Where it is repeated, so is every window of the run.
-3. What is left is compared at full depth, window by window, with one run of each second digit of the block.
+3. Runs that are left are cut into shorter ones at fixed distances from the block, down to single windows, and
+   sorted the same way: by what all windows of the shorter run share, then by all that they cover.  One run of
+   each kind stays to be compared with.
 
-Digits travel as hashes: 64 bits in pass 1, where equality only keeps a window in the sort, 128 bits in total
-where equality decides.
+Digits travel as hashes: the first keeps windows in the sort, and both together, 128 bits, decide equality.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobscope.llm.common import map_text, small, stored
+from jobscope.llm.common import discard, map_text, small, stored
 
 WINDOW = 400
 #: Bytes hashed at once; longer texts are cut into overlapping pieces. Places must fit in 20 bits.
 CHUNK = 1 << 18
+#: Lengths of runs in the passes after the first.
+RUN_LENGTHS = (25, 5, 1)
 _PLACE = np.uint64((1 << 20) - 1)
 _STEP = 0x9E3779B97F4A7C15
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 9) for b in range(256)], dtype=np.uint64)
@@ -86,7 +89,7 @@ def _pieces(texts: list[bytes | None], window: int):
 
 
 def runs(texts: list[bytes | None], window: int = WINDOW):
-    """Arrays (text, block hash, run hash, first start, last start): the runs of windows with one smallest block."""
+    """Arrays (text, block hash, run hash, place of the block, first and last start): windows with one smallest block."""
     width = window // 2
     found = []
     for held in _pieces(texts, window):
@@ -106,9 +109,9 @@ def runs(texts: list[bytes | None], window: int = WINDOW):
         whole = np.array([digest(buffer[a:b]) for a, b in zip(low.tolist(), (high + window).tolist())], dtype=np.uint64)
         text = np.array([i for i, _, _ in held])[piece[first]]
         shift = np.array([at for _, at, _ in held])[piece[first]] - begin[piece[first]]
-        found.append((text, hashes[chosen[first]].view(np.int64), whole.view(np.int64), low + shift, high + shift))
+        found.append((text, hashes[chosen[first]].view(np.int64), whole.view(np.int64), chosen[first] + shift, low + shift, high + shift))
     if not found:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -118,45 +121,75 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.crc32(body).alias("crc"), body.alias("body"))
 
 
+_ROW = "doc long, crc long, block long, whole long, place long, low long, high long"
+_NAMES = ["doc", "crc", "block", "whole", "place", "low", "high"]
+
+
 def _run_rows(window: int):
     def rows(batches):
         for batch in batches:
-            text, block, whole, low, high = runs(batch.column(2).to_pylist(), window)
-            if not len(text):
-                continue
-            doc, crc = (batch.column(i).to_numpy()[text] for i in (0, 1))
-            arrays = [doc, crc, block, whole, low, high]
-            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays], names=["doc", "crc", "block", "whole", "low", "high"])
+            text, *digits = runs(batch.column(2).to_pylist(), window)
+            if len(text):
+                arrays = [batch.column(i).to_numpy()[text] for i in (0, 1)] + digits
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays], names=_NAMES)
 
     return rows
 
 
-def _window_rows(window: int):
+def _shorter_rows(window: int, length: int):
+    """The runs asked for, cut into runs of ``length`` at fixed distances from their block."""
+
     def rows(batches):
-        """Windows of the runs asked for, by digest."""
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            digests, doc, crc, start, alone = [], [], [], [], []
-            for d, c, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            out = []
+            for doc, crc, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 for run in wanted:
-                    places = range(run["low"], run["high"] + 1)
-                    digests += [xxhash.xxh3_128_digest(body[s : s + window]) for s in places]
-                    doc += [d] * len(places)
-                    crc += [c] * len(places)
-                    start += places
-                    alone += [run["alone"]] * len(places)
-                if len(digests) > 50000:
-                    yield _window_batch(digests, doc, crc, start, alone)
-                    digests, doc, crc, start, alone = [], [], [], [], []
-            if digests:
-                yield _window_batch(digests, doc, crc, start, alone)
+                    place, low, high, alone = run["place"], run["low"], run["high"], run["alone"]
+                    for cell in range((low - place) // length, (high - place) // length + 1):
+                        first = place + cell * length
+                        last = first + length - 1
+                        a, b = max(first, low), min(last, high)
+                        block = digest(body[last : first + window], cell + (1 << 32))
+                        out.append((doc, crc, block, digest(body[a : b + window], 1), place, a, b, alone))
+                if len(out) > 50000:
+                    yield _row_batch(out)
+                    out = []
+            if out:
+                yield _row_batch(out)
 
     return rows
 
 
-def _window_batch(digests, doc, crc, start, alone):
-    halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-    arrays = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(doc, pa.int64()), pa.array(crc, pa.int64()), pa.array(start, pa.int64()), pa.array(alone, pa.bool_())]
-    return pa.RecordBatch.from_arrays(arrays, names=["d1", "d2", "doc", "crc", "low", "alone"])
+def _row_batch(rows):
+    *numbers, alone = zip(*rows)
+    arrays = [pa.array(np.array(c, dtype=np.uint64).view(np.int64) if i in (2, 3) else np.array(c, dtype=np.int64)) for i, c in enumerate(numbers)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(alone, pa.bool_())], names=_NAMES + ["alone"])
+
+
+def _sort_pass(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of runs that are repeated as a whole, and what must be looked at in shorter runs.
+
+    ``alone`` marks runs not known to be repeated; the others are there to be compared with.
+    """
+    again = rows.groupBy("block").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).where("n > 1 and alone")
+    again = stored(again.select("block"), "blocks")
+    left = stored(rows.join(small(again), "block", "left_semi"), "candidates")
+    discard(rows)
+    one = F.struct("doc", "crc", "place", "low", "high")
+    kinds = left.groupBy("block", "whole").agg(F.count("*").alias("n"), F.max("alone").alias("alone"), F.min(one).alias("one"))
+    kinds = stored(kinds, "kinds")
+    many = kinds.where("n > 1 and alone").select("block", "whole")
+    sure = left.where("alone").join(many, ["block", "whole"], "left_semi")
+    sure = stored(sure.select("doc", "crc", "low", (F.col("high") + window).alias("high")), "sure")
+    single = F.col("alone") & (F.col("n") == 1)
+    mixed = kinds.groupBy("block").agg(F.count("*").alias("kinds"), F.max(single).alias("open")).where("kinds > 1 and open")
+    rest = kinds.join(mixed.select("block"), "block", "left_semi").select("one.*", single.alias("alone"))
+    rest = rest.groupBy("doc", "crc").agg(F.collect_list(F.struct("place", "low", "high", "alone")).alias("wanted"))
+    rest = stored(rest, "wanted")
+    for table in (again, left, kinds):
+        discard(table)
+    return sure, rest
 
 
 def _merge(batches):
@@ -195,26 +228,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     keyed = _keyed(docs)
     long = keyed.where(F.octet_length("body") >= window)
-    fields = "doc long, crc long, block long, whole long, low long, high long"
-    found = stored(long.mapInArrow(_run_rows(window), fields), "runs")
-    again = stored(found.groupBy("block").count().where("count > 1").select("block"), "blocks")
-    left = stored(found.join(small(again), "block", "left_semi"), "candidates")
-
-    one = F.struct("doc", "crc", "low", "high")
-    kinds = stored(left.groupBy("block", "whole").agg(F.count("*").alias("n"), F.min(one).alias("one")), "kinds")
-    many = kinds.where("n > 1").select("block", "whole")
-    sure = left.join(small(many), ["block", "whole"], "left_semi").select("doc", "crc", "low", (F.col("high") + window).alias("high"))
-
-    mixed = kinds.groupBy("block").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-    open_ = kinds.join(stored(mixed.select("block"), "mixed").transform(small), "block", "left_semi")
-    open_ = open_.select("one.*", (F.col("n") == 1).alias("alone"))
-    wanted = stored(open_.groupBy("doc", "crc").agg(F.collect_list(F.struct("low", "high", "alone")).alias("wanted")), "wanted")
-    asked = long.join(small(wanted), ["doc", "crc"]).select("doc", "crc", "body", "wanted")
-    fields = "d1 long, d2 long, doc long, crc long, low long, alone boolean"
-    windows = stored(asked.mapInArrow(_window_rows(window), fields), "windows")
-    equal = stored(windows.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).where("n > 1 and alone"), "equal")
-    more = windows.where("alone").join(small(equal.select("d1", "d2")), ["d1", "d2"], "left_semi")
-    spans = sure.union(more.select("doc", "crc", "low", (F.col("low") + window).alias("high")))
+    rows = stored(long.mapInArrow(_run_rows(window), _ROW).withColumn("alone", F.lit(True)), "runs")
+    spans, wanted = _sort_pass(rows, window)
+    for length in RUN_LENGTHS:
+        asked = long.join(small(wanted), ["doc", "crc"]).select("doc", "crc", "body", "wanted")
+        rows = stored(asked.mapInArrow(_shorter_rows(window, length), _ROW + ", alone boolean"), "runs")
+        discard(wanted)
+        more, wanted = _sort_pass(rows, window)
+        spans = spans.union(more)
     spans = spans.repartition("doc", "crc").sortWithinPartitions("doc", "crc", "low")
     return spans.mapInArrow(_merge, "doc long, crc long, spans array<long>")
 
