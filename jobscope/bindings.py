@@ -66,6 +66,17 @@ SELECT p_brand AS service, CASE WHEN p_partkey % 2 = 0 THEN 'producer' ELSE 'con
   CASE p_size % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'int' ELSE 'float' END AS arg_type,
   p_partkey % 3 <> 0 AS required, p_partkey AS ord
 FROM part""",
+    # Some contracts declare no arguments: one row with a null name.
+    "all_contracts": """
+SELECT p_brand AS service, CASE WHEN p_partkey % 2 = 0 THEN 'producer' ELSE 'consumer' END AS role, p_type AS job_type,
+  concat('arg', CAST(p_size % 5 AS STRING)) AS arg_name,
+  CASE p_size % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'int' ELSE 'float' END AS arg_type,
+  p_partkey % 3 <> 0 AS required, p_partkey AS ord
+FROM part
+UNION ALL
+SELECT concat(p_brand, '-bare') AS service, CASE WHEN p_partkey % 2 = 0 THEN 'producer' ELSE 'consumer' END AS role, p_type AS job_type,
+  CAST(NULL AS STRING) AS arg_name, CAST(NULL AS STRING) AS arg_type, CAST(NULL AS BOOLEAN) AS required, p_partkey AS ord
+FROM part WHERE p_partkey % 5 = 0""",
     "raw_sidekiq": """
 SELECT o_orderkey AS seq, concat('queue:q', CAST(o_custkey % 4 AS STRING)) AS redis_key,
   CASE WHEN o_orderkey % 17 = 0 THEN '{bad' ELSE
@@ -131,7 +142,8 @@ SELECT DISTINCT {_QUEUE.format('user_id')} AS key, CAST(1000 * (user_id % 4 + 1)
 FROM events""",
     "control_log": """
 SELECT event_id AS seq, ts, CASE WHEN user_id % 2 = 0 THEN 'queue' ELSE 'worker' END AS entity_kind, concat('e', CAST(user_id AS STRING)) AS entity,
-  CASE event_type WHEN 'click' THEN 'pause' WHEN 'view' THEN 'resume' WHEN 'signup' THEN 'override' WHEN 'error' THEN 'clear' ELSE 'config' END AS action,
+  CASE event_type WHEN 'click' THEN CASE WHEN user_id % 2 = 0 THEN 'pause' ELSE 'quiet' END WHEN 'view' THEN 'resume' WHEN 'signup' THEN 'override' WHEN 'error' THEN 'clear'
+    ELSE CASE user_id % 6 WHEN 0 THEN 'concurrency' WHEN 2 THEN 'max_size' WHEN 4 THEN 'retention' WHEN 3 THEN 'reboot' ELSE 'config' END END AS action,
   CAST(floor(value) AS INT) AS amount
 FROM events""",
     "audit_checks": """

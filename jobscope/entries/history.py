@@ -108,8 +108,10 @@ def first_seen(t):
 
 @query(
     "control_state",
-    """WITH f AS (SELECT entity_kind, entity, CASE action WHEN 'pause' THEN 'paused' WHEN 'resume' THEN 'paused' WHEN 'config' THEN 'config' ELSE 'override' END AS field,
-        CASE action WHEN 'pause' THEN 'true' WHEN 'resume' THEN 'false' WHEN 'clear' THEN NULL ELSE CAST(amount AS VARCHAR) END AS value, ts, seq FROM control_log)
+    """WITH f AS (SELECT entity_kind, entity, CASE WHEN action = 'quiet' OR (action = 'resume' AND entity_kind = 'worker') THEN 'directive' WHEN action IN ('pause', 'resume') THEN 'paused'
+          WHEN action IN ('override', 'clear') THEN 'override' ELSE action END AS field,
+        CASE action WHEN 'pause' THEN 'true' WHEN 'quiet' THEN 'quiet' WHEN 'resume' THEN CASE WHEN entity_kind = 'worker' THEN 'none' ELSE 'false' END
+          WHEN 'clear' THEN NULL ELSE CAST(amount AS VARCHAR) END AS value, ts, seq FROM control_log WHERE action <> 'reboot')
     SELECT entity_kind, entity, field, value, ts AS changed_at FROM f
     QUALIFY row_number() OVER (PARTITION BY entity_kind, entity, field ORDER BY ts DESC, seq DESC) = 1""",
     "control_log",
@@ -118,6 +120,15 @@ def control_state(t):
     return history.control_state(t.control_log)
 
 
+@query(
+    "control_rejects",
+    "SELECT entity_kind, concat('unknown action: ', action) AS reason, count(*) AS n FROM control_log WHERE action = 'reboot' GROUP BY ALL",
+    "control_log",
+)
+def control_rejects(t):
+    return history.control_rejects(t.control_log).groupBy("entity_kind", "reason").agg(F.count("*").alias("n"))
+
+
 @query(
     "start_to_finish",
     """WITH e AS (SELECT job_id, event_id, ts, type, last_value(CASE WHEN type = 'job.started' THEN ts END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY ts, event_id

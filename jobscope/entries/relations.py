@@ -8,8 +8,8 @@ from jobscope.plans.validate import with_job_errors
 
 # Service by service on purpose: the check does not use argument lists.
 _PAIRS = """args AS (SELECT service, role, job_type, arg_name, arg_max(arg_type, ord) AS arg_type, arg_max(required, ord) AS required
-    FROM contract_args GROUP BY ALL),
-  con AS (SELECT DISTINCT service, role, job_type FROM contract_args),
+    FROM all_contracts WHERE arg_name IS NOT NULL GROUP BY ALL),
+  con AS (SELECT DISTINCT service, role, job_type FROM all_contracts),
   pairs AS (SELECT p.service AS ps, c.service AS cs, p.job_type FROM con p JOIN con c ON p.job_type = c.job_type AND p.role = 'producer' AND c.role = 'consumer'),
   errs AS (SELECT x.ps, x.cs, x.job_type, ca.arg_name, CASE WHEN pa.arg_name IS NULL THEN 'missing' ELSE 'type' END AS problem, pa.arg_type AS producer_type, ca.arg_type AS consumer_type
     FROM pairs x JOIN args ca ON ca.role = 'consumer' AND ca.service = x.cs AND ca.job_type = x.job_type
@@ -22,42 +22,42 @@ _PAIRS = """args AS (SELECT service, role, job_type, arg_name, arg_max(arg_type,
 @query(
     "contract_cross",
     f"WITH {_PAIRS} SELECT job_type, cs AS consumer, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed FROM verdict GROUP BY job_type, cs",
-    "contract_args",
+    "all_contracts",
 )
 def contract_cross(t):
-    return contracts.consumer_verdicts(t.contract_args)
+    return contracts.consumer_verdicts(t.all_contracts)
 
 
 @query(
     "contract_arg_errors",
     f"WITH {_PAIRS} SELECT job_type, arg_name, problem, producer_type, consumer_type, count(*) AS pairs FROM errs GROUP BY ALL",
-    "contract_args",
+    "all_contracts",
 )
 def contract_arg_errors(t):
-    return contracts.argument_errors(t.contract_args)
+    return contracts.argument_errors(t.all_contracts)
 
 
 def _with_orphans(t):
     """Contracts with some job types that only one side declares."""
     own = F.when(F.col("ord") % 7 == 0, F.concat("job_type", F.lit("."), "role")).otherwise(F.col("job_type"))
-    return t.contract_args.withColumn("job_type", own)
+    return t.all_contracts.withColumn("job_type", own)
 
 
-_ORPHANED = """contract_args2 AS (SELECT * REPLACE (CASE WHEN ord % 7 = 0 THEN concat(job_type, '.', role) ELSE job_type END AS job_type) FROM contract_args)"""
+_ORPHANED = """contract_args2 AS (SELECT * REPLACE (CASE WHEN ord % 7 = 0 THEN concat(job_type, '.', role) ELSE job_type END AS job_type) FROM all_contracts)"""
 _ORPHANS = """orphans AS (SELECT DISTINCT a.service, a.role, a.job_type, true AS passed, concat('no ', CASE a.role WHEN 'producer' THEN 'consumer' ELSE 'producer' END, ' contract found for this job type') AS warning
     FROM contract_args2 a WHERE NOT EXISTS (SELECT 1 FROM contract_args2 b WHERE b.job_type = a.job_type AND b.role <> a.role))"""
 
 
-@query("contract_orphans", f"WITH {_ORPHANED}, {_ORPHANS} SELECT * FROM orphans", "contract_args")
+@query("contract_orphans", f"WITH {_ORPHANED}, {_ORPHANS} SELECT * FROM orphans", "all_contracts")
 def contract_orphans(t):
     return contracts.orphans(_with_orphans(t))
 
 
 @query(
     "contract_summary",
-    f"""WITH {_ORPHANED}, {_ORPHANS}, {_PAIRS.replace('FROM contract_args', 'FROM contract_args2')}
+    f"""WITH {_ORPHANED}, {_ORPHANS}, {_PAIRS.replace('FROM all_contracts', 'FROM contract_args2')}
     SELECT (SELECT count(*) FROM verdict WHERE passed) + (SELECT count(*) FROM orphans) AS passed, (SELECT count(*) FROM verdict WHERE NOT passed) AS failed""",
-    "contract_args",
+    "all_contracts",
 )
 def contract_summary(t):
     return contracts.suite_summary(_with_orphans(t))

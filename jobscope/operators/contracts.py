@@ -29,12 +29,15 @@ def resolve_args(contract_args: DataFrame) -> DataFrame:
 def argument_lists(contract_args: DataFrame) -> DataFrame:
     """One row per contract with its arguments sorted by name and a digest of the list.
 
+    A row with a null argument name says that a contract exists; a contract with no other row has an empty list.
+
     Duplicate declarations are folded before the list is built, so it is as long as the contract has names.
     A consumer's list includes the required flags; for a producer only names and types matter.
     """
     required = F.when(F.col("role") == "consumer", F.col("required"))
     item = F.struct("arg_name", "arg_type", required.alias("required"))
-    lists = resolve_args(contract_args).groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("args"))
+    named = F.when(F.col("arg_name").isNotNull(), item)
+    lists = resolve_args(contract_args).groupBy(*KEY).agg(F.array_sort(F.collect_list(named)).alias("args"))
     return lists.withColumn("signature", F.md5(F.to_json("args")))
 
 
@@ -143,8 +146,10 @@ def orphans(contract_args: DataFrame) -> DataFrame:
 
 def suite_summary(contract_args: DataFrame) -> DataFrame:
     """Passed and failed results of the whole suite: service pairs plus orphans."""
-    checked = cross_validate(contract_args).select("passed", F.col("pairs").alias("n"))
-    alone = orphans(contract_args).select("passed", F.lit(1).cast("bigint").alias("n"))
+    lists = argument_lists(contract_args)
+    checked = cross_validate(contract_args, lists).select("passed", F.col("pairs").alias("n"))
+    sides = lists.groupBy("job_type").agg(F.count_if(F.col("role") == "producer").alias("p"), F.count_if(F.col("role") == "consumer").alias("c"))
+    alone = sides.where("p = 0 or c = 0").select(F.lit(True).alias("passed"), (F.col("p") + F.col("c")).alias("n"))
     zero = F.lit(0).cast("bigint")
     return checked.unionByName(alone).agg(
         F.coalesce(F.sum(F.when(F.col("passed"), F.col("n"))), zero).alias("passed"),

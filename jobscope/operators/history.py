@@ -104,21 +104,33 @@ def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(first.alias("_first")).select(*key, *[F.col("_first")[c].alias(c) for c in others])
 
 
-# The setting each control action writes, and the value it writes (None: taken from the entry).
+# The setting each control action writes, and the value it writes (None: taken from the entry);
+# a worker resumes from being quiet, a queue from being paused.
 CONTROL_ACTIONS = {
     "pause": ("paused", "true"),
     "resume": ("paused", "false"),
     "override": ("override", None),
     "clear": ("override", ""),
     "config": ("config", None),
+    "quiet": ("directive", "quiet"),
+    "concurrency": ("concurrency", None),
+    "max_size": ("max_size", None),
+    "retention": ("retention", None),
 }
+WORKER_RESUME = ("directive", "none")
 
 
 def control_state(log: DataFrame) -> DataFrame:
-    """Current settings per entity and field; the latest entry of a field wins, a cleared field is null."""
+    """Current settings per entity and field; the latest entry of a field wins, a cleared field is null.
+
+    Entries with an unknown action are left out; :func:`control_rejects` has them.
+    """
     table = F.create_map(*[F.lit(x) for a, (field, _) in CONTROL_ACTIONS.items() for x in (a, field)])
     fixed = F.create_map(*[x for a, (_, v) in CONTROL_ACTIONS.items() for x in (F.lit(a), F.lit(v).cast("string"))])
-    entries = log.withColumns({"field": table[F.col("action")], "set_to": F.coalesce(fixed[F.col("action")], F.col("amount").cast("string"))})
+    resumed = (F.col("action") == "resume") & (F.col("entity_kind") == "worker")
+    field = F.when(resumed, WORKER_RESUME[0]).otherwise(table[F.col("action")])
+    set_to = F.when(resumed, WORKER_RESUME[1]).otherwise(F.coalesce(fixed[F.col("action")], F.col("amount").cast("string")))
+    entries = log.withColumns({"field": field, "set_to": set_to})
     latest = F.max_by(F.struct("set_to", "ts"), F.struct("ts", "seq"))
     return (
         entries.filter(F.col("field").isNotNull())
@@ -128,6 +140,12 @@ def control_state(log: DataFrame) -> DataFrame:
     )
 
 
+def control_rejects(log: DataFrame) -> DataFrame:
+    """Control entries whose action is missing or unknown, with the reason."""
+    unknown = ~F.coalesce(F.col("action").isin(list(CONTROL_ACTIONS)), F.lit(False))
+    return log.where(unknown).withColumn("reason", F.concat(F.lit("unknown action: "), F.coalesce("action", F.lit(""))))
+
+
 def paused_queues(queues: DataFrame, control: DataFrame) -> DataFrame:
     """(queue, paused) from the queue list and the folded control log."""
     flags = control.filter((F.col("entity_kind") == "queue") & (F.col("field") == "paused")).select(
