@@ -175,13 +175,19 @@ SELECT concat('cfg/', CAST(p_partkey AS STRING), '.json') AS path,
     '"},"app.base":{"queue":"low"}},"task_annotations":{"app.t', CAST(p_size AS STRING), '":{"max_retries":', CAST(p_size % 4 AS STRING),
     CASE WHEN p_partkey % 5 = 0 THEN ',"rate_limit":"10/m"' ELSE '' END, '}},"beat_schedule":{"nightly":{"task":"app.t', CAST(p_size % 25 AS STRING),
     '","schedule":{"crontab":"', CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '0 2 * * *' END, '"}}}}') AS content
-FROM part""",
+FROM part
+UNION ALL SELECT concat('cfg/bad', CAST(p_partkey AS STRING), '.json'),
+  CASE p_partkey % 3 WHEN 0 THEN '{bad' WHEN 1 THEN '{"task_routes":[]}' ELSE '{"task_routes":{"a":{}},"task_annotations":{"a":{"max_retries":"x"}}}' END
+FROM part WHERE p_partkey % 10 = 0""",
     "bullmq_configs": """
 SELECT concat('cfg/', CAST(p_partkey AS STRING), '.json') AS path,
   concat('{"queues":[{"name":"q', CAST(p_size AS STRING), '","jobs":[{"name":"job.', CAST(p_partkey AS STRING), '","opts":{"attempts":', CAST(p_size % 4 AS STRING),
     CASE p_partkey % 4 WHEN 0 THEN ',"backoff":{"type":"fixed","delay":30000}' WHEN 1 THEN ',"backoff":{"type":"exponential","delay":1000}' WHEN 2 THEN ',"backoff":{"type":"jitter","delay":5}' ELSE '' END,
     CASE WHEN p_partkey % 5 = 0 THEN ',"delay":5000' ELSE '' END, '}},{"name":"plain","opts":{}}]},{"name":"empty","jobs":[]}]}') AS content
-FROM part""",
+FROM part
+UNION ALL SELECT concat('cfg/bad', CAST(p_partkey AS STRING), '.json'),
+  CASE p_partkey % 3 WHEN 0 THEN '{bad' WHEN 1 THEN '[]' ELSE '{"queues":[{"name":"q","jobs":[{"name":"a","opts":{"attempts":"3"}}]}]}' END
+FROM part WHERE p_partkey % 10 = 0""",
     "sidekiq_configs": """
 SELECT concat('cfg/', CAST(p_partkey AS STRING), '.yml') AS path,
   concat('---', chr(10), ':concurrency: 10', chr(10), ':queues:', chr(10), '  - default', chr(10), 'workers:', chr(10),
@@ -189,7 +195,10 @@ SELECT concat('cfg/', CAST(p_partkey AS STRING), '.yml') AS path,
     CASE p_partkey % 4 WHEN 0 THEN concat('    retry: ', CAST(p_size AS STRING), chr(10)) WHEN 1 THEN concat('    retry: true', chr(10)) WHEN 2 THEN concat('    retry: false', chr(10)) ELSE '' END,
     CASE WHEN p_partkey % 5 = 0 THEN concat('    cron: "0 */2 * * *"', chr(10)) ELSE '' END,
     '  - class: HardWorker', chr(10), '    queue: low', chr(10)) AS content
-FROM part""",
+FROM part
+UNION ALL SELECT concat('cfg/bad', CAST(p_partkey AS STRING), '.yml'),
+  CASE p_partkey % 3 WHEN 0 THEN concat('- a', chr(10), '- b') WHEN 1 THEN concat('workers:', chr(10), '  - plain', chr(10)) ELSE 'x: [' END
+FROM part WHERE p_partkey % 10 = 0""",
     "converted_configs": """
 SELECT concat('cfg/', CAST(p_partkey AS STRING), '.json') AS path,
   concat('{"source":"bullmq","jobs":[{"type":"', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'a.b' END, '","queue":"q1","options":{"queue":"q1","retry":{"max_attempts":',

@@ -29,6 +29,23 @@ def cfg_sidekiq_warn(t):
     return configs.convert_sidekiq_configs(t.sidekiq_configs).warnings
 
 
+@query(
+    "cfg_rejects",
+    """SELECT 'sidekiq' AS framework, concat('cfg/bad', CAST(p_partkey AS VARCHAR), '.yml') AS path,
+      CASE p_partkey % 3 WHEN 0 THEN 'top level is not a mapping' WHEN 1 THEN 'a worker is not a mapping' ELSE 'invalid YAML' END AS reason FROM part WHERE p_partkey % 10 = 0
+    UNION ALL SELECT 'bullmq', concat('cfg/bad', CAST(p_partkey AS VARCHAR), '.json'),
+      CASE p_partkey % 3 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'not an object' ELSE 'bad type: attempts' END FROM part WHERE p_partkey % 10 = 0
+    UNION ALL SELECT 'celery', concat('cfg/bad', CAST(p_partkey AS VARCHAR), '.json'),
+      CASE p_partkey % 3 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'bad type: task_routes' ELSE 'bad type: max_retries' END FROM part WHERE p_partkey % 10 = 0""",
+)
+def cfg_rejects(t):
+    found = [
+        configs.config_rejects(files, name).select(F.lit(name).alias("framework"), "path", "reason")
+        for name, files in (("sidekiq", t.sidekiq_configs), ("bullmq", t.bullmq_configs), ("celery", t.celery_configs))
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(
     "cfg_bullmq",
     f"""SELECT {_PART}, concat('job.', CAST(p_partkey AS VARCHAR)) AS type, concat('q', CAST(p_size AS VARCHAR)) AS queue, nullif(p_size % 4, 0) AS max_attempts,

@@ -1,19 +1,20 @@
 """Configuration files of three frameworks to job definitions and warnings.
 
 Input rows are (path, content), one file per row.  Each converter returns (jobs, warnings): jobs have
-path, type, queue, max_attempts, backoff, delay_ms, cron; warnings have path and message.
+path, type, queue, max_attempts, backoff, delay_ms, cron; warnings have path and message.  Files that cannot be
+read give neither; :func:`config_rejects` lists them with the reason.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.functions import class_to_type
+from jobscope.functions import class_to_type, json_kind, member
+from jobscope.functions.jsons import kind_differs
 from jobscope.operators.shape import once, spread
 from jobscope.schemas import BULLMQ_CONFIG, CELERY_CONFIG, SIDEKIQ_WORKERS
 
@@ -31,43 +32,97 @@ def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
-def _text(value) -> str | None:
-    return None if value is None else str(value)
+def _yaml_value(item: Column, key: str) -> tuple[Column, Column]:
+    """(value, plain value) of a key of a block mapping: the text without quotes, and only if it has none."""
+    pattern = rf"""(?m)^(?:[ \t]*-)?[ \t]+{key}:[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([^#\n]*?))[ \t]*(?:#[^\n]*)?$"""
+    quoted = F.concat(F.regexp_extract(item, pattern, 1), F.regexp_extract(item, pattern, 2))
+    plain = F.regexp_extract(item, pattern, 3)
+    return F.nullif(F.concat(quoted, plain), F.lit("")), F.lower(plain)
 
 
 def parse_worker_yaml(configs: DataFrame) -> DataFrame:
-    """(path, workers) from YAML files; a file that is not YAML has null workers.
+    """(path, workers, reason) from worker files in block style; ``reason`` says why a file has no workers.
 
-    ``retry`` may be a number or a boolean; it becomes text, ``true``, ``false`` or digits.
+    Read are the list under ``workers`` and the keys class, queue, retry and cron of its items.  ``retry`` may be a
+    whole number or a boolean; it becomes text, ``true``, ``false`` or digits.
     """
+    files = spread(configs.select("path", "content"))
+    text = F.concat(F.lit("\n"), F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n?", "\n"), F.lit("\n"))
+    doc = once(files.select("path", text.alias("text")), block=F.regexp_extract("text", r"(?s)\n:?workers:[ \t]*(?:#[^\n]*)?\n(.*?)(?=\n[^\s#-]|\z)", 1))
+    # Items start at the dash column of the first one; deeper dashes belong to an item.
+    dash = F.concat(F.lit("^"), F.regexp_extract("block", r"(?m)^([ \t]*)-[ \t]", 1), F.lit(r"-[ \t]+"))
+    pattern = F.concat(F.lit("(?m)"), dash, F.lit(r"(?s:.*?)(?="), dash, F.lit(r"|\z)"))
+    doc = once(doc, items=F.regexp_extract_all("block", pattern, F.lit(0)))
+
+    def worker(item: Column) -> Column:
+        plain = _yaml_value(item, "retry")[1]
+        retry = F.when(plain.isin("true", "yes", "on"), "true").when(plain.isin("false", "no", "off"), "false")
+        retry = F.coalesce(retry, F.when(plain.rlike(r"^[-+]?[0-9]+$"), F.ltrim(plain, F.lit("+"))))
+        values = {key: _yaml_value(item, key)[0] for key in ("class", "queue", "cron")}
+        return F.struct(values["class"].alias("class"), values["queue"].alias("queue"), retry.alias("retry"), values["cron"].alias("cron"))
+
+    def count(sign: str) -> Column:
+        return F.length("text") - F.length(F.replace("text", F.lit(sign)))
+
+    mapping = F.forall("items", lambda i: i.rlike(r"^[ \t]*-[ \t]+\w+:(?:\s|$)"))
+    reason = (
+        F.when(F.col("text").rlike(r"^(?:\s|---|#[^\n]*\n)*-[ \t]"), "top level is not a mapping")
+        .when((count("[") != count("]")) | (count("{") != count("}")), "invalid YAML")
+        .when(F.col("text").rlike(r"\n:?workers:[ \t]*[^\s#\[~]|\n:?workers:[ \t]*\[[ \t]*[^\s\]]"), "workers are not a block list")
+        .when(~mapping, "a worker is not a mapping")
+    )
+    workers = F.transform("items", worker).cast(SIDEKIQ_WORKERS)
+    return once(doc, reason=reason).select("path", F.when(F.col("reason").isNull(), workers).alias("workers"), "reason")
+
+
+def _json_document(configs: DataFrame, schema: str, top: dict[str, str], numbers: Callable[[], Column]) -> DataFrame:
+    """(path, c, reason): the document, null where ``reason`` says why it cannot be used.
+
+    ``top`` names the kind of each top member; ``numbers`` tells whether a member that must be a whole number is not.
+    """
+    doc = once(spread(configs.select("path", "content")), v=F.try_parse_json("content"))
+    reason = F.when(F.col("v").isNull(), "invalid JSON").when(json_kind("v") != "object", "not an object")
+    for name, kind in top.items():
+        reason = F.coalesce(reason, F.when(kind_differs(member("v", f"$.{name}"), (kind, "null")), f"bad type: {name}"))
+    reason = F.coalesce(reason, numbers())
+    doc = once(doc, reason=reason)
+    return once(doc, c=F.when(F.col("reason").isNull(), F.from_json("content", schema))).select("path", "c", "reason")
+
+
+def _not_whole(value: Column, path: str) -> Column:
+    return F.coalesce(kind_differs(F.variant_get(value, path, "variant"), ("int", "null")), F.lit(False))
+
+
+def _option_not_whole(name: str) -> Callable[[Column], Column]:
+    return lambda job: _not_whole(job, f"$.opts.{name}")
+
+
+def _bullmq_document(configs: DataFrame) -> DataFrame:
+    def numbers() -> Column:
+        queues = F.coalesce(F.try_variant_get("v", "$.queues", "array<variant>"), F.array().cast("array<variant>"))
+        jobs = F.flatten(F.array_compact(F.transform(queues, lambda q: F.try_variant_get(q, "$.jobs", "array<variant>"))))
+        found = F.lit(None).cast("string")
+        for name in ("attempts", "delay"):
+            found = F.coalesce(found, F.when(F.exists(jobs, _option_not_whole(name)), f"bad type: {name}"))
+        return found
+
+    return _json_document(configs, BULLMQ_CONFIG, {"queues": "array"}, numbers)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            import yaml
-        except ImportError as error:
-            raise RuntimeError("reading worker YAML needs PyYAML on the executors") from error
 
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+def _celery_document(configs: DataFrame) -> DataFrame:
+    def numbers() -> Column:
+        notes = F.map_values(F.try_variant_get("v", "$.task_annotations", "map<string,variant>"))
+        return F.when(F.exists(notes, lambda n: _not_whole(n, "$.max_retries")), "bad type: max_retries")
 
-        def workers(content: str):
-            try:
-                document = yaml.load(content, Loader=loader) or {}
-            except yaml.YAMLError:
-                return None
-            found = []
-            for w in document.get("workers") or []:
-                retry = w.get("retry")
-                if isinstance(retry, bool):
-                    retry = str(retry).lower()
-                elif not isinstance(retry, int):
-                    retry = None
-                found.append({"class": _text(w.get("class")), "queue": _text(w.get("queue")), "retry": _text(retry), "cron": _text(w.get("cron"))})
-            return found
+    return _json_document(configs, CELERY_CONFIG, {"task_routes": "object", "task_annotations": "object", "beat_schedule": "object"}, numbers)
 
-        for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "workers": batch["content"].map(workers)})
 
-    return spread(configs.select("path", "content")).mapInPandas(parse, f"path string, workers {SIDEKIQ_WORKERS}")
+def config_rejects(configs: DataFrame, framework: str) -> DataFrame:
+    """(path, reason) of configuration files that cannot be read."""
+    readers = {"sidekiq": parse_worker_yaml, "bullmq": _bullmq_document, "celery": _celery_document}
+    if framework not in readers:
+        raise ValueError(f"unsupported framework: {framework}")
+    return readers[framework](configs).where("reason is not null").select("path", "reason")
 
 
 def convert_sidekiq_configs(configs: DataFrame) -> Converted:
@@ -90,7 +145,7 @@ def convert_sidekiq_configs(configs: DataFrame) -> Converted:
 
 def convert_bullmq_configs(configs: DataFrame) -> Converted:
     """Queues and their jobs; positive attempts give a retry policy, unknown backoff names a warning."""
-    doc = once(spread(configs.select("path", "content")), c=F.from_json("content", BULLMQ_CONFIG))
+    doc = _bullmq_document(configs)
     rows = doc.select("path", F.explode("c.queues").alias("q")).select("path", F.col("q.name").alias("queue"), F.explode("q.jobs").alias("j"))
     attempts = F.when(F.col("j.opts.attempts") > 0, F.col("j.opts.attempts"))
     kind = F.col("j.opts.backoff.type")
@@ -125,7 +180,7 @@ def convert_celery_configs(configs: DataFrame) -> Converted:
 
     The three maps of a file sit in one row, so they are matched by map lookups without any shuffle.
     """
-    doc = once(spread(configs.select("path", "content")), c=F.from_json("content", CELERY_CONFIG))
+    doc = _celery_document(configs)
     routes = doc.select(
         "path",
         F.col("c.task_annotations").alias("annotations"),

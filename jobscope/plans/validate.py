@@ -87,7 +87,8 @@ def validate_config(configs: DataFrame, content: str = "content") -> DataFrame:
         F.when(_blank(F.col("j.queue")), "missing queue"),
         F.when(F.col("j.options.retry.max_attempts") < 0, "invalid max_attempts"),
     )
-    return jobs.select("path", "job", F.explode(errors).alias("message"))
+    broken = configs.where(F.try_parse_json(content).isNull()).select("path", F.lit(None).cast("int").alias("job"), F.lit("invalid JSON").alias("message"))
+    return jobs.select("path", "job", F.explode(errors).alias("message")).unionByName(broken)
 
 
 def parse_manifests(manifests: DataFrame, content: str = "content") -> DataFrame:
@@ -109,7 +110,10 @@ def validate_manifest(manifests: DataFrame, content: str = "content") -> DataFra
     none = F.lit(None).cast("int")
     doc = once(spread(manifests.select("path", content)), m=F.from_json(content, MANIFEST))
     empty = doc.filter(F.coalesce(F.size("m.job_types"), F.lit(0)) < 1).select(
-        "path", none.alias("job_type"), none.alias("arg"), F.lit("manifest contains no job types").alias("message")
+        "path",
+        none.alias("job_type"),
+        none.alias("arg"),
+        F.when(F.try_parse_json(content).isNull(), "invalid JSON").otherwise("manifest contains no job types").alias("message"),
     )
     types = F.transform("m.job_types", lambda t: t["type"])
     entries = doc.select("path", types.alias("types"), F.posexplode("m.job_types").alias("job_type", "t"))

@@ -145,6 +145,21 @@ def test_worker_yaml(spark, rows):
     assert [r.message.split(":")[0] for r in warnings.collect()] == ["HardWorker"]
 
 
+def test_worker_yaml_rejects(spark, rows):
+    good = "# c\nworkers:\n- class: A::B  # note\n  retry: '5'\n  tags:\n    - x\n- queue: \"q\"\n  class: C\n  retry: 7\nother: {a: [1]}\n"
+    bad = [("list", "- a\n- b"), ("plain", "workers:\n  - plain\n"), ("open", "x: ["), ("flow", "workers: [{class: A}]"), ("none", None), ("empty", "workers: []\n")]
+    files = spark.createDataFrame([("good", good), *bad], "path string, content string")
+    jobs, _ = configs.convert_sidekiq_configs(files)
+    assert rows(jobs.select("path", "type", "queue", "max_attempts")) == [("good", "a.b", "default", None), ("good", "c", "q", 7)]
+    assert "Python" not in jobs._jdf.queryExecution().executedPlan().toString()
+    assert {r.path: r.reason for r in configs.config_rejects(files, "sidekiq").collect()} == {
+        "list": "top level is not a mapping",
+        "plain": "a worker is not a mapping",
+        "open": "invalid YAML",
+        "flow": "workers are not a block list",
+    }
+
+
 def test_task_config(spark, rows):
     doc = {
         "task_routes": {"t.a": {"queue": "email"}, "t.b": {}},
