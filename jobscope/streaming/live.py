@@ -1,8 +1,8 @@
 """Live operators.  Each ``start_*`` returns (query, table): a running query and where its rows go.
 
-Filters, windows, latest states and session timeouts use Spark's own streaming state.  Operators whose
-step for one key depends on the step before (uniqueness, start-to-finish) run their batch form on each
-micro-batch and carry one row per key over, so a heavy key is handled as in batch.  Event time is ``ts``;
+Filters, windows and session timeouts use Spark's own streaming state.  Operators whose step for one key
+depends on the step before (uniqueness, start-to-finish) run their batch form on each micro-batch and carry
+what still matters in one part per batch, so a heavy key is handled as in batch.  Event time is ``ts``;
 rows later than the watermark are dropped by the windowed operators and counted by Spark.
 """
 
@@ -24,6 +24,7 @@ from jobscope.sources.sinks import send_in_batches
 from jobscope.streaming.tables import EpochTable, ddl, start
 
 WATERMARK = "1 hour"
+WATERMARK_DELAY = dt.timedelta(hours=1)
 
 
 def with_event_time(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -58,35 +59,59 @@ def start_history(events: DataFrame, period: str = "1h", path: str | None = None
 
 
 def start_dashboard(events: DataFrame, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
-    """Latest state per job; each batch writes the jobs that changed.  Read it with :func:`dashboard_counts`."""
-    latest = history.latest_state(events)
-    table = _table(latest, "dashboard", path)
-    return start(latest, table.write, "update", **options), table
+    """Latest event per job of each batch; no state is kept.  Read it with :func:`dashboard_counts`."""
+    columns = events.select("job_id", "type", "queue", "ts", "event_id")
+    table = _table(columns, "dashboard", path)
+    newest = F.max_by(F.struct("type", "queue", "ts", "event_id"), F.struct("ts", "event_id"))
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        table.write(batch.groupBy("job_id").agg(newest.alias("e")).select("job_id", "e.*"), epoch)
+
+    return start(columns, step, "append", **options), table
 
 
 def dashboard_counts(table: EpochTable) -> DataFrame:
-    """Jobs per queue and latest event type."""
-    return table.latest(["job_id"]).groupBy("queue", "type").agg(F.count("*").alias("jobs"))
+    """Jobs per queue and latest event type; of a job's rows the one with the latest event counts, whatever its batch."""
+    newest = F.max_by(F.struct("type", "queue"), F.struct("ts", "event_id"))
+    jobs = table.read().groupBy("job_id").agg(newest.alias("e")).select("job_id", "e.*")
+    return jobs.groupBy("queue", "type").agg(F.count("*").alias("jobs"))
+
+
+def _carried(state: EpochTable, epoch: int, new: DataFrame, seconds: int) -> DataFrame:
+    """The state after a batch: rows of the last part and new ones, without those too old to matter.
+
+    A row matters while an event no later than the watermark can be within ``seconds`` of it.
+    """
+    rows = state.last_part(epoch).unionByName(new)
+    newest = rows.agg(F.max("ts")).first()[0]
+    if newest is None:
+        return rows
+    oldest = newest - dt.timedelta(seconds=seconds) - WATERMARK_DELAY
+    return rows.filter(F.col("ts") >= F.lit(oldest).cast(rows.schema["ts"].dataType))
 
 
 def start_unique(events: DataFrame, key: str, within_seconds: int, tie: str = "event_id", path: str | None = None, heavy=None, **options) -> tuple[StreamingQuery, EpochTable]:
     """Events kept when a key may occur once per window.
 
-    The kept rows are also the state: a batch looks up the last kept time of its keys among rows recent
-    enough to matter.  An event before its key's last kept time plus the window is dropped, late or not.
+    State is the last kept time per key, carried from batch to batch in one part and dropped once it is older than
+    the window and the watermark.  An event before its key's last kept time plus the window is dropped, late or not.
     """
     columns = events.select(key, "ts", tie)
-    table = _table(columns, "unique", path)
+    base = path or work_dir(events.sparkSession, "unique")
+    table = _table(columns, "unique", f"{base}/kept")
+    state = _table(columns.select(key, "ts"), "unique", f"{base}/state")
 
     def step(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
-        oldest = batch.agg(F.min("ts").alias("ts")).first()["ts"]
-        if oldest is None:
-            return
-        recent = table.read(before=epoch).filter(F.col("ts") >= F.lit(oldest - dt.timedelta(seconds=within_seconds)).cast(columns.schema["ts"].dataType))
-        last = recent.groupBy(key).agg(F.max("ts").alias("ts"))
-        table.write(unique_within(batch, key, "ts", tie, within_seconds, last_kept=last, heavy=heavy), epoch)
-        batch.unpersist()
+        try:
+            last = state.last_part(epoch)
+            table.write(unique_within(batch, key, "ts", tie, within_seconds, last_kept=last, heavy=heavy), epoch)
+            kept = table.part(epoch).groupBy(key).agg(F.max("ts").alias("ts"))
+            both = _carried(state, epoch, kept, within_seconds).groupBy(key).agg(F.max("ts").alias("ts"))
+            state.write(both, epoch)
+            state.drop_before(epoch - 1)
+        finally:
+            batch.unpersist()
 
     return start(columns, step, "append", **options), table
 
@@ -135,9 +160,10 @@ def start_dual_run(jobs: DataFrame, percent: int | Callable[[], int], path: str
 def start_stale(heartbeats: DataFrame, stale_after: str = "5 minutes", watermark: str = WATERMARK, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
     """Workers that fell silent: one row per gap, written once the watermark has passed it.
 
-    A run of heartbeats is a session that ends ``stale_after`` the last one.  Sessions are merged by
-    partial aggregates, so a chatty worker is not gathered in one place.
+    A run of heartbeats is a session that ends ``stale_after`` the last one.  Sessions are merged in each task
+    before the shuffle (a setting of the session, set here), so a chatty worker is not gathered in one place.
     """
+    heartbeats.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = (
         with_event_time(heartbeats, watermark)
         .groupBy("worker_id", F.session_window("ts", stale_after).alias("s"))
@@ -159,7 +185,11 @@ def late_rows(query: StreamingQuery) -> int:
 
 
 def start_latency(events: DataFrame, within_seconds: int = 3600, path: str | None = None, heavy=None, **options) -> tuple[StreamingQuery, EpochTable]:
-    """Latency of each finish from the job's latest start; starts of earlier batches are carried over."""
+    """Latency of each finish from the job's latest start before it; starts of earlier batches are carried over.
+
+    All starts within the limit are carried, since a finish may arrive after a later start; a part holds them, and
+    those older than the limit and the watermark are dropped.
+    """
     spark = events.sparkSession
     columns = events.select("job_id", "event_id", "ts", "type")
     base = path or work_dir(spark, "latency")
@@ -169,19 +199,12 @@ def start_latency(events: DataFrame, within_seconds: int = 3600, path: str | Non
 
     def step(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
-        oldest = batch.agg(F.min("ts").alias("ts")).first()["ts"]
-        if oldest is None:
-            return
-        since = F.lit(oldest - dt.timedelta(seconds=within_seconds)).cast(columns.schema["ts"].dataType)
-        newest = F.max_by(F.struct("event_id", "ts", "type"), F.struct("ts", "event_id"))
-
-        def last_starts(rows: DataFrame) -> DataFrame:
-            return rows.groupBy("job_id").agg(newest.alias("s")).select("job_id", "s.*").select(columns.columns)
-
-        earlier = last_starts(starts.read(before=epoch).filter(F.col("ts") >= since).drop("epoch"))
-        both = earlier.unionByName(batch)
-        out.write(history.start_to_finish(both, within_seconds, heavy=heavy), epoch)
-        starts.write(last_starts(batch.filter(F.col("type") == "job.started")), epoch)
-        batch.unpersist()
+        try:
+            both = starts.last_part(epoch).unionByName(batch)
+            out.write(history.start_to_finish(both, within_seconds, heavy=heavy), epoch)
+            starts.write(_carried(starts, epoch, batch.filter(F.col("type") == "job.started"), within_seconds), epoch)
+            starts.drop_before(epoch - 1)
+        finally:
+            batch.unpersist()
 
     return start(columns, step, "append", **options), out

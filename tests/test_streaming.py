@@ -65,6 +65,28 @@ def test_latency(spark, events, rows):
     assert rows(table.read().drop("epoch")) == rows(history.start_to_finish(events[1], 3600, heavy=[]))
 
 
+def test_out_of_order_batches(spark, tmp_path, rows):
+    """A finish that arrives after a later start meets the earlier one; old state is dropped."""
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    parts = [
+        [(1, at(10, 0), "a", "job.started"), (2, at(10, 30), "a", "job.started")],
+        [(3, at(10, 20), "a", "job.completed"), (4, at(10, 40), "a", "job.failed")],
+        [(5, at(20, 0), "b", "job.started")],
+        [(6, at(20, 5), "b", "job.completed"), (7, at(20, 6), "a", "job.completed")],
+    ]
+    schema = "event_id bigint, ts timestamp_ntz, job_id string, type string"
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    everything = spark.createDataFrame([r for p in parts for r in p], schema)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query, table = live.start_latency(feed, 3600, path=str(tmp_path / "out"))
+    drain(query)
+    assert rows(table.read().drop("epoch")) == rows(history.start_to_finish(everything, 3600, heavy=[]))
+    left = [p.name for p in (tmp_path / "out" / "starts").iterdir()]
+    assert len(left) == 2
+    assert [r.event_id for r in spark.read.parquet(str(tmp_path / "out" / "starts" / max(left))).collect()] == [5]
+
+
 def test_subscriptions(spark, events, rows, tmp_path):
     subs = spark.createDataFrame([("s1", "u", ["job.failed", "job.failed"], True), ("s2", "u", ["job.enqueued"], False)], "id string, url string, events array<string>, active boolean")
     query, table = live.start_subscription_match(stream(spark, events))
