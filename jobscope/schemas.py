@@ -9,7 +9,6 @@ WAITING_STATES = ["available", "scheduled", "retryable"]
 # Version of the export document, batch sizes, default limits.
 EXPORT_VERSION = "1.0"
 NDJSON_BATCH = 100
-EXPORT_BATCH = 50
 SEARCH_LIMIT = 25
 FAILURE_LIMIT = 20
 BOTTLENECK_LIMIT = 10

@@ -102,15 +102,18 @@ def river_rows(keyspace: DataFrame) -> DataFrame:
 
 
 def discover_queues(keyspace: DataFrame) -> DataFrame:
-    """All queues of a mixed dump as (system, queue)."""
-    river = keyspace.filter(F.col("key").startswith(RIVER_QUEUE)).select(key_suffix("key", RIVER_QUEUE).alias("queue"))
-    found = None
-    for system, queues in (
-        ("sidekiq", sidekiq_queues(keyspace)),
-        ("bullmq", bullmq_queues(keyspace)),
-        ("celery", celery_queues(keyspace)),
-        ("river", river.distinct()),
-    ):
-        part = queues.select(F.lit(system).alias("system"), "queue")
-        found = part if found is None else found.unionByName(part)
-    return found
+    """All queues of a mixed dump as (system, queue); every row of the dump is looked at once."""
+    key = F.col("key")
+    named = {
+        "sidekiq": ((F.col("kind") == "set") & (key == SIDEKIQ_QUEUES), F.col("value")),
+        "bullmq": (key.startswith(BULL) & bull_part("key", 3).isin("id", "wait"), bull_part("key", 2)),
+        "celery": (key.startswith(KOMBU_BINDING) & (key_suffix("key", KOMBU_BINDING) != ""), key_suffix("key", KOMBU_BINDING)),
+        "river": (key.startswith(RIVER_QUEUE), key_suffix("key", RIVER_QUEUE)),
+    }
+    system = queue = F.lit(None).cast("string")
+    for name, (condition, value) in named.items():
+        system = F.when(condition, name).otherwise(system)
+        queue = F.when(condition, value).otherwise(queue)
+    found = keyspace.select(system.alias("system"), queue.alias("queue")).where("system is not null")
+    first = keyspace.sparkSession.range(1).select(F.lit("celery").alias("system"), F.lit(CELERY_DEFAULT).alias("queue"))
+    return found.unionByName(first).distinct()
