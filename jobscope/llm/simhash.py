@@ -6,6 +6,10 @@ one bit in one of the halves.  The anchors of a half are the codewords of the pe
 A fingerprint is copied to its home and to every anchor within radius plus threshold, 1 + 1 = 2 (fifteen more).
 If two halves differ in at most one bit, the second is within 2 of the first one's home, so both meet there, and
 comparing homes with visitors per anchor finds every link.
+
+For near copies by similarity, ``near_copies`` takes fingerprints of twice the length and cuts them into eight blocks
+with the Hamming code of length 15 as anchors: a block has one home and seven further anchors within distance 2.
+Fingerprints that differ in up to 15 bits always meet; beyond that they meet if any block differs in one bit at most.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import types as T
 
 from jobscope.llm.common import col, map_text, small, stored
 from jobscope.llm.components import components, forest
+from jobscope.llm.meeting import Meetings, deal
 
 SEED = 42
 THRESHOLD = 3
@@ -30,54 +35,63 @@ PAIRS_AT_ONCE = 1 << 21
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """The fingerprint of one text: bits set in over half of its shingles' hashes; zero without words."""
+def fingerprint(text: bytes | None, width: int, halves: int = 1) -> tuple[int, ...]:
+    """64 bits (or ``halves`` times as many) of one text: set in over half of its shingles' hashes; zero without words."""
     words = text.translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return (0,) * halves
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     width = min(width, len(words))
     starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    total, step, digest = np.zeros(64, dtype=np.int64), 1 << 16, xxhash.xxh64_intdigest
+    total, step, digest = np.zeros(64 * halves, dtype=np.int64), 1 << 16, xxhash.xxh64_intdigest
     for at in range(0, len(starts), step):
         spans = zip(starts[at : at + step].tolist(), ends[at : at + step].tolist())
         hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(total * 2 > len(starts), bitorder="little").view("<u8")[0])
+        for half in range(halves):
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[64 * half : 64 * half + 64] += bits.sum(axis=0, dtype=np.int32)
+            # The next half looks at the hashes mixed once more.
+            hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            hashes ^= hashes >> np.uint64(29)
+    return tuple(np.packbits(total * 2 > len(starts), bitorder="little").view("<u8").tolist())
 
 
-def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
-    """The columns ``keep`` (all by default) and ``name``: the fingerprint of the text as a signed long.
+def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None, names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """The columns ``keep`` (all by default) and a signed long for each 64 bits of the text's fingerprint.
 
     Words are runs without white space, A-Z lower-cased; null and empty texts have fingerprint zero.
     """
+    number = len(names)
 
     def start():
-        return lambda texts: [np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)]
+        def compute(texts):
+            found = np.array([fingerprint(t, width, number) for t in texts], dtype=np.uint64).reshape(-1, number)
+            return list(found.view(np.int64).T)
+
+        return compute
 
-    return map_text(docs, [T.StructField(name, T.LongType())], start, keep=keep)
+    return map_text(docs, [T.StructField(n, T.LongType()) for n in names], start, keep=keep)
 
 
-def _syndrome(x: np.ndarray) -> np.ndarray:
+def _syndrome(x: np.ndarray, length: int) -> np.ndarray:
     s = np.zeros(x.shape, dtype=np.int64)
-    for j in range(5):
-        mask = sum(1 << i for i in range(31) if (i + 1) >> j & 1)
+    for j in range(length.bit_length()):
+        mask = sum(1 << i for i in range(length) if (i + 1) >> j & 1)
         s |= (np.bitwise_count(x & mask).astype(np.int64) & 1) << j
     return s
 
 
-def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home anchors of 31-bit words, and (row, anchor) of the other anchors within distance 2."""
-    flip = np.concatenate([[0], 1 << np.arange(31, dtype=np.int64)])
-    s = _syndrome(x)
+def anchors(x: np.ndarray, length: int = 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home anchors of words of ``length`` bits (2^r - 1), and (row, anchor) of the others within distance 2."""
+    flip = np.concatenate([[0], 1 << np.arange(length, dtype=np.int64)])
+    s = _syndrome(x, length)
     home = x ^ flip[s]
-    a = np.arange(1, 32)
+    a = np.arange(1, length + 1)
     rows, more = [], []
-    for value in range(1, 32):
+    for value in range(1, length + 1):
         at = np.flatnonzero(s == value)
         pairs = a[a < (a ^ value)]
         pairs = pairs[(pairs ^ value) > 0]
@@ -109,46 +123,23 @@ def _home_keys(batches):
 
 def _linker(threshold: int):
     def link(batches):
-        """Rows sorted by anchor and block, homes first: links between each home and what follows it there."""
-        carried = None
+        """Of the links of a batch, a forest with the same components."""
+        meetings = Meetings(PAIRS_AT_ONCE)
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if carried is not None:
-                columns = [np.concatenate(c) for c in zip(carried, columns)]
-            key, block, visit, fp = columns
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
-            group = np.zeros(len(key), dtype=np.int64)
-            group[first[1:]] = 1
-            group = np.cumsum(group)
-            at = np.arange(len(key))
-            homes = np.add.reduceat((visit == 0).astype(np.int64), first)
-            old = 0 if carried is None else len(carried[0])
-            start = first[group]
-            # Homes already carried have met each other.
-            partners = np.where(at < old, 0, np.minimum(homes[group], at - start))
-            total = np.concatenate([[0], np.cumsum(partners)])
+            columns, pairs = meetings.take(*[batch.column(i).to_numpy() for i in range(4)])
+            fp = columns[3]
             left, right = [], []
-            row = 0
-            while row < len(key):
-                stop = max(row + 1, int(np.searchsorted(total, total[row] + PAIRS_AT_ONCE, side="right")) - 1)
-                n = partners[row:stop]
-                if n.any():
-                    mine = np.repeat(at[row:stop], n)
-                    theirs = start[mine] + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
-                    near = np.bitwise_count((fp[mine] ^ fp[theirs]).view(np.uint64)) <= threshold
-                    a, b = forest(fp[mine[near]], fp[theirs[near]])
-                    left.append(a)
-                    right.append(b)
-                row = stop
+            for mine, theirs in pairs:
+                near = np.bitwise_count((fp[mine] ^ fp[theirs]).view(np.uint64)) <= threshold
+                a, b = forest(fp[mine[near]], fp[theirs[near]])
+                left.append(a)
+                right.append(b)
             if left:
                 a, b = forest(np.concatenate(left), np.concatenate(right))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            last = slice(first[-1], first[-1] + homes[-1])
-            # The key of the last group is carried even without homes: later rows of it find no partner.
-            carried = [c[last] for c in columns]
 
     return link
 
@@ -161,19 +152,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, block: int = HOMES_PER_BLO
     """
     if not 0 <= threshold <= 3:
         raise ValueError("two halves cover at most 3 differing bits")
-    crowded = fps.mapInArrow(_home_keys, "key long").groupBy("key").count().where(F.col("count") > block)
-    crowded = stored(crowded.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "anchors")
-    copies = fps.mapInArrow(_to_anchors, "key long, visit int, fp long")
-    if crowded.isEmpty():
-        dealt = copies.withColumn("block", F.lit(0))
-    else:
-        # A home belongs to one block and visits the others; a visitor comes to every block.
-        dealt = copies.join(small(crowded), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")) == F.col("block")
-        dealt = dealt.withColumn("visit", F.when((F.col("visit") == 0) & own, 0).otherwise(1))
-    dealt = dealt.select("key", "block", "visit", "fp").repartition("key", "block")
-    return dealt.sortWithinPartitions("key", "block", "visit").mapInArrow(_linker(threshold), "a long, b long")
+    dealt = deal(fps.mapInArrow(_to_anchors, "key long, visit int, fp long"), fps.mapInArrow(_home_keys, "key long"), block, "fp")
+    return dealt.mapInArrow(_linker(threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
@@ -193,13 +173,84 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents without those that a document with a smaller id stands for; all columns are kept.
+#: Bits of the 128 in which near copies differ at most: shingle sets with a similarity of 0.8 differ in 19 on average.
+COPY_DISTANCE = 20
+COPY_WIDTH = 5
+
+
+def _blocks(batch):
+    """(block number, its 15 bits looked at) of the fingerprints in a batch's columns lo and hi."""
+    for i in range(8):
+        half = batch.column(batch.schema.get_field_index("lo" if i < 4 else "hi")).to_numpy()
+        yield i, (half >> (16 * (i % 4))) & 0x7FFF
+
+
+def _to_block_anchors(batches):
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("node", "lo", "hi")]
+        for block, x in _blocks(batch):
+            home, rows, more = anchors(x, 15)
+            key = np.concatenate([home, more]) | (block << 15)
+            visit = np.repeat(np.array([0, 1], dtype=np.int32), [len(home), len(more)])
+            copies = [np.concatenate([c, c[rows]]) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, visit, *copies)], names=["key", "visit", "node", "lo", "hi"])
+
+
+def _block_homes(batches):
+    for batch in batches:
+        keys = [anchors(x, 15)[0] | (block << 15) for block, x in _blocks(batch)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
+
+
+def _copy_linker(distance: int):
+    def link(batches):
+        meetings = Meetings(PAIRS_AT_ONCE)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns, pairs = meetings.take(*[batch.column(i).to_numpy() for i in range(6)])
+            node, lo, hi = columns[3], columns[4].view(np.uint64), columns[5].view(np.uint64)
+            left, right = [], []
+            for mine, theirs in pairs:
+                apart = np.bitwise_count(lo[mine] ^ lo[theirs]) + np.bitwise_count(hi[mine] ^ hi[theirs])
+                near = apart <= distance
+                a, b = forest(node[mine[near]], node[theirs[near]])
+                left.append(a)
+                right.append(b)
+            if left:
+                a, b = forest(np.concatenate(left), np.concatenate(right))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return link
+
+
+def near_copies(docs: DataFrame, width: int = COPY_WIDTH, distance: int = COPY_DISTANCE, block: int = HOMES_PER_BLOCK) -> DataFrame:
+    """Like ``near_duplicates``, by the estimated similarity of ``width``-word shingles; ``fp`` is a hash of 128 bits.
+
+    Fingerprints link when they meet and differ in at most ``distance`` of 128 bits.
+    """
+    rows = fingerprints(docs, width, keep=["doc_id"], names=("lo", "hi"))
+    rows = stored(rows.withColumn("fp", F.xxhash64("lo", "hi")), "fingerprints")
+    classes = rows.groupBy("lo", "hi", "fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    classes = stored(classes, "classes")
+    bits = classes.select("node", "lo", "hi")
+    fields = "key long, visit int, node long, lo long, hi long"
+    dealt = deal(bits.mapInArrow(_to_block_anchors, fields), bits.mapInArrow(_block_homes, "key long"), block, "node")
+    roots = components(dealt.mapInArrow(_copy_linker(distance), "a long, b long"), "copies")
+    member = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = member.join(ids, "root").select("lo", "hi", "component_id")
+    return rows.join(named, ["lo", "hi"]).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents without those that a near copy with a smaller id stands for (``near_copies``); all columns stay.
 
     Rows that share a doc_id count as one document: one of them stays.  Rows without a doc_id stay if nothing
     with an id is in their component, one of each fingerprint.
     """
-    found = stored(near_duplicates(docs, width, threshold), "found")
+    found = stored(near_copies(docs), "found")
     own = F.max((F.col("doc_id") == F.col("component_id")).cast("int"))
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), own.alias("own")).where("own = 1")
     ids = stored(ids.select(F.col("doc_id").alias("__id"), "n"), "kept")
@@ -211,6 +262,7 @@ def keep_one(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> Dat
     alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__alone")).distinct()
     if alone.isEmpty():
         return kept
-    rest = fingerprints(docs.where("doc_id is null"), width, name="__fp").dropDuplicates(["__fp"])
+    rest = fingerprints(docs.where("doc_id is null"), COPY_WIDTH, names=("__lo", "__hi"))
+    rest = rest.withColumn("__fp", F.xxhash64("__lo", "__hi")).dropDuplicates(["__fp"])
     rest = rest.join(alone, F.col("__fp") == F.col("__alone"), "left_semi")
     return kept.union(rest.select(*map(col, docs.columns)))

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from test_texts import plain_components, plain_fingerprint, plain_removal
+from test_texts import plain_components, plain_copies, plain_fingerprint, plain_removal
 from test_vectors import plain_links, plain_parts, plain_rule, plain_top
 
 from jobscope.llm import queries
@@ -143,7 +143,7 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in good.collect()} == {i for i, s in scores.items() if s >= 0.3}
     assert sure.count() == good.count()
     rows = sure.collect()
-    roots = plain_components([plain_fingerprint(r.text) for r in rows], lambda a, b: bin(a ^ b).count("1") <= 3)
+    roots = plain_copies([r.text for r in rows])
     least = {root: min(r.doc_id for r, s in zip(rows, roots) if s == root) for root in roots}
     kept = sorted(single.collect(), key=lambda r: r.doc_id)
     assert [r.doc_id for r in kept] == sorted(least.values())

@@ -47,7 +47,7 @@ def plain_components(nodes, linked):
 def test_fingerprints(odd_rows):
     for _, text, _, _ in odd_rows:
         if text is None or len(text) < 10000:
-            assert simhash.fingerprint(text.encode() if text else None, 3) == plain_fingerprint(text)
+            assert simhash.fingerprint(text.encode() if text else None, 3) == (plain_fingerprint(text),)
 
 
 def test_every_link_meets_at_an_anchor():
@@ -91,18 +91,59 @@ def test_links_equal_brute_force(spark, block):
 
 def test_near_duplicates_of_odd_rows(odd_docs, odd_rows, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
-    fps = [plain_fingerprint(t) if t is None or len(t) < 10000 else simhash.fingerprint(t.encode(), 3) for _, t, _, _ in odd_rows]
+    fps = [plain_fingerprint(t) if t is None or len(t) < 10000 else simhash.fingerprint(t.encode(), 3)[0] for _, t, _, _ in odd_rows]
     roots = plain_components(fps, lambda a, b: bin(a ^ b).count("1") <= 3)
     least = {r: min((row[0] for row, s in zip(odd_rows, roots) if s == r and row[0] is not None), default=None) for r in roots}
     want = Counter((row[0], f, least[r]) for row, f, r in zip(odd_rows, fps, roots))
     assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def plain_copies(rows):
+    """Components by all pairs of 128-bit fingerprints: one block's anchor near the other's block, and 20 bits at most."""
+    prints = [sum(h << 64 * i for i, h in enumerate(simhash.fingerprint(t.encode() if t else None, 5, 2))) for t in rows]
+    blocks = np.array([[p >> 16 * i & 0x7FFF for i in range(8)] for p in prints])
+    homes = simhash.anchors(blocks.ravel(), 15)[0].reshape(blocks.shape)
+
+    def linked(i, j):
+        near = np.minimum(np.bitwise_count(homes[i] ^ blocks[j]), np.bitwise_count(homes[j] ^ blocks[i])).min() <= 2
+        return near and bin(prints[i] ^ prints[j]).count("1") <= 20
+
+    return plain_components(range(len(prints)), linked)
+
+
+def test_keep_one(spark, odd_docs, odd_rows, no_docs):
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted({least[r] or 0 for r in roots})
+    roots = plain_copies([t for _, t, _, _ in odd_rows])
+    least = {r: min((row[0] for row, s in zip(odd_rows, roots) if s == r and row[0] is not None), default=0) for r in roots}
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(set(least.values()))
     assert simhash.keep_one(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 2])
+def test_near_copies(spark, block):
+    """Edited copies are found, texts that share a passage are not copies; equal to comparing all pairs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(220)]
+        texts.append(" ".join(base[:160] + passage))
+        for _ in range(3):
+            copy = base[:160] + passage
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, list(enumerate(texts))), block=block).collect()}
+    roots = plain_copies(texts)
+    least = {r: roots.index(r) for r in roots}
+    assert [got[i] for i in range(len(texts))] == [least[r] for r in roots]
+    assert len(set(got.values())) == 25
+
+
+
 # Suffixes
 
 
