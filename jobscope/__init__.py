@@ -10,3 +10,10 @@ Every operator takes and returns DataFrames.  The sub-packages are
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with their tasks, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobscope.operators.search import Page, page
 from jobscope.schemas import SEARCH_LIMIT
-from jobscope.session import cut_lineage, work_dir
+from jobscope.session import cut_lineage, discard, work_dir
 
 
 def steps_with_jobs(steps: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -71,7 +71,9 @@ def dependency_depth(edges: DataFrame) -> DataFrame:
         open_steps = current.filter(F.col("up").isNotNull()).join(above, ["workflow_id", "up"]).select(
             "workflow_id", "step_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_root").alias("root")
         )
+        before = current
         current, _, waiting = _cut_counting_open(current.filter(F.col("up").isNull()).unionByName(open_steps))
+        discard(before)
         rounds += 1
     cyclic = F.col("up").isNotNull()
     return current.select(
@@ -104,7 +106,10 @@ def dependency_levels(edges: DataFrame) -> DataFrame:
         )
         left = waiting.join(met, key, "left").select(*key, (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing"))
         left = cut_lineage(left, "waiting")
+        discard(waiting)
         left.filter(F.col("missing") == 0).select(*key).write.parquet(f"{out}/level={level + 1}")
         waiting = left.filter(F.col("missing") > 0)
+    discard(waiting)
+    discard(links)
     levels = spark.read.schema(f"{steps.schema.simpleString()[7:-1].replace(':', ' ')}, level int").parquet(out)
     return steps.join(levels, key, "left")

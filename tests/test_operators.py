@@ -111,3 +111,17 @@ def test_reconcile_with_repeated_ids(spark, rows):
     b = spark.createDataFrame([("1", "t", "q", "[]"), ("2", "t", "q", "[1]"), ("2", "t", "q", "[]"), ("4", "t", "q", "[]")], schema)
     assert rows(reconcile.reconcile(a, b)) == [("1", "matched"), ("2", "matched"), ("3", "missing"), ("4", "extra")]
     assert rows(reconcile.reconcile(a, b.withColumn("queue", F.lit("z"))))[:2] == [("1", "changed"), ("2", "changed")]
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """What tasks run can be loaded where this package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from jobscope.operators import ordered
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(ordered._keep_chain(5)))
+    code = "import pickle; f = pickle.load(open('f', 'rb')); assert list(f(iter([]))) == []; import importlib.util as u; assert u.find_spec('jobscope') is None"
+    subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, check=True)
