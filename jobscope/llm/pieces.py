@@ -25,7 +25,7 @@ from jobscope.llm.common import map_text
 
 SPACE = "▁"
 #: Words and pairs that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 # Kinds of pieces and of models in the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -105,7 +105,11 @@ class Transducer:
         if model.kind == BPE:
             self.arcs = {p: i for p, i in self.arcs.items() if len(p) == 1 or self._merged(p) == [p]}
         #: Ends of pieces: a lattice position looks back only as far as its text is one.
-        self.tails = {p[i:] for p in self.arcs for i in range(len(p))}
+        self.tails = {p[i:] for p in self.arcs for i in range(len(p))} if model.kind == UNIGRAM else set()
+        #: Length of the longest piece by its first two characters.
+        self.reach: dict[str, int] = {}
+        for p in self.arcs:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
 
     def _merged(self, text: str) -> list[str]:
         """What the merges leave of a short text: the best-scored neighbours join first, the leftmost on ties."""
@@ -128,50 +132,78 @@ class Transducer:
         return (self.unknown,)
 
     def _path(self, text: str) -> tuple[int, ...]:
-        """Ids on the shortest path through the lattice of ``text`` (normalised).
+        """Ids on the shortest path through the lattice of ``text`` (normalised)."""
+        ends = self._merge_arcs(text) if self.model.kind == BPE else self._unigram_arcs(text)
+        out: list[int] = []
+        for start, length, piece in ends:
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += self._fallback(text[start : start + length])
+        return tuple(out)
 
-        ``ends[i]`` is the arc that the best path to position i ends with: its start and piece (-1: fallback).  In a
-        merge model one path alone has finite weight at each position, that of the merges on the text so far, so
-        its last piece is the state there.
-        """
-        merges, get, tails, pairs = self.model.kind == BPE, self.arcs.get, self.tails, self.pairs
-        ends: list[tuple[int, int]] = [(0, -1)]
+    def _unigram_arcs(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, length, piece) of the arcs on the path of least weight; piece -1 is the fallback."""
+        ends: list[tuple[int, int, int]] = []
         weights = [0.0]
         for end in range(1, len(text) + 1):
+            best, least = (end - 1, 1, -1), weights[end - 1] + self.worst
             start = end - 1
-            found = []
-            while start >= 0 and (tail := text[start:end]) in tails:
-                if (piece := get(tail)) is not None:
-                    found.append((start, piece))
+            while start >= 0 and (tail := text[start:end]) in self.tails:
+                if (piece := self.arcs.get(tail)) is not None:
+                    weight = weights[start] + self.weight[piece]
+                    # A character that is a piece has no fallback.
+                    if weight < least or start == end - 1:
+                        best, least = (start, end - start, piece), weight
                 start -= 1
-            best = (end - 1, -1)
-            if merges:
-                for arc in reversed(found):
-                    left = ends[arc[0]][1]
-                    if left < 0:
-                        best = arc
+            ends.append(best)
+            weights.append(least)
+        out, at = [], len(text)
+        while at:
+            out.append(ends[at - 1])
+            at = ends[at - 1][0]
+        return out[::-1]
+
+    def _merge_arcs(self, text: str) -> list[tuple[int, int, int]]:
+        """The arcs of the one path of finite weight in a merge model.
+
+        Long arcs are tried first.  Arcs so far are what the merges give for the text up to here, so a position from
+        which nothing goes on is no boundary of the whole text and is not visited again.
+        """
+        get, reach, pairs, size = self.arcs.get, self.reach.get, self.pairs, len(text)
+        out: list[tuple[int, int, int]] = []
+        dead = bytearray(size + 1)
+        at, last = 0, -1
+        length = min(size, reach(text[:2], 1))
+        while at < size:
+            while length:
+                piece = get(text[at : at + length])
+                if piece is None:
+                    if length > 1:
+                        length -= 1
+                        continue
+                    piece = -1
+                if not dead[at + length]:
+                    if piece < 0 or last < 0:
                         break
-                    key = left << 32 | arc[1]
+                    key = last << 32 | piece
                     fits = pairs.get(key)
                     if fits is None:
                         fits = self._pair(key)
                     if fits:
-                        best = arc
                         break
+                length -= 1
+            if length:
+                out.append((at, length, piece))
+                at += length
+                last = piece
+                length = min(size - at, reach(text[at : at + 2], 1))
             else:
-                least = weights[end - 1] + self.worst
-                for arc in found:
-                    if (weight := weights[arc[0]] + self.weight[arc[1]]) < least or best[1] < 0 and arc[0] == end - 1:
-                        least, best = weight, arc
-                weights.append(least)
-            ends.append(best)
-        out: list[tuple[int, ...]] = []
-        at = len(text)
-        while at:
-            start, piece = ends[at]
-            out.append((piece,) if piece >= 0 else self._fallback(text[start:at]))
-            at = start
-        return tuple(i for ids in reversed(out) for i in ids)
+                dead[at] = 1
+                at, length, _ = out.pop()
+                last = out[-1][2] if out else -1
+                length -= 1
+        return out
 
     def _pair(self, key: int) -> bool:
         """Whether the merges leave two neighbours as they are; the weight of the pair is infinite if not."""
