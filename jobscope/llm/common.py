@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from jobscope.operators.shape import estimated_bytes
-from jobscope.session import cut_lineage
+from jobscope.session import cut_lineage, discard  # noqa: F401
 
 #: Tables whose files are at most this large are broadcast; larger ones are joined by a shuffle.
 BROADCAST_FILE_BYTES = 16 << 20
@@ -31,15 +31,6 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return cut_lineage(df, f"llm-{purpose}")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing reads any more."""
-    spark = df.sparkSession
-    files = spark._jvm.org.apache.hadoop.fs.Path
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = files(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_FILE_BYTES) -> DataFrame:
     """A stored table with a broadcast hint if its files are within ``limit``, else unchanged (shuffled join)."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import stored
+from jobscope.llm.common import discard, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,7 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the smallest node reachable.
 
     Links may repeat, stand in either order and link a node with itself (a node that has only such links is
-    left out).  Each round is written to the shared folder; rounds grow with the logarithm of the longest chain.
+    left out).  Each round is written to the shared folder and replaces the one before; rounds grow with the logarithm of the longest chain.
     """
     a, b = F.col("a"), F.col("b")
     links = edges.where("a != b").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -53,5 +53,6 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
         row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if row == mark or not row["n"]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = row
+        mark, before = row, links
         links = stored(_round(links), purpose)
+        discard(before)
