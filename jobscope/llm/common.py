@@ -13,11 +13,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 from jobscope.operators.shape import estimated_bytes
 from jobscope.session import cut_lineage, discard  # noqa: F401
 
+#: Rows go to Python workers in batches of about this size, so that long texts do not add up.
+BATCH_BYTES = "4m"
 #: Tables whose files are at most this large are broadcast; larger ones are joined by a shuffle.
 BROADCAST_FILE_BYTES = 16 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's size limit of Arrow batches, in which long texts would add up otherwise."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +36,7 @@ def col(name: str):
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read back; its size is then known."""
+    bounded_batches(df.sparkSession)
     return cut_lineage(df, f"llm-{purpose}")
 
 
@@ -50,6 +59,7 @@ def map_text(
     sequence per field; the values of ``extra`` follow the texts as further lists.  ``keep`` names the input columns that are passed on (all by default); an input column
     that has the name of a new field is dropped.
     """
+    bounded_batches(df.sparkSession)
     new = [f.name for f in fields]
     kept = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)]
     # mapInArrow reads dots in names as paths, so columns travel under plain names.
