@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,14 @@ def small(df: DataFrame, limit: int = BROADCAST_FILE_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def once_per_process(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept for later tasks of the same Python worker; for a few things that are costly to set up."""
+    kept = sys.modules.setdefault("_kept_by_tasks", ModuleType("_kept_by_tasks"))
+    if key not in kept.__dict__:
+        kept.__dict__[key] = make()
+    return kept.__dict__[key]
+
+
 def map_text(
     df: DataFrame,
     fields: Sequence[T.StructField],

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobscope.llm.common import map_text
+from jobscope.llm.common import map_text, once_per_process
 
 SPACE = "▁"
 #: Words and pairs that a task remembers.
@@ -259,11 +259,16 @@ class Transducer:
         return self._bytes_of
 
 
+def compiled(model: bytes) -> Transducer:
+    """The transducer of a model file, compiled once per Python worker; it keeps the words that it has seen."""
+    return once_per_process(f"pieces-{zlib.crc32(model)}-{len(model)}", lambda: Transducer(Model.parse(model)))
+
+
 def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``ids`` of each whole text; null and empty texts have none."""
 
     def start():
-        transducer = Transducer(Model.parse(model))
+        transducer = compiled(model)
         return lambda texts: [[transducer.encode(t.decode("utf-8", "replace")) if t else [] for t in texts]]
 
     return map_text(docs, [T.StructField("ids", T.ArrayType(T.IntegerType()))], start, keep=keep)
@@ -273,7 +278,7 @@ def decode(rows: DataFrame, model: bytes, keep: list[str] | None = None) -> Data
     """``rows`` (or its columns ``keep``) with ``decoded``, the text of the column ``ids``; null ids give null."""
 
     def start():
-        transducer = Transducer(Model.parse(model))
+        transducer = compiled(model)
         return lambda _, ids: [[None if i is None else transducer.decode(i) for i in ids]]
 
     return map_text(rows.withColumn("__none", F.lit(None).cast("string")), [T.StructField("decoded", T.StringType())], start, text="__none", keep=keep or rows.columns, extra=[F.col("ids")])
@@ -288,7 +293,7 @@ def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
     fields = [T.StructField(n, T.LongType()) for n in ("n_ids", "n_bytes", "ids_crc32")] + [T.StructField("same", T.BooleanType())]
 
     def start():
-        transducer = Transducer(Model.parse(model))
+        transducer = compiled(model)
         is_byte = np.zeros(len(transducer.model.pieces), dtype=bool)
         is_byte[list(transducer.bytes.values())] = True
 
