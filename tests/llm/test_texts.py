@@ -143,6 +143,42 @@ def test_near_copies(spark, block):
     assert len(set(got.values())) == 25
 
 
+def plain_similarity(one, other, width=5):
+    """Numerator and denominator of the share of common shingles, repeated ones counted."""
+    bags = []
+    for text in (one, other):
+        words = text.lower().split()
+        bags.append(Counter(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else Counter())
+    return sum((bags[0] & bags[1]).values()), sum((bags[0] | bags[1]).values())
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_near_copies_equal_all_pairs(spark, block):
+    """Pairs from 0.7 to 0.9 link exactly at 0.8 and above, also where texts differ in length or share a passage."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8)))
+    passage = [word() for _ in range(40)]
+    texts = ["", " ", "one", "one two", "a b c d e f g h i", "a b c d e f g h", "x y z " * 40, "x y z " * 33, "x y z " * 30]
+    for n in range(60):
+        base = [word() for _ in range(rng.choice([30, 104, 260]))] + passage * (n % 2)
+        texts.append(" ".join(base))
+        for _ in range(2):
+            copy = list(base)
+            for i in rng.sample(range(len(copy)), rng.randint(1, max(1, len(copy) // 35))):
+                copy[i] = word()
+            texts.append(" ".join(copy[: len(copy) - rng.choice([0, len(copy) // 10])]))
+
+    def linked(i, j):
+        both, either = plain_similarity(texts[i], texts[j])
+        return both * 5 >= either * 4
+
+    shares = [both / either for i in range(9, len(texts), 3) for j in (1, 2) for both, either in [plain_similarity(texts[i], texts[i + j])]]
+    assert sum(0.7 <= s < 0.8 for s in shares) > 5 and sum(0.8 <= s < 0.9 for s in shares) > 5
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, list(enumerate(texts))), block=block).collect()}
+    roots = plain_components(range(len(texts)), linked)
+    assert [got[i] for i in range(len(texts))] == [roots.index(r) for r in roots]
+
+
 
 # Suffixes
 
