@@ -3,14 +3,17 @@
 A multinomial logistic regression over sparse word n-grams names the licence family of a paragraph or calls it
 unknown.  It is trained on variations of the notices below against paragraphs of the corpus and scrambled notices;
 a temperature fitted on held-out variations calibrates its probabilities.  A prediction counts only if a notice of
-that family stands in the paragraph nearly word for word.
+that family stands in the paragraph nearly word for word: paragraphs lie between blank lines, and each notice is
+looked for in windows of about its own length, so wrapped notices and several in one paragraph are found.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -69,7 +72,14 @@ MIN_PROBABILITY = 0.5
 #: Share of a notice's words and word pairs that a paragraph must have in order.
 MIN_SIMILARITY = 0.8
 
+#: Words that a window is longer than its notice, at least, and as a share of the notice.
+EXTRA_WORDS, EXTRA_SHARE = 6, 0.25
+
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
+_WORD_OF_ANY_CASE = re.compile(r"[A-Za-z]+|[0-9]+(?:\.[0-9]+)*")
+# A line without letters and digits, such as a lone comment sign, ends a paragraph.
+_BLANK = re.compile(r"\n[^\w\n]*(?=\n)")
+_BETWEEN = {"or", "and"}
 
 
 def words_of(text: str) -> list[str]:
@@ -91,6 +101,59 @@ def similarity(words: list[str], notice: list[str]) -> float:
     return sum((want & have).values()) / max(1, sum(want.values()))
 
 
+def _trimmed(words: list[str], low: int, high: int, notice: list[str]) -> tuple[int, int, float]:
+    """The window without the words at its ends that the similarity does not need."""
+    best = similarity(words[low:high], notice)
+    while high - low > 1 and similarity(words[low : high - 1], notice) >= best:
+        high -= 1
+    while high - low > 1 and similarity(words[low + 1 : high], notice) >= best:
+        low += 1
+    return low, high, best
+
+
+def _windows(words: list[str], notice: list[str], hits: list[int]) -> list[tuple[int, int, float]]:
+    """(first, end, similarity) of windows with the notice; ``hits`` are the places of its word pairs."""
+    length = len(notice) + max(EXTRA_WORDS, int(EXTRA_SHARE * len(notice)))
+    slack = length - len(notice)
+    # So many pairs are there even if all words are.
+    need = max(1, math.ceil(MIN_SIMILARITY * (2 * len(notice) - 1) - 1e-9) - len(notice))
+    found, i = [], 0
+    while i + need <= len(hits):
+        first, done = hits[i], found[-1][1] if found else 0
+        low, i = max(done, first - slack), i + 1
+        if hits[i + need - 2] + 2 - first > length or first < done:
+            continue
+        if similarity(words[low : first + length], notice) < MIN_SIMILARITY:
+            continue
+        window = _trimmed(words, low, min(len(words), first + 2 * length), notice)
+        if window[1] - window[0] > length:
+            window = _trimmed(words, low, min(len(words), first + length), notice)
+        found.append(window)
+    return found
+
+
+def _merged(matches: list[tuple]) -> list[tuple]:
+    """Overlapping matches of one family as one."""
+    out: list[tuple] = []
+    for family, low, high, p, alike in sorted(matches):
+        if out and out[-1][0] == family and low < out[-1][2]:
+            out[-1] = (family, out[-1][1], max(high, out[-1][2]), max(p, out[-1][3]), max(alike, out[-1][4]))
+        else:
+            out.append((family, low, high, p, alike))
+    return sorted(out, key=lambda m: (m[1], m[2], m[0]))
+
+
+def _whole_lines(paragraph: str, spots: list[re.Match], low: int, high: int) -> tuple[int, int]:
+    """Start and end of the words; up to the ends of their lines where nothing else stands there."""
+    start, end = spots[low].start(), spots[high - 1].end()
+    line = paragraph.rfind("\n", 0, start) + 1
+    start = line if low == 0 or spots[low - 1].end() <= line else start
+    line = paragraph.find("\n", end)
+    line = len(paragraph) if line < 0 else line
+    end = line if high == len(spots) or spots[high].start() > line else end
+    return start, end
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -105,25 +168,45 @@ class Model:
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def _confirmed(self, family: str, words: list[str], notice: list[str]) -> float | None:
+        """The family's probability if it is what the words name."""
+        at = self.families.index(family)
+        p = self.probabilities(words)
+        if int(p.argmax()) != at or p[at] < MIN_PROBABILITY:
+            # "under licence A or licence B" names B too: judge the notice's own words.
+            blocks = SequenceMatcher(None, words, notice, autojunk=False).get_matching_blocks()
+            own = [words[i] for b in blocks for i in range(b.a, b.a + b.size)]
+            other = [words[i:j] for i, j in zip((b.a + b.size for b in blocks), (b.a for b in blocks[1:]))]
+            if not any(_BETWEEN & set(run) for run in other):
+                return None
+            p = self.probabilities(own)
+        return float(p[at]) if int(p.argmax()) == at and p[at] >= MIN_PROBABILITY else None
+
     def scanner(self):
         """text -> found notices (start, end, family, probability, similarity), offsets in characters."""
-        notices = {f: [words_of(n) for n in NOTICES[f]] for f in self.families if f != UNKNOWN}
-        pairs = {g for f in notices.values() for n in f for g in zip(n, n[1:])}
+        notices = [(f, words_of(n)) for f in self.families if f != UNKNOWN for n in NOTICES[f]]
+        wanted = [(f, n, set(zip(n, n[1:]))) for f, n in notices]
+        pairs = set().union(*(p for _, _, p in wanted))
 
         def scan(text: str) -> list[tuple]:
             found, start = [], 0
-            for paragraph in text.split("\n"):
-                words = words_of(paragraph)
+            for end in [*(m.start() for m in _BLANK.finditer(text)), len(text)]:
+                paragraph = text[start:end]
+                spots = list(_WORD_OF_ANY_CASE.finditer(paragraph))
+                words = [m.group().lower() for m in spots]
                 # Without a pair of notice words in a row no notice can be similar.
-                if not pairs.isdisjoint(zip(words, words[1:])):
-                    p = self.probabilities(words)
-                    best = int(p.argmax())
-                    family = self.families[best]
-                    if family != UNKNOWN and p[best] >= MIN_PROBABILITY:
-                        alike = max(similarity(words, n) for n in notices[family])
-                        if alike >= MIN_SIMILARITY:
-                            found.append((start, start + len(paragraph), family, float(p[best]), float(alike)))
-                start += len(paragraph) + 1
+                hits = [i for i, pair in enumerate(zip(words, words[1:])) if pair in pairs]
+                if hits:
+                    matches = []
+                    for family, notice, own in wanted:
+                        for low, high, alike in _windows(words, notice, [i for i in hits if (words[i], words[i + 1]) in own]):
+                            p = self._confirmed(family, words[low:high], notice)
+                            if p is not None:
+                                matches.append((family, low, high, p, alike))
+                    for family, low, high, p, alike in _merged(matches):
+                        a, b = _whole_lines(paragraph, spots, low, high)
+                        found.append((start + a, start + b, family, p, alike))
+                start = end
             return found
 
         return scan
@@ -200,7 +283,8 @@ _MATCH = T.StructType(
 def scan(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``families`` (sorted, each once) and ``matches`` of the whole text.
 
-    Paragraphs are lines.  Null and empty texts have no match.
+    Paragraphs lie between blank lines.  A match takes in the rest of its first and last line if no other word stands
+    there; overlapping matches of one family are one.  Null and empty texts have no match.
     """
     fields = [T.StructField("families", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(_MATCH))]
 

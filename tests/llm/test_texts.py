@@ -414,3 +414,35 @@ def test_licences(spark, odd_docs, no_docs):
             assert text[m.start : m.end] == notices[i % 3] and m.probability >= 0.5
     assert {len(r.matches) for r in licences.scan(odd_docs, model).collect()} == {0}
     assert licences.scan(no_docs, licences.train(no_docs)).count() == 0
+
+
+def test_wrapped_and_dual_licences(spark):
+    """Notices wrapped in comments, two in a line, and two licences in one sentence; look-alikes stay what they are."""
+    import textwrap
+
+    rng = random.Random(8)
+    filler = lambda n: " ".join(rng.choice("wind rain stone sea hill river tree".split()) for _ in range(n))
+    model = licences.train(frame(spark, [(i, filler(30)) for i in range(100)]))
+    wrap = lambda text, sign, width=70: "\n".join(sign + x for x in textwrap.wrap(text, width))
+    rows, want = [], {}
+    longest = {f: max(n, key=len) for f, n in licences.NOTICES.items()}
+    for family, notice in longest.items():
+        for sign in ("", " * ", "# ", "// "):
+            body = wrap(notice, sign, 40)
+            rows.append((len(rows), f"{filler(9)}\n{sign.rstrip()}\n{body}\n{sign}\n{filler(20)}"))
+            want[len(rows) - 1] = [family]
+    extra = [
+        ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+        ("This project is licensed under the MIT License or the Apache License 2.0.", ["Apache-2.0", "MIT"]),
+        (wrap(longest["GPL-3.0"] + " " + longest["MIT"], "; "), ["GPL-3.0", "MIT"]),
+        ("Permission is hereby granted, free\n\nof charge, to any person obtaining a copy", []),
+        ("wind sea Licensed under CC BY-SA 4.0. stone", ["CC-BY-SA-4.0"]),
+    ]
+    for text, families in extra:
+        rows.append((len(rows), text))
+        want[len(rows) - 1] = families
+    found = {r.doc_id: r for r in licences.scan(frame(spark, rows), model).collect()}
+    assert {i: r.families for i, r in found.items()} == want
+    for i, text in rows[: 4 * len(longest)]:
+        (match,) = found[i].matches
+        assert licences.words_of(text[match.start : match.end]) == licences.words_of(max(licences.NOTICES[want[i][0]], key=len))
