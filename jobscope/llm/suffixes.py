@@ -115,10 +115,18 @@ def runs(texts: list[bytes | None], window: int = WINDOW):
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _key(body: F.Column) -> list[F.Column]:
+    """Two longs that only rows with the same doc_id (or none) and text share: half of a SHA-256 of both."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
+    digest = F.sha2(F.concat(name, F.lit(b" "), body), 256)
+    return [F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for at in (1, 17)]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Texts as bytes under a key that only equal texts share: doc_id and a checksum."""
+    """Texts as bytes under a key that only equal texts of one doc_id share."""
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.crc32(body).alias("crc"), body.alias("body"))
+    doc, crc = _key(body)
+    return docs.select(doc.alias("doc"), crc.alias("crc"), body.alias("body"))
 
 
 _ROW = "doc long, crc long, block long, whole long, place long, low long, high long"
@@ -223,7 +231,7 @@ _SPANS = pa.schema([("doc", pa.int64()), ("crc", pa.int64()), ("spans", pa.list_
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, crc, spans): for each text with repeats, the bytes that windows which start elsewhere too cover.
 
-    ``spans`` lists starts and ends of maximal runs in turn.  ``crc`` is the checksum of the text; rows that agree
+    ``spans`` lists starts and ends of maximal runs in turn.  ``doc`` and ``crc`` are the key of the text; rows that agree
     in doc_id and text share a row here, and their windows count as repeated.
     """
     keyed = _keyed(docs)
@@ -251,7 +259,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
     """
     spans = stored(repeated_spans(docs, window), "spans").select(*[F.col(c).alias(f"__{c}") for c in ("doc", "crc", "spans")])
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    same = (F.coalesce("doc_id", F.lit(-1)) == F.col("__doc")) & (F.crc32(body) == F.col("__crc"))
+    doc, crc = _key(body)
+    same = (doc == F.col("__doc")) & (crc == F.col("__crc"))
     joined = docs.join(small(spans), same, "left")
     fields = [T.StructField(prefix + n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     fields += [T.StructField(prefix + "kept_sha256", T.StringType())]

@@ -223,6 +223,25 @@ def test_removal_of_odd_rows(odd_docs, odd_rows, no_docs):
     assert suffixes.remove_repeats(no_docs).count() == 0
 
 
+def test_texts_with_one_checksum_stay_apart(spark):
+    """Different texts without a doc_id, or with the id -1, are judged each, even if their checksums agree."""
+    rng = random.Random(30)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage, other = letters(60), letters(60)
+    seen, pair = {}, None
+    while pair is None:
+        tail = letters(12)
+        for body in (passage + tail, other + tail):
+            seen.setdefault(zlib.crc32(body.encode()), set()).add(body)
+            found = seen[zlib.crc32(body.encode())]
+            if len({b[:60] for b in found}) == 2:
+                pair = sorted(found)
+    texts = [*pair, passage + letters(20)]
+    for ids in ([None, None, None], [None, -1, 5]):
+        got = suffixes.remove_repeats(frame(spark, list(zip(ids, texts))), window=40).collect()
+        assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(plain_removal(texts, 40))
+
+
 def test_kept_text_has_whole_characters(spark):
     shared = "é" + "b" * 50
     rows = [(1, "x" + shared), (2, "ç" + shared[1:])]
