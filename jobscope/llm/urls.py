@@ -134,23 +134,26 @@ class Model:
 
 
 def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on about ``sample_rows`` featured rows that a rule decides; suffixes are counted on the same rows.
+    """Fit on about ``sample_rows`` featured rows that a rule decides; suffixes are counted on all such rows.
 
     With no labelled row every verdict is allow; with rows of one verdict only, that one.
     """
-    known = rows.where("decided is not null and page_id is not null")
-    total = known.select("page_id").count()
+    known = rows.where("decided is not null and page_id is not null").withColumn("label", (F.col("decided") == "block").cast("double"))
+    counts = stored(known.groupBy("suffix1", "suffix2").agg(F.sum("label").alias("blocked"), F.count("*").alias("n")), "suffixes")
+    total, blocked = counts.agg(F.sum("n"), F.sum("blocked")).first()
     if not total:
         return Model(None, {}, 0.0)
+    overall = blocked / total
+    if overall in (0.0, 1.0):
+        return Model(None, {}, overall)
     place = F.pmod(F.xxhash64(F.col("page_id"), F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    sample = stored(known.where(place < sample_rows / total).withColumn("label", (F.col("decided") == "block").cast("double")), "labelled")
-    overall = sample.agg(F.avg("label")).first()[0]
-    if overall is None or overall in (0.0, 1.0):
-        return Model(None, {}, overall or 0.0)
+    sample = stored(known.where(place < sample_rows / total), "labelled")
+    if sample.agg(F.countDistinct("label")).first()[0] < 2:
+        return Model(None, {}, overall)
     suffixes = {}
     for name in ("suffix1", "suffix2"):
-        share = (F.sum("label") + PRIOR_WEIGHT * overall) / (F.count("*") + PRIOR_WEIGHT)
-        suffixes[name] = stored(sample.groupBy(name).agg(share.alias(f"{name}_share")), name)
+        share = (F.sum("blocked") + PRIOR_WEIGHT * overall) / (F.sum("n") + PRIOR_WEIGHT)
+        suffixes[name] = stored(counts.groupBy(name).agg(share.alias(f"{name}_share")), name)
     model = Model(None, suffixes, overall)
     boost = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=7)
     model.trees = boost.fit(model.assemble(sample).select("features", "label").coalesce(2))

@@ -210,3 +210,11 @@ def test_trees_learn_and_degenerate_tables(spark, tmp_path):
 def test_tables_are_read_by_spark(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
     assert table(spark, str(tmp_path), "t").count() == 3
+
+
+def test_suffixes_are_counted_on_all_labelled_urls(spark):
+    rows = [(i, f"https://d{i}.com/{('fr', 'de')[i % 2]}/{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    model = urls.train(urls.featured(pages), sample_rows=40)
+    shares = {r.suffix2: r.suffix2_share for r in model.suffixes["suffix2"].collect()}
+    assert shares == {f"d{i}.com": pytest.approx((i % 2 + urls.PRIOR_WEIGHT * 0.5) / (1 + urls.PRIOR_WEIGHT)) for i in range(400)}
