@@ -6,10 +6,6 @@ one bit in one of the halves.  The anchors of a half are the codewords of the pe
 A fingerprint is copied to its home and to every anchor within radius plus threshold, 1 + 1 = 2 (fifteen more).
 If two halves differ in at most one bit, the second is within 2 of the first one's home, so both meet there, and
 comparing homes with visitors per anchor finds every link.
-
-``near_copies`` links by the exact similarity of shingles instead.  In any order of all shingles, two texts whose
-sets overlap enough share one of their first ones (the prefix), so texts meet at the shingles of their prefixes and
-are then compared in full.
 """
 
 from __future__ import annotations
@@ -21,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobscope.llm.common import col, discard, map_text, small, stored
+from jobscope.llm.common import col, map_text, small, stored
 from jobscope.llm.components import components, forest
 from jobscope.llm.meeting import Meetings, deal
 
@@ -163,6 +159,14 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, block: int = HOMES_PER_BLO
     return dealt.mapInArrow(_linker(threshold), "a long, b long")
 
 
+def _classes(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) per row, and (fp, least doc_id, root) per fingerprint, where root names its component."""
+    rows = stored(fingerprints(docs, width, keep=["doc_id"]), "fingerprints")
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(links(classes.select("fp"), threshold), "simhash").withColumnRenamed("node", "fp")
+    return rows, classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id reachable by links.
 
@@ -171,264 +175,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD)
     result; a null doc_id takes its component's id and never names a component unless it has no other id.
     Other columns are ignored.
     """
-    rows = stored(fingerprints(docs, width, keep=["doc_id"]), "fingerprints")
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), threshold), "simhash").withColumnRenamed("node", "fp")
-    member = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows, member = _classes(docs, width, threshold)
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near copies have at least this share (numerator, denominator) of their shingles in common, repeated ones counted.
-COPY_SIMILARITY = (4, 5)
-COPY_WIDTH = 5
-#: Common shingles come last in prefixes.  They are found in about this many distinct texts; results do not depend on it.
-ORDER_ROWS = 10000
-COMMON_SHINGLES = 100000
-
-
-def shingles(text: bytes | None, width: int = COPY_WIDTH) -> np.ndarray:
-    """A text's shingles as sorted distinct 64-bit numbers; further occurrences of a shingle have numbers of their own."""
-    parts = list(_shingle_hashes(text, width))
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    hashes = np.sort(np.concatenate(parts))
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    if len(first) == len(hashes):
-        return hashes
-    times = np.diff(np.append(first, len(hashes)))
-    nth = (np.arange(len(hashes)) - np.repeat(first, times)).astype(np.uint64)
-    mixed = (hashes ^ (nth * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(np.where(nth > 0, mixed ^ (mixed >> np.uint64(32)), hashes))
-
-
-def _prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """The first shingles in the common order: one more than a text with the similarity may lack."""
-    size = len(found) - -(-len(found) * share[0] // share[1]) + 1 if len(found) else 0
-    if not len(common):
-        return found[:size]
-    place = np.minimum(np.searchsorted(common, found), len(common) - 1)
-    known = common[place] == found
-    rare = found[~known]
-    if len(rare) >= size:
-        return rare[:size]
-    late = found[known][np.argsort(rank[place[known]])]
-    return np.concatenate([rare, late])[:size]
-
-
-def _parities(found: np.ndarray) -> np.ndarray:
-    """1,024 bits: whether the number of shingles in each of as many groups is odd.
-
-    Texts have at least as many shingles that only one of them has as bits that differ.
-    """
-    odd = np.bincount((found >> np.uint64(20) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _set_key(found: np.ndarray) -> tuple[int, int]:
-    """128 bits that only texts with the same shingles share."""
-    digest = xxhash.xxh3_128_intdigest(found.astype("<u8").tobytes())
-    return tuple(np.array([digest & (1 << 64) - 1, digest >> 64], dtype=np.uint64).view(np.int64).tolist())
-
-
-def _body() -> F.Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-
-
-def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, and their ranks by count."""
-    total = docs.count()
-    place = F.pmod(_body(), F.lit(1 << 20)) / float(1 << 20)
-    sample = docs.where(F.col("text").isNotNull() & (place < ORDER_ROWS / max(1, total))).select("text").distinct()
-
-    def start():
-        return lambda texts: [[shingles(t, width).view(np.int64) for t in texts]]
-
-    found = map_text(sample, [T.StructField("found", T.ArrayType(T.LongType()))], start, keep=[])
-    counts = found.select(F.explode("found").alias("key")).groupBy("key").count().where("count > 2")
-    top = counts.orderBy(F.desc("count"), "key").limit(COMMON_SHINGLES).collect()
-    keys = np.array([r["key"] for r in top], dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], (len(keys) - order).astype(np.int64)
-
-
-def _alike(size: str, other: str, share: tuple[int, int]) -> F.Column:
-    return F.least(size, other) * share[1] >= F.greatest(size, other) * share[0]
-
-
-def _meeting_pairs(share: tuple[int, int]):
-    """Pairs of nodes in different components that meet and whose sizes allow the similarity."""
-
-    def pairs_of(batches):
-        meetings = Meetings(PAIRS_AT_ONCE)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns, pairs = meetings.take(*[batch.column(i).to_numpy() for i in range(6)])
-            node, size, root = columns[3:]
-            for mine, theirs in pairs:
-                small_, large = np.minimum(size[mine], size[theirs]), np.maximum(size[mine], size[theirs])
-                open_ = (root[mine] != root[theirs]) & (small_ * share[1] >= large * share[0])
-                if open_.any():
-                    left, right = node[mine[open_]], node[theirs[open_]]
-                    both = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-    return pairs_of
-
-
-def _compare(share: tuple[int, int]):
-    def compare(batches):
-        for batch in batches:
-            left, right = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            keep = []
-            for x, y in zip(left, right):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * share[1] >= (len(x) + len(y) - both) * share[0])
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-    return compare
-
-
-def _not_excluded(share: tuple[int, int]):
-    """Pairs whose parities leave the similarity possible: with d shingles in one text only, common = (sizes - d) / 2."""
-
-    def filtered(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            x, y = (batch.column(i).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            keep = pa.array((sizes - apart) * share[1] >= (sizes + apart) * share[0])
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
-
-    return filtered
-
-
-def _possible(pairs: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Of the pairs (a, b) of nodes those that sizes and parities do not exclude."""
-    known = stored(classes.select("node", "size", "parities"), "parities")
-    for name, place in (("a", "1"), ("b", "2")):
-        side = known.select(F.col("node").alias(name), F.col("size").alias(f"size{place}"), F.col("parities").alias(f"p{place}"))
-        pairs = pairs.join(small(side), name)
-    left = stored(pairs.select("a", "b", "size1", "size2", "p1", "p2").mapInArrow(_not_excluded(share), "a long, b long"), "pairs")
-    discard(known)
-    return left
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """Of the pairs (a, b) of nodes those with the similarity."""
-    pairs = _possible(pairs, classes, share)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stored(nodes.join(classes.select("node", "body", "lo", "hi"), "node"), "wanted")
-    texts = docs.select("text", _body().alias("body")).join(small(wanted), "body")
-
-    def start():
-        def compute(texts):
-            found = [shingles(t, width) for t in texts]
-            keys = [_set_key(f) for f in found]
-            return [[f.view(np.int64) for f in found], [k[0] for k in keys], [k[1] for k in keys]]
-
-        return compute
-
-    fields = [T.StructField("found", T.ArrayType(T.LongType())), T.StructField("__lo", T.LongType()), T.StructField("__hi", T.LongType())]
-    texts = map_text(texts, fields, start, keep=["node", "lo", "hi"]).where("lo = __lo and hi = __hi")
-    texts = stored(texts.select("node", "found").dropDuplicates(["node"]), "shingles")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("found").alias("y")), "b").select("a", "b", "x", "y")
-    links = stored(both.mapInArrow(_compare(share), "a long, b long"), "links")
-    for table in (wanted, texts, pairs):
-        discard(table)
-    return links
-
-
-def _copy_keys(docs: DataFrame, width: int, names: tuple[str, ...] = ("lo", "hi")) -> DataFrame:
-    """All columns of ``docs`` and the 128 bits of each text's shingles."""
-
-    def start():
-        return lambda texts: list(zip(*(_set_key(shingles(t, width)) for t in texts)))
-
-    return map_text(docs, [T.StructField(n, T.LongType()) for n in names], start)
-
-
-def copy_links(docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, int], block: int) -> DataFrame:
-    """Links (a, b) that connect the same nodes as all pairs of classes with the similarity do.
-
-    Texts meet at the shingles of their prefixes.  Everyone is first compared with the smallest node at each key;
-    then all pairs that meet and are not connected by that.
-    """
-    postings = classes.select("node", "size", F.explode("prefix").alias("key"))
-    first = postings.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    lists = stored(postings.join(first.select("key", "first"), "key"), "lists")
-    with_first = lists.where("node != first.node").where(_alike("size", "first.size", share))
-    tried = stored(with_first.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _verified(tried, docs, classes, width, share)
-    roots = components(links, "copies").withColumnRenamed("root", "__root")
-    lists_ = lists.join(roots, "node", "left").select("key", "node", "size", F.coalesce("__root", "node").alias("root"))
-    mixed = lists_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    rest = stored(lists_.join(mixed.select("key"), "key", "left_semi").withColumn("visit", F.lit(0)), "mixed")
-    dealt = deal(rest.select("key", "visit", "node", "size", "root"), rest.select("key"), block, "node")
-    met = dealt.mapInArrow(_meeting_pairs(share), "a long, b long").distinct()
-    more = _verified(met.join(tried, ["a", "b"], "left_anti"), docs, classes, width, share)
-    for table in (lists, rest, tried):
-        discard(table)
-    return links.union(more)
-
-
-def near_copies(docs: DataFrame, width: int = COPY_WIDTH, share: tuple[int, int] = COPY_SIMILARITY, block: int = HOMES_PER_BLOCK) -> DataFrame:
-    """Like ``near_duplicates``, by the exact similarity of ``width``-word shingles; ``fp`` is a hash of all of a text's.
-
-    Texts link when the shingles they have in common are at least the ``share`` (numerator, denominator) of those
-    that either has; a shingle that a text repeats counts as often as it stands there.  Texts without words equal
-    each other.
-    """
-    docs = docs.select("doc_id", "text")
-    common, rank = _common(docs, width)
-
-    def start():
-        def compute(texts):
-            found = [shingles(t, width) for t in texts]
-            keys = [_set_key(f) for f in found]
-            prefixes = [_prefix(f, common, rank, share).view(np.int64) for f in found]
-            return [[k[0] for k in keys], [k[1] for k in keys], [len(f) for f in found], prefixes, list(map(_parities, found))]
-
-        return compute
-
-    fields = [T.StructField(n, T.LongType()) for n in ("lo", "hi", "size")]
-    fields += [T.StructField(n, T.ArrayType(T.LongType())) for n in ("prefix", "parities")]
-    rows = map_text(docs.withColumn("body", _body()), fields, start, keep=["doc_id", "body"])
-    rows = stored(rows.withColumn("fp", F.xxhash64("lo", "hi")), "shingled")
-    one = [F.first(c).alias(c) for c in ("fp", "size", "body", "prefix", "parities")]
-    classes = rows.groupBy("lo", "hi").agg(F.min("doc_id").alias("least"), *one).withColumn("node", F.monotonically_increasing_id())
-    classes = stored(classes, "classes")
-    roots = components(copy_links(docs, classes, width, share, block), "copies")
-    member = classes.select("lo", "hi", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(ids, "root").select("lo", "hi", "component_id")
-    return rows.join(named, ["lo", "hi"]).select("doc_id", "fp", "component_id")
+def _winners(member: DataFrame) -> DataFrame:
+    """(__id, __fp): of each component the row that stays, the smallest id first, a null id only where there is no other."""
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("fp").alias("fp"))).alias("b")
+    return member.groupBy("root").agg(best).select(F.col("b.id").alias("__id"), F.col("b.fp").alias("__fp"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that a near copy with a smaller id stands for (``near_copies``); all columns stay.
+def keep_one(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
+    """Of each component of ``near_duplicates`` the row with the smallest doc_id; all columns stay.
 
-    Rows that share a doc_id count as one document: one of them stays.  Rows without a doc_id stay if nothing
-    with an id is in their component, one of each fingerprint.
+    Every row is a document: of rows that share a doc_id each belongs to the component of its own text, and of
+    equal ones in a component one stays.  A row without a doc_id stays only where nothing in its component has one.
+    Null and empty texts are one component.
     """
-    found = stored(near_copies(docs), "found")
-    own = F.max((F.col("doc_id") == F.col("component_id")).cast("int"))
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), own.alias("own")).where("own = 1")
-    ids = stored(ids.select(F.col("doc_id").alias("__id"), "n"), "kept")
-    kept = docs.join(small(ids.select("__id")), docs["doc_id"] == F.col("__id"), "left_semi")
-    repeated = ids.where("n > 1").select("__id")
-    if not repeated.isEmpty():
-        twice = kept["doc_id"] == F.col("__id")
-        kept = kept.join(repeated, twice, "left_anti").union(kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id"]))
-    alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__alone")).distinct()
-    if alone.isEmpty():
-        return kept
-    rest = _copy_keys(docs.where("doc_id is null"), COPY_WIDTH, ("__lo", "__hi"))
-    rest = rest.withColumn("__fp", F.xxhash64("__lo", "__hi")).dropDuplicates(["__fp"])
-    rest = rest.join(alone, F.col("__fp") == F.col("__alone"), "left_semi")
-    return kept.union(rest.select(*map(col, docs.columns)))
+    rows, member = _classes(docs, width, threshold)
+    chosen = stored(_winners(member), "kept")
+    repeated = rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
+    repeated = stored(repeated, "repeated")
+    sure = chosen.where("__id is not null").join(small(repeated), "__id", "left_anti").select("__id")
+    kept = docs.join(sure, docs["doc_id"] == F.col("__id"), "left_semi")
+    # Ids that stand for several rows do not tell which of them stays: their texts are looked at again.
+    open_ids = docs.join(small(repeated), docs["doc_id"] == F.col("__id"), "left_semi")
+    unclear = fingerprints(open_ids.union(docs.where("doc_id is null")), width, names=("__fp",))
+    same = unclear["doc_id"].eqNullSafe(chosen["__id"]) & (unclear["__fp"] == chosen["__fp"])
+    unclear = unclear.join(small(chosen), same, "left_semi").dropDuplicates(["doc_id", "__fp"])
+    return kept.union(unclear.select(*map(col, docs.columns)))
