@@ -5,7 +5,8 @@ and read back as the next one's ``docs``.  All but the last return the columns o
 
 * quality: documents that the positive-unlabelled classifier scores below 0.3 go.
 * language: documents without a letter, or whose best language scores below 0.5, go.
-* near_duplicates: of documents that fingerprints link, the one with the smallest doc_id stays.
+* near_duplicates: of documents whose SimHash fingerprints link (three-word shingles, at most three bits), the one
+  with the smallest doc_id stays.
 * repeated_passages: bytes covered by 400-byte strings that start elsewhere too are cut out of the texts;
   characters cut in half go with them, and ``n_chars`` follows the text.
 * packing: the pieces of all documents with their places in sequences of 1024 tokens.
@@ -26,22 +27,26 @@ from jobscope.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least 0.3; a null or empty text is scored like any other, repeated rows alike."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, name="__quality")
     return scored.where(F.col("__quality") >= quality.THRESHOLD).select(*map(col, docs.columns))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a sure language; null texts and texts without a letter have none and go."""
     found = language.predict(docs, language.train(docs), name="__language", score="__certain")
     sure = (F.col("__language") != language.UNDETERMINED) & (F.col("__certain") >= language.MIN_SCORE)
     return found.where(sure).select(*map(col, docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates; rows without a doc_id stay only where no row of the group has one."""
     return simhash.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without repeated strings; null texts stay null, and rows with one doc_id are cut each by itself."""
     found = suffixes.remove_repeats(docs, kept="text", prefix="__")
     changed = F.col("__n_removed") > 0
     new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
@@ -52,6 +57,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document; a null or empty text is one piece that holds the end token alone."""
     definition = Path(tokenizer_path("byte_bpe_50k.json")).read_text(encoding="utf-8")
     return packing.pack(docs, definition)
 
