@@ -27,15 +27,15 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in found) for i in range(1, 11)] == [1] * 10 and "pipeline" in found
+    assert [sum(n.startswith(f"op{i}_") for n in found) for i in range(1, 14)] == [1] * 13 and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)
 
 
 def test_op1_equals_sql_and_brute_force(spark):
-    got = {tuple(r) for r in queries.op1_topk(spark, MEDIUM).collect()}
+    got = sorted(tuple(r) for r in queries.op1_topk(spark, MEDIUM).collect())
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{MEDIUM}/embeddings.parquet'")
-    assert got == set(con.execute(queries.ORACLES["op1_topk"]).fetchall())
+    assert got == sorted(con.execute(queries.ORACLES["op1_topk"]).fetchall())
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{MEDIUM}/embeddings.parquet").collect()]
     assert got == plain_top(rows)
 
@@ -117,7 +117,7 @@ def test_op8_rules(spark):
 
 
 def test_op9_equals_brute_force(spark, docs):
-    got = {r.doc_id: tuple(r)[1:] for r in queries.op9_suffix_dedup(spark, SMALL).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in queries.op9_suffix_dedup(spark, SMALL).collect()}
     want = plain_removal([d.text for d in docs], 400)
     assert [got[d.doc_id] for d in docs] == want and any(w[1] for w in want)
 
