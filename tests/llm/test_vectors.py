@@ -43,39 +43,60 @@ ODD = [
 
 
 def plain_top(rows, k=5, step=50):
-    whole = {}
+    """Sorted result rows; every row but the query's own is a candidate."""
+    whole = []
     for i, v, _ in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [max(-(2**63), min(2**63 - 1, math.floor(256 * as_float(x)))) for x in v]
-            whole[i] = min(whole.get(i, q), q)
-    out = set()
-    for i, q in whole.items():
+            whole.append((i, [max(-(2**63), min(2**63 - 1, math.floor(256 * as_float(x)))) for x in v]))
+    out = []
+    for n, (i, q) in enumerate(whole):
         if i % step == 0:
-            scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, w)))), j) for j, w in whole.items() if j != i]
-            for rank, (s, j) in enumerate(sorted(scores)[:k]):
-                out.add((i, rank + 1, j, -s))
-    return out
+            scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, w)))), j) for m, (j, w) in enumerate(whole) if m != n]
+            out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
 
 
-@pytest.mark.parametrize("width,few", [(8, 64), (3, 1)])
-def test_search_equals_brute_force(spark, monkeypatch, width, few):
+@pytest.mark.parametrize("width,few,at_once", [(8, 1 / 16, 64), (3, 0, 2), (24, 0.2, 3)])
+def test_search_equals_brute_force(spark, monkeypatch, width, few, at_once):
+    """Ties, repeated rows and ids, several shards and blocks; stopping early, late and never."""
     monkeypatch.setattr(topk, "FEW", few)
+    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", at_once)
     rng = np.random.default_rng(width)
     rows = [(int(i), np.round(rng.normal(size=width) / 4, 1).tolist(), 1) for i in range(700)]
-    frame = vectors(spark, rows)
-    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
-    quantised = topk.quantised(frame)
+    rows += [(50, (rng.normal(size=width) * 2).tolist(), 1), rows[50], rows[50], (7, rows[100][1], 1), (7, rows[100][1], 1), (60, [0.0] * width, 1)]
+    quantised = topk.numbered(vectors(spark, rows))
     index, shards = topk.build_index(quantised, shard_rows=100)
-    assert shards == 7
-    assert index.where("dimension = -1").selectExpr("sum(size(values))").first()[0] == 700
+    assert shards == 8
+    assert index.where("dimension = -1").selectExpr("sum(size(values))").first()[0] == len(rows)
     queries = quantised.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     got = topk.search(index, shards, queries, query_rows=5)
-    assert {tuple(r) for r in got.collect()} == plain_top(rows)
+    assert sorted(tuple(r) for r in got.collect()) == plain_top(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [0.1], 1), (1, [5.0], 1), (2, [1.0], 1), (50, [1.0], 1)]
+    got = sorted(tuple(r) for r in topk.top_k(vectors(spark, rows), topk.F.col("vec_id") % 50 == 0).collect())
+    assert got == [(50, 1, 1, 1280 * 256), (50, 2, 2, 256 * 256), (50, 3, 1, 25 * 256)] == plain_top(rows)
+
+
+def test_few_rows_are_scored_in_full():
+    """Most rows are out by proof before the last segment where some vectors are alike."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=64)
+    data = np.concatenate([rng.normal(size=(2000, 64)), centre + rng.normal(size=(20, 64)) * 0.1])
+    data = np.floor(256 * data / np.linalg.norm(data, axis=1)[:, None]).astype(np.int64)
+    table = topk.pa.table({"shard": [0] * len(data), "number": np.arange(len(data)), "vec_id": np.arange(len(data)), "vector": data.tolist()})
+    shard = topk._Shard(topk._segments(table), 256)
+    rows, scores = next(shard.search(np.array([2000]), data[2000:2001], 5))
+    assert len(rows) <= len(data) / 16 and 2000 not in rows
+    exact = data @ data[2000]
+    exact[2000] = -(10**9)
+    assert set(np.argsort(-exact)[:5]) <= set(rows) and (exact[rows] == scores).all()
 
 
 def test_search_of_odd_rows(spark):
     got = topk.top_k(vectors(spark, ODD), topk.F.col("vec_id") % 50 == 0).collect()
-    assert {tuple(r) for r in got} == plain_top(ODD) and len(got) == len(plain_top(ODD))
+    assert sorted(tuple(r) for r in got) == plain_top(ODD)
     assert topk.top_k(vectors(spark, []), topk.F.col("vec_id") % 50 == 0).count() == 0
 
 
