@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobscope.llm.common import map_text
+from jobscope.llm.common import discard, map_text, stored
 
-#: Frequencies are counted over about this many labelled documents, chosen by a hash of doc_id.
+#: Frequencies are counted over about this many labelled documents, an equal share for each language, chosen by a hash.
 SAMPLE_ROWS = 12000
-#: (word, language) counts that the model keeps, the most frequent first.
+#: Words that the model keeps by themselves, an equal share for each language, the most frequent first; all words of
+#: the sample count for the n-grams.
 KNOWN_WORDS = 60000
-#: Languages that the model keeps, the most frequent first.
-MOST_LANGUAGES = 200
+#: Every language has at least this many documents of the sample and words, however many languages there are.
+LEAST_ROWS, LEAST_WORDS = 200, 1000
 LONGEST = 4
 #: Evidence is capped at this many words, so that scores of long texts stay comparable.
 EVIDENCE_WORDS = 25
@@ -46,48 +47,65 @@ def _grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def _table(counts: dict[str, np.ndarray], number: int) -> dict[str, np.ndarray]:
-    totals = sum(counts.values(), np.zeros(number)) + 0.5 * len(counts)
-    return {k: np.log((v + 0.5) / totals).astype(np.float32) for k, v in counts.items()}
+def _table(counts: dict[str, np.ndarray], number: int) -> tuple[dict[str, int], np.ndarray]:
+    """The place of each entry, and log frequencies per language; unseen ones count one half."""
+    names = sorted(counts)
+    seen = np.array([counts[k] for k in names]).reshape(len(names), number)
+    totals = seen.sum(axis=0) + 0.5 * len(names)
+    return {k: i for i, k in enumerate(names)}, np.log((seen + 0.5) / totals).astype(np.float32)
 
 
 @dataclass
 class Model:
-    languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    """Log frequencies [entry, language] of known words and of n-grams, with the place of each entry."""
 
-    def unseen(self, word: str) -> np.ndarray:
+    languages: list[str]
+    words: dict[str, int]
+    word_table: np.ndarray
+    grams: list[dict[str, int]]
+    gram_tables: list[np.ndarray]
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Per word the mean row of its longest n-grams that are known; zeros if not even a letter is."""
+        out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
+        open_ = np.arange(len(words))
         for n in range(LONGEST, 0, -1):
-            known = self.grams[n - 1]
-            found = [known[g] for g in _grams(word, n) if g in known]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages), dtype=np.float32)
+            if not len(open_) or not self.grams[n - 1]:
+                continue
+            grams = [_grams(words[i], n) for i in open_.tolist()]
+            number = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
+            get = self.grams[n - 1].get
+            at = np.fromiter((get(g, -1) for word in grams for g in word), dtype=np.int64, count=int(number.sum()))
+            word = np.repeat(np.arange(len(grams)), number)[at >= 0]
+            if not len(word):
+                continue
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            sums = np.add.reduceat(self.gram_tables[n - 1][at[at >= 0]], first, axis=0, dtype=np.float64)
+            times = np.diff(np.append(first, len(word)))
+            out[open_[word[first]]] = sums / times[:, None]
+            open_ = np.delete(open_, word[first])
+        return out
 
     def predictor(self):
-        remembered: dict[str, np.ndarray] = {}
+        """texts -> (languages, scores); rows of unseen words are remembered behind those of known words."""
+        places, table = dict(self.words), self.word_table
 
         def predict(texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+            nonlocal places, table
+            counts = [words_of(t) if self.languages else {} for t in texts]
+            if len(places) > len(self.words) + REMEMBERED:
+                places, table = dict(self.words), self.word_table
+            new = list(dict.fromkeys(w for c in counts for w in c if w not in places))
+            places.update(zip(new, range(len(places), len(places) + len(new))))
+            table = np.concatenate([table, self.unseen(new)]) if new else table
             names, scores = [], []
-            for text in texts:
-                counts = words_of(text)
-                if not counts or not self.languages:
+            for found in counts:
+                if not found:
                     names.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                rows = []
-                for word in counts:
-                    row = self.words.get(word)
-                    if row is None:
-                        row = remembered.get(word)
-                    if row is None:
-                        if len(remembered) >= REMEMBERED:
-                            remembered.clear()
-                        row = remembered[word] = self.unseen(word)
-                    rows.append(row)
-                times = np.fromiter(counts.values(), dtype=np.float64, count=len(rows))
-                mean = times @ np.array(rows) / times.sum()
+                times = np.fromiter(found.values(), dtype=np.float64, count=len(found))
+                mean = times @ table[list(map(places.__getitem__, found))] / times.sum()
                 weight = np.exp((mean - mean.max()) * min(times.sum(), EVIDENCE_WORDS))
                 best = int(mean.argmax())
                 names.append(self.languages[best])
@@ -113,34 +131,55 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
 
+def _shares(sizes: dict[str, int], total: int, least: int) -> dict[str, int]:
+    """How much of ``total`` each language gets: the same, or all it has, and never less than ``least`` of it."""
+    out, left = {}, total
+    for i, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        out[lang] = min(sizes[lang], max(least, left // (len(sizes) - i)))
+        left = max(0, left - out[lang])
+    return out
+
+
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, known_words: int = KNOWN_WORDS) -> Model:
-    """Count words of about ``sample_rows`` documents that have a language and are not held out.
+    """Count words of about ``sample_rows`` documents that have a language, a doc_id and are not held out.
 
-    Without such documents the model knows no language, and every prediction is ``und``.
+    Every language that stands on such a document is learned, from a sample of its own.  Without such documents the
+    model knows no language, and every prediction is ``und``.
     """
+    empty = np.zeros((0, 0), dtype=np.float32)
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    total = rows.select("doc_id").count()
-    if not total:
-        return Model([], {}, [])
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(place < sample_rows / total).select("lang", F.col("text").cast("binary"))
-    counts = sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word", "lang").limit(known_words).collect()
-    by_language = Counter()
-    for r in top:
-        by_language[r["lang"]] += r["n"]
-    languages = sorted(lang for lang, _ in by_language.most_common(MOST_LANGUAGES))
+    # One row per language goes to the driver.
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
+        return Model([], {}, empty, [], [])
+    languages = sorted(sizes)
+    wanted = _shares(sizes, sample_rows, LEAST_ROWS)
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, wanted[lang] / sizes[lang])])
+    chosen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.where(chosen < share[F.col("lang")]).select("lang", F.col("text").cast("binary"))
+    counts = stored(sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    found = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+    keep = _shares(found, known_words, LEAST_WORDS) if found else {}
     place_of = {lang: i for i, lang in enumerate(languages)}
     tables: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(languages))) for _ in range(LONGEST + 1)]
-    for r in top:
-        if r["lang"] in place_of:
-            i = place_of[r["lang"]]
-            tables[0][r["word"]][i] += r["n"]
-            for n in range(1, LONGEST + 1):
-                for gram in _grams(r["word"], n):
-                    tables[n][gram][i] += r["n"]
-    found = [_table(dict(t), len(languages)) for t in tables]
-    return Model(languages, found[0], found[1:])
+    for lang in found:
+        for r in counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(keep[lang]).collect():
+            tables[0][r["word"]][place_of[lang]] += r["n"]
+    gram = F.explode(F.flatten(F.array(*[_gram_column(n) for n in range(1, LONGEST + 1)])))
+    grams = counts.select("lang", "n", gram.alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    for r in grams.toLocalIterator():
+        text = r["gram"]
+        tables[int(text[0])][text[1:]][place_of[r["lang"]]] += r["n"]
+    discard(counts)
+    places, numbers = zip(*[_table(t, len(languages)) for t in tables])
+    return Model(languages, places[0], numbers[0], list(places[1:]), list(numbers[1:]))
+
+
+def _gram_column(n: int) -> F.Column:
+    """The word's n-grams as ``_grams`` makes them, with n in front."""
+    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$")) if n > 1 else F.col("word")
+    places = F.sequence(F.lit(1), F.length(padded) - n + 1)
+    return F.when(F.length(padded) >= n, F.transform(places, lambda i: F.concat(F.lit(str(n)), F.substring(padded, i, F.lit(n))))).otherwise(F.array())
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "lang_pred", score: str = "score") -> DataFrame:
