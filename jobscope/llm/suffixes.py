@@ -116,10 +116,9 @@ def runs(texts: list[bytes | None], window: int = WINDOW):
 
 
 def _key(body: F.Column) -> list[F.Column]:
-    """Two longs that only rows with the same doc_id (or none) and text share: half of a SHA-256 of both."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
-    digest = F.sha2(F.concat(name, F.lit(b" "), body), 256)
-    return [F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for at in (1, 17)]
+    """Two longs, 128 bits of hash, that only rows with the same doc_id (or none) and text share."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return [F.xxhash64(F.lit(seed), name, body) for seed in (1, 2)]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
