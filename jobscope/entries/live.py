@@ -1,15 +1,22 @@
 """Streaming queries, run over the event table until all of it is processed."""
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobscope import bindings
 from jobscope.entries.registry import query
 from jobscope.entries.relations import subscriptions_with_lists
+from jobscope.operators import stats
 from jobscope.streaming import live
 from jobscope.streaming.tables import drain
 
 
+# How far event time has come when all events are read: results wait until it has passed them.
+_WATERMARK = "watermark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '1' HOUR AS ts FROM job_events)"
+
+
 def _stream(t, table: str) -> DataFrame:
     """A stored table as a file stream; the path pattern fits a file as well as a folder of files."""
     schema = t.base(table).schema
@@ -49,13 +56,42 @@ def stream_history(t):
     return table.latest(["timestamp"])
 
 
+_ROLLUP = """SELECT '{0}' AS period, {1} AS timestamp, count(*) FILTER (WHERE type = 'job.enqueued') AS enqueued, count(*) FILTER (WHERE type = 'job.completed') AS completed,
+      count(*) FILTER (WHERE type = 'job.failed') AS failed, CAST(round(CAST(CAST(sum(CAST(latency_ms AS DECIMAL(20, 6))) FILTER (WHERE type = 'job.completed') AS DOUBLE) / nullif(count(latency_ms) FILTER (WHERE type = 'job.completed'), 0) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS avg_latency_ms
+    FROM {2} GROUP BY 2"""
+_PERIODS = {"5m": "time_bucket(INTERVAL '5 minutes', ts)", "1h": "date_trunc('hour', ts)", "1d": "CAST(date_trunc('day', ts) AS TIMESTAMP)"}
+
+
+def _all_periods(table: str) -> str:
+    return " UNION ALL ".join(_ROLLUP.format(name, start, table) for name, start in _PERIODS.items())
+
+
+@query(
+    "stream_rollup",
+    f"""WITH {_WATERMARK}, closed AS (SELECT e.* FROM job_events e, watermark w WHERE date_trunc('day', e.ts) + INTERVAL '1' DAY <= w.ts)
+    {_all_periods("closed")}""",
+    "job_events",
+)
+def stream_rollup(t):
+    running, table = live.start_rollup(job_events(t))
+    drain(running)
+    return table.read().drop("epoch")
+
+
+@query("stats_history_all", _all_periods("job_events"), "job_events")
+def stats_history_all(t):
+    return stats.stats_history_all(t.job_events)
+
+
 @query(
     "stream_dashboard",
     """SELECT queue, type, count(*) AS jobs FROM (SELECT * FROM job_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY queue, type""",
     "job_events",
 )
 def stream_dashboard(t):
-    running, table = live.start_dashboard(job_events(t))
+    changing, changes = live.start_changes(job_events(t), forget_after=dt.timedelta(days=60))
+    drain(changing)
+    running, table = live.start_dashboard(t.spark, changes)
     drain(running)
     return live.dashboard_counts(table)
 
@@ -64,7 +100,8 @@ def stream_dashboard(t):
     "stream_unique",
     """WITH RECURSIVE kept(job_id, ts) AS (SELECT job_id, min(ts) FROM job_events GROUP BY job_id
       UNION ALL SELECT k.job_id, min(e.ts) FROM kept k JOIN job_events e ON e.job_id = k.job_id AND e.ts >= k.ts + INTERVAL '6' HOUR GROUP BY k.job_id, k.ts)
-    SELECT k.job_id, k.ts, min(e.event_id) AS event_id FROM kept k JOIN job_events e ON e.job_id = k.job_id AND e.ts = k.ts GROUP BY k.job_id, k.ts""",
+    SELECT k.job_id, k.ts, min(e.event_id) AS event_id FROM kept k JOIN job_events e ON e.job_id = k.job_id AND e.ts = k.ts
+    WHERE k.ts <= (SELECT max(ts) FROM watermark) GROUP BY k.job_id, k.ts""".replace("kept(job_id, ts) AS", f"{_WATERMARK}, kept(job_id, ts) AS", 1),
     "job_events",
 )
 def stream_unique(t):
@@ -128,8 +165,8 @@ def stream_stale(t):
     "stream_latency",
     """WITH e AS (SELECT job_id, event_id, ts, type, last_value(CASE WHEN type = 'job.started' THEN ts END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY ts, event_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM job_events)
-    SELECT job_id, event_id, s AS started_at, ts AS finished_at, type AS outcome, round(date_diff('microsecond', s, ts) / 1000.0, 3) AS latency_ms
-    FROM e WHERE type IN ('job.completed', 'job.failed') AND ts <= s + INTERVAL '1' HOUR""",
+    SELECT job_id, event_id, s AS started_at, e.ts AS finished_at, type AS outcome, round(date_diff('microsecond', s, e.ts) / 1000.0, 3) AS latency_ms
+    FROM e, watermark w WHERE type IN ('job.completed', 'job.failed') AND e.ts <= s + INTERVAL '1' HOUR AND e.ts <= w.ts - INTERVAL '1' HOUR""".replace("WITH e AS", f"WITH {_WATERMARK}, e AS", 1),
     "job_events",
 )
 def stream_latency(t):

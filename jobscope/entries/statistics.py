@@ -1,5 +1,7 @@
 """Queue, system, worker, audit and health queries."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from jobscope.entries.registry import AS_OF, query
@@ -240,6 +242,22 @@ def latency_p95(t):
     return stats.exact_percentile(t.job_events, "queue", "latency_ms", 0.95, "p95").withColumn("p95", F.round("p95", 6))
 
 
+@query(
+    "latency_sketch",
+    """WITH u AS (SELECT queue, latency_ms FROM job_events WHERE latency_ms IS NOT NULL AND ts >= TIMESTAMP '2024-01-08 00:00:00')
+    SELECT queue, count(*) AS latencies, CAST(0.95 AS DOUBLE) AS share FROM u GROUP BY queue""",
+    "job_events",
+)
+def latency_sketch(t):
+    """The exact share of latencies up to each estimate is held against 0.95 and the stated error."""
+    since = dt.datetime(2024, 1, 8)
+    found = stats.latency_quantiles(stats.latency_sketches(t.job_events), 0.95, since=since)
+    later = t.job_events.where(F.col("latency_ms").isNotNull() & (F.col("ts") >= F.lit(since).cast("timestamp_ntz")))
+    share = later.join(F.broadcast(found), "queue").groupBy("queue", "latencies").agg(F.avg((F.col("latency_ms") <= F.col("estimate")).cast("int")).alias("share"))
+    near = F.when(F.abs(F.col("share") - 0.95) <= stats.RANK_ERROR, F.lit(0.95)).otherwise(F.col("share"))
+    return share.select("queue", "latencies", F.round(near, 2).alias("share"))
+
+
 @query(
     "audit_categories",
     """SELECT server, category, count(*) FILTER (WHERE severity = 'pass') AS passed, count(*) FILTER (WHERE severity = 'warning') AS warnings,

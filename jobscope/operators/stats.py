@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from jobscope.functions.timing import parse_duration
 from jobscope.operators.shape import broadcast_if_small, measured
 from jobscope.schemas import BOTTLENECK_LIMIT, STATES, WAITING_STATES
+from jobscope.session import cut_lineage
 
 STALE_AFTER = "5m"
 
@@ -111,11 +112,37 @@ def worker_summary(workers: DataFrame, as_of: dt.datetime) -> DataFrame:
 ENQUEUED, COMPLETED, FAILED = "job.enqueued", "job.completed", "job.failed"
 
 
+def _average(total: Column, number: Column, digits: int = 4) -> Column:
+    average = total.cast("double") / F.nullif(number, F.lit(0))
+    return F.round(average.cast("decimal(30,10)"), digits).cast("double")
+
+
 def exact_avg(value: Column, digits: int = 4) -> Column:
     """Average over an exact decimal sum, rounded as a decimal: it does not depend on the order of the rows."""
-    total = F.sum(value.cast("decimal(20,6)")).cast("double")
-    average = total / F.nullif(F.count(value), F.lit(0))
-    return F.round(average.cast("decimal(30,10)"), digits).cast("double")
+    return _average(F.sum(value.cast("decimal(20,6)")), F.count(value), digits)
+
+
+#: Counts and sums of a period, from which those of a longer one follow.
+THROUGHPUT_PARTS = ("enqueued", "completed", "failed", "latency_sum", "latencies")
+
+
+def throughput_parts() -> list[Column]:
+    """Aggregates over events that give the parts of a period."""
+    kind = F.col("type")
+    latency = F.when(kind == COMPLETED, F.col("latency_ms"))
+    counts = [F.count_if(kind == t) for t in (ENQUEUED, COMPLETED, FAILED)]
+    found = [*counts, F.sum(latency.cast("decimal(20,6)")).cast("decimal(38,6)"), F.count(latency)]
+    return [c.alias(n) for c, n in zip(found, THROUGHPUT_PARTS)]
+
+
+def throughput_merged() -> list[Column]:
+    """Aggregates over parts that give the parts of the whole."""
+    return [F.sum(n).cast("decimal(38,6)" if n == "latency_sum" else "bigint").alias(n) for n in THROUGHPUT_PARTS]
+
+
+def throughput_of_parts() -> list[Column]:
+    """The statistics that the parts stand for."""
+    return ["enqueued", "completed", "failed", _average(F.col("latency_sum"), F.col("latencies")).alias("avg_latency_ms")]
 
 
 def _throughput() -> list[Column]:
@@ -177,6 +204,18 @@ def stats_history(events: DataFrame, period: str = "1h", since=None, queue: str
     )
 
 
+def stats_history_all(events: DataFrame) -> DataFrame:
+    """All periods at once, (period, timestamp, ...): hours and days are merged from the five-minute parts, which alone
+    are counted from the events; they are written out, as each of the three reads them."""
+    start = F.col("w.start").cast("timestamp_ntz").alias("timestamp")
+    fives = events.groupBy(F.window("ts", PERIODS["5m"]).alias("w")).agg(*throughput_parts()).select(start, *THROUGHPUT_PARTS)
+    levels = {"5m": cut_lineage(fives, "history")}
+    for finer, period in (("5m", "1h"), ("1h", "1d")):
+        levels[period] = levels[finer].groupBy(F.window("timestamp", PERIODS[period]).alias("w")).agg(*throughput_merged()).select(start, *THROUGHPUT_PARTS)
+    rows = [df.select(F.lit(p).alias("period"), "timestamp", *throughput_of_parts()) for p, df in levels.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def metrics(jobs: DataFrame, events: DataFrame, workers: DataFrame, queues: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Counters and gauges in long form (metric, value)."""
     span = F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))
@@ -273,29 +312,51 @@ def health(events: DataFrame, slo_ms: float = 100.0, error_budget: float = 0.05,
     A queue violates when its error rate exceeds the budget or its 95th latency percentile the objective;
     an hour is an anomaly when its failures exceed the queue's mean by ``sigmas`` deviations.
     """
-    counts = events.groupBy("queue").agg(
+    # One row per queue and hour, from one scan, says all but the percentile.
+    hourly = events.groupBy("queue", F.date_trunc("hour", "ts").alias("hour")).agg(
         F.count_if(F.col("type") == FAILED).alias("failed"), F.count_if(F.col("type").isin(COMPLETED, FAILED)).alias("done")
     )
-    tail = exact_percentile(events, "queue", "latency_ms", 0.95, "p95")
-    violations = (
-        counts.join(tail.withColumnRenamed("queue", "_queue"), F.col("queue").eqNullSafe(F.col("_queue")), "left")
-        .filter((F.col("failed") / F.nullif(F.col("done"), F.lit(0)) > error_budget) | (F.col("p95") > slo_ms))
-        .agg(F.count("*").alias("slo_violations"))
-    )
-    hourly = events.groupBy("queue", F.date_trunc("hour", "ts").alias("hour")).agg(F.count_if(F.col("type") == FAILED).alias("failures"))
-    usual = hourly.groupBy("queue").agg(F.avg("failures").alias("mean"), F.stddev_pop("failures").alias("dev"))
-    anomalies = (
-        hourly.join(usual.withColumnRenamed("queue", "_queue"), F.col("queue").eqNullSafe(F.col("_queue")))
-        .filter(F.col("failures") > F.col("mean") + sigmas * F.col("dev"))
-        .agg(F.count("*").alias("anomaly_count"))
+    hours = Window.partitionBy("queue")
+    usual = F.avg("failed").over(hours) + sigmas * F.stddev_pop("failed").over(hours)
+    queues = (
+        hourly.withColumn("unusual", F.col("failed") > usual)
+        .groupBy("queue")
+        .agg(F.sum("failed").alias("failed"), F.sum("done").alias("done"), F.count_if("unusual").alias("anomalies"))
     )
-    scored = violations.withColumn("anomaly_count", anomalies.scalar()).withColumn(
-        "score", F.greatest(F.lit(0).cast("bigint"), F.lit(100) - 10 * F.col("slo_violations") - 5 * F.col("anomaly_count"))
+    tail = exact_percentile(events, "queue", "latency_ms", 0.95, "p95").withColumnRenamed("queue", "_queue")
+    violates = (F.col("failed") / F.nullif(F.col("done"), F.lit(0)) > error_budget) | (F.col("p95") > slo_ms)
+    found = queues.join(tail, F.col("queue").eqNullSafe(F.col("_queue")), "left").agg(
+        F.count_if(violates).alias("slo_violations"), F.coalesce(F.sum("anomalies"), F.lit(0).cast("bigint")).alias("anomaly_count")
     )
+    scored = found.withColumn("score", F.greatest(F.lit(0).cast("bigint"), F.lit(100) - 10 * F.col("slo_violations") - 5 * F.col("anomaly_count")))
     status = F.when(F.col("score") >= 80, "healthy").when(F.col("score") >= 50, "degraded").otherwise("critical")
     return scored.select("score", status.alias("status"), "slo_violations", "anomaly_count")
 
 
+#: Size of a latency sketch; ranks are off by at most RANK_ERROR with 99 % confidence.
+SKETCH_SIZE, RANK_ERROR = 800, 0.01
+
+
+def latency_sketches(events: DataFrame, size: int = SKETCH_SIZE) -> DataFrame:
+    """(queue, hour, sketch): latencies of an hour as a quantile sketch of a few kilobytes, which can be kept and merged."""
+    known = events.where(F.col("latency_ms").isNotNull())
+    return known.groupBy("queue", F.date_trunc("hour", "ts").alias("hour")).agg(F.kll_sketch_agg_double("latency_ms", size).alias("sketch"))
+
+
+def latency_quantiles(sketches: DataFrame, q: float = 0.95, since: dt.datetime | None = None, until: dt.datetime | None = None) -> DataFrame:
+    """(queue, latencies, estimate): the ``q`` quantile of each queue over the hours from ``since`` up to ``until``.
+
+    Estimates come from the sketches alone, whatever the span; the share of latencies up to the estimate is within
+    ``RANK_ERROR`` of ``q``.  :func:`exact_percentile` gives the exact value from the events.
+    """
+    if since is not None:
+        sketches = sketches.where(F.col("hour") >= ntz(since))
+    if until is not None:
+        sketches = sketches.where(F.col("hour") < ntz(until))
+    merged = sketches.groupBy("queue").agg(F.kll_merge_agg_double("sketch").alias("s"))
+    return merged.select("queue", F.kll_sketch_get_n_double("s").alias("latencies"), F.kll_sketch_get_quantile_double("s", F.lit(q)).alias("estimate"))
+
+
 def cron_detail(runs: DataFrame) -> DataFrame:
     """Number of runs and the latest run of each cron."""
     newest = F.struct("scheduled_at", "job_id")

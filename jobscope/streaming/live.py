@@ -1,9 +1,8 @@
 """Live operators.  Each ``start_*`` returns (query, table): a running query and where its rows go.
 
-Filters, windows and session timeouts use Spark's own streaming state.  Operators whose step for one key
-depends on the step before (uniqueness, start-to-finish) run their batch form on each micro-batch and carry
-what still matters in one part per batch, so a heavy key is handled as in batch.  Event time is ``ts``;
-rows later than the watermark are dropped by the windowed operators and counted by Spark.
+All state is Spark's own: windows, sessions, both sides of a stream-stream join, and a value with a timer per key.
+Event time is ``ts``.  Operators with state drop rows later than the watermark, and Spark counts them; those that
+must see a key's events in order give their results once the watermark has passed them.
 """
 
 from __future__ import annotations
@@ -11,20 +10,23 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import IntegralType
 
 from jobscope.functions import route
-from jobscope.operators import history, stats
-from jobscope.operators.ordered import unique_within
+from jobscope.operators import stats
 from jobscope.schemas import NDJSON_BATCH
 from jobscope.session import work_dir
 from jobscope.sources.sinks import send_in_batches
+from jobscope.streaming import state
 from jobscope.streaming.tables import EpochTable, ddl, start
 
 WATERMARK = "1 hour"
-WATERMARK_DELAY = dt.timedelta(hours=1)
+#: Events after which a job is done.
+TERMINAL_EVENTS = ("job.completed", "job.failed", "job.cancelled", "job.discarded")
 
 
 def with_event_time(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -58,62 +60,105 @@ def start_history(events: DataFrame, period: str = "1h", path: str | None = None
     return start(points, table.write, "update", **options), table
 
 
-def start_dashboard(events: DataFrame, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
-    """Latest event per job of each batch; no state is kept.  Read it with :func:`dashboard_counts`."""
-    columns = events.select("job_id", "type", "queue", "ts", "event_id")
-    table = _table(columns, "dashboard", path)
-    newest = F.max_by(F.struct("type", "queue", "ts", "event_id"), F.struct("ts", "event_id"))
+def start_rollup(events: DataFrame, watermark: str = WATERMARK, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
+    """Statistics of closed days with their hours and five-minute periods, from one pass over the events.
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        table.write(batch.groupBy("job_id").agg(newest.alias("e")).select("job_id", "e.*"), epoch)
-
-    return start(columns, step, "append", **options), table
+    Periods are built from each other: counts and sums of five minutes merge into hours and those into days, by
+    three windowed aggregates one behind the other.  Each carries the periods that it is made of, at most 12 and 24,
+    so a day is written once, when the watermark has passed its end, with rows (period, timestamp, ...).
+    """
+    parts = stats.THROUGHPUT_PARTS
+    own = F.struct("start", *parts)
+
+    def level(rows: DataFrame, period: str, inner: list[str]) -> DataFrame:
+        lists = [F.flatten(F.collect_list(c)).alias(c) for c in inner]
+        merged = [*stats.throughput_merged(), *lists] if inner else stats.throughput_parts()
+        found = rows.groupBy(F.window("ts", stats.PERIODS[period]).alias("w")).agg(*merged)
+        found = found.select(F.window_time("w").alias("ts"), F.col("w.start").alias("start"), *parts, *inner)
+        return found.withColumn(f"p{period}", F.array(own))
+
+    fives = level(with_event_time(events, watermark), "5m", [])
+    days = level(level(fives, "1h", ["p5m"]), "1d", ["p5m", "p1h"])
+
+    def named(period: str) -> Column:
+        return F.transform(f"p{period}", lambda x: F.struct(F.lit(period).alias("period"), *[x[c].alias(c) for c in ("start", *parts)]))
+
+    each = F.concat(*map(named, stats.PERIODS))
+    rows = days.select(F.inline(each)).select("period", F.col("start").cast("timestamp_ntz").alias("timestamp"), *stats.throughput_of_parts())
+    table = _table(rows, "rollup", path)
+    return start(rows, table.write, "append", **options), table
+
+
+def start_changes(
+    events: DataFrame,
+    terminal: Sequence[str] = TERMINAL_EVENTS,
+    forget_after: dt.timedelta = dt.timedelta(days=30),
+    watermark: str = WATERMARK,
+    path: str | None = None,
+    retention: str = "7d",
+    **options,
+) -> tuple[StreamingQuery, str]:
+    """What each event changes in the numbers of jobs per queue and latest event type; returns (query, folder).
+
+    A job that moves on gives a row -1 for what it leaves and a row +1 for what it comes to.  A job is remembered
+    by its latest event, and no longer than ``forget_after`` once that event is ``terminal``; should it come back
+    later, it counts as a new job.  An event that is older than the job's latest one changes nothing.  Files are
+    no longer listed after ``retention``; :func:`start_dashboard` must have read them by then.
+    """
+    rows = events.select(
+        state.key_text("job_id").alias("g"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.col("event_id").cast("bigint").alias("id"),
+        "queue",
+        "type",
+    ).where(F.col("ts").isNotNull())
+    newest = state.thinned(rows, ["g"], ["-us", "-id"]).withWatermark("ts", watermark)
+    step = state.state_change(frozenset(terminal), int(forget_after.total_seconds() * 1000))
+    changes = newest.groupBy("g").applyInPandasWithState(step, state.CHANGE_ROWS, state.CHANGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    folder = path or work_dir(events.sparkSession, "changes")
+    writer = changes.writeStream.format("parquet").outputMode("append").option("path", folder).option("retention", retention)
+    writer = writer.option("checkpointLocation", options.pop("checkpoint", None) or work_dir(events.sparkSession, "stream"))
+    return writer.trigger(**(options or {"availableNow": True})).start(), folder
+
+
+def start_dashboard(spark: SparkSession, changes: str, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
+    """Jobs per queue and latest event type, summed from the folder of :func:`start_changes`.
+
+    The state is one number per queue and type, and the table holds the newest numbers only, however many batches
+    there were.  Read it with :func:`dashboard_counts`.
+    """
+    rows = spark.readStream.schema(state.CHANGE_ROWS).parquet(changes)
+    counts = rows.groupBy("queue", "type").agg(F.sum("change").alias("jobs"))
+    table = _table(counts, "dashboard", path)
+    return start(counts, table.replace, "complete", **options), table
 
 
 def dashboard_counts(table: EpochTable) -> DataFrame:
-    """Jobs per queue and latest event type; of a job's rows the one with the latest event counts, whatever its batch."""
-    newest = F.max_by(F.struct("type", "queue"), F.struct("ts", "event_id"))
-    jobs = table.read().groupBy("job_id").agg(newest.alias("e")).select("job_id", "e.*")
-    return jobs.groupBy("queue", "type").agg(F.count("*").alias("jobs"))
-
-
-def _carried(state: EpochTable, epoch: int, new: DataFrame, seconds: int) -> DataFrame:
-    """The state after a batch: rows of the last part and new ones, without those too old to matter.
-
-    A row matters while an event no later than the watermark can be within ``seconds`` of it.
-    """
-    rows = state.last_part(epoch).unionByName(new)
-    newest = rows.agg(F.max("ts")).first()[0]
-    if newest is None:
-        return rows
-    oldest = newest - dt.timedelta(seconds=seconds) - WATERMARK_DELAY
-    return rows.filter(F.col("ts") >= F.lit(oldest).cast(rows.schema["ts"].dataType))
+    """Jobs per queue and latest event type."""
+    return table.newest().where("jobs > 0")
 
 
-def start_unique(events: DataFrame, key: str, within_seconds: int, tie: str = "event_id", path: str | None = None, heavy=None, **options) -> tuple[StreamingQuery, EpochTable]:
-    """Events kept when a key may occur once per window.
+def start_unique(events: DataFrame, key: str, within_seconds: int, tie: str = "event_id", watermark: str = WATERMARK, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
+    """Events kept when a key may occur once per window, written once the watermark has passed them.
 
-    State is the last kept time per key, carried from batch to batch in one part and dropped once it is older than
-    the window and the watermark.  An event before its key's last kept time plus the window is dropped, late or not.
+    A key's state is its last kept time and the events that the watermark has not passed; it is dropped when the
+    watermark is a window beyond the last kept one.  Of events at one instant the one with the smallest ``tie``, a
+    number, counts.  Rows without a time are left out; a null key is a key.
     """
-    columns = events.select(key, "ts", tie)
-    base = path or work_dir(events.sparkSession, "unique")
-    table = _table(columns, "unique", f"{base}/kept")
-    state = _table(columns.select(key, "ts"), "unique", f"{base}/state")
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
-        try:
-            last = state.last_part(epoch)
-            table.write(unique_within(batch, key, "ts", tie, within_seconds, last_kept=last, heavy=heavy), epoch)
-            kept = table.part(epoch).groupBy(key).agg(F.max("ts").alias("ts"))
-            both = _carried(state, epoch, kept, within_seconds).groupBy(key).agg(F.max("ts").alias("ts"))
-            state.write(both, epoch)
-            state.drop_before(epoch - 1)
-        finally:
-            batch.unpersist()
-
-    return start(columns, step, "append", **options), table
+    kinds = {f.name: f.dataType for f in events.schema.fields}
+    if not isinstance(kinds[tie], IntegralType):
+        raise ValueError("the tie must be an integer column")
+    instant = F.col("ts").cast("timestamp")
+    rows = events.where(F.col("ts").isNotNull()).select(
+        state.key_text(key).alias("g"), instant.alias("ts"), F.unix_micros(instant).alias("us"), F.col(tie).cast("bigint").alias("tie")
+    )
+    rows = state.thinned(rows, ["g", "us"], ["tie"]).withWatermark("ts", watermark)
+    step = state.keep_once(int(within_seconds * 1_000_000))
+    kept = rows.groupBy("g").applyInPandasWithState(step, state.UNIQUE_ROWS, state.UNIQUE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    kept = kept.select(state.key_value("g", kinds[key]).alias(key), F.timestamp_micros("us").cast(kinds["ts"]).alias("ts"), F.col("tie").cast(kinds[tie]).alias(tie))
+    table = _table(kept, "unique", path)
+    return start(kept, table.write, "append", **options), table
 
 
 def start_subscription_match(events: DataFrame, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
@@ -184,27 +229,33 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
 
 
-def start_latency(events: DataFrame, within_seconds: int = 3600, path: str | None = None, heavy=None, **options) -> tuple[StreamingQuery, EpochTable]:
-    """Latency of each finish from the job's latest start before it; starts of earlier batches are carried over.
+def start_latency(events: DataFrame, within_seconds: int = 3600, watermark: str = WATERMARK, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
+    """Latency of each finish from the job's latest start before it, written when the watermark is ``within_seconds``
+    beyond the finish.
 
-    All starts within the limit are carried, since a finish may arrive after a later start; a part holds them, and
-    those older than the limit and the watermark are dropped.
+    Starts and finishes are joined as two streams, within the time limit, so Spark drops what can meet nothing any
+    more; an aggregate over the finish picks its closest start.  An event that arrives twice counts once.
     """
-    spark = events.sparkSession
-    columns = events.select("job_id", "event_id", "ts", "type")
-    base = path or work_dir(spark, "latency")
-    starts = EpochTable(spark, f"{base}/starts", ddl(columns))
-    empty = spark.createDataFrame([], ddl(columns))
-    out = EpochTable(spark, f"{base}/latencies", ddl(history.start_to_finish(empty, within_seconds, heavy=[])))
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
-        try:
-            both = starts.last_part(epoch).unionByName(batch)
-            out.write(history.start_to_finish(both, within_seconds, heavy=heavy), epoch)
-            starts.write(_carried(starts, epoch, batch.filter(F.col("type") == "job.started"), within_seconds), epoch)
-            starts.drop_before(epoch - 1)
-        finally:
-            batch.unpersist()
-
-    return start(columns, step, "append", **options), out
+    kind = events.schema["ts"].dataType
+    timed = with_event_time(events.select("job_id", "event_id", "ts", "type"), watermark)
+    starts = timed.where(F.col("type") == "job.started").select(F.col("job_id").alias("_job"), F.col("ts").alias("_ts"), F.col("event_id").alias("_id"))
+    ends = timed.where(F.col("type").isin("job.completed", "job.failed"))
+    met = (
+        F.col("job_id").eqNullSafe(F.col("_job"))
+        & (F.col("_ts") <= F.col("ts"))
+        & (F.col("_ts") >= F.col("ts") - F.expr(f"INTERVAL {int(within_seconds)} SECONDS"))
+        & ((F.col("_ts") < F.col("ts")) | (F.col("_id") < F.col("event_id")))
+    )
+    # One event time goes on: the start's becomes a plain number.
+    pairs = ends.join(starts, met).select("ts", "job_id", "event_id", "type", F.unix_micros("_ts").alias("_us"))
+    closest = pairs.groupBy("ts", "job_id", "event_id", "type").agg(F.max("_us").alias("_us"))
+    rows = closest.select(
+        "job_id",
+        "event_id",
+        F.timestamp_micros("_us").cast(kind).alias("started_at"),
+        F.col("ts").cast(kind).alias("finished_at"),
+        F.col("type").alias("outcome"),
+        F.round((F.unix_micros("ts") - F.col("_us")) / 1000.0, 3).alias("latency_ms"),
+    )
+    table = _table(rows, "latency", path)
+    return start(rows, table.write, "append", **options), table

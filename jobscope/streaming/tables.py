@@ -33,32 +33,23 @@ class EpochTable:
         rows = spark.read.schema(schema).parquet(self.path)
         return rows if before is None else rows.filter(F.col("epoch") < before)
 
-    def part(self, epoch: int) -> DataFrame:
-        """The rows of one batch."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/epoch={epoch}")
-
-    def last_part(self, before: int) -> DataFrame:
-        """The rows of the newest part before batch ``before``: one folder is listed and one part opened."""
-        spark = self.spark
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in system.listStatus(hadoop)] if system.exists(hadoop) else []
-        epochs = [int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=")]
-        found = max((e for e in epochs if e < before), default=None)
-        if found is None:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(f"{self.path}/epoch={found}")
-
-    def drop_before(self, epoch: int) -> None:
-        """Delete the parts of batches before ``epoch``."""
+    def replace(self, df: DataFrame, epoch: int) -> None:
+        """Write a batch that stands for all before it; of those only the last is kept, for readers at work."""
+        self.write(df, epoch)
         spark = self.spark
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in system.listStatus(hadoop) if system.exists(hadoop) else []:
+        for status in system.listStatus(hadoop):
             name = status.getPath().getName()
-            if name.startswith("epoch=") and int(name.removeprefix("epoch=")) < epoch:
+            if name.startswith("epoch=") and int(name.removeprefix("epoch=")) < epoch - 1:
                 system.delete(status.getPath(), True)
 
+    def newest(self) -> DataFrame:
+        """The rows of the newest batch."""
+        rows = self.read()
+        last = rows.agg(F.max("epoch").alias("_last"))
+        return rows.join(F.broadcast(last), rows["epoch"] == last["_last"]).drop("epoch", "_last")
+
     def latest(self, keys: Sequence[str]) -> DataFrame:
         """The row of the latest batch per key (a key occurs at most once per batch)."""
         rows = self.read()

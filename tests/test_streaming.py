@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobscope.operators import history, stats
-from jobscope.operators.ordered import heavy_slices, unique_within
+from jobscope.operators.ordered import unique_within
 from jobscope.streaming import live
 from jobscope.streaming.tables import EpochTable, drain
 
@@ -44,47 +44,155 @@ def test_history(spark, events, rows):
     assert table.read().select("epoch").distinct().count() == 5
 
 
-def test_dashboard(spark, events, rows):
-    query, table = live.start_dashboard(stream(spark, events))
+def passed(batch, seconds=0):
+    """The watermark after all events, less ``seconds``."""
+    last = max(r.ts for r in batch.select("ts").collect())
+    return last.replace(microsecond=last.microsecond // 1000 * 1000) - dt.timedelta(hours=1, seconds=seconds)
+
+
+def disordered(spark, folder, parts, schema):
+    """One file per part, and all rows as a table."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return feed, spark.createDataFrame([r for p in parts for r in p], schema)
+
+
+def state_rows(query):
+    """Rows in the last stateful operator after each batch."""
+    return [p.stateOperators[-1].numRowsTotal for p in query.recentProgress if p.stateOperators]
+
+
+def shuffled_parts(n=900, minutes=40):
+    """Six parts whose events are up to ``minutes`` out of order, so they overlap; null and hot jobs among them."""
+    rnd = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(n):
+        job = rnd.choice([None, "hot", "hot", *[f"job-{k}" for k in range(12)]])
+        ts = start + dt.timedelta(seconds=i * 60, microseconds=rnd.randrange(10**6))
+        rows.append((i, ts, job, "job." + rnd.choice(["enqueued", "started", "completed", "failed"]), rnd.choice(["a", "b", None]), 1.0))
+    late = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rnd.random() * minutes))
+    return [late[k * n // 6 : (k + 1) * n // 6] for k in range(6)]
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("mixed"))
+    disordered(spark, folder, shuffled_parts(), SCHEMA)
+    batch = spark.read.schema(SCHEMA).parquet(folder)
+    return folder, batch
+
+
+def test_dashboard(spark, mixed, rows):
+    changing, changes = live.start_changes(stream(spark, mixed))
+    drain(changing)
+    assert live.late_rows(changing) == 0
+    query, table = live.start_dashboard(spark, changes)
+    drain(query)
+    want = history.latest_state(mixed[1]).groupBy("queue", "type").agg(F.count("*"))
+    assert rows(live.dashboard_counts(table)) == rows(want)
+
+
+def test_dashboard_forgets_finished_jobs(spark, tmp_path, rows):
+    """Numbers stay right while state falls, and the table holds the newest numbers only."""
+    day = lambda d, job, kind, n: (n, dt.datetime(2024, 1, 1 + d), job, "job." + kind, "a", 1.0)
+    parts = [[day(0, f"j{k}", "started", k) for k in range(5)], [day(1, f"j{k}", "completed", 10 + k) for k in range(4)], [day(9, "x", "started", 20)], [day(10, "x", "failed", 21)]]
+    feed, everything = disordered(spark, str(tmp_path / "in"), parts, SCHEMA)
+    changing, changes = live.start_changes(feed, forget_after=dt.timedelta(days=2), path=str(tmp_path / "changes"))
+    drain(changing)
+    assert max(state_rows(changing)) == 5 + 1 and state_rows(changing)[-1] == 2
+    for _ in range(2):
+        query, table = live.start_dashboard(spark, changes, path=str(tmp_path / "table"), checkpoint=str(tmp_path / "check"))
+        drain(query)
+    assert rows(live.dashboard_counts(table)) == [("a", "job.completed", 4), ("a", "job.failed", 1), ("a", "job.started", 1)]
+    assert len(list((tmp_path / "table").glob("epoch=*"))) <= 2
+
+
+@pytest.mark.parametrize("seconds", [0, 500, 5000])
+def test_unique(spark, mixed, rows, seconds):
+    query, table = live.start_unique(stream(spark, mixed), "job_id", seconds)
     drain(query)
-    assert rows(live.dashboard_counts(table)) == rows(history.latest_state(events[1]).groupBy("queue", "type").agg(F.count("*")))
+    want = unique_within(mixed[1], "job_id", "ts", "event_id", seconds, heavy=[]).where(F.col("ts") <= F.lit(passed(mixed[1])).cast("timestamp_ntz"))
+    assert rows(table.read().drop("epoch")) == rows(want)
+    assert table.read().select("epoch").distinct().count() > 3 and live.late_rows(query) == 0
 
 
-@pytest.mark.parametrize("sliced", [False, True])
-def test_unique(spark, events, rows, sliced):
-    heavy = heavy_slices(events[1], ["job_id"], "ts", rows_per_slice=40, small_bytes=0) if sliced else []
-    assert (heavy != []) == sliced and heavy is not None
-    query, table = live.start_unique(stream(spark, events), "job_id", 5000, heavy=heavy)
+def test_unique_forgets(spark, tmp_path, rows):
+    """State holds what the window still needs; ties, a number as key and late events."""
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    schema = "event_id bigint, ts timestamp_ntz, k bigint"
+    big = 2**53 + 1
+    parts = [
+        [(2, at(1), big), (1, at(1), big), (3, at(1, 20), big), (4, at(1, 5), big - 1)],
+        [(5, at(1, 10), big - 1), (6, at(2), big), (7, None, big)],
+        [(8, at(9), 1)],
+        [(10, at(12), 2), (11, at(10), 3)],
+        [(9, at(3), big), (12, at(20), 4)],
+    ]
+    feed, _ = disordered(spark, str(tmp_path), parts, schema)
+    query, table = live.start_unique(feed, "k", 1800)
     drain(query)
-    assert rows(table.read().drop("epoch")) == rows(unique_within(events[1], "job_id", "ts", "event_id", 5000, heavy=[]))
+    assert rows(table.read().drop("epoch")) == sorted([(big, at(1), 1), (big - 1, at(1, 5), 4), (big, at(2), 6), (1, at(9), 8), (2, at(12), 10), (3, at(10), 11)], key=repr)
+    assert live.late_rows(query) == 1
+    assert state_rows(query)[-1] == 1 and max(state_rows(query)) >= 3
+
 
+def test_unique_needs_a_number_as_tie(spark, events):
+    with pytest.raises(ValueError):
+        live.start_unique(stream(spark, events), "job_id", 5, tie="type")
 
-def test_latency(spark, events, rows):
-    query, table = live.start_latency(stream(spark, events), 3600)
+
+def test_latency(spark, mixed, rows):
+    query, table = live.start_latency(stream(spark, mixed), 3000)
     drain(query)
-    assert rows(table.read().drop("epoch")) == rows(history.start_to_finish(events[1], 3600, heavy=[]))
+    want = history.start_to_finish(mixed[1], 3000, heavy=[]).where(F.col("finished_at") <= F.lit(passed(mixed[1], 3000)).cast("timestamp_ntz"))
+    assert rows(table.read().drop("epoch")) == rows(want) and want.where("job_id is null").count() > 0
+    assert table.read().select("epoch").distinct().count() > 3
 
 
 def test_out_of_order_batches(spark, tmp_path, rows):
-    """A finish that arrives after a later start meets the earlier one; old state is dropped."""
+    """A finish that arrives after a later start meets the earlier one; old events leave the join's state."""
     at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
     parts = [
         [(1, at(10, 0), "a", "job.started"), (2, at(10, 30), "a", "job.started")],
-        [(3, at(10, 20), "a", "job.completed"), (4, at(10, 40), "a", "job.failed")],
+        [(3, at(10, 20), "a", "job.completed"), (4, at(10, 40), "a", "job.failed"), (4, at(10, 40), "a", "job.failed"), (8, at(10, 30), "a", "job.completed")],
         [(5, at(20, 0), "b", "job.started")],
-        [(6, at(20, 5), "b", "job.completed"), (7, at(20, 6), "a", "job.completed")],
+        [(6, at(20, 5), "b", "job.completed"), (7, at(20, 6), "a", "job.completed"), (9, at(23, 0), "c", "job.started")],
     ]
     schema = "event_id bigint, ts timestamp_ntz, job_id string, type string"
-    for i, part in enumerate(parts):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    everything = spark.createDataFrame([r for p in parts for r in p], schema)
-    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    feed, everything = disordered(spark, str(tmp_path / "in"), parts, schema)
     query, table = live.start_latency(feed, 3600, path=str(tmp_path / "out"))
     drain(query)
-    assert rows(table.read().drop("epoch")) == rows(history.start_to_finish(everything, 3600, heavy=[]))
-    left = [p.name for p in (tmp_path / "out" / "starts").iterdir()]
-    assert len(left) == 2
-    assert [r.event_id for r in spark.read.parquet(str(tmp_path / "out" / "starts" / max(left))).collect()] == [5]
+    assert rows(table.read().drop("epoch")) == rows(history.start_to_finish(everything, 3600, heavy=[]).distinct())
+    assert sorted(p.name[:6] for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["epoch="] * len(list((tmp_path / "out").glob("epoch=*")))
+    joined = [[op.numRowsTotal for op in p.stateOperators if "Join" in op.operatorName] for p in query.recentProgress]
+    assert max(map(sum, joined)) >= 5 and sum(joined[-1]) <= 2
+
+
+def test_rollup(spark, tmp_path, rows):
+    """Days, hours and five minutes of closed days, from one query; equal to the batch forms."""
+    parts = shuffled_parts(6 * 24 * 60 // 2, 30)
+    parts = [[(i, ts + (ts - dt.datetime(2024, 1, 1)), *rest) for i, ts, *rest in p] for p in parts]
+    feed, everything = disordered(spark, str(tmp_path), parts, SCHEMA)
+    query, table = live.start_rollup(feed)
+    drain(query)
+    closed = passed(everything).replace(hour=0, minute=0, second=0, microsecond=0)
+    got = table.read().drop("epoch")
+    assert closed > dt.datetime(2024, 1, 3)
+    for period in ("5m", "1h", "1d"):
+        want = stats.stats_history(everything, period).where(F.col("timestamp") < F.lit(closed).cast("timestamp_ntz"))
+        assert rows(got.where(F.col("period") == period).drop("period").select(want.columns)) == rows(want)
+    assert table.read().select("epoch").distinct().count() > 1
+    sources = query.lastProgress.sources
+    assert len(sources) == 1
+
+
+def test_history_of_all_periods(events, rows):
+    got = stats.stats_history_all(events[1])
+    for period in ("5m", "1h", "1d"):
+        want = stats.stats_history(events[1], period)
+        assert rows(got.where(F.col("period") == period).select(want.columns)) == rows(want)
 
 
 def test_subscriptions(spark, events, rows, tmp_path):
