@@ -103,6 +103,29 @@ def dag_closure(t):
     return workflows.dependency_depth(t.workflow_steps)
 
 
+# Steps that depend on the one before, often on an earlier one too, and in some workflows on a later one.
+_EDGES = """SELECT workflow_id, step_id, unnest([depends_on, concat('step-', CAST(n - 1 - j % 4 AS VARCHAR)), CASE WHEN n = 2 AND w % 50 = 0 THEN 'step-4' END]) AS depends_on FROM numbered"""
+
+
+@query(
+    "dag_levels",
+    f"""WITH RECURSIVE numbered AS (SELECT *, CAST(substr(step_id, 6) AS BIGINT) AS n, CAST(substr(job_id, 5) AS BIGINT) AS j, CAST(substr(workflow_id, 4) AS BIGINT) AS w FROM workflow_steps),
+      edges AS ({_EDGES}), sizes AS (SELECT workflow_id, count(*) AS steps FROM workflow_steps GROUP BY 1),
+      paths AS (SELECT workflow_id, step_id, 0 AS depth FROM workflow_steps
+        UNION SELECT e.workflow_id, e.step_id, p.depth + 1 FROM paths p JOIN edges e ON e.workflow_id = p.workflow_id AND e.depends_on = p.step_id JOIN sizes z ON z.workflow_id = p.workflow_id
+          WHERE p.depth < z.steps)
+    SELECT p.workflow_id, p.step_id, CAST(CASE WHEN max(p.depth) < any_value(z.steps) THEN max(p.depth) END AS INTEGER) AS level
+    FROM paths p JOIN sizes z ON z.workflow_id = p.workflow_id GROUP BY ALL""",
+    "workflow_steps",
+)
+def dag_levels(t):
+    part = lambda c, at: F.substring(c, at, 20).cast("bigint")
+    n, j, w = part("step_id", 6), part("job_id", 5), part("workflow_id", 4)
+    earlier = F.concat(F.lit("step-"), (n - 1 - j % 4).cast("string"))
+    later = F.when((n == 2) & (w % 50 == 0), "step-4")
+    return workflows.dependency_levels(t.workflow_steps.select("workflow_id", "step_id", F.explode(F.array("depends_on", earlier, later)).alias("depends_on")))
+
+
 @query(
     "sub_match",
     """SELECT s.id, s.url, x.type, count(e.event_id) AS events, min(e.ts) AS first_at, max(e.ts) AS last_at
@@ -130,6 +153,22 @@ def reconcile_jobs(t):
     return reconcile.reconcile(t.jobs, t.target_jobs)
 
 
+# The target without a few jobs, with a few changed ones and one more.
+_NEARLY = "SELECT CASE job_id WHEN 'job-1' THEN 'job-x' ELSE job_id END AS job_id, CASE WHEN job_id IN ('job-2', 'job-35') THEN 'other' ELSE type END AS type, queue, args_json FROM jobs WHERE job_id <> 'job-3'"
+
+
+@query(
+    "reconcile_ranges",
+    f"""WITH nearly AS ({_NEARLY})
+    SELECT coalesce(s.job_id, x.job_id) AS job_id, CASE WHEN x.job_id IS NULL THEN 'missing' WHEN s.job_id IS NULL THEN 'extra' ELSE 'changed' END AS status
+    FROM jobs s FULL JOIN nearly x ON s.job_id = x.job_id WHERE s.job_id IS NULL OR x.job_id IS NULL OR s.type <> x.type""",
+    "jobs",
+)
+def reconcile_ranges(t):
+    t.jobs.createOrReplaceTempView("jobs")
+    return reconcile.reconcile_ranges(t.jobs, t.spark.sql(_NEARLY))
+
+
 @query(
     "apply_mapping",
     """SELECT job_id, CASE type WHEN 'email.send' THEN 'mail.deliver' WHEN 'report.generate' THEN 'report.build' ELSE type END AS type,

@@ -1,16 +1,16 @@
 """Producer and consumer contracts: cross validation, orphans, payload checks.
 
-A contract is identified by (service, role, job_type).  Two producers with the same arguments get the
-same verdict against any consumer, so the check runs once per pair of *distinct argument lists* of a
-job type and carries the numbers of services behind each list; it does not write a row per pair of
-services.  ``pairs_of`` lists the service pairs of chosen services.
+A contract is identified by (service, role, job_type).  Every producer of a job type is checked against every
+consumer of it without a row per pair: producers have places in bitmaps, an index holds the bitmap of those that
+provide an argument with a type, and a consumer list combines the bitmaps of its requirements.  Counts of
+producers come out.  ``pairs_of`` lists the service pairs of chosen services.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.functions import arg_type, json_kind
@@ -18,6 +18,8 @@ from jobscope.operators.shape import broadcast_if_small, measured
 from jobscope.operators.shape import once
 
 KEY = ["service", "role", "job_type"]
+#: Producers of a job type that share a bitmap, about; a bitmap has 32,768 places.
+PLACES_PER_PART = 16384
 
 
 def resolve_args(contract_args: DataFrame) -> DataFrame:
@@ -41,15 +43,6 @@ def argument_lists(contract_args: DataFrame) -> DataFrame:
     return lists.withColumn("signature", F.md5(F.to_json("args")))
 
 
-def _signatures(lists: DataFrame, role: str) -> DataFrame:
-    return (
-        lists.filter(F.col("role") == role)
-        .groupBy("job_type", "signature")
-        .agg(F.first("args").alias(f"{role}_args"), F.count("*").alias(f"{role}s"))
-        .withColumnRenamed("signature", f"{role}_signature")
-    )
-
-
 def _problems(consumer_args: Column, producer_args: Column) -> Column:
     """Arguments that break the pair: a required one is missing, or both declare it with different types."""
     provided = F.map_from_entries(F.transform(producer_args, lambda a: F.struct(a["arg_name"], a["arg_type"])))
@@ -65,54 +58,103 @@ def _problems(consumer_args: Column, producer_args: Column) -> Column:
     return F.filter(F.transform(consumer_args, problem), lambda p: p["problem"].isNotNull())
 
 
-def cross_validate(contract_args: DataFrame, lists: DataFrame | None = None) -> DataFrame:
-    """One row per job type and pair of distinct argument lists: verdict, problems, and services behind it."""
-    lists = argument_lists(contract_args) if lists is None else lists
-    pairs = _signatures(lists, "producer").join(_signatures(lists, "consumer"), "job_type")
-    return pairs.withColumn("problems", _problems(F.col("consumer_args"), F.col("producer_args"))).select(
-        "job_type",
-        "producer_signature",
-        "consumer_signature",
-        "producers",
-        "consumers",
-        (F.col("producers") * F.col("consumers")).alias("pairs"),
-        (F.size("problems") == 0).alias("passed"),
-        "problems",
+def _placed(lists: DataFrame) -> DataFrame:
+    """Producers with a block and a place in its bitmap; a job type with many is dealt over several blocks."""
+    producers = lists.filter(F.col("role") == "producer").select("job_type", "service", "args")
+    sizes = producers.groupBy("job_type").agg(F.ceil(F.count("*") / PLACES_PER_PART).alias("parts"))
+    dealt = producers.join(broadcast_if_small(measured(sizes)), "job_type").withColumn("part", F.pmod(F.xxhash64("service"), F.col("parts")))
+    number = F.row_number().over(Window.partitionBy("job_type", "part").orderBy("service"))
+    dealt = dealt.withColumn("number", number)
+    block = F.col("part") * (1 << 20) + F.bitmap_bucket_number("number")
+    return dealt.select("job_type", block.alias("block"), F.bitmap_bit_position("number").alias("place"), "args")
+
+
+def _failing(lists: DataFrame, consumers: DataFrame) -> DataFrame:
+    """(job_type, signature, failed): how many producers fail against each distinct consumer list, where any does.
+
+    The producers that provide every required argument are the intersection of the bitmaps of those that provide
+    each; those with a wrong type are a union of bitmaps.  The ones that pass are in the first and not in the second.
+    """
+    placed = measured(_placed(lists))
+    each = placed.select("job_type", "block", "place", F.inline("args")).select("job_type", "block", "place", "arg_name", F.col("arg_type").alias("given"))
+    keys = ["job_type", "arg_name", "block"]
+    provided = measured(each.groupBy(*keys, "given").agg(F.bitmap_construct_agg("place").alias("who")))
+    present = provided.groupBy(*keys).agg(F.bitmap_or_agg("who").alias("who"))
+    total = placed.groupBy("job_type").agg(F.count("*").alias("total"))
+
+    needs = consumers.select("job_type", "signature", F.inline("args"))
+    required = needs.where("required").select("job_type", "signature", "arg_name")
+    typed = needs.where("coalesce(arg_type, '') <> ''").select("job_type", "signature", "arg_name", "arg_type")
+    kinds = typed.select("job_type", "arg_name", "arg_type").distinct()
+    wrong = kinds.join(provided, ["job_type", "arg_name"]).where(~F.col("given").eqNullSafe(F.col("arg_type")))
+    wrong = wrong.groupBy(*keys, "arg_type").agg(F.bitmap_or_agg("who").alias("who"))
+
+    nothing = F.lit(None).cast("binary")
+    have = required.join(present, ["job_type", "arg_name"]).select("job_type", "signature", "block", F.col("who").alias("have"), nothing.alias("bad"))
+    bad = typed.join(wrong, ["job_type", "arg_name", "arg_type"]).select("job_type", "signature", "block", nothing.alias("have"), F.col("who").alias("bad"))
+    list_block = ["job_type", "signature", "block"]
+    met = have.unionByName(bad).groupBy(*list_block).agg(F.count("have").alias("met"), F.bitmap_and_agg("have").alias("all"), F.bitmap_or_agg("bad").alias("bad"))
+    # Of two bitmaps, (first and not second) has as many places as (first or second) less the second.
+    either = met.select(*list_block, "met", F.bitmap_count("bad").alias("bad"), F.explode(F.array("all", "bad")).alias("who"))
+    either = either.groupBy(*list_block).agg(F.max("met").alias("met"), F.max("bad").alias("bad"), F.bitmap_count(F.bitmap_or_agg("who")).alias("either"))
+    blocks = either.groupBy("job_type", "signature", "met").agg(F.sum("bad").alias("bad"), F.sum(F.col("either") - F.col("bad")).alias("fit"))
+    count = F.size(F.filter("args", lambda a: F.coalesce(a["required"], F.lit(False))))
+    full = consumers.select("job_type", "signature", count.alias("needed")).join(broadcast_if_small(measured(total)), "job_type")
+    # Without a required argument all producers fit that are not bad; otherwise those of the blocks where every argument is met.
+    sums = blocks.groupBy("job_type", "signature").agg(F.sum("bad").alias("bad"), F.collect_list(F.struct("met", "fit")).alias("fits"))
+    joined = full.join(sums, ["job_type", "signature"], "left")
+    fits = F.filter("fits", lambda f: f["met"] == F.col("needed"))
+    passed = F.when(F.col("needed") == 0, F.col("total") - F.coalesce("bad", F.lit(0))).otherwise(
+        F.coalesce(F.aggregate(fits, F.lit(0).cast("bigint"), lambda a, f: a + f["fit"]), F.lit(0))
     )
+    return joined.select("job_type", "signature", passed.alias("passed"), (F.col("total") - passed).alias("failed"))
+
+
+def list_verdicts(contract_args: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """One row per job type and distinct consumer list: its consumers, and the producers that pass and fail."""
+    lists = measured(argument_lists(contract_args)) if lists is None else lists
+    side = lists.filter(F.col("role") == "consumer").groupBy("job_type", "signature")
+    consumers = measured(side.agg(F.first("args").alias("args"), F.count("*").alias("consumers")))
+    return consumers.select("job_type", "signature", "consumers").join(_failing(lists, consumers), ["job_type", "signature"])
 
 
 def consumer_verdicts(contract_args: DataFrame) -> DataFrame:
     """Per job type and consumer: how many producers pass and how many fail against it."""
-    lists = argument_lists(contract_args)
-    per_list = (
-        cross_validate(contract_args, lists)
-        .groupBy("job_type", F.col("consumer_signature").alias("signature"))
-        .agg(
-            F.sum(F.when(F.col("passed"), F.col("producers")).otherwise(0)).alias("passed"),
-            F.sum(F.when(~F.col("passed"), F.col("producers")).otherwise(0)).alias("failed"),
-        )
-    )
+    lists = measured(argument_lists(contract_args))
     consumers = lists.filter(F.col("role") == "consumer").select("job_type", F.col("service").alias("consumer"), "signature")
-    return consumers.join(per_list, ["job_type", "signature"]).select("job_type", "consumer", "passed", "failed")
+    found = list_verdicts(contract_args, lists).drop("consumers")
+    return consumers.join(found, ["job_type", "signature"]).select("job_type", "consumer", "passed", "failed")
 
 
 def argument_errors(contract_args: DataFrame) -> DataFrame:
-    """Per job type and consumer argument: how many service pairs fail on it, and how."""
-    return (
-        cross_validate(contract_args)
-        .select("job_type", "pairs", F.inline("problems"))
-        .groupBy("job_type", "arg_name", "problem", "producer_type", "consumer_type")
-        .agg(F.sum("pairs").alias("pairs"))
-    )
-
+    """Per job type and consumer argument: how many service pairs fail on it, and how.
 
-def pairs_of(contract_args: DataFrame, services: Sequence[str], verdicts: DataFrame | None = None) -> DataFrame:
+    A pair fails on an argument by what each side says of it alone, so the services that say the same are counted
+    first, and their numbers multiplied.
+    """
+    args = measured(resolve_args(contract_args))
+    name = ["job_type", "arg_name"]
+    named = args.where("arg_name is not null")
+    producers = named.where("role = 'producer'").groupBy(*name, F.col("arg_type").alias("producer_type")).agg(F.count("*").alias("p"))
+    producers = measured(producers)
+    consumers = named.where("role = 'consumer'").groupBy(*name, F.col("arg_type").alias("consumer_type"), "required").agg(F.count("*").alias("c"))
+    consumers = measured(consumers)
+    total = args.where("role = 'producer'").select("job_type", "service").distinct().groupBy("job_type").agg(F.count("*").alias("total"))
+    have = producers.groupBy(*name).agg(F.sum("p").alias("have"))
+    lacking = F.col("total") - F.coalesce("have", F.lit(0))
+    missing = consumers.where("required").join(broadcast_if_small(measured(total)), "job_type").join(have, name, "left").where(lacking > 0)
+    missing = missing.select(*name, F.lit("missing").alias("problem"), F.lit(None).cast("string").alias("producer_type"), "consumer_type", (F.col("c") * lacking).alias("pairs"))
+    differ = (F.coalesce("consumer_type", F.lit("")) != "") & ~F.col("producer_type").eqNullSafe(F.col("consumer_type"))
+    wrong = consumers.join(producers, name).where(differ)
+    wrong = wrong.select(*name, F.lit("type").alias("problem"), "producer_type", "consumer_type", (F.col("c") * F.col("p")).alias("pairs"))
+    return missing.unionByName(wrong).groupBy(*name, "problem", "producer_type", "consumer_type").agg(F.sum("pairs").alias("pairs"))
+
+
+def pairs_of(contract_args: DataFrame, services: Sequence[str]) -> DataFrame:
     """All pairs in which one of ``services`` takes part, with the messages a user reads."""
-    lists = argument_lists(contract_args)
-    verdicts = cross_validate(contract_args, lists) if verdicts is None else verdicts
-    side = lists.select("service", "role", "job_type", "signature")
-    producers = side.filter(F.col("role") == "producer").select(F.col("service").alias("producer"), "job_type", F.col("signature").alias("producer_signature"))
-    consumers = side.filter(F.col("role") == "consumer").select(F.col("service").alias("consumer"), "job_type", F.col("signature").alias("consumer_signature"))
+    lists = measured(argument_lists(contract_args))
+    producers = lists.filter(F.col("role") == "producer").select(F.col("service").alias("producer"), "job_type", F.col("args").alias("producer_args"))
+    consumers = lists.filter(F.col("role") == "consumer").select(F.col("service").alias("consumer"), "job_type", F.col("args").alias("consumer_args"))
     chosen_p = producers.filter(F.col("producer").isin(list(services)))
     chosen_c = consumers.filter(F.col("consumer").isin(list(services)))
     pairs = chosen_p.join(consumers, "job_type").unionByName(producers.join(chosen_c, "job_type")).distinct()
@@ -124,11 +166,12 @@ def pairs_of(contract_args: DataFrame, services: Sequence[str], verdicts: DataFr
             F.concat(F.lit("consumer "), F.col("consumer"), F.lit(" expects required arg "), name, F.lit(" but producer "), F.col("producer"), F.lit(" doesn't provide it")),
         ).otherwise(F.concat(F.lit("arg "), name, F.lit(" type mismatch: producer="), p["producer_type"], F.lit(", consumer="), p["consumer_type"]))
 
-    return pairs.join(verdicts, ["job_type", "producer_signature", "consumer_signature"]).select(
+    pairs = once(pairs, problems=_problems(F.col("consumer_args"), F.col("producer_args")))
+    return pairs.select(
         F.concat(F.col("producer"), F.lit("↔"), F.col("consumer")).alias("service"),
         F.lit("cross").alias("role"),
         "job_type",
-        "passed",
+        (F.size("problems") == 0).alias("passed"),
         F.transform("problems", message).alias("errors"),
     )
 
@@ -146,8 +189,11 @@ def orphans(contract_args: DataFrame) -> DataFrame:
 
 def suite_summary(contract_args: DataFrame) -> DataFrame:
     """Passed and failed results of the whole suite: service pairs plus orphans."""
-    lists = argument_lists(contract_args)
-    checked = cross_validate(contract_args, lists).select("passed", F.col("pairs").alias("n"))
+    lists = measured(argument_lists(contract_args))
+    verdicts = list_verdicts(contract_args, lists)
+    checked = verdicts.select(
+        F.explode(F.array(*[F.struct(F.lit(ok).alias("passed"), (F.col("consumers") * F.col(c)).alias("n")) for ok, c in ((True, "passed"), (False, "failed"))])).alias("v")
+    ).select("v.passed", "v.n")
     sides = lists.groupBy("job_type").agg(F.count_if(F.col("role") == "producer").alias("p"), F.count_if(F.col("role") == "consumer").alias("c"))
     alone = sides.where("p = 0 or c = 0").select(F.lit(True).alias("passed"), (F.col("p") + F.col("c")).alias("n"))
     zero = F.lit(0).cast("bigint")

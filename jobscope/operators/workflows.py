@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jobscope.operators.search import Page, page
+from jobscope.operators.shape import broadcast_if_small
 from jobscope.schemas import SEARCH_LIMIT
-from jobscope.session import cut_lineage, discard, work_dir
+from jobscope.session import cut_lineage, discard
 
 
 def steps_with_jobs(steps: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -81,35 +80,64 @@ def dependency_depth(edges: DataFrame) -> DataFrame:
     )
 
 
+#: A round that would join more pairs than this many times its rows places one level instead of doubling.
+MOST_GROWTH = 8
+
+
 def dependency_levels(edges: DataFrame) -> DataFrame:
     """Longest path to every step of a general graph; ``edges`` has one row per (step, depends_on).
 
-    One round per level, until a round places nothing: a step is placed when all its dependencies are.
-    Steps on or behind a cycle get a null level.  Dependencies on unknown steps are ignored.
+    Jumps are pairs of steps with a path of exactly L dependencies between them; L doubles each round, and a level is
+    the longest of its own so far and L more than that of a step jumped to.  So the number of rounds grows with the
+    logarithm of the depth.  Where steps with many dependents and many dependencies would make pairs of all of them,
+    a round places the steps whose dependencies are all placed, which is one level; such graphs are wide rather than
+    deep.  Steps on or behind a cycle have jumps as long as their workflow has steps, and get a null level.
+    Dependencies on unknown steps are ignored; repeated rows count once.
     """
-    spark, key = edges.sparkSession, ["workflow_id", "step_id"]
-    out = work_dir(spark, "levels")
+    key, up = ["workflow_id", "step_id"], ["workflow_id", "depends_on"]
     steps = cut_lineage(edges.select(*key).distinct(), "steps")
+    known = steps.withColumnRenamed("step_id", "depends_on")
     links = edges.filter(F.col("depends_on").isNotNull()).select(*key, "depends_on").distinct()
-    known = steps.select("workflow_id", F.col("step_id").alias("depends_on"))
-    links = cut_lineage(links.join(known, ["workflow_id", "depends_on"], "left_semi"), "links")
-    waiting = cut_lineage(links.groupBy(*key).agg(F.count("*").alias("missing")), "waiting")
-    steps.join(waiting, key, "left_anti").write.parquet(f"{out}/level=0")
-    for level in itertools.count():
-        placed = spark.read.schema(steps.schema).parquet(f"{out}/level={level}")
-        if not placed.limit(1).count():
-            break
-        met = (
-            links.join(placed.withColumnRenamed("step_id", "depends_on"), ["workflow_id", "depends_on"], "left_semi")
-            .groupBy(*key)
-            .agg(F.count("*").alias("met"))
-        )
-        left = waiting.join(met, key, "left").select(*key, (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing"))
-        left = cut_lineage(left, "waiting")
-        discard(waiting)
-        left.filter(F.col("missing") == 0).select(*key).write.parquet(f"{out}/level={level + 1}")
-        waiting = left.filter(F.col("missing") > 0)
-    discard(waiting)
-    discard(links)
-    levels = spark.read.schema(f"{steps.schema.simpleString()[7:-1].replace(':', ' ')}, level int").parquet(out)
-    return steps.join(levels, key, "left")
+    links = cut_lineage(links.join(known, up, "left_semi"), "links")
+    sizes = cut_lineage(steps.groupBy("workflow_id").agg(F.count("*").alias("_steps")), "sizes")
+    levels = cut_lineage(steps.select(*key, F.lit(0).cast("bigint").alias("level"), F.lit(False).alias("placed"), F.lit(False).alias("cyclic")), "levels")
+    jumps, length = cut_lineage(links, "jumps"), 1
+    while not jumps.isEmpty():
+        above = levels.select("workflow_id", F.col("step_id").alias("depends_on"), F.col("level").alias("_level"), F.col("placed").alias("_placed"))
+        reach = jumps.join(above, up).groupBy(*key).agg((F.max("_level") + length).alias("_reach"))
+        onward = jumps.groupBy(*key).agg(F.count("*").alias("_out"))
+        inward = jumps.groupBy(*up).agg(F.count("*").alias("_in")).withColumnRenamed("depends_on", "step_id")
+        pairs = onward.join(inward, key).agg(F.sum(F.col("_in") * F.col("_out"))).first()[0] or 0
+        if pairs <= MOST_GROWTH * jumps.count():
+            # A path as long as its workflow has steps runs in a cycle.
+            round_ = jumps.join(broadcast_if_small(sizes), "workflow_id").where(F.col("_steps") <= length).select(*key).distinct()
+            turning = cut_lineage(round_.withColumn("_turns", F.lit(True)), "turning")
+            found = levels.join(reach, key, "left").join(turning, key, "left").select(
+                *key, F.greatest("level", F.coalesce("_reach", "level")).alias("level"), "placed", (F.col("cyclic") | F.coalesce("_turns", F.lit(False))).alias("cyclic")
+            )
+            straight = jumps.join(turning, key, "left_anti")
+            onto = straight.select("workflow_id", F.col("step_id").alias("depends_on"), F.col("depends_on").alias("_next"))
+            further = straight.join(onto, up).select(*key, F.col("_next").alias("depends_on")).distinct()
+            length *= 2
+        else:
+            turning = None
+            open_ = links.join(levels.where("not placed").select(*key), key, "left_semi")
+            ready = open_.join(above, up).groupBy(*key).agg(F.bool_and("_placed").alias("_ready"), (F.max("_level") + 1).alias("_reach"))
+            found = levels.join(ready, key, "left").select(
+                *key,
+                F.when(~F.col("placed") & F.col("_ready"), F.col("_reach")).otherwise(F.col("level")).alias("level"),
+                (F.col("placed") | F.coalesce("_ready", F.lit(True))).alias("placed"),
+                "cyclic",
+            )
+            further = None
+        before, levels = levels, cut_lineage(found, "levels")
+        if further is None:
+            # Placed steps have their level; what is left jumps among the others.
+            if levels.where("placed").count() == before.where("placed").count():
+                levels = levels.withColumn("cyclic", F.col("cyclic") | ~F.col("placed"))
+                break
+            further = jumps.join(levels.where("not placed").select(*key), key, "left_semi")
+        old, jumps = jumps, cut_lineage(further, "jumps")
+        for table in (old, before, *([turning] if turning is not None else [])):
+            discard(table)
+    return levels.select(*key, F.when(~F.col("cyclic"), F.col("level")).cast("int").alias("level"))

@@ -1,5 +1,8 @@
 import datetime as dt
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,8 +34,66 @@ def test_contract_pairs(spark, rows):
     assert pairs["p1↔c1"] == (True, [])
     assert pairs["p2↔c1"] == (False, ['arg "to" type mismatch: producer=int, consumer=string'])
     assert contracts.pairs_of(args, ["c2", "p1"]).count() == 4
-    # Producers with equal arguments are checked once.
-    assert contracts.cross_validate(args).count() == 4
+    errors = rows(contracts.argument_errors(args))
+    assert ("mail", "body", "missing", None, "string", 3) in errors and ("mail", "to", "type", "int", "string", 2) in errors and len(errors) == 2
+
+
+def plain_contracts(args):
+    """Every pair of services, argument by argument."""
+    sides = {"producer": {}, "consumer": {}}
+    for service, role, job, name, kind, required in args:
+        held = sides[role].setdefault((job, service), {})
+        if name is not None:
+            held[name] = (kind, required)
+    verdicts, errors = {}, Counter()
+    for (job, c), wants in sides["consumer"].items():
+        given = [g for (j, _), g in sides["producer"].items() if j == job]
+        failed = 0
+        for g in given:
+            bad = [(n, "missing", None, k) for n, (k, r) in wants.items() if n not in g and r]
+            bad += [(n, "type", g[n][0], k) for n, (k, _) in wants.items() if n in g and k and g[n][0] != k]
+            failed += bool(bad)
+            errors.update((job, *b) for b in bad)
+        if given:
+            verdicts[job, c] = (len(given) - failed, failed)
+    return verdicts, errors
+
+
+@pytest.mark.parametrize("places", [16384, 7])
+def test_contracts_equal_all_pairs(spark, monkeypatch, places):
+    """Many lists of one job type, in one block and in many; types that are null or empty, contracts without arguments."""
+    monkeypatch.setattr(contracts, "PLACES_PER_PART", places)
+    rnd = random.Random(places)
+    args = []
+    for n in range(160):
+        role = rnd.choice(["producer", "consumer"])
+        job = rnd.choice(["big", "big", "big", "small", f"only-{role}"])
+        names = rnd.sample("abcdef", rnd.choice([0, 1, 2, 3, 6]))
+        args += [(f"s{n}", role, job, x, rnd.choice(["int", "int", "int", "string", "", None]), rnd.random() < 0.4) for x in names] or [(f"s{n}", role, job, None, None, None)]
+    verdicts, errors = plain_contracts(args)
+    df = contract(spark, args)
+    assert {(r.job_type, r.consumer): (r.passed, r.failed) for r in contracts.consumer_verdicts(df).collect()} == verdicts
+    assert Counter({tuple(r)[:5]: r.pairs for r in contracts.argument_errors(df).collect()}) == errors
+    alone = {(s, r, j) for s, r, j, *_ in args if j.startswith("only-")}
+    assert tuple(contracts.suite_summary(df).first()) == (sum(p for p, _ in verdicts.values()) + len(alone), sum(f for _, f in verdicts.values()))
+    some = {r.service: r.passed for r in contracts.pairs_of(df, [f"s{n}" for n in range(20)]).collect()}
+    assert sum(some.values()) > 0 and len(some) < sum(p + f for p, f in verdicts.values())
+
+
+def test_contracts_of_a_crowded_job_type(spark):
+    """10,000 distinct lists a side, 10^8 pairs: counted without a row per pair, equal to sums over bit masks."""
+    number = spark.range(10000).withColumnRenamed("id", "n")
+    # List n has the arguments of its bits; consumers ask for two of them.
+    produced = number.select(F.concat(F.lit("p"), "n").alias("service"), F.lit("producer").alias("role"), "n", F.explode(F.array(*[F.struct(F.lit(f"b{i}").alias("arg_name"), F.shiftright("n", i).bitwiseAND(1).alias("bit")) for i in range(14)])).alias("a")).where("a.bit = 1")
+    produced = produced.select("service", "role", F.col("a.arg_name"), F.lit("int").alias("arg_type"), F.lit(True).alias("required"))
+    wanted = number.select(F.concat(F.lit("c"), "n").alias("service"), F.lit("consumer").alias("role"), F.explode(F.array(F.concat(F.lit("b"), F.col("n") % 14), F.concat(F.lit("b"), F.floor(F.col("n") / 14) % 14), F.concat(F.lit("own"), "n"))).alias("arg_name"))
+    wanted = wanted.select("service", "role", "arg_name", F.lit("int").alias("arg_type"), (~F.col("arg_name").startswith("own")).alias("required"))
+    args = produced.unionByName(wanted).select("service", "role", F.lit("crowd").alias("job_type"), "arg_name", "arg_type", "required", F.lit(1).alias("ord"))
+    masks = np.arange(1, 10000)
+    want = [int(np.sum((masks >> (n % 14) & 1) & (masks >> (n // 14 % 14) & 1))) for n in range(10000)]
+    assert tuple(contracts.suite_summary(args).first()) == (sum(want), 9999 * 10000 - sum(want))
+    got = {r.consumer: r.passed for r in contracts.consumer_verdicts(args).collect()}
+    assert all(got[f"c{n}"] == want[n] for n in range(10000))
 
 
 def test_last_declaration_of_an_argument_wins(spark):
@@ -50,11 +111,66 @@ def test_depth_of_chains_roots_and_cycles(spark, rows):
     assert all(got["c", s] == (None, None, True) for s in "abd")
 
 
+def plain_levels(edges):
+    """Steps are placed when all their known dependencies are."""
+    steps = {(w, s) for w, s, _ in edges}
+    needs = {x: {(w, d) for w, s, d in edges if (w, s) == x and (w, d) in steps} for x in steps}
+    placed = {}
+    while True:
+        ready = [x for x in steps - placed.keys() if needs[x] <= placed.keys()]
+        if not ready:
+            return {x: placed.get(x) for x in steps}
+        placed |= {x: max((placed[d] + 1 for d in needs[x]), default=0) for x in ready}
+
+
+GRAPH = "workflow_id string, step_id string, depends_on string"
+
+
 def test_levels_of_a_general_graph(spark):
-    edges = [("w", "a", None), ("w", "b", "a"), ("w", "c", "a"), ("w", "d", "b"), ("w", "d", "a"), ("w", "e", "d"), ("w", "e", "ghost"), ("w", "p", "q"), ("w", "q", "p")]
-    df = spark.createDataFrame(edges, "workflow_id string, step_id string, depends_on string")
+    edges = [("w", "a", None), ("w", "b", "a"), ("w", "c", "a"), ("w", "d", "b"), ("w", "d", "a"), ("w", "e", "d"), ("w", "e", "ghost"), ("w", "p", "q"), ("w", "q", "p"), ("w", "r", "q"), ("w", "r", "a"), ("w", "z", "z")]
+    df = spark.createDataFrame(edges + edges[:3], GRAPH)
     got = {r.step_id: r.level for r in workflows.dependency_levels(df).collect()}
-    assert got == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3, "p": None, "q": None}
+    assert got == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3, "p": None, "q": None, "r": None, "z": None}
+    assert workflows.dependency_levels(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("growth", [0, 8, 10**9])
+def test_levels_equal_placing_step_by_step(spark, monkeypatch, growth):
+    """Sparse, dense and cyclic graphs of different sizes at once, by doubling, by placing levels and by both."""
+    monkeypatch.setattr(workflows, "MOST_GROWTH", growth)
+    rnd = random.Random(growth)
+    edges = []
+    for w, (n, many, back) in enumerate([(1, 0, 0), (12, 2, 0), (25, 4, 0), (9, 2, 0.2), (18, 1, 0.05), (2, 1, 1)]):
+        for s in range(n):
+            edges.append((f"w{w}", f"s{s}", None))
+            edges += [(f"w{w}", f"s{s}", f"s{rnd.randrange(s)}") for _ in range(rnd.randint(0, many)) if s]
+            edges += [(f"w{w}", f"s{s}", f"s{rnd.randrange(n)}")] * (rnd.random() < back)
+    got = {(r.workflow_id, r.step_id): r.level for r in workflows.dependency_levels(spark.createDataFrame(edges, GRAPH)).collect()}
+    assert got == plain_levels(edges) and None in got.values()
+
+
+def count_rounds(monkeypatch):
+    names = []
+    write = workflows.cut_lineage
+    monkeypatch.setattr(workflows, "cut_lineage", lambda df, name: names.append(name) or write(df, name))
+    return names
+
+
+def test_rounds_grow_with_the_logarithm_of_the_depth(spark, monkeypatch):
+    names = count_rounds(monkeypatch)
+    ladder = [("w", f"{side}{i}", f"{other}{i - 1}" if i else None) for i in range(100) for side in "ab" for other in "ab"]
+    got = {r.step_id: r.level for r in workflows.dependency_levels(spark.createDataFrame(ladder, GRAPH)).collect()}
+    assert got == {f"{side}{i}": i for i in range(100) for side in "ab"}
+    assert names.count("jumps") - 1 <= 8
+
+
+def test_hubs_are_not_made_into_pairs(spark, monkeypatch):
+    """A step with 3,000 dependencies and 3,000 dependents: three levels are placed one by one."""
+    names = count_rounds(monkeypatch)
+    hub = [("w", f"a{i}", None) for i in range(3000)] + [("w", "hub", f"a{i}") for i in range(3000)] + [("w", f"b{i}", "hub") for i in range(3000)]
+    got = {r.step_id: r.level for r in workflows.dependency_levels(spark.createDataFrame(hub, GRAPH)).collect()}
+    assert got == {f"a{i}": 0 for i in range(3000)} | {"hub": 1} | {f"b{i}": 2 for i in range(3000)}
+    assert names.count("jumps") - 1 <= 4
 
 
 @pytest.fixture
