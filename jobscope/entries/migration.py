@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from jobscope.entries.registry import AS_OF, query
+from jobscope.operators import reconcile
 from jobscope.plans import adapters, analysis, validate
-from jobscope.session import work_dir
+from jobscope.session import cut_lineage, work_dir
 from jobscope.sources import keyspace, readers, sinks
 
 _DELAYED = "strftime(TIMESTAMP '2024-01-31 00:00:00' + INTERVAL '1' SECOND * (seq % 4), '%Y-%m-%dT%H:%M:%SZ')"
@@ -200,13 +201,18 @@ def validate_top(t):
     return validate.first_errors(validate.validate_jobs(t.ndjson_lines)[0], ["line"])
 
 
-@query("scan_ndjson", "SELECT raw, 1 AS lines_ok FROM ndjson_lines WHERE raw <> ''", "ndjson_lines")
+@query(
+    "scan_ndjson",
+    "SELECT * FROM (SELECT line % 8 AS file, row_number() OVER (PARTITION BY line % 8 ORDER BY line) AS line, raw FROM ndjson_lines) WHERE raw <> ''",
+    "ndjson_lines",
+)
 def scan_ndjson(t):
-    """Lines written as text files and read back; ``lines_ok`` says that the line number fits the file."""
+    """Lines written to eight files and read back in small blocks, with their numbers; empty lines count."""
     path = work_dir(t.spark, "ndjson")
-    t.ndjson_lines.select("raw").write.text(path)
-    read = readers.read_job_ndjson(t.spark, path)
-    return read.select("raw", (F.col("line") >= 1).cast("int").alias("lines_ok"))
+    lines = t.ndjson_lines.withColumn("file", F.col("line") % 8)
+    lines.repartition(8, "file").sortWithinPartitions("file", "line").select("file", "raw").write.partitionBy("file").text(path)
+    read = _in_blocks(t, lambda: readers.read_job_ndjson(t.spark, f"{path}/*"), "16k")
+    return read.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("bigint").alias("file"), "line", "raw")
 
 
 @query(
@@ -239,20 +245,66 @@ def read_export(t):
     return back.select("id", "type", "queue", "state", F.to_json("args").alias("args"), "priority", "attempt", "max_attempts")
 
 
+def _documents(t) -> str:
+    """All jobs as three export documents; messages have braces, quotes and backslashes."""
+    path = work_dir(t.spark, "documents")
+    text = F.concat(F.lit('}{"]\\\\ "jobs": ['), "job_id")
+    jobs = t.jobs.select(
+        F.col("job_id").alias("id"), text.alias("type"), "queue", "state", F.try_parse_json(F.concat(F.lit('[{"a": "}"},'), F.substring("args_json", 2, 10000))).alias("args"), "priority", "attempt", "max_attempts"
+    )
+    sinks.write_export_documents(jobs.repartition(3), path, {"backend": "tables", "url": t.sf_dir, "version": "1"}, AS_OF.isoformat() + "Z")
+    return path
+
+
+@query(
+    "read_document",
+    """SELECT job_id AS id, concat('}{"]\\\\ "jobs": [', job_id) AS type, queue, state, concat('[{"a":"}"},', substr(args_json, 2)) AS args, priority, attempt, max_attempts FROM jobs""",
+    "jobs",
+)
+def read_document(t):
+    """Documents cut into many blocks; the size is put back afterwards."""
+    jobs = _in_blocks(t, lambda: readers.read_export_document(t.spark, _documents(t))[1])
+    return jobs.select("id", "type", "queue", "state", F.to_json("args").alias("args"), "priority", "attempt", "max_attempts")
+
+
+def _in_blocks(t, read, block="256k"):
+    name, size = "spark.sql.files.maxPartitionBytes", t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    t.spark.conf.set(name, block)
+    try:
+        # Written while the size holds, as blocks are cut when a file is listed.
+        return cut_lineage(read(), "jobs")
+    finally:
+        t.spark.conf.set(name, size)
+
+
+@query(
+    "import_document",
+    """SELECT backend, count(*) AS total, count(*) FILTER (WHERE state <> 'completed') AS success, count(*) FILTER (WHERE state = 'completed') AS failed,
+      CAST(ceil(count(*) FILTER (WHERE state <> 'completed') / 50) AS BIGINT) AS batches FROM jobs, (SELECT 'tables' AS backend) GROUP BY backend""",
+    "jobs",
+)
+def import_document(t):
+    """Jobs of a document go out in batches of 50; here the finished ones count as refused."""
+    header, jobs = readers.read_export_document(t.spark, _documents(t))
+    backend = header.agg(F.max("source.backend").alias("backend"))
+    return backend.join(reconcile.import_result(jobs, F.col("state") != "completed", batch_size=50))
+
+
 @query(
     "api_dump",
-    """SELECT list_queue AS queue, concat('Type', CAST(seq % 5 AS VARCHAR)) AS type, count(*) AS jobs FROM raw_faktory GROUP BY 1, 2""",
+    """WITH sizes AS (SELECT list_queue, count(*) AS size FROM raw_faktory GROUP BY 1)
+    SELECT list_queue AS queue, concat('Type', CAST(seq % 5 AS VARCHAR)) AS type, count(*) AS jobs, any_value(size) AS size FROM raw_faktory JOIN sizes USING (list_queue) GROUP BY 1, 2""",
     "raw_faktory",
 )
 def api_dump(t):
-    """Job pages as JSON lines, read back and converted."""
+    """Pages of up to twenty jobs as JSON lines, read back: sizes of the queues, and the jobs converted."""
     path = work_dir(t.spark, "api")
-    pages = t.raw_faktory.select(
-        F.col("list_queue").alias("queue"), F.lit(1).cast("bigint").alias("size"), F.array(F.try_parse_json("payload")).alias("jobs")
-    )
+    pages = t.raw_faktory.groupBy(F.col("list_queue").alias("queue"), F.floor(F.col("seq") / 20).alias("page")).agg(F.collect_list("payload").alias("payloads"))
+    pages = pages.select("queue", F.size("payloads").cast("bigint").alias("size"), F.transform("payloads", F.try_parse_json).alias("jobs"))
     pages.write.json(path)
-    raw = keyspace.read_api_dump(t.spark, path)[1]
-    return adapters.convert("faktory", raw).jobs.groupBy(F.col("list_queue").alias("queue"), "type").agg(F.count("*").alias("jobs"))
+    sizes, raw = keyspace.read_api_dump(t.spark, path)
+    found = adapters.convert("faktory", raw).jobs.groupBy(F.col("list_queue").alias("queue"), "type").agg(F.count("*").alias("jobs"))
+    return found.join(sizes.groupBy("queue").agg(F.sum("size").alias("size")), "queue").select("queue", "type", "jobs", "size")
 
 
 @query(

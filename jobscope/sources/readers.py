@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobscope.operators.shape import broadcast_if_small, measured, once
 from jobscope.schemas import EXPORT_DOCUMENT, EXPORT_VERSION, LIVE_JOB
+from jobscope.sources.documents import read_elements
 
 
 def read_job_ndjson(spark: SparkSession, path: str) -> DataFrame:
@@ -42,12 +44,15 @@ def _versioned(column: str) -> Column:
 def read_export_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(header, jobs) of single-document exports, one document per file.
 
-    A JSON document cannot be split, so each file is one task; :func:`jobscope.sources.sinks.write_export`
-    writes jobs as lines, which can.  Any version but 1.0 fails when the jobs are read.
+    A document of any size is read by many tasks (:mod:`jobscope.sources.documents`).  Any version but 1.0 fails
+    when the jobs are read.
     """
-    documents = spark.read.schema(EXPORT_DOCUMENT).option("multiLine", True).json(path)
+    rest, elements = read_elements(spark, path, "jobs")
+    kind = T.StructType.fromDDL(EXPORT_DOCUMENT)["jobs"].dataType.elementType
+    documents = once(rest, d=F.from_json("raw", EXPORT_DOCUMENT)).select("file", "d.*")
     header = documents.select("version", "source", "exported_at", "options", "stats")
-    jobs = documents.select(F.explode(_versioned("jobs")).alias("j")).select("j.*")
+    versions = broadcast_if_small(measured(documents.select("file", _versioned("version").alias("_version"))))
+    jobs = once(elements.join(versions, "file"), j=F.from_json("raw", kind)).where("_version is not null").select("j.*")
     return header, jobs
 
 

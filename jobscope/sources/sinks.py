@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,23 @@ def write_export(jobs: DataFrame, path: str, source: dict[str, str], exported_at
     spark.range(1).select(F.lit(header).alias("value")).coalesce(1).write.mode(mode).text(f"{path}/header")
 
 
+def write_export_documents(jobs: DataFrame, path: str, source: dict[str, str], exported_at: str, mode: str = "errorifexists") -> None:
+    """Exports as single JSON documents, one per partition of ``jobs``, each written by one task as it reads its rows."""
+    header = json.dumps({"version": EXPORT_VERSION, "source": source, "exported_at": exported_at})[:-1] + ', "jobs": ['
+
+    def framed(batches):
+        lead = ""
+        yield pa.RecordBatch.from_pydict({"value": [header]})
+        for batch in batches:
+            if batch.num_rows:
+                lines = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_pydict({"value": [lead + lines[0], *("," + x for x in lines[1:])]})
+                lead = ","
+        yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+
+    jobs.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(framed, "value string").write.mode(mode).text(path)
+
+
 def write_metrics(metric_rows: DataFrame, path: str, prefix: str = "", mode: str = "overwrite") -> None:
     metrics_exposition(metric_rows, prefix).coalesce(1).write.mode(mode).text(path)
 

@@ -1,9 +1,12 @@
 import json
+import random
+from collections import defaultdict
 
 import pytest
 
 from jobscope.session import work_dir
 from jobscope.sources import keyspace, readers, sinks
+from jobscope.sources.documents import read_elements
 
 
 def test_line_numbers_over_splits(spark, tmp_path):
@@ -33,6 +36,70 @@ def test_export_document(spark, tmp_path):
         readers.read_export_document(spark, str(bad))[1].collect()
 
 
+def nasty_documents(seed, number, most):
+    """Documents whose strings and members look like structure, with the array in different places."""
+    rnd = random.Random(seed)
+    texts = ['}', '{"jobs": [', '\\', '\\"', '"', '\\\\', "]}", "\n", "é😀", "", "x" * 30, '", "jobs": [{']
+
+    def value(depth):
+        kind = rnd.random()
+        if depth and kind < 0.25:
+            return {rnd.choice(["jobs", "a}", 'q"', "b"]) + str(i): value(depth - 1) for i in range(rnd.randint(0, 4))}
+        if depth and kind < 0.5:
+            return [value(depth - 1) for _ in range(rnd.randint(0, 4))]
+        return rnd.choice([1, None, True, -2.5, *texts])
+
+    out = []
+    for _ in range(number):
+        jobs = [{"id": str(i), "type": rnd.choice(texts), "v": value(3), "jobs": rnd.choice([[], [{"x": 1}], {}])} for i in range(rnd.choice([0, 1, 3, most]))]
+        members = [("version", "1.0"), ("options", {"jobs": [1, {"y": "}"}], "queues": ["}"]}), ("jobs", jobs), ("stats", {"total_jobs": len(jobs)}), ("more", [[{"z": []}], "jobs"])]
+        rnd.shuffle(members)
+        style = rnd.choice([{}, {"indent": 1}, {"separators": (",", ":")}, {"ensure_ascii": False}])
+        out.append((jobs, dict(members), json.dumps(dict(members), **style) + rnd.choice(["", "\n", " \n\t"])))
+    return out
+
+
+@pytest.mark.parametrize("block", [41, 97, 700, 1 << 20])
+def test_elements_of_documents(spark, tmp_path, block):
+    """Blocks that begin anywhere, also inside strings, names and escapes, give each element once, and the rest."""
+    documents = nasty_documents(block, 12 if block > 100 else 3, 60 if block > 100 else 2)
+    assert sum(len(text) for *_, text in documents) / block < 300
+    for i, (_, _, text) in enumerate(documents):
+        (tmp_path / f"{i:02}.json").write_text(text, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", f"{block}b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rest, elements = read_elements(spark, str(tmp_path), "jobs")
+        rest, elements = rest.collect(), elements.orderBy("file", "block", "number").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = defaultdict(list)
+    for r in elements:
+        got[r.file].append(json.loads(r.raw))
+    around = {r.file: json.loads(r.raw) for r in rest}
+    assert len(around) == len(documents)
+    order = lambda x: json.dumps(x, sort_keys=True)
+    assert sorted(([got[f], around[f]] for f in around), key=order) == sorted(([jobs, whole | {"jobs": []}] for jobs, whole, _ in documents), key=order)
+
+
+def test_elements_that_are_no_objects(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"version": "1.0", "jobs": [{"id": "1"}, 5]}')
+    with pytest.raises(Exception, match="no objects"):
+        read_elements(spark, str(tmp_path), "jobs")[1].collect()
+
+
+def test_documents_round_trip(spark, tmp_path):
+    jobs = spark.range(1000).selectExpr("cast(id as string) AS id", "concat('t}', id) AS type", "'q' AS queue", "'available' AS state", "try_parse_json('[{\"a\":\"}\"}]') AS args")
+    sinks.write_export_documents(jobs.repartition(2), str(tmp_path / "d"), {"backend": "b"}, "2024-01-01T00:00:00Z")
+    header, back = readers.read_export_document(spark, str(tmp_path / "d"))
+    assert header.count() == 2 and {r.source.backend for r in header.collect()} == {"b"}
+    assert sorted(back.selectExpr("id", "type", "to_json(args)").collect()) == sorted(jobs.selectExpr("id", "type", "to_json(args)").collect())
+
+
 def test_export_folder(spark, tmp_path):
     jobs = spark.createDataFrame([("1", "t", "q", "available"), ("2", "t", "r", "scheduled")], "id string, type string, queue string, state string")
     path = str(tmp_path / "out")
