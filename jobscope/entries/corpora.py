@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from jobscope.entries.registry import query
 from jobscope.plans import code, configs, validate, workflow_import
+from jobscope.session import work_dir
+from jobscope.sources import readers
 
 _PART = "concat('cfg/', CAST(p_partkey AS VARCHAR), '.json') AS path"
 
@@ -46,17 +48,33 @@ def cfg_rejects(t):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query(
-    "cfg_bullmq",
-    f"""SELECT {_PART}, concat('job.', CAST(p_partkey AS VARCHAR)) AS type, concat('q', CAST(p_size AS VARCHAR)) AS queue, nullif(p_size % 4, 0) AS max_attempts,
+_BULLMQ = f"""SELECT {_PART}, concat('job.', CAST(p_partkey AS VARCHAR)) AS type, concat('q', CAST(p_size AS VARCHAR)) AS queue, nullif(p_size % 4, 0) AS max_attempts,
       CASE WHEN p_size % 4 > 0 THEN CASE WHEN p_partkey % 4 = 0 THEN 'fixed' ELSE 'exponential' END END AS backoff,
       CAST(CASE WHEN p_size % 4 > 0 THEN CASE p_partkey % 4 WHEN 0 THEN 30000 WHEN 1 THEN 1000 WHEN 2 THEN 5 END END AS BIGINT) AS delay_ms, CAST(NULL AS VARCHAR) AS cron FROM part
-    UNION ALL SELECT {_PART}, 'plain', concat('q', CAST(p_size AS VARCHAR)), NULL, NULL, NULL, NULL FROM part""",
-)
+    UNION ALL SELECT {_PART}, 'plain', concat('q', CAST(p_size AS VARCHAR)), NULL, NULL, NULL, NULL FROM part"""
+
+
+@query("cfg_bullmq", _BULLMQ)
 def cfg_bullmq(t):
     return configs.convert_bullmq_configs(t.bullmq_configs).jobs
 
 
+def _written(t, files, by):
+    """Small files below a new folder, one per value of ``by``, which is a path."""
+    path = work_dir(t.spark, "files")
+    files.repartition(by).write.partitionBy(by).text(path)
+    return path
+
+
+@query("read_configs", _BULLMQ.replace(_PART, "1 AS one").replace("SELECT 1 AS one,", "SELECT "))
+def read_configs(t):
+    """Configurations of four hundred neighbours in one file, read as files and converted."""
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("bigint")
+    queues = t.bullmq_configs.where(~F.col("path").startswith("cfg/bad")).select(F.floor(number / 400).alias("part"), F.from_json("content", "queues array<variant>").alias("c"))
+    files = queues.groupBy("part").agg(F.flatten(F.collect_list("c.queues")).alias("queues")).select("part", F.to_json(F.struct("queues")).alias("value"))
+    return configs.convert_bullmq_configs(readers.read_configs(t.spark, _written(t, files, "part"))).jobs.drop("path")
+
+
 @query(
     "cfg_bullmq_warn",
     f"""SELECT {_PART}, concat('job.', CAST(p_partkey AS VARCHAR), ': unsupported backoff type "jitter", defaulting to exponential') AS message FROM part WHERE p_partkey % 4 = 2 AND p_size % 4 > 0
@@ -109,6 +127,24 @@ def code_jobs(t):
     return code.extract_all(t.source_files)
 
 
+@query(
+    "read_source_tree",
+    f"""WITH {_FILES}, {_CODE} SELECT framework, name, queue, retry_count FROM defs WHERE framework <> 'bullmq'
+    UNION ALL SELECT framework, name, queue, retry_count FROM (SELECT DISTINCT p_partkey // 400, framework, name, queue, retry_count FROM defs WHERE framework = 'bullmq')""",
+)
+def read_source_tree(t):
+    """Sources of four hundred neighbours in one file per language, in folders, read as a tree and searched.
+
+    A name that stands several times in a file of the one language is one definition there.
+    """
+    number = F.regexp_extract("path", "f([0-9]+)$", 1).cast("bigint")
+    place = F.concat(F.lit("lang"), (number % 4).cast("string"), F.lit("-"), F.floor(number / 400).cast("string"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))), lambda x: x["content"]), "\n")
+    files = t.source_files.groupBy(place.alias("place")).agg(joined.alias("value"))
+    tree = readers.read_source_tree(t.spark, _written(t, files, "place"), "*.txt")
+    return code.extract_all(tree).drop("path")
+
+
 @query("code_queues", f"WITH {_FILES}, {_CODE} SELECT DISTINCT framework, queue FROM defs WHERE queue <> ''")
 def code_queues(t):
     return code.code_queues(code.extract_all(t.source_files))

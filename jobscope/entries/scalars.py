@@ -57,11 +57,15 @@ def fn_sql(t):
     )
 
 
+def _sometimes_array():
+    return F.when(F.col("priority") % 3 == 0, F.col("args_json")).otherwise(F.concat(F.lit('{"a":'), F.col("args_json"), F.lit("}")))
+
+
 @query(
     "fn_text",
     """SELECT job_id, CASE WHEN length(error) > 60 THEN concat(left(error, 57), '...') ELSE error END AS short, coalesce(error, '-') AS dashed,
       CASE state WHEN 'completed' THEN 'done' WHEN 'active' THEN 'running' WHEN 'available' THEN 'waiting' WHEN 'retryable' THEN 'retrying' WHEN 'discarded' THEN 'failed' ELSE state END AS shown,
-      concat('[', CAST(priority AS VARCHAR), ']') AS wrapped, args_json AS kept, true AS is_array, CAST(1700000000 + priority AS VARCHAR) AS epoch, priority * 60 AS seconds
+      concat('[', CAST(priority AS VARCHAR), ']') AS wrapped, args_json AS kept, priority % 3 = 0 AS is_array, CAST(1700000000 + priority AS VARCHAR) AS epoch, priority * 60 AS seconds
     FROM jobs""",
     "jobs",
 )
@@ -75,7 +79,7 @@ def fn_text(t):
         fn.state_class("state").alias("shown"),
         fn.wrap_in_array(F.col("priority").cast("string")).alias("wrapped"),
         fn.wrap_in_array("args_json").alias("kept"),
-        fn.is_json_array("args_json").alias("is_array"),
+        fn.is_json_array(_sometimes_array()).alias("is_array"),
         fn.epoch_text(F.col("priority") + F.lit(1700000000.4)).alias("epoch"),
         F.unix_seconds(zero + fn.duration(text)).cast("int").alias("seconds"),
     )
@@ -108,3 +112,43 @@ def fn_route(t):
 def fn_arg_types(t):
     other = F.when(F.col("arg_type") == "int", "INTEGER").when(F.col("arg_type") == "float", "number").otherwise("text")
     return t.contract_args.select("arg_type", fn.spark_arg_type("arg_type").alias("spark_type"), fn.arg_type(other).alias("folded")).distinct()
+
+
+@query(
+    "fn_sql_values",
+    """SELECT job_id, CASE WHEN length(error) > 60 THEN concat(left(error, 57), '...') ELSE error END AS short, coalesce(error, '-') AS dashed,
+      CASE state WHEN 'completed' THEN 'done' WHEN 'active' THEN 'running' WHEN 'available' THEN 'waiting' WHEN 'retryable' THEN 'retrying' WHEN 'discarded' THEN 'failed' ELSE state END AS shown,
+      concat('[', CAST(priority AS VARCHAR), ']') AS wrapped, priority % 3 = 0 AS is_array, CAST(1700000000 + priority AS VARCHAR) AS epoch,
+      concat(CAST(CAST(round_even(priority * 12.5, 0) AS INTEGER) AS VARCHAR), '%') AS share, CASE WHEN queue LIKE 'b%' THEN substr(queue, 2) END AS suffix,
+      CASE WHEN priority >= 5 THEN 'A' WHEN priority >= 4 THEN 'C' ELSE 'F' END AS grade, args_json AS body,
+      CASE priority % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'bool' ELSE 'any' END AS kind,
+      strftime(TIMESTAMP '2024-01-31 00:00:00' + INTERVAL '1' SECOND * (priority * 2), '%Y-%m-%dT%H:%M:%SZ') AS scheduled,
+      CAST(priority * CASE priority % 3 WHEN 0 THEN 60 WHEN 1 THEN 3600 ELSE 86400 END AS BIGINT) AS seconds,
+      CAST(CASE priority % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 * priority WHEN 2 THEN priority ** 4 + 15 ELSE 2 * 2 ** (priority - 1) END AS DOUBLE) AS wait,
+      CAST(concat('0x', left(md5(job_id), 8)) AS BIGINT) % 100 < 30 AS to_target, len(list_filter(string_split(concat(queue, ',,', state), ','), lambda x: x <> '')) AS parts
+    FROM jobs""",
+    "jobs",
+)
+def fn_sql_values(t):
+    """The other registered SQL functions."""
+    fn.register_functions(t.spark)
+    jobs = t.jobs.withColumn("sometimes", _sometimes_array())
+    return jobs.selectExpr(
+        "job_id",
+        "short_error(error) AS short",
+        "dash_if_null(error) AS dashed",
+        "state_class(state) AS shown",
+        "wrap_in_array(cast(priority AS STRING)) AS wrapped",
+        "is_json_array(sometimes) AS is_array",
+        "epoch_text(1700000000.4D + priority) AS epoch",
+        "percent_text(priority / 8D) AS share",
+        "key_suffix(queue, 'b') AS suffix",
+        "audit_grade(cast(priority * 19 AS BIGINT), 100L) AS grade",
+        "celery_body(base64(cast(args_json AS BINARY))) AS body",
+        "arg_type(element_at(array('Integer', 'number', 'BOOLEAN', 'date'), cast(priority % 4 AS INT) + 1)) AS kind",
+        "delay_to_timestamp(cast(priority * 2000 AS BIGINT), TIMESTAMP_NTZ '2024-01-31 00:00:00') AS scheduled",
+        "duration_seconds(concat(cast(priority AS STRING), element_at(array('m', 'h', 'd'), cast(priority % 3 AS INT) + 1))) AS seconds",
+        "backoff_seconds(element_at(array('constant', 'linear', 'polynomial', 'exponential'), cast(priority % 4 AS INT) + 1), cast(priority AS INT), 2D) AS wait",
+        "route_target(job_id, 30) AS to_target",
+        "cast(size(split_list(concat(queue, ',,', state))) AS BIGINT) AS parts",
+    )

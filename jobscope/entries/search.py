@@ -103,6 +103,19 @@ def bulk_delete(t):
     return lifecycle.bulk_transition(t.jobs, "delete", state="completed", older_than="9200d", as_of=AS_OF).counts
 
 
+@query(
+    "bulk_delete_ids",
+    """WITH ids AS (SELECT DISTINCT job_id FROM attempts WHERE state = 'failed' UNION SELECT concat('ghost-', CAST(n_nationkey AS VARCHAR)) FROM nation)
+    SELECT count(*) FILTER (WHERE coalesce(state IN ('completed', 'discarded', 'cancelled'), false)) AS done,
+      count(*) FILTER (WHERE NOT coalesce(state IN ('completed', 'discarded', 'cancelled'), false)) AS failed FROM ids LEFT JOIN jobs USING (job_id)""",
+    "jobs attempts",
+)
+def bulk_delete_ids(t):
+    """Jobs at work and ids that do not exist cannot be deleted."""
+    ids = t.attempts.filter("state = 'failed'").select("job_id").union(t.base("nation").select(F.concat(F.lit("ghost-"), F.col("n_nationkey").cast("string"))))
+    return lifecycle.bulk_transition(t.jobs, "delete", ids=ids).counts
+
+
 @query(
     "importable",
     """SELECT count(*) FILTER (WHERE state IN ('available', 'scheduled', 'retryable')) AS importable,

@@ -40,11 +40,28 @@ def _yaml_value(item: Column, key: str) -> tuple[Column, Column]:
     return F.nullif(F.concat(quoted, plain), F.lit("")), F.lower(plain)
 
 
+#: What brackets and commas mean nothing in: quoted text and comments.
+_QUIET = r"""(?m)"(?:[^"\\\n]|\\.)*"|'[^'\n]*'|(?:^|[ \t])#[^\n]*"""
+_MAPPING = r"""\{(?:[^{}"']++|"[^"\n]*"|'[^'\n]*')*\}"""
+#: A list in brackets under ``workers``, up to the bracket that the next top-level key or the end follows.
+_FLOW = r"""\n[{ \t"']*:?workers["']?:[ \t\n]*\["""
+_FLOW_LIST = rf"""(?s){_FLOW}(.*?)\][ \t]*(?:#[^\n]*)?(?=\n[^\s}}]|\s*\z|\s*\}}\s*\z|[ \t]*,\s*["']\w+["'][ \t]*:)"""
+
+
+def _flow_to_block(item: Column) -> Column:
+    """An item ``- {a: 1, "b": 2}`` as a block mapping, one key a line; others as they are."""
+    inner = F.regexp_extract(item, r"^[ \t]*(?:-[ \t]+)?\{(?s:(.*))\}[ \t]*(?:#[^\n]*)?\s*$", 1)
+    plain = F.regexp_replace(inner, r"""(^|[,\s])["'](\w+)["'][ \t]*:[ \t]*""", "$1$2: ")
+    lines = F.regexp_replace(F.trim(plain), r"""[ \t\n]*,[ \t\n]*(?=\w+:[ \t])""", "\n  ")
+    return F.when(inner != "", F.concat(F.lit("- "), F.regexp_replace(lines, r"[ \t\n,]*$", ""), F.lit("\n"))).otherwise(item)
+
+
 def parse_worker_yaml(configs: DataFrame) -> DataFrame:
-    """(path, workers, reason) from worker files in block style; ``reason`` says why a file has no workers.
+    """(path, workers, reason) from worker files; ``reason`` says why a file has no workers.
 
-    Read are the list under ``workers`` and the keys class, queue, retry and cron of its items.  ``retry`` may be a
-    whole number or a boolean; it becomes text, ``true``, ``false`` or digits.
+    Read are the list under ``workers``, in block or flow style, and the keys class, queue, retry and cron of its
+    items, which may be flow mappings too, JSON included.  ``retry`` may be a whole number or a boolean; it becomes
+    text, ``true``, ``false`` or digits.  Aliases of other values and several documents in a file are not followed.
     """
     files = spread(configs.select("path", "content"))
     text = F.concat(F.lit("\n"), F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n?", "\n"), F.lit("\n"))
@@ -52,7 +69,9 @@ def parse_worker_yaml(configs: DataFrame) -> DataFrame:
     # Items start at the dash column of the first one; deeper dashes belong to an item.
     dash = F.concat(F.lit("^"), F.regexp_extract("block", r"(?m)^([ \t]*)-[ \t]", 1), F.lit(r"-[ \t]+"))
     pattern = F.concat(F.lit("(?m)"), dash, F.lit(r"(?s:.*?)(?="), dash, F.lit(r"|\z)"))
-    doc = once(doc, items=F.regexp_extract_all("block", pattern, F.lit(0)))
+    doc = once(doc, flow=F.when(F.col("text").rlike(_FLOW), F.regexp_extract("text", _FLOW_LIST, 1)))
+    items = F.when(F.col("flow").isNotNull(), F.regexp_extract_all("flow", F.lit(_MAPPING), F.lit(0)))
+    doc = once(doc, items=F.transform(F.coalesce(items, F.regexp_extract_all("block", pattern, F.lit(0))), _flow_to_block))
 
     def worker(item: Column) -> Column:
         plain = _yaml_value(item, "retry")[1]
@@ -61,14 +80,18 @@ def parse_worker_yaml(configs: DataFrame) -> DataFrame:
         values = {key: _yaml_value(item, key)[0] for key in ("class", "queue", "cron")}
         return F.struct(values["class"].alias("class"), values["queue"].alias("queue"), retry.alias("retry"), values["cron"].alias("cron"))
 
+    doc = once(doc, bare=F.regexp_replace("text", _QUIET, ""))
+
     def count(sign: str) -> Column:
-        return F.length("text") - F.length(F.replace("text", F.lit(sign)))
+        return F.length("bare") - F.length(F.replace("bare", F.lit(sign)))
 
+    others = F.regexp_replace("flow", rf"""{_MAPPING}|[\s,]|#[^\n]*""", "")
     mapping = F.forall("items", lambda i: i.rlike(r"^[ \t]*-[ \t]+\w+:(?:\s|$)"))
     reason = (
         F.when(F.col("text").rlike(r"^(?:\s|---|#[^\n]*\n)*-[ \t]"), "top level is not a mapping")
         .when((count("[") != count("]")) | (count("{") != count("}")), "invalid YAML")
-        .when(F.col("text").rlike(r"\n:?workers:[ \t]*[^\s#\[~]|\n:?workers:[ \t]*\[[ \t]*[^\s\]]"), "workers are not a block list")
+        .when(F.col("text").rlike(r"\n:?workers:[ \t]*[^\s#\[~]"), "workers are not a list")
+        .when(others != "", "a worker is not a mapping")
         .when(~mapping, "a worker is not a mapping")
     )
     workers = F.transform("items", worker).cast(SIDEKIQ_WORKERS)

@@ -5,13 +5,14 @@ Every rule that fails gives one error row; nothing stops at the first error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jobscope.functions import args_state, member
 from jobscope.functions.jsons import kind_differs, text_member
 from jobscope.operators.shape import once, spread
 from jobscope.schemas import CONVERTED_CONFIG, MANIFEST
+from jobscope.session import cut_lineage
 
 # Messages of the job rules.
 INVALID_JSON = "invalid JSON"
@@ -72,10 +73,14 @@ def validate_jobs(lines: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFr
 
 
 def first_errors(errors: DataFrame, order: list[str], limit: int = 20) -> DataFrame:
-    """The first errors in file order, each with the number of errors that are not shown."""
-    total = errors.agg(F.count("*").alias("n")).scalar()
-    more = F.greatest(F.lit(0).cast("bigint"), total - F.lit(limit))
-    return errors.orderBy(*order, "message").limit(limit).withColumn("more", more)
+    """The first errors in file order, each with the number of errors that are not shown.
+
+    Errors are counted on the way to the first ones, so lines are parsed once; the few rows are written out.
+    """
+    seen = Observation()
+    counted = errors.observe(seen, F.count(F.lit(1)).alias("n"))
+    first = cut_lineage(counted.orderBy(*order, "message").limit(limit), "errors")
+    return first.withColumn("more", F.lit(max(0, seen.get["n"] - limit)).cast("bigint"))
 
 
 def validate_config(configs: DataFrame, content: str = "content") -> DataFrame:

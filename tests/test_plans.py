@@ -147,7 +147,7 @@ def test_worker_yaml(spark, rows):
 
 def test_worker_yaml_rejects(spark, rows):
     good = "# c\nworkers:\n- class: A::B  # note\n  retry: '5'\n  tags:\n    - x\n- queue: \"q\"\n  class: C\n  retry: 7\nother: {a: [1]}\n"
-    bad = [("list", "- a\n- b"), ("plain", "workers:\n  - plain\n"), ("open", "x: ["), ("flow", "workers: [{class: A}]"), ("none", None), ("empty", "workers: []\n")]
+    bad = [("list", "- a\n- b"), ("plain", "workers:\n  - plain\n"), ("open", "x: ["), ("flow", "workers: [A, b]"), ("anchor", "workers: *w\n"), ("none", None), ("empty", "workers: []\n")]
     files = spark.createDataFrame([("good", good), *bad], "path string, content string")
     jobs, _ = configs.convert_sidekiq_configs(files)
     assert rows(jobs.select("path", "type", "queue", "max_attempts")) == [("good", "a.b", "default", None), ("good", "c", "q", 7)]
@@ -156,7 +156,34 @@ def test_worker_yaml_rejects(spark, rows):
         "list": "top level is not a mapping",
         "plain": "a worker is not a mapping",
         "open": "invalid YAML",
-        "flow": "workers are not a block list",
+        "flow": "a worker is not a mapping",
+        "anchor": "workers are not a list",
+    }
+
+
+def test_worker_yaml_in_flow_style(spark, rows):
+    """Flow lists and mappings, JSON, and brackets in quotes and comments."""
+    files = {
+        "flow": "a: 1\nworkers: [{class: A, queue: low, retry: 3, tags: [x, y]}, {class: 'B::C', retry: true}] # note\nother: [1]\n",
+        "lines": "workers: [\n  {class: A, queue: 'lo,w', retry: 3},   # first ]\n  {queue: q, class: B},\n]\n",
+        "items": "workers:\n  - {class: A, queue: \"l{o]w\", retry: 3}\n  - class: B\n    queue: q\n",
+        "json": json.dumps({"x": [1], "workers": [{"class": "A", "queue": "l}ow", "retry": 3}, {"class": "B", "retry": False}], "y": {}}),
+        "pretty": json.dumps({"workers": [{"class": "A", "queue": "low", "retry": 3}]}, indent=2),
+        "signs": "# it's [ open\nworkers:\n- class: A # {\n  queue: '[low'\n  retry: 3\n",
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, content string")
+    assert configs.config_rejects(df, "sidekiq").collect() == []
+    got = {}
+    for r in configs.convert_sidekiq_configs(df).jobs.collect():
+        got.setdefault(r.path, []).append((r.type, r.queue, r.max_attempts))
+    b = lambda name, queue="default", attempts=None: (name, queue, attempts)
+    assert got == {
+        "flow": [b("a", "low", 3), b("b.c", attempts=25)],
+        "lines": [b("a", "lo,w", 3), b("b", "q")],
+        "items": [b("a", "l{o]w", 3), b("b", "q")],
+        "json": [b("a", "l}ow", 3), b("b")],
+        "pretty": [b("a", "low", 3)],
+        "signs": [b("a", "[low", 3)],
     }
 
 
