@@ -44,7 +44,7 @@ def _yaml_value(item: Column, key: str) -> tuple[Column, Column]:
 _QUIET = r"""(?m)"(?:[^"\\\n]|\\.)*"|'[^'\n]*'|(?:^|[ \t])#[^\n]*"""
 _MAPPING = r"""\{(?:[^{}"']++|"[^"\n]*"|'[^'\n]*')*\}"""
 #: A list in brackets under ``workers``, up to the bracket that the next top-level key or the end follows.
-_FLOW = r"""\n[{ \t"']*:?workers["']?:[ \t\n]*\["""
+_FLOW = r"""(?:\n[{ \t"']*:?|\n\{[^\n]*?,[ \t]*["'])workers["']?:[ \t\n]*\["""
 _FLOW_LIST = rf"""(?s){_FLOW}(.*?)\][ \t]*(?:#[^\n]*)?(?=\n[^\s}}]|\s*\z|\s*\}}\s*\z|[ \t]*,\s*["']\w+["'][ \t]*:)"""
 
 
@@ -52,7 +52,7 @@ def _flow_to_block(item: Column) -> Column:
     """An item ``- {a: 1, "b": 2}`` as a block mapping, one key a line; others as they are."""
     inner = F.regexp_extract(item, r"^[ \t]*(?:-[ \t]+)?\{(?s:(.*))\}[ \t]*(?:#[^\n]*)?\s*$", 1)
     plain = F.regexp_replace(inner, r"""(^|[,\s])["'](\w+)["'][ \t]*:[ \t]*""", "$1$2: ")
-    lines = F.regexp_replace(F.trim(plain), r"""[ \t\n]*,[ \t\n]*(?=\w+:[ \t])""", "\n  ")
+    lines = F.regexp_replace(F.regexp_replace(plain, r"^\s+", ""), r"""[ \t\n]*,[ \t\n]*(?=\w+:[ \t])""", "\n  ")
     return F.when(inner != "", F.concat(F.lit("- "), F.regexp_replace(lines, r"[ \t\n,]*$", ""), F.lit("\n"))).otherwise(item)
 
 
