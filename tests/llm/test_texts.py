@@ -351,6 +351,78 @@ def test_languages(spark, odd_docs, odd_rows, no_docs):
     assert language.predict(no_docs, model).count() == 0
 
 
+def plain_language(rows, texts, known_words):
+    """Predictions recomputed word by word from rows (lang, text) that are all learned from."""
+    import math
+    import re
+
+    words = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    languages = sorted({lang for lang, _ in rows})
+    counts = {lang: Counter() for lang in languages}
+    for lang, text in rows:
+        counts[lang] += words(text)
+    keep = {lang: sorted(c.items(), key=lambda x: (-x[1], x[0]))[: known_words[lang]] for lang, c in counts.items()}
+    tables = [{lang: Counter(dict(k)) for lang, k in keep.items()}]
+    grams = lambda w, n: [w2[i : i + n] for w2 in [f"^{w}$" if n > 1 else w] for i in range(len(w2) - n + 1)]
+    for n in range(1, 5):
+        tables.append({lang: sum((Counter({g: grams(w, n).count(g) * k for g in set(grams(w, n))}) for w, k in c.items()), Counter()) for lang, c in counts.items()})
+    names = [set().union(*t.values()) for t in tables]
+
+    def rate(table, entry):
+        return [math.log((tables[table][lang][entry] + 0.5) / (sum(tables[table][lang].values()) + 0.5 * len(names[table]))) for lang in languages]
+
+    out = []
+    for text in texts:
+        found = words(text)
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        total = [0.0] * len(languages)
+        for w, k in found.items():
+            rows_ = [rate(0, w)] if w in names[0] else next((r for n in range(4, 0, -1) if (r := [rate(n, g) for g in grams(w, n) if g in names[n]])), [[0.0] * len(languages)])
+            for i in range(len(languages)):
+                total[i] += k * sum(r[i] for r in rows_) / len(rows_)
+        mean = [x / sum(found.values()) for x in total]
+        weight = [math.exp((m - max(mean)) * min(sum(found.values()), language.EVIDENCE_WORDS)) for m in mean]
+        out.append((languages[mean.index(max(mean))], max(weight) / sum(weight)))
+    return out
+
+
+def test_predictions_equal_plain_sums(spark, monkeypatch):
+    """Known and unseen words, short ones and foreign letters, with a small memory for unseen words."""
+    monkeypatch.setattr(language, "REMEMBERED", 5)
+    monkeypatch.setattr(language, "LEAST_WORDS", 6)
+    rng = random.Random(3)
+    stems = {"en": "th ing er on house", "fr": "le eau que ion maison", "de": "der sch ung ein haus"}
+    text = lambda lang: " ".join(rng.choice(stems[lang].split()) + rng.choice(["", *stems[lang].split()]) for _ in range(rng.randint(1, 12)))
+    rows = [(i, text(lang), lang) for i in range(90) for lang in [("en", "fr", "de")[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = [(r.lang, r.text) for r in docs.where(~language.held_out()).collect()]
+    model = language.train(docs, known_words=18)
+    assert len(model.words) <= 18
+    texts = [t for _, t, _ in rows] + ["HOUSE maison", "x", "日本", "日本 house", None, "123", "zzz eau"]
+    got = model.predictor()([None if t is None else t.encode() for t in texts])
+    want = plain_language(learned, texts, {lang: 6 for lang in stems})
+    assert got[0] == [w[0] for w in want] and np.allclose(got[1], [w[1] for w in want], atol=1e-4)
+
+
+def test_a_rare_language_is_learned(spark):
+    """One language has a thousandth of the rows, and another nearly all words of the sample."""
+    rng = random.Random(4)
+    common = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30))
+    rows = [(i, common(), "big") for i in range(8000)] + [(9000 + i, "ko te whare me te awa o te rangi", "mi") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs, sample_rows=1000, known_words=2000)
+    assert model.languages == ["big", "mi"] and "whare" in model.words
+    names, scores = model.predictor()([b"te awa me te whare", b"abcdef fedcba hgfedc"])
+    assert names == ["mi", "big"] and scores[0] > 0.9
+
+
+def test_shares():
+    assert language._shares({"a": 5, "b": 1000, "c": 1000}, 300, 10) == {"a": 5, "b": 147, "c": 148}
+    assert language._shares({str(i): 50 for i in range(100)}, 300, 10) == {str(i): 10 for i in range(100)}
+
+
 def test_quality(spark, odd_docs, no_docs):
     rng = random.Random(6)
     clean = lambda: " ".join(rng.choice("one two three four five six seven eight nine ten".split()) for _ in range(60)) + "."
