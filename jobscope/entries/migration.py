@@ -1,5 +1,7 @@
 """Legacy dumps to canonical jobs: analysis, export, validation, sinks."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from jobscope.entries.registry import AS_OF, query
@@ -290,6 +292,31 @@ def import_document(t):
     return backend.join(reconcile.import_result(jobs, F.col("state") != "completed", batch_size=50))
 
 
+@query(
+    "send_jobs",
+    "SELECT job_id, type, queue, 1 AS times FROM jobs WHERE state IN ('available', 'scheduled', 'retryable')",
+    "jobs",
+)
+def send_jobs(t):
+    """Open jobs handed over in batches by a sink with commits, twice; the receiver keeps one batch per key."""
+    jobs = t.jobs.where(F.col("state").isin("available", "scheduled", "retryable")).select("job_id", "type", "queue")
+    jobs, path = cut_lineage(jobs, "open"), work_dir(t.spark, "sent").removeprefix("file://").removeprefix("file:")
+    os.makedirs(path)
+
+    def receive(key, batch):
+        import json
+        import os
+
+        place = f"{path}/{'-'.join(map(str, key))}.json"
+        with open(f"{place}.part", "w") as f:
+            f.writelines(json.dumps(row) + "\n" for row in batch)
+        os.replace(f"{place}.part", place)
+
+    for _ in range(2):
+        sinks.send_committed(jobs, receive, "first")
+    return t.spark.read.schema("job_id string, type string, queue string").json(path).groupBy("job_id", "type", "queue").agg(F.count("*").cast("int").alias("times"))
+
+
 @query(
     "api_dump",
     """WITH sizes AS (SELECT list_queue, count(*) AS size FROM raw_faktory GROUP BY 1)

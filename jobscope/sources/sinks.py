@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from jobscope.operators.stats import export_stats, metrics_exposition
 from jobscope.schemas import EXPORT_VERSION, NDJSON_BATCH
@@ -95,3 +97,60 @@ def send_in_batches(jobs: DataFrame, send: Callable[[list[dict]], None], size: i
             send(batch)
 
     jobs.foreachPartition(run)
+
+
+@dataclass
+class Sent(WriterCommitMessage):
+    """What one task handed over."""
+
+    rows: int
+    batches: int
+
+
+def sending_source(send: Callable[[tuple[str, int, int], list[dict]], None], run: str, size: int = NDJSON_BATCH, finish: Callable[[bool, list[Sent]], None] | None = None) -> type[DataSource]:
+    """A data source that hands rows to ``send`` from the tasks, for ``spark.dataSource.register`` and ``df.write``.
+
+    ``send`` gets (run, task, number of the batch) with each batch.  A task that is tried again, or a run that is
+    started again, gives the same batch the same key where the rows of a partition come in the same order, so a
+    receiver that keeps one batch per key has no duplicates.  When all tasks have committed, ``finish`` is called
+    once, in a Python process beside the driver, with True and what each has sent; with False when the write is given up.
+    """
+
+    class Writer(DataSourceWriter):
+        def write(self, iterator) -> Sent:
+            from pyspark import TaskContext
+
+            task, rows, batches, batch = TaskContext.get().partitionId(), 0, 0, []
+            for row in iterator:
+                batch.append(row.asDict(recursive=True))
+                if len(batch) == size:
+                    send((run, task, batches), batch)
+                    rows, batches, batch = rows + len(batch), batches + 1, []
+            if batch:
+                send((run, task, batches), batch)
+                rows, batches = rows + len(batch), batches + 1
+            return Sent(rows, batches)
+
+        def commit(self, messages) -> None:
+            if finish:
+                finish(True, [m for m in messages if m is not None])
+
+        def abort(self, messages) -> None:
+            if finish:
+                finish(False, [m for m in messages if m is not None])
+
+    class JobSink(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "jobsink"
+
+        def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+            return Writer()
+
+    return JobSink
+
+
+def send_committed(jobs: DataFrame, send: Callable[[tuple[str, int, int], list[dict]], None], run: str, size: int = NDJSON_BATCH, finish: Callable[[bool, list[Sent]], None] | None = None) -> None:
+    """Write job rows through :func:`sending_source`; raises if a task has failed for good."""
+    jobs.sparkSession.dataSource.register(sending_source(send, run, size, finish))
+    jobs.write.format("jobsink").mode("append").save()

@@ -1,4 +1,5 @@
 import json
+import os
 import random
 from collections import defaultdict
 
@@ -180,3 +181,27 @@ def test_work_dir_follows_the_session_setting():
     assert work_dir(Session(None, "local[2]"), "x").startswith("/tmp/")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(Session(None, "yarn"), "x")
+
+
+def test_sink_with_commits(spark, tmp_path):
+    """A task that fails gives the write up; started again, the same batches replace what had come through."""
+    jobs = spark.range(1050, numPartitions=3).selectExpr("cast(id as string) AS id")
+    folder, ended = str(tmp_path), []
+
+    def send(key, batch):
+        if not os.path.exists(f"{folder}/mended") and key[1:] == (1, 2):
+            raise RuntimeError("the target is away")
+        with open(f"{folder}/{'-'.join(map(str, key))}", "w") as f:
+            f.write(" ".join(r["id"] for r in batch))
+
+    def run():
+        sinks.send_committed(jobs, send, "r1", finish=lambda done, sent: ended.append((done, sent)))
+
+    with pytest.raises(Exception, match="the target is away"):
+        run()
+    open(f"{folder}/mended", "w").close()
+    run()
+    run()
+    files = [p for p in tmp_path.iterdir() if p.name.startswith("r1-")]
+    assert sorted(int(i) for p in files for i in p.read_text().split()) == list(range(1050))
+    assert sorted(p.name for p in files) == sorted(f"r1-{t}-{b}" for t in range(3) for b in range(4))
