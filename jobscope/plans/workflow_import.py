@@ -18,15 +18,18 @@ from jobscope.operators.shape import once, spread
 WORKFLOW = r"func\s+(\w+)\(ctx\s+workflow\.Context"
 ACTIVITY = r"workflow\.ExecuteActivity\(\w+,\s*(\w+)"
 CHILD = r"workflow\.ExecuteChildWorkflow\(ctx,\s*(\w+)"
-PARALLEL = r"workflow\.Go\(ctx,\s*func|selector\.AddFuture"
+GO = r"workflow\.Go\(ctx,\s*func"
+SELECTOR = r"selector\.AddFuture"
 DAG = r"""DAG\(\s*['"]([^'"]+)['"]"""
-TASK = (
-    r"(\w+)\s*=\s*(?:PythonOperator|BashOperator|KubernetesPodOperator|SimpleHttpOperator|EmailOperator)"
-    r"""\(\s*\n?\s*task_id\s*=\s*['"]([^'"]+)['"]"""
-)
+TASK = r"""(\w+)\s*=\s*(?:PythonOperator|BashOperator|KubernetesPodOperator|SimpleHttpOperator|EmailOperator)\(\s*\n?\s*task_id\s*=\s*['"]([^'"]+)['"]"""
 # One operand of a dependency chain, with the next operand ahead so that a >> b >> c gives both edges.
 EDGE = r"(\w+)(?=\s*>>\s*(\w+))"
 LIST_EDGE = r"\[([^\]]+)\]\s*>>\s*(\w+)"
+# Warnings that users read.
+CHILD_WARNING = "child workflow '%s' — verify nesting structure manually"
+PARALLEL_WARNING = "workflow '%s' uses goroutines/selectors — parallel steps may need manual review"
+NO_ACTIVITY_WARNING = "workflow '%s' has no detected activities"
+NO_TASK_WARNING = "DAG '%s' has no detected tasks"
 # What a manifest row says besides its type.
 DEFAULT_QUEUE = "default"
 RETRY = {"max_attempts": 3, "backoff": "exponential", "initial_ms": 1000}
@@ -72,18 +75,17 @@ def extract_temporal(files: DataFrame, strict: bool = False) -> Imported:
             F.transform(_find(scope, ACTIVITY, 1), lambda n: _step(n, "task", n)),
             F.transform(_find(scope, CHILD, 1), lambda n: _step(n, "chain", n)),
         ).alias("steps"),
-        F.regexp_like(scope, F.lit(PARALLEL)).alias("parallel"),
+        (F.regexp_like(scope, F.lit(GO)) | F.regexp_like(scope, F.lit(SELECTOR))).alias("parallel"),
     )
     workflows = rows.select("path", F.lit("temporal").alias("source"), "workflow", F.size("steps").alias("step_count"), "parallel")
     child = F.transform(
         F.filter("steps", lambda s: s["kind"] == "chain"),
-        lambda s: F.concat(F.lit("child workflow '"), s["name"], F.lit("' — verify nesting structure manually")),
+        lambda s: F.format_string(CHILD_WARNING, s["name"]),
     )
-    name = F.col("workflow")
     notes = F.array_compact(
         F.array(
-            F.when(F.col("parallel"), F.concat(F.lit("workflow '"), name, F.lit("' uses goroutines/selectors — parallel steps may need manual review"))),
-            F.when(F.size("steps") == 0, F.concat(F.lit("workflow '"), name, F.lit("' has no detected activities"))),
+            F.when(F.col("parallel"), F.format_string(PARALLEL_WARNING, "workflow")),
+            F.when(F.size("steps") == 0, F.format_string(NO_ACTIVITY_WARNING, "workflow")),
         )
     )
     warnings = rows.select("path", "workflow", F.explode(F.concat(child, notes)).alias("message"))
@@ -126,7 +128,7 @@ def extract_airflow(files: DataFrame) -> Imported:
         .select("path", "workflow", "e.upstream", "e.downstream")
     )
     warnings = rows.filter(F.size("steps") == 0).select(
-        "path", "workflow", F.concat(F.lit("DAG '"), F.col("workflow"), F.lit("' has no detected tasks")).alias("message")
+        "path", "workflow", F.format_string(NO_TASK_WARNING, "workflow").alias("message")
     )
     return Imported(workflows, _steps("airflow", rows), edges, warnings)
 
