@@ -1,8 +1,8 @@
 """Producer and consumer contracts: cross validation, orphans, payload checks.
 
 A contract is identified by (service, role, job_type).  Every producer of a job type is checked against every
-consumer of it without a row per pair: producers have places in bitmaps, an index holds the bitmap of those that
-provide an argument with a type, and a consumer list combines the bitmaps of its requirements.  Counts of
+consumer of it without a row per pair: producers have places in words of 64 bits, an index holds the words of those
+that provide an argument with a type, and a consumer list combines the words of its requirements.  Counts of
 producers come out.  ``pairs_of`` lists the service pairs of chosen services.
 """
 
@@ -18,8 +18,9 @@ from jobscope.operators.shape import broadcast_if_small, measured
 from jobscope.operators.shape import once
 
 KEY = ["service", "role", "job_type"]
-#: Producers of a job type that share a bitmap, about; a bitmap has 32,768 places.
+#: Producers of a job type that are numbered together, about; a word holds 64 of them.
 PLACES_PER_PART = 16384
+WORD = 64
 
 
 def resolve_args(contract_args: DataFrame) -> DataFrame:
@@ -59,27 +60,28 @@ def _problems(consumer_args: Column, producer_args: Column) -> Column:
 
 
 def _placed(lists: DataFrame) -> DataFrame:
-    """Producers with a block and a place in its bitmap; a job type with many is dealt over several blocks."""
+    """Producers with a block, which is a word, and their bit in it; a job type with many is dealt over several parts."""
     producers = lists.filter(F.col("role") == "producer").select("job_type", "service", "args")
     sizes = producers.groupBy("job_type").agg(F.ceil(F.count("*") / PLACES_PER_PART).alias("parts"))
     dealt = producers.join(broadcast_if_small(measured(sizes)), "job_type").withColumn("part", F.pmod(F.xxhash64("service"), F.col("parts")))
-    number = F.row_number().over(Window.partitionBy("job_type", "part").orderBy("service"))
+    number = F.row_number().over(Window.partitionBy("job_type", "part").orderBy("service")) - 1
     dealt = dealt.withColumn("number", number)
-    block = F.col("part") * (1 << 20) + F.bitmap_bucket_number("number")
-    return dealt.select("job_type", block.alias("block"), F.bitmap_bit_position("number").alias("place"), "args")
+    block = F.col("part") * (1 << 20) + F.floor(F.col("number") / WORD)
+    bit = F.expr(f"shiftleft(1L, number % {WORD})")
+    return dealt.select("job_type", block.alias("block"), bit.alias("bit"), "args")
 
 
 def _failing(lists: DataFrame, consumers: DataFrame) -> DataFrame:
     """(job_type, signature, failed): how many producers fail against each distinct consumer list, where any does.
 
-    The producers that provide every required argument are the intersection of the bitmaps of those that provide
-    each; those with a wrong type are a union of bitmaps.  The ones that pass are in the first and not in the second.
+    The producers that provide every required argument are the intersection of the words of those that provide
+    each; those with a wrong type are a union of words.  The ones that pass are in the first and not in the second.
     """
     placed = measured(_placed(lists))
-    each = placed.select("job_type", "block", "place", F.inline("args")).select("job_type", "block", "place", "arg_name", F.col("arg_type").alias("given"))
+    each = placed.select("job_type", "block", "bit", F.inline("args")).select("job_type", "block", "bit", "arg_name", F.col("arg_type").alias("given"))
     keys = ["job_type", "arg_name", "block"]
-    provided = measured(each.groupBy(*keys, "given").agg(F.bitmap_construct_agg("place").alias("who")))
-    present = provided.groupBy(*keys).agg(F.bitmap_or_agg("who").alias("who"))
+    provided = measured(each.groupBy(*keys, "given").agg(F.bit_or("bit").alias("who")))
+    present = provided.groupBy(*keys).agg(F.bit_or("who").alias("who"))
     total = placed.groupBy("job_type").agg(F.count("*").alias("total"))
 
     needs = consumers.select("job_type", "signature", F.inline("args"))
@@ -87,17 +89,16 @@ def _failing(lists: DataFrame, consumers: DataFrame) -> DataFrame:
     typed = needs.where("coalesce(arg_type, '') <> ''").select("job_type", "signature", "arg_name", "arg_type")
     kinds = typed.select("job_type", "arg_name", "arg_type").distinct()
     wrong = kinds.join(provided, ["job_type", "arg_name"]).where(~F.col("given").eqNullSafe(F.col("arg_type")))
-    wrong = wrong.groupBy(*keys, "arg_type").agg(F.bitmap_or_agg("who").alias("who"))
+    wrong = wrong.groupBy(*keys, "arg_type").agg(F.bit_or("who").alias("who"))
 
-    nothing = F.lit(None).cast("binary")
+    nothing = F.lit(None).cast("bigint")
     have = required.join(present, ["job_type", "arg_name"]).select("job_type", "signature", "block", F.col("who").alias("have"), nothing.alias("bad"))
     bad = typed.join(wrong, ["job_type", "arg_name", "arg_type"]).select("job_type", "signature", "block", nothing.alias("have"), F.col("who").alias("bad"))
-    list_block = ["job_type", "signature", "block"]
-    met = have.unionByName(bad).groupBy(*list_block).agg(F.count("have").alias("met"), F.bitmap_and_agg("have").alias("all"), F.bitmap_or_agg("bad").alias("bad"))
-    # Of two bitmaps, (first and not second) has as many places as (first or second) less the second.
-    either = met.select(*list_block, "met", F.bitmap_count("bad").alias("bad"), F.explode(F.array("all", "bad")).alias("who"))
-    either = either.groupBy(*list_block).agg(F.max("met").alias("met"), F.max("bad").alias("bad"), F.bitmap_count(F.bitmap_or_agg("who")).alias("either"))
-    blocks = either.groupBy("job_type", "signature", "met").agg(F.sum("bad").alias("bad"), F.sum(F.col("either") - F.col("bad")).alias("fit"))
+    met = have.unionByName(bad).groupBy("job_type", "signature", "block").agg(F.count("have").alias("met"), F.bit_and("have").alias("all"), F.bit_or("bad").alias("bad"))
+    wrong_ones = F.coalesce("bad", F.lit(0).cast("bigint"))
+    fit = F.coalesce(F.bit_count(F.col("all").bitwiseAND(F.bitwise_not(wrong_ones))), F.lit(0))
+    either = met.select("job_type", "signature", "met", F.bit_count(wrong_ones).alias("bad"), fit.alias("fit"))
+    blocks = either.groupBy("job_type", "signature", "met").agg(F.sum("bad").alias("bad"), F.sum("fit").alias("fit"))
     count = F.size(F.filter("args", lambda a: F.coalesce(a["required"], F.lit(False))))
     full = consumers.select("job_type", "signature", count.alias("needed")).join(broadcast_if_small(measured(total)), "job_type")
     # Without a required argument all producers fit that are not bad; otherwise those of the blocks where every argument is met.
