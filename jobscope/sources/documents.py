@@ -2,15 +2,16 @@
 
 A document is read as records that end at a closing brace, which is never part of an escape, so files are split
 like lines.  What a byte means depends on everything before it, but only through two numbers: whether it is inside
-a string, and how deep it is nested.  Each block of a file says what it does to them, for both ways its first byte
-may be meant; one row per block is added up in order; then every block knows how it begins and cuts out its
-elements by itself.  Only the elements that go over the edge of a block are put together from two or more.
+a string, and how deep it is nested.  Each block of a file first says whether its quotes are odd in number, which tells
+in order what the first byte of each means; then what it does to the depth; one row per block is added up in order;
+then every block knows how it begins and cuts out its elements by itself.  Only the elements that go over the edge
+of a block are put together from two or more.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobscope.session import cut_lineage
+
 #: Blocks begin at most this deep; the name of an array stands in this many bytes before it.
 DEEPEST, NAME_BYTES = 1000, 4096
 
 _ESCAPE = re.compile(rb"\\.", re.DOTALL)
-_NAME = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*\Z', re.DOTALL)
-_QUOTE, _OPEN, _CLOSE, _SPACE = 34, (91, 123), (93, 125), (32, 9, 10, 13)
+_QUOTE, _ARRAY = 34, 91
+_OPEN, _CLOSE = np.isin(np.arange(256), (91, 123)), np.isin(np.arange(256), (93, 125))
+_BETWEEN = b", \t\n\r"
 
 
 class _Bytes:
@@ -35,8 +39,8 @@ class _Bytes:
         self.data = np.frombuffer(plain, dtype=np.uint8)
         self.quotes = np.cumsum(self.data == _QUOTE)
         self.parity = int(self.quotes[-1]) & 1 if len(self.data) else 0
-        self.open = np.isin(self.data, _OPEN)
-        self.close = np.isin(self.data, _CLOSE)
+        self.open = _OPEN[self.data]
+        self.close = _CLOSE[self.data]
 
     def inside(self, state: int) -> np.ndarray:
         """Which bytes stand in a string (its last quote does not) if the first one does or not."""
@@ -48,23 +52,30 @@ class _Bytes:
 
     def name(self, at: int) -> bytes | None:
         """The member that the array opened at ``at`` is the value of; None for an object, or inside an array."""
-        if self.data[at] != _OPEN[0]:
+        if self.data[at] != _ARRAY:
+            return None
+        before = self.text[max(0, at - NAME_BYTES) : at].rstrip()
+        quoted = before[:-1].rstrip() if before.endswith(b":") else b""
+        if not quoted.endswith(b'"'):
             return None
-        found = _NAME.search(self.text[max(0, at - NAME_BYTES) : at])
-        return found and found.group(1)
-
-
-def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block and state at its start: the change of both numbers, and for each depth (from the start) how many
-    brackets open there and the name of the last one."""
-    total: dict = {}
-    for batch in batches:
-        for place, text in _blocks_of(batch):
-            found = _Bytes(text)
-            kept = total.setdefault(place, [0, [(0, Counter(), {}), (0, Counter(), {})]])
-            for state in (0, 1):
-                delta, count, names = kept[1][state]
-                inside = found.inside(state ^ kept[0])
+        begin = end = len(quoted) - 1
+        while (begin := quoted.rfind(b'"', 0, begin)) >= 0:
+            if (begin - len(quoted[:begin].rstrip(b"\\"))) % 2 == 0:
+                return quoted[begin + 1 : end]
+        return None
+
+
+def _effects(member: bytes, states: dict[tuple[int, int], int]):
+    """Per block: the change of depth, and for each depth (from the start) how many brackets open there and whether
+    the last one opens the array ``member``."""
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            for place, text in _blocks_of(batch):
+                found = _Bytes(text)
+                state, delta, count, named = total.get(place) or (states[place], 0, Counter(), {})
+                inside = found.inside(state)
                 depth = found.depth(inside, delta)
                 at = np.flatnonzero(found.open & ~inside)
                 level = depth[at] - 1
@@ -73,23 +84,23 @@ def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 levels, last, number = np.unique(level[::-1], return_index=True, return_counts=True)
                 for x, i, n in zip(levels.tolist(), last.tolist(), number.tolist()):
                     count[x] += n
-                    names[x] = found.name(int(at[::-1][i]))
-                kept[1][state] = (int(depth[-1]) if len(depth) else delta, count, names)
-            kept[0] ^= found.parity
-    rows = []
-    for (file, block), (parity, sides) in total.items():
-        for state, (delta, count, names) in enumerate(sides):
-            levels = [{"level": x, "n": n, "name": names[x]} for x, n in count.items()]
-            rows.append({"file": file, "block": block, "state": state, "parity": parity, "delta": delta, "levels": levels})
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_EFFECTS)
+                    named[x] = found.name(int(at[::-1][i])) == member
+                total[place] = (state ^ found.parity, int(depth[-1]) if len(depth) else delta, count, named)
+        rows = []
+        for (file, block), (_, delta, count, named) in total.items():
+            levels = [{"level": x, "n": n, "member": named[x]} for x, n in count.items()]
+            rows.append({"file": file, "block": block, "delta": delta, "levels": levels})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_EFFECTS)
+
+    return effects
 
 
 _EFFECTS = pa.schema(
-    [("file", pa.int64()), ("block", pa.int64()), ("state", pa.int32()), ("parity", pa.int32()), ("delta", pa.int64())]
-    + [("levels", pa.list_(pa.struct([("level", pa.int64()), ("n", pa.int64()), ("name", pa.binary())])))]
+    [("file", pa.int64()), ("block", pa.int64()), ("delta", pa.int64())]
+    + [("levels", pa.list_(pa.struct([("level", pa.int64()), ("n", pa.int64()), ("member", pa.bool_())])))]
 )
-_EFFECT_DDL = "file bigint, block bigint, state int, parity int, delta bigint, levels array<struct<level:bigint,n:bigint,name:binary>>"
+_EFFECT_DDL = "file bigint, block bigint, delta bigint, levels array<struct<level:bigint,n:bigint,member:boolean>>"
 
 
 def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], bytes]]:
@@ -103,25 +114,33 @@ def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], bytes]]
         yield (int(file[a]), int(block[a])), b"}".join(values[a:b]) + b"}"
 
 
-def _beginnings(effects: list, member: bytes) -> dict[tuple[int, int], tuple[int, int, bool, tuple[int, int]]]:
+def _states(parities: list) -> dict[tuple[int, int], int]:
+    """Whether each block begins in a string."""
+    out, file, state = {}, None, 0
+    for row in sorted(parities):
+        state = state if row["file"] == file else 0
+        file = row["file"]
+        out[file, row["block"]] = state
+        state ^= row["parity"]
+    return out
+
+
+def _beginnings(effects: list, states: dict[tuple[int, int], int]) -> dict[tuple[int, int], tuple[int, int, bool, tuple[int, int]]]:
     """How each block begins: state, depth, whether in the array ``member``, and the element begun last (block, number)."""
-    sides = defaultdict(dict)
-    for row in effects:
-        sides[row["file"], row["block"]][row["state"]] = row
     out, file = {}, None
-    for place in sorted(sides):
+    for row in sorted(effects, key=lambda r: (r["file"], r["block"])):
+        place = row["file"], row["block"]
         if place[0] != file:
-            file, state, depth, wanted, last = place[0], 0, 0, False, (-1, -1)
+            file, depth, wanted, last = place[0], 0, False, (-1, -1)
         if depth > DEEPEST:
             raise ValueError(f"a document is nested more than {DEEPEST} deep")
-        out[place] = (state, depth, wanted and depth >= 2, last)
-        row = sides[place][state]
+        out[place] = (states[place], depth, wanted and depth >= 2, last)
         for x in row["levels"]:
             if x["level"] + depth == 1:
-                wanted = x["name"] is not None and bytes(x["name"]) == member
+                wanted = x["member"]
             elif x["level"] + depth == 2:
                 last = (place[1], x["n"] - 1)
-        state, depth = state ^ row["parity"], depth + row["delta"]
+        depth += row["delta"]
     return out
 
 
@@ -164,13 +183,13 @@ def _cut(member: bytes, beginnings: dict):
                     elif opens and d == 3:
                         element, number = (place[1], number), number + 1
                         if wanted:
-                            _only_separators(found.data[gap:at])
+                            _only_separators(text[gap:at])
                             begin = at
                     elif not opens and d == 2 and wanted:
                         rows.append((place[0], *element, place[1], element[0] == place[1], b"".join([*held, text[begin : at + 1]])))
                         held, gap = [], at + 1
                     elif not opens and d == 1 and wanted:
-                        _only_separators(found.data[gap:at])
+                        _only_separators(text[gap:at])
                         wanted, gap = False, at
                     elif d < 0:
                         # The brace after the last record of a file, which has none.
@@ -180,7 +199,7 @@ def _cut(member: bytes, beginnings: dict):
                 if wanted and end >= 3:
                     held.append(text[begin:])
                 elif wanted:
-                    _only_separators(found.data[gap : len(text)])
+                    _only_separators(text[gap:])
                 else:
                     around.append(text[gap:])
                 state, depth = state ^ found.parity, end
@@ -192,8 +211,8 @@ def _cut(member: bytes, beginnings: dict):
     return cut
 
 
-def _only_separators(data: np.ndarray) -> None:
-    if not np.isin(data, (44, *_SPACE)).all():
+def _only_separators(text: bytes) -> None:
+    if text.strip(_BETWEEN):
         raise ValueError("the array has elements that are no objects")
 
 
@@ -210,13 +229,18 @@ def read_elements(spark: SparkSession, path: str, member: str) -> tuple[DataFram
     """(rest, elements) of JSON documents, one per file: the JSON text of each object in the top-level array ``member``
     as (file, block, number, raw), in order of (block, number), and each document without them as (file, raw).
 
-    ``file`` is a number.  Files are read twice, in blocks of the session's ``spark.sql.files.maxPartitionBytes``; the
-    driver sees one row per block.  A compressed file is one block.  An element that is no object is an error.
+    ``file`` is a number.  Files are read three times, in blocks of the session's ``spark.sql.files.maxPartitionBytes``,
+    the last time to cut the pieces, which are written to the shared folder; the driver sees two short rows per block.
+    A compressed file is one block.  An element that is no object is an error.
     """
     scan = spark.read.option("lineSep", "}").text(path)
     records = scan.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    effects = records.mapInArrow(_effects, _EFFECT_DDL).collect()
-    pieces = records.mapInArrow(_cut(member.encode("utf-8"), _beginnings(effects, member.encode("utf-8"))), _PIECE)
+    unescaped = F.regexp_replace("value", r"(?s)\\.", "")
+    quotes = F.octet_length(unescaped) - F.octet_length(F.replace(unescaped, F.lit('"')))
+    parities = records.groupBy("file", "block").agg((F.sum(quotes) % 2).cast("int").alias("parity"))
+    states, wanted = _states(parities.collect()), member.encode("utf-8")
+    effects = records.mapInArrow(_effects(wanted, states), _EFFECT_DDL).collect()
+    pieces = cut_lineage(records.mapInArrow(_cut(wanted, _beginnings(effects, states)), _PIECE), "pieces")
     whole = pieces.where("whole").select("file", "block", "number", F.col("raw").cast("string").alias("raw"))
 
     def joined(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import os
+import pickle
 import random
 from collections import defaultdict
 
@@ -205,3 +206,17 @@ def test_sink_with_commits(spark, tmp_path):
     files = [p for p in tmp_path.iterdir() if p.name.startswith("r1-")]
     assert sorted(int(i) for p in files for i in p.read_text().split()) == list(range(1050))
     assert sorted(p.name for p in files) == sorted(f"r1-{t}-{b}" for t in range(3) for b in range(4))
+
+
+def test_the_driver_sees_little_of_a_document(spark, tmp_path, monkeypatch):
+    """Brackets inside strings, which look like nesting from a wrong beginning, are not sent to the driver."""
+    text = "".join(rf']}}{{\"n{i}\": [' for i in range(50))
+    jobs = ",".join(f'{{"id": "{i}", "type": "{text}"}}' for i in range(40))
+    (tmp_path / "a.json").write_text(f'{{"version": "1.0", "jobs": [{jobs}]}}')
+    sizes, frame = [], type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: sizes.append(collect(self)) or sizes[-1])
+    elements = read_elements(spark, str(tmp_path), "jobs")[1]
+    assert 0 < sum(len(pickle.dumps(rows)) for rows in sizes) < 3000
+    monkeypatch.undo()
+    assert elements.count() == 40
