@@ -247,14 +247,20 @@ def read_export(t):
     return back.select("id", "type", "queue", "state", F.to_json("args").alias("args"), "priority", "attempt", "max_attempts")
 
 
+#: Jobs in one written document.
+DOCUMENT_JOBS = 500_000
+
+
 def _documents(t) -> str:
-    """All jobs as three export documents; messages have braces, quotes and backslashes."""
+    """All jobs as three export documents, or more where they would hold over ``DOCUMENT_JOBS`` jobs, as one task writes
+    each; messages have braces, quotes and backslashes."""
     path = work_dir(t.spark, "documents")
     text = F.concat(F.lit('}{"]\\\\ "jobs": ['), "job_id")
     jobs = t.jobs.select(
         F.col("job_id").alias("id"), text.alias("type"), "queue", "state", F.try_parse_json(F.concat(F.lit('[{"a": "}"},'), F.substring("args_json", 2, 10000))).alias("args"), "priority", "attempt", "max_attempts"
     )
-    sinks.write_export_documents(jobs.repartition(3), path, {"backend": "tables", "url": t.sf_dir, "version": "1"}, AS_OF.isoformat() + "Z")
+    documents = max(3, -(-jobs.count() // DOCUMENT_JOBS))
+    sinks.write_export_documents(jobs.repartition(documents), path, {"backend": "tables", "url": t.sf_dir, "version": "1"}, AS_OF.isoformat() + "Z")
     return path
 
 

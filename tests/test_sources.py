@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import pytest
 
+from jobscope.entries import migration
+from jobscope.entries.registry import Tables
 from jobscope.session import work_dir
 from jobscope.sources import keyspace, readers, sinks
 from jobscope.sources.documents import read_elements
@@ -220,3 +222,13 @@ def test_the_driver_sees_little_of_a_document(spark, tmp_path, monkeypatch):
     assert 0 < sum(len(pickle.dumps(rows)) for rows in sizes) < 3000
     monkeypatch.undo()
     assert elements.count() == 40
+
+
+def test_documents_grow_in_number(spark, tmp_path, monkeypatch):
+    """Documents beyond three hold so many jobs each, as one task writes a document."""
+    spark.range(400).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1.0D AS o_totalprice", "timestamp_ntz'2024-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    tables = Tables(spark, str(tmp_path))
+    files = lambda: spark.read.text(migration._documents(tables)).select("_metadata.file_path").distinct().count()
+    assert files() == 3
+    monkeypatch.setattr(migration, "DOCUMENT_JOBS", 50)
+    assert files() == 8
