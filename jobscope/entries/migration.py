@@ -1,6 +1,7 @@
 """Legacy dumps to canonical jobs: analysis, export, validation, sinks."""
 
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -213,7 +214,9 @@ def scan_ndjson(t):
     path = work_dir(t.spark, "ndjson")
     lines = t.ndjson_lines.withColumn("file", F.col("line") % 8)
     lines.repartition(8, "file").sortWithinPartitions("file", "line").select("file", "raw").write.partitionBy("file").text(path)
-    read = _in_blocks(t, lambda: readers.read_job_ndjson(t.spark, f"{path}/*"), "16k")
+    with _blocks(t, f"{path}/*", 16 << 10):
+        # Written while the size holds, as blocks are cut when a file is listed.
+        read = cut_lineage(readers.read_job_ndjson(t.spark, f"{path}/*"), "jobs")
     return read.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("bigint").alias("file"), "line", "raw")
 
 
@@ -247,8 +250,8 @@ def read_export(t):
     return back.select("id", "type", "queue", "state", F.to_json("args").alias("args"), "priority", "attempt", "max_attempts")
 
 
-#: Jobs in one written document.
-DOCUMENT_JOBS = 500_000
+#: Jobs in one written document, and blocks that written files are cut into.
+DOCUMENT_JOBS, BLOCKS = 500_000, 96
 
 
 def _documents(t) -> str:
@@ -271,16 +274,22 @@ def _documents(t) -> str:
 )
 def read_document(t):
     """Documents cut into many blocks; the size is put back afterwards."""
-    jobs = _in_blocks(t, lambda: readers.read_export_document(t.spark, _documents(t))[1])
+    path = _documents(t)
+    with _blocks(t, path, 256 << 10):
+        jobs = readers.read_export_document(t.spark, path)[1]
     return jobs.select("id", "type", "queue", "state", F.to_json("args").alias("args"), "priority", "attempt", "max_attempts")
 
 
-def _in_blocks(t, read, block="256k"):
+@contextmanager
+def _blocks(t, path, smallest):
+    """Files are read in up to ``BLOCKS`` blocks of at least ``smallest`` bytes: blocks grow with the files, up to the
+    size that the session gives them."""
     name, size = "spark.sql.files.maxPartitionBytes", t.spark.conf.get("spark.sql.files.maxPartitionBytes")
-    t.spark.conf.set(name, block)
+    total = t.spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    most = t.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    t.spark.conf.set(name, f"{min(most, max(smallest, total // BLOCKS))}b")
     try:
-        # Written while the size holds, as blocks are cut when a file is listed.
-        return cut_lineage(read(), "jobs")
+        yield
     finally:
         t.spark.conf.set(name, size)
 

@@ -232,3 +232,16 @@ def test_documents_grow_in_number(spark, tmp_path, monkeypatch):
     assert files() == 3
     monkeypatch.setattr(migration, "DOCUMENT_JOBS", 50)
     assert files() == 8
+
+
+def test_blocks_do_not_grow_in_number(spark, tmp_path, monkeypatch):
+    """Sixteen times the bytes are read in as many tasks; the session's own size is put back."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(migration, "BLOCKS", 8)
+    for n in (4000, 64000):
+        path = str(tmp_path / str(n))
+        spark.range(n).selectExpr("concat('line of some length ', id) AS value").coalesce(1).write.text(path)
+        with migration._blocks(Tables(spark, str(tmp_path)), path, 1000):
+            assert 4 <= spark.read.text(path).rdd.getNumPartitions() <= 9
+    assert spark.conf.get(name) == before
