@@ -139,24 +139,32 @@ def dashboard_counts(table: EpochTable) -> DataFrame:
     return table.newest().where("jobs > 0")
 
 
+#: Keys are dealt to this many buckets, each a row of state.
+UNIQUE_BUCKETS = 4096
+#: A null tie comes last.
+LAST_TIE = 2**63 - 1
+
+
 def start_unique(events: DataFrame, key: str, within_seconds: int, tie: str = "event_id", watermark: str = WATERMARK, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
     """Events kept when a key may occur once per window, written once the watermark has passed them.
 
     A key's state is its last kept time and the events that the watermark has not passed; it is dropped when the
-    watermark is a window beyond the last kept one.  Of events at one instant the one with the smallest ``tie``, a
-    number, counts.  Rows without a time are left out; a null key is a key.
+    watermark is a window beyond the last kept one.  Of events at one instant the
+    one with the smallest ``tie``, a number, counts; a null one comes last.  Rows without a time are left out; a null key is a key.
     """
     kinds = {f.name: f.dataType for f in events.schema.fields}
     if not isinstance(kinds[tie], IntegralType):
         raise ValueError("the tie must be an integer column")
     instant = F.col("ts").cast("timestamp")
     rows = events.where(F.col("ts").isNotNull()).select(
-        state.key_text(key).alias("g"), instant.alias("ts"), F.unix_micros(instant).alias("us"), F.col(tie).cast("bigint").alias("tie")
+        state.key_text(key).alias("g"), instant.alias("ts"), F.unix_micros(instant).alias("us"), F.coalesce(F.col(tie).cast("bigint"), F.lit(LAST_TIE)).alias("tie")
     )
-    rows = state.thinned(rows, ["g", "us"], ["tie"]).withWatermark("ts", watermark)
+    rows = state.thinned(rows, ["g", "us"], ["tie"])
+    rows = rows.withWatermark("ts", watermark)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(UNIQUE_BUCKETS)))
     step = state.keep_once(int(within_seconds * 1_000_000))
-    kept = rows.groupBy("g").applyInPandasWithState(step, state.UNIQUE_ROWS, state.UNIQUE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    kept = kept.select(state.key_value("g", kinds[key]).alias(key), F.timestamp_micros("us").cast(kinds["ts"]).alias("ts"), F.col("tie").cast(kinds[tie]).alias(tie))
+    kept = rows.groupBy("bucket").applyInPandasWithState(step, state.UNIQUE_ROWS, state.UNIQUE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    kept = kept.select(state.key_value("g", kinds[key]).alias(key), F.timestamp_micros("us").cast(kinds["ts"]).alias("ts"), F.nullif("tie", F.lit(LAST_TIE)).cast(kinds[tie]).alias(tie))
     table = _table(kept, "unique", path)
     return start(kept, table.write, "append", **options), table
 

@@ -6,17 +6,21 @@ or one row per task, instead of all its rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-#: Kept last per key, and the instants (with their smallest tie) that the watermark has not passed.
-UNIQUE_STATE = "last bigint, us array<bigint>, tie array<bigint>"
+#: Arrow rows of the keys in a bucket: the instants (with their smallest tie) that the watermark has not passed, and with
+#: a null tie the one that was kept last.
+UNIQUE_STATE = "held binary"
+_HELD = pa.schema([("g", pa.string()), ("us", pa.int64()), ("tie", pa.int64())])
 UNIQUE_ROWS = "g string, us bigint, tie bigint"
 #: A job's latest event.
 CHANGE_STATE = "us bigint, id bigint, queue string, type string"
@@ -65,36 +69,50 @@ def keep_once(window: int) -> Callable:
     """Keep an event that comes at least ``window`` microseconds after the last kept one of its key.
 
     Events wait until the watermark has passed them, so they are judged in the order of their times, whatever the
-    order of arrival.  A key is forgotten when the watermark is a window beyond its last kept event.
+    order of arrival.  A key is forgotten when the watermark is a window beyond its last kept event.  A call sees all
+    keys of a bucket, as a call costs far more than a key.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         passed = state.getCurrentWatermarkMs() * 1000
-        last, us, tie = state.get if state.exists else (None, [], [])
-        us, tie = np.asarray(us, dtype=np.int64), np.asarray(tie, dtype=np.int64)
+        parts = [pa.ipc.open_stream(state.get[0]).read_all()] if state.exists else []
         if not state.hasTimedOut:
-            new = pd.concat(list(frames))
-            us = np.concatenate([us, new["us"].to_numpy(dtype=np.int64)])
-            tie = np.concatenate([tie, new["tie"].to_numpy(dtype=np.int64)])
-        order = np.lexsort((tie, us))
-        us, tie = us[order], tie[order]
-        first = np.append(True, us[1:] != us[:-1])[: len(us)]
-        us, tie = us[first], tie[first]
-        ready = int(np.searchsorted(us, passed, side="right"))
-        kept = []
-        i = 0 if last is None else int(np.searchsorted(us[:ready], last + window))
-        while i < ready:
-            kept.append(i)
-            last = int(us[i])
-            i = max(i + 1, int(np.searchsorted(us[:ready], last + window)))
-        out = pd.DataFrame({"g": [key[0]] * len(kept), "us": us[kept], "tie": tie[kept]})
-        waiting = us[ready:]
-        wake = _ms(int(waiting[0])) if len(waiting) else _ms(last + window) if last is not None else 0
-        if not len(waiting) and wake * 1000 < passed:
+            parts += [pa.Table.from_pandas(f, schema=_HELD, preserve_index=False) for f in frames]
+        held = pa.concat_tables(parts)
+        kept_last = held.filter(pc.is_null(held["tie"]))
+        last = dict(zip(kept_last["g"].to_pylist(), kept_last["us"].to_pylist()))
+        events = held.filter(pc.is_valid(held["tie"])).sort_by([(c, "ascending") for c in _HELD.names])
+        g, us = events["g"].to_numpy(), events["us"].to_numpy()
+        changes = np.append(True, g[1:] != g[:-1])[: len(g)]
+        first = changes | np.append(True, us[1:] != us[:-1])[: len(us)]
+        events, g, us = events.filter(pa.array(first)), g[first], us[first]
+        edges = [*np.flatnonzero(changes[first]).tolist(), len(g)]
+        instants, kept, wake = us.tolist(), [], []
+        for begin, end in zip(edges, edges[1:]):
+            before = last.get(g[begin])
+            ready = bisect_right(instants, passed, begin, end)
+            i = begin if before is None else bisect_left(instants, before + window, begin, ready)
+            while i < ready:
+                kept.append(i)
+                before = last[g[begin]] = instants[i]
+                i = bisect_left(instants, before + window, i + 1, ready)
+            if ready < end:
+                wake.append(_ms(instants[ready]))
+        out = events.take(pa.array(kept, pa.int64())).to_pandas()
+        waiting = events.filter(pa.array(us > passed))
+        awaited = set(waiting["g"].unique().to_pylist())
+        done = {k: _ms(x + window) for k, x in last.items() if k not in awaited}
+        wake += [x for x in done.values() if x * 1000 >= passed]
+        if wake:
+            last = {k: x for k, x in last.items() if k in awaited or done[k] * 1000 >= passed}
+            ends = pa.table({"g": list(last), "us": list(last.values()), "tie": [None] * len(last)}, schema=_HELD)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _HELD) as writer:
+                writer.write_table(pa.concat_tables([waiting, ends]))
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(max(min(wake), passed // 1000))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((last, waiting.tolist(), tie[ready:].tolist()))
-            state.setTimeoutTimestamp(max(wake, passed // 1000))
         yield out
 
     return step
