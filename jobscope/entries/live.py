@@ -9,6 +9,7 @@ from jobscope import bindings
 from jobscope.entries.registry import query
 from jobscope.entries.relations import subscriptions_with_lists
 from jobscope.operators import stats
+from jobscope.session import work_dir
 from jobscope.streaming import live
 from jobscope.streaming.tables import drain
 
@@ -101,12 +102,17 @@ def stream_dashboard(t):
     """WITH RECURSIVE kept(job_id, ts) AS (SELECT job_id, min(ts) FROM job_events GROUP BY job_id
       UNION ALL SELECT k.job_id, min(e.ts) FROM kept k JOIN job_events e ON e.job_id = k.job_id AND e.ts >= k.ts + INTERVAL '6' HOUR GROUP BY k.job_id, k.ts)
     SELECT k.job_id, k.ts, min(e.event_id) AS event_id FROM kept k JOIN job_events e ON e.job_id = k.job_id AND e.ts = k.ts
-    WHERE k.ts <= (SELECT max(ts) FROM watermark) GROUP BY k.job_id, k.ts""".replace("kept(job_id, ts) AS", f"{_WATERMARK}, kept(job_id, ts) AS", 1),
+    GROUP BY k.job_id, k.ts""",
     "job_events",
 )
 def stream_unique(t):
-    running, table = live.start_unique(job_events(t), "job_id", 6 * 3600)
-    drain(running)
+    """All events read, then the end marked, so that the last hour is written too."""
+    ends, path, checkpoint = live.open_ends(t.spark), work_dir(t.spark, "unique"), work_dir(t.spark, "stream")
+    for ended in (False, True):
+        if ended:
+            live.mark_end(t.spark, ends)
+        running, table = live.start_unique(job_events(t), "job_id", 6 * 3600, path=path, ends=ends, checkpoint=checkpoint)
+        drain(running)
     return table.read().drop("epoch")
 
 

@@ -143,13 +143,28 @@ def dashboard_counts(table: EpochTable) -> DataFrame:
 UNIQUE_BUCKETS = 4096
 #: A null tie comes last.
 LAST_TIE = 2**63 - 1
+#: An instant after all events.
+END = dt.datetime(9999, 1, 1, tzinfo=dt.timezone.utc)
 
 
-def start_unique(events: DataFrame, key: str, within_seconds: int, tie: str = "event_id", watermark: str = WATERMARK, path: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
+def open_ends(spark: SparkSession, path: str | None = None) -> str:
+    """A folder in which :func:`mark_end` says that a stream has ended."""
+    path = path or work_dir(spark, "ends")
+    spark.createDataFrame([], "ts timestamp").write.parquet(path)
+    return path
+
+
+def mark_end(spark: SparkSession, ends: str) -> None:
+    """No more events come: the watermark of the streams with ``ends``, run again, passes all they have read."""
+    spark.createDataFrame([(END,)], "ts timestamp").write.mode("append").parquet(ends)
+
+
+def start_unique(events: DataFrame, key: str, within_seconds: int, tie: str = "event_id", watermark: str = WATERMARK, path: str | None = None, ends: str | None = None, **options) -> tuple[StreamingQuery, EpochTable]:
     """Events kept when a key may occur once per window, written once the watermark has passed them.
 
     A key's state is its last kept time and the events that the watermark has not passed; it is dropped when the
-    watermark is a window beyond the last kept one.  Of events at one instant the
+    watermark is a window beyond the last kept one.  ``ends`` names a folder of :func:`open_ends`: once it is marked,
+    the query, started again with its checkpoint, writes the events that still waited.  Of events at one instant the
     one with the smallest ``tie``, a number, counts; a null one comes last.  Rows without a time are left out; a null key is a key.
     """
     kinds = {f.name: f.dataType for f in events.schema.fields}
@@ -160,7 +175,11 @@ def start_unique(events: DataFrame, key: str, within_seconds: int, tie: str = "e
         state.key_text(key).alias("g"), instant.alias("ts"), F.unix_micros(instant).alias("us"), F.coalesce(F.col(tie).cast("bigint"), F.lit(LAST_TIE)).alias("tie")
     )
     rows = state.thinned(rows, ["g", "us"], ["tie"])
-    rows = rows.withWatermark("ts", watermark)
+    if ends:
+        marks = events.sparkSession.readStream.schema("ts timestamp").parquet(ends)
+        rows = rows.unionByName(marks, allowMissingColumns=True)
+    # A condition on the event time stays behind the watermark, so that a mark moves it before it goes.
+    rows = rows.withWatermark("ts", watermark).where(F.col("g").isNotNull() | (F.col("ts") < F.lit(END)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(UNIQUE_BUCKETS)))
     step = state.keep_once(int(within_seconds * 1_000_000))
     kept = rows.groupBy("bucket").applyInPandasWithState(step, state.UNIQUE_ROWS, state.UNIQUE_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -150,6 +150,20 @@ def test_unique_keeps_buckets(spark, mixed, rows, monkeypatch):
     assert 0 < max(state_rows(query)) <= 2
 
 
+def test_unique_writes_the_rest_at_the_end(spark, mixed, rows, tmp_path):
+    ends = live.open_ends(spark, str(tmp_path / "ends"))
+    want = unique_within(mixed[1], "job_id", "ts", "event_id", 500, heavy=[])
+    counts = []
+    for ended in (False, True):
+        if ended:
+            live.mark_end(spark, ends)
+        query, table = live.start_unique(stream(spark, mixed), "job_id", 500, path=str(tmp_path / "t"), ends=ends, checkpoint=str(tmp_path / "c"))
+        drain(query)
+        counts.append(table.read().count())
+    assert counts[0] < counts[1] and rows(table.read().drop("epoch")) == rows(want)
+    assert state_rows(query)[-1] == 0
+
+
 def test_unique_needs_a_number_as_tie(spark, events):
     with pytest.raises(ValueError):
         live.start_unique(stream(spark, events), "job_id", 5, tie="type")
