@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -82,17 +89,89 @@ def dependency_depth(edges: DataFrame) -> DataFrame:
 
 #: A round that would join more pairs than this many times its rows places one level instead of doubling.
 MOST_GROWTH = 8
+#: Workflows of at most this many rows are placed in one task.
+TASK_ROWS = 20_000
 
 
 def dependency_levels(edges: DataFrame) -> DataFrame:
     """Longest path to every step of a general graph; ``edges`` has one row per (step, depends_on).
 
+    Workflows of up to ``TASK_ROWS`` rows are dealt to tasks, which place the steps of each; larger ones are placed in
+    rounds of joins.  Steps on or behind a cycle get a null level.  Dependencies on unknown steps are ignored, as are
+    those of steps or workflows without a name; repeated rows count once.
+    """
+    key = ["workflow_id", "step_id"]
+    rows = cut_lineage(edges.select(*key, "depends_on"), "edges")
+    nameless = rows.where("workflow_id is null or step_id is null").select(*key).distinct()
+    named = rows.where("workflow_id is not null and step_id is not null")
+    large = cut_lineage(named.groupBy("workflow_id").agg(F.count("*").alias("_rows")).where(F.col("_rows") > TASK_ROWS), "large")
+    some = not large.isEmpty()
+    small = named.join(broadcast_if_small(large), "workflow_id", "left_anti") if some else named
+    dealt = small.repartition("workflow_id").sortWithinPartitions("workflow_id")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+    levels = dealt.mapInArrow(_place_sorted(), f"{kinds}, level int")
+    levels = levels.unionByName(nameless.withColumn("level", F.lit(0)))
+    if some:
+        levels = levels.unionByName(_levels_by_rounds(named.join(broadcast_if_small(large), "workflow_id", "left_semi")))
+    return levels
+
+
+def _place_sorted():
+    """Levels of the workflows whose rows follow each other."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def levels(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
+            found = [(w, step, level) for w, rows in groupby(zip(*columns), itemgetter(0)) for step, level in _placed(rows).items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (*schema.types[:2], pa.int32()))], names=[*schema.names[:2], "level"])
+
+        held: list[list] = [[], [], []]
+        schema = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema = batch.schema
+            held = [old + new.to_pylist() for old, new in zip(held, batch.columns)]
+            # The last workflow may go on in the next batch.
+            cut = bisect_left(held[0], True, key=lambda w, last=held[0][-1]: w == last)
+            if cut:
+                yield levels([c[:cut] for c in held], schema)
+                held = [c[cut:] for c in held]
+        if schema is not None:
+            yield levels(held, schema)
+
+    return place
+
+
+def _placed(rows: Iterable[tuple]) -> dict:
+    """The level of each step of one workflow, None on or behind a cycle."""
+    needs: dict = {}
+    for _, step, before in rows:
+        needs.setdefault(step, set()).add(before)
+    dependents, missing = defaultdict(list), {}
+    for step, all_before in needs.items():
+        known = [x for x in all_before if x in needs]
+        missing[step] = len(known)
+        for x in known:
+            dependents[x].append(step)
+    level = dict.fromkeys(needs, 0)
+    ready = [step for step, n in missing.items() if not n]
+    for step in ready:
+        for x in dependents[step]:
+            level[x] = max(level[x], level[step] + 1)
+            missing[x] -= 1
+            if not missing[x]:
+                ready.append(x)
+    return {step: None if missing[step] else x for step, x in level.items()}
+
+
+def _levels_by_rounds(edges: DataFrame) -> DataFrame:
+    """Levels of workflows of any size.
+
     Jumps are pairs of steps with a path of exactly L dependencies between them; L doubles each round, and a level is
     the longest of its own so far and L more than that of a step jumped to.  So the number of rounds grows with the
     logarithm of the depth.  Where steps with many dependents and many dependencies would make pairs of all of them,
     a round places the steps whose dependencies are all placed, which is one level; such graphs are wide rather than
     deep.  Steps on or behind a cycle have jumps as long as their workflow has steps, and get a null level.
-    Dependencies on unknown steps are ignored; repeated rows count once.
     """
     key, up = ["workflow_id", "step_id"], ["workflow_id", "depends_on"]
     steps = cut_lineage(edges.select(*key).distinct(), "steps")

@@ -173,6 +173,34 @@ def test_hubs_are_not_made_into_pairs(spark, monkeypatch):
     assert names.count("jumps") - 1 <= 4
 
 
+@pytest.mark.parametrize("growth", [0, 8, 10**9])
+def test_levels_of_large_workflows(spark, monkeypatch, growth):
+    """The same graphs, all but the smallest by rounds."""
+    monkeypatch.setattr(workflows, "TASK_ROWS", 10)
+    test_levels_equal_placing_step_by_step(spark, monkeypatch, growth)
+
+
+@pytest.mark.parametrize("rounds", [test_rounds_grow_with_the_logarithm_of_the_depth, test_hubs_are_not_made_into_pairs])
+def test_rounds_of_large_workflows(spark, monkeypatch, rounds):
+    monkeypatch.setattr(workflows, "TASK_ROWS", 0)
+    rounds(spark, monkeypatch)
+
+
+def test_small_workflows_need_no_rounds(spark, monkeypatch):
+    """Workflows over several batches of a task; steps without a name depend on nothing."""
+    monkeypatch.setattr(workflows, "TASK_ROWS", 60)
+    names = count_rounds(monkeypatch)
+    edges = [(f"w{w}", f"s{s}", f"s{s - 1}" if s else None) for w in range(40) for s in range(1 + w)]
+    lost = [(None, "a", "b"), (None, "b", None), ("w3", None, "s1")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.workflow_id, r.step_id): r.level for r in workflows.dependency_levels(spark.createDataFrame(edges + edges[:99] + lost, GRAPH)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(w, s): int(s[1:]) for w, s, _ in edges} | {(None, "a"): 0, (None, "b"): 0, ("w3", None): 0}
+    assert "jumps" not in names
+
+
 @pytest.fixture
 def jobs(spark):
     at = dt.datetime(2024, 1, 1)
