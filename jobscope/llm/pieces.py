@@ -106,10 +106,10 @@ class Transducer:
             self.arcs = {p: i for p, i in self.arcs.items() if len(p) == 1 or self._merged(p) == [p]}
         #: Ends of pieces: a lattice position looks back only as far as its text is one.
         self.tails = {p[i:] for p in self.arcs for i in range(len(p))} if model.kind == UNIGRAM else set()
-        #: Length of the longest piece by its first two characters.
+        #: Length of the longest piece by its first three characters; others have two at most.
         self.reach: dict[str, int] = {}
         for p in self.arcs:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
+            self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 2))
 
     def _merged(self, text: str) -> list[str]:
         """What the merges leave of a short text: the best-scored neighbours join first, the leftmost on ties."""
@@ -174,7 +174,7 @@ class Transducer:
         out: list[tuple[int, int, int]] = []
         dead = bytearray(size + 1)
         at, last = 0, -1
-        length = min(size, reach(text[:2], 1))
+        length = min(size, reach(text[:3], 2))
         while at < size:
             while length:
                 piece = get(text[at : at + length])
@@ -197,7 +197,7 @@ class Transducer:
                 out.append((at, length, piece))
                 at += length
                 last = piece
-                length = min(size - at, reach(text[at : at + 2], 1))
+                length = min(size - at, reach(text[at : at + 3], 2))
             else:
                 dead[at] = 1
                 at, length, _ = out.pop()

@@ -492,3 +492,10 @@ def test_wrapped_and_dual_licences(spark):
     for i, text in rows[: 4 * len(longest)]:
         (match,) = found[i].matches
         assert licences.words_of(text[match.start : match.end]) == licences.words_of(max(licences.NOTICES[want[i][0]], key=len))
+
+
+def test_longest_piece_by_three_characters(piece_model):
+    """A longer beginning rules out more pieces, and none that the model has."""
+    transducer = pieces.Transducer(pieces.Model.parse(piece_model))
+    assert all(transducer.reach[p[:3]] >= len(p) for p in transducer.arcs)
+    assert any(len(start) == 3 for start in transducer.reach) and min(transducer.reach.values()) >= 2
