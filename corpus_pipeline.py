@@ -7,8 +7,9 @@ and read back as the next one's ``docs``.  All but the last return the columns o
 * language: documents without a letter, or whose best language scores below 0.5, go.
 * near_duplicates: of documents whose SimHash fingerprints link (three-word shingles, at most three bits), the one
   with the smallest doc_id stays.
-* repeated_passages: bytes covered by 400-byte strings that start elsewhere too are cut out of the texts;
-  characters cut in half go with them, and ``n_chars`` follows the text.
+* repeated_passages: bytes covered by 400-byte strings that start elsewhere too are cut out of the texts, and so are
+  passages of over 50 words that stand elsewhere too, which may be shorter; characters cut in half go with them, and
+  ``n_chars`` follows the text.
 * packing: the pieces of all documents with their places in sequences of 1024 tokens.
 
 Null and empty texts pass through as they are unless a filter rejects them; empty tables give empty results.
@@ -25,6 +26,9 @@ from jobscope.llm import language, packing, quality, simhash, suffixes
 from jobscope.llm.common import col, stored, table
 from jobscope.llm.queries import tokenizer_path
 
+#: Words of the shortest passage that is cut out wherever it repeats: over 50.
+PASSAGE_WORDS = 51
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.3; a null or empty text is scored like any other, repeated rows alike."""
@@ -46,8 +50,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without repeated strings; null texts stay null, and rows with one doc_id are cut each by itself."""
-    found = suffixes.remove_repeats(docs, kept="text", prefix="__")
+    """All documents without repeated strings and passages; null texts stay null, and rows with one doc_id are cut each by itself."""
+    found = suffixes.remove_repeats(docs, kept="text", prefix="__", passage=PASSAGE_WORDS)
     changed = F.col("__n_removed") > 0
     new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

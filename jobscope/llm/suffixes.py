@@ -13,11 +13,15 @@ windows.  The passes:
    each kind stays to be compared with.
 
 Digits travel as hashes: the first keeps windows in the sort, and both together, 128 bits, decide equality.
+
+The units of a window are bytes, or words: then each word stands as a hash of eight bytes, and passages of so many
+words are found whatever white space lies between them and however short the words are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +39,20 @@ CHUNK = 1 << 18
 RUN_LENGTHS = (25, 5, 1)
 _PLACE = np.uint64((1 << 20) - 1)
 _STEP = 0x9E3779B97F4A7C15
+#: Bytes that stand for one unit of a text.
+_SIZES = {"bytes": 1, "words": 8}
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 9) for b in range(256)], dtype=np.uint64)
 
 
+def _in_units(text: bytes | None, unit: str) -> bytes | None:
+    """The text itself, or the hashes of its words one after the other."""
+    return b"".join([xxhash.xxh64_digest(w) for w in text.split()]) if text and unit == "words" else text
+
+
 def _block_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the ``width`` bytes from each place on, by doubling."""
-    level, length, hashes, at = _BYTES[data], 1, None, 0
+    """Hash of the ``width`` units from each place on, by doubling."""
+    level, length, hashes, at = _BYTES[data] if data.dtype == np.uint8 else data, 1, None, 0
     while True:
         if width & length:
             n = len(data) - width + 1
@@ -71,32 +83,32 @@ def _smallest(hashes: np.ndarray, span: int) -> np.ndarray:
     return (least & _PLACE).astype(np.int64)
 
 
-def _pieces(texts: list[bytes | None], window: int):
-    """(texts' numbers, offsets in the text, starts in the buffer, lengths, buffer), each within ``CHUNK`` or so."""
-    held, size = [], 0
+def _pieces(texts: list[bytes | None], window: int, size: int):
+    """Lists of (text's number, offset in the text, piece), each within ``CHUNK`` units of ``size`` bytes or so."""
+    held, total = [], 0
     for i, text in enumerate(texts):
-        if not text or len(text) < window:
+        if not text or len(text) < window * size:
             continue
-        for at in range(0, len(text) - window + 1, CHUNK):
-            piece = text[at : at + CHUNK + window - 1]
-            if held and size + len(piece) > CHUNK:
+        for at in range(0, len(text) // size - window + 1, CHUNK):
+            piece = text[at * size : (at + CHUNK + window - 1) * size]
+            if held and total + len(piece) // size > CHUNK:
                 yield held
-                held, size = [], 0
+                held, total = [], 0
             held.append((i, at, piece))
-            size += len(piece)
+            total += len(piece) // size
     if held:
         yield held
 
 
-def runs(texts: list[bytes | None], window: int = WINDOW):
+def runs(texts: list[bytes | None], window: int = WINDOW, unit: str = "bytes"):
     """Arrays (text, block hash, run hash, place of the block, first and last start): windows with one smallest block."""
-    width = window // 2
+    width, size = window // 2, _SIZES[unit]
     found = []
-    for held in _pieces(texts, window):
+    for held in _pieces([_in_units(t, unit) for t in texts], window, size):
         buffer = b"".join(p for _, _, p in held)
-        lengths = np.array([len(p) for _, _, p in held])
+        lengths = np.array([len(p) // size for _, _, p in held])
         begin = np.cumsum(lengths) - lengths
-        hashes = _block_hashes(np.frombuffer(buffer, dtype=np.uint8), width)
+        hashes = _block_hashes(np.frombuffer(buffer, dtype=np.uint8 if size == 1 else np.uint64), width)
         place = _smallest(hashes, window - width + 1)
         number = lengths - window + 1
         piece = np.repeat(np.arange(len(held)), number)
@@ -106,7 +118,8 @@ def runs(texts: list[bytes | None], window: int = WINDOW):
         last = np.append(first[1:], len(chosen)) - 1
         low, high = start[first], start[last]
         digest = xxhash.xxh3_64_intdigest
-        whole = np.array([digest(buffer[a:b]) for a, b in zip(low.tolist(), (high + window).tolist())], dtype=np.uint64)
+        edges = zip((low * size).tolist(), ((high + window) * size).tolist())
+        whole = np.array([digest(buffer[a:b]) for a, b in edges], dtype=np.uint64)
         text = np.array([i for i, _, _ in held])[piece[first]]
         shift = np.array([at for _, at, _ in held])[piece[first]] - begin[piece[first]]
         found.append((text, hashes[chosen[first]].view(np.int64), whole.view(np.int64), chosen[first] + shift, low + shift, high + shift))
@@ -132,10 +145,10 @@ _ROW = "doc long, crc long, block long, whole long, place long, low long, high l
 _NAMES = ["doc", "crc", "block", "whole", "place", "low", "high"]
 
 
-def _run_rows(window: int):
+def _run_rows(window: int, unit: str):
     def rows(batches):
         for batch in batches:
-            text, *digits = runs(batch.column(2).to_pylist(), window)
+            text, *digits = runs(batch.column(2).to_pylist(), window, unit)
             if len(text):
                 arrays = [batch.column(i).to_numpy()[text] for i in (0, 1)] + digits
                 yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays], names=_NAMES)
@@ -143,22 +156,24 @@ def _run_rows(window: int):
     return rows
 
 
-def _shorter_rows(window: int, length: int):
+def _shorter_rows(window: int, length: int, unit: str):
     """The runs asked for, cut into runs of ``length`` at fixed distances from their block."""
+    size = _SIZES[unit]
 
     def rows(batches):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out = []
             for doc, crc, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                body = _in_units(body, unit)
                 for run in wanted:
                     place, low, high, alone = run["place"], run["low"], run["high"], run["alone"]
                     for cell in range((low - place) // length, (high - place) // length + 1):
                         first = place + cell * length
                         last = first + length - 1
                         a, b = max(first, low), min(last, high)
-                        block = digest(body[last : first + window], cell + (1 << 32))
-                        out.append((doc, crc, block, digest(body[a : b + window], 1), place, a, b, alone))
+                        block = digest(body[last * size : (first + window) * size], cell + (1 << 32))
+                        out.append((doc, crc, block, digest(body[a * size : (b + window) * size], 1), place, a, b, alone))
                 if len(out) > 50000:
                     yield _row_batch(out)
                     out = []
@@ -227,19 +242,19 @@ def _merge(batches):
 _SPANS = pa.schema([("doc", pa.int64()), ("crc", pa.int64()), ("spans", pa.list_(pa.int64()))])
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, crc, spans): for each text with repeats, the bytes that windows which start elsewhere too cover.
+def repeated_spans(docs: DataFrame, window: int = WINDOW, unit: str = "bytes") -> DataFrame:
+    """(doc, crc, spans): for each text with repeats, the bytes or words that windows which start elsewhere too cover.
 
     ``spans`` lists starts and ends of maximal runs in turn.  ``doc`` and ``crc`` are the key of the text; rows that agree
     in doc_id and text share a row here, and their windows count as repeated.
     """
     keyed = _keyed(docs)
     long = keyed.where(F.octet_length("body") >= window)
-    rows = stored(long.mapInArrow(_run_rows(window), _ROW).withColumn("alone", F.lit(True)), "runs")
+    rows = stored(long.mapInArrow(_run_rows(window, unit), _ROW).withColumn("alone", F.lit(True)), "runs")
     spans, wanted = _sort_pass(rows, window)
-    for length in RUN_LENGTHS:
+    for length in [n for n in RUN_LENGTHS if 2 * n <= window - window // 2 + 1]:
         asked = long.join(small(wanted), ["doc", "crc"]).select("doc", "crc", "body", "wanted")
-        rows = stored(asked.mapInArrow(_shorter_rows(window, length), _ROW + ", alone boolean"), "runs")
+        rows = stored(asked.mapInArrow(_shorter_rows(window, length, unit), _ROW + ", alone boolean"), "runs")
         discard(wanted)
         more, wanted = _sort_pass(rows, window)
         spans = spans.union(more)
@@ -247,7 +262,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return spans.mapInArrow(_merge, "doc long, crc long, spans array<long>")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, kept: str = "bytes", prefix: str = "") -> DataFrame:
+def _in_bytes(text: bytes, spans: list[int], words: list[int]) -> list[int]:
+    """Spans of bytes together with spans of words, from the first word's start to the last one's end."""
+    if not words:
+        return spans
+    places = [m.span() for m in _WORD.finditer(text)]
+    both = list(zip(spans[::2], spans[1::2])) + [(places[a][0], places[b - 1][1]) for a, b in zip(words[::2], words[1::2])]
+    out = []
+    for low, high in sorted(both):
+        if out and low <= out[-1]:
+            out[-1] = max(out[-1], high)
+        else:
+            out += [low, high]
+    return out
+
+
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, kept: str = "bytes", prefix: str = "", passage: int = 0
+) -> DataFrame:
     """The columns ``keep`` (all by default) with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept``.
 
     Every byte covered by a ``window``-byte string that also starts anywhere else goes, in the same text or
@@ -255,8 +287,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
     shorter than the window keep everything; equal texts of at least the window lose everything.  ``kept`` has
     the remaining bytes; with ``kept="text"`` it is a string without characters that were cut in half, and with
     ``kept=""`` it is left out.  New names start with ``prefix``; input columns with the same names are dropped.
+    With ``passage``, words (``[^\\x20\\x09-\\x0D]+``) in a sequence of so many that stands anywhere else too go as well, in
+    whatever number of bytes, and the white space between them; that before and after stays.
     """
-    spans = stored(repeated_spans(docs, window), "spans").select(*[F.col(c).alias(f"__{c}") for c in ("doc", "crc", "spans")])
+    spans = repeated_spans(docs, window).withColumn("words", F.lit(None).cast("array<long>"))
+    if passage:
+        words = repeated_spans(docs, passage, "words")
+        spans = spans.union(words.select("doc", "crc", F.lit(None).cast("array<long>"), F.col("spans")))
+        spans = spans.groupBy("doc", "crc").agg(F.max("spans").alias("spans"), F.max("words").alias("words"))
+    spans = stored(spans, "spans").select(*[F.col(c).alias(f"__{c}") for c in ("doc", "crc", "spans", "words")])
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     doc, crc = _key(body)
     same = (doc == F.col("__doc")) & (crc == F.col("__crc"))
@@ -267,10 +306,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
         fields.append(T.StructField(prefix + "kept", T.StringType() if kept == "text" else T.BinaryType()))
 
     def start():
-        def compute(texts, spans):
+        def compute(texts, spans, words):
             rows = []
-            for text, span in zip(texts, spans):
-                text, span = text or b"", span or []
+            for text, span, passages in zip(texts, spans, words):
+                text = text or b""
+                span = _in_bytes(text, span or [], passages or [])
                 edges = [0, *span, len(text)]
                 rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out = rest.decode("utf-8", "ignore") if kept == "text" else rest
@@ -280,4 +320,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
         return compute
 
     keep = docs.columns if keep is None else keep
-    return map_text(joined, fields, start, keep=keep, extra=[F.col("__spans")])
+    return map_text(joined, fields, start, keep=keep, extra=[F.col("__spans"), F.col("__words")])

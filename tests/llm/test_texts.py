@@ -1,7 +1,10 @@
 """Operators on documents: odd inputs, empty tables, and brute-force versions."""
 
 import hashlib
+import os
 import random
+import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,8 +12,11 @@ import numpy as np
 import pytest
 import xxhash
 
-from jobscope.llm import language, licences, packing, pieces, quality, simhash, suffixes
-from jobscope.llm.queries import tokenizer_path
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import corpus_pipeline  # noqa: E402
+from jobscope.llm import language, licences, packing, pieces, quality, simhash, suffixes  # noqa: E402
+from jobscope.llm.queries import tokenizer_path  # noqa: E402
 
 
 def frame(spark, rows):
@@ -197,6 +203,57 @@ def test_texts_with_one_checksum_stay_apart(spark):
         assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(plain_removal(texts, 40))
 
 
+def plain_passages(texts, window, passage):
+    """What is left when passages of words go as well as strings of bytes."""
+    texts = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+    words = [[m for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    runs = [[tuple(m[0] for m in w[i : i + passage]) for i in range(len(w) - passage + 1)] for w in words]
+    times = Counter(r for found in runs for r in found)
+    out = []
+    for t, w, found in zip(texts, words, runs):
+        mark = bytearray(len(t))
+        for i in range(len(t) - window + 1):
+            if seen[t[i : i + window]] > 1:
+                mark[i : i + window] = b"\1" * window
+        covered = {k for i, r in enumerate(found) if times[r] > 1 for k in range(i, i + passage)}
+        for k in covered:
+            low, high = w[k].start(), w[k + 1].start() if k + 1 in covered else w[k].end()
+            mark[low:high] = b"\1" * (high - low)
+        spans = sum(1 for i in range(len(t)) if mark[i] and (i == 0 or not mark[i - 1]))
+        out.append((len(t), sum(mark), spans, bytes(b for b, m in zip(t, mark) if not m)))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 40])
+def test_removal_of_passages_equals_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 6)))
+    shared = [[word() for _ in range(rng.randint(8, 30))] for _ in range(6)]
+    texts = [None, "", " \n", "a " * 60, "b\n" * 12, "a" * 200, "c " * 5 + "d" * 90, "d" * 90]
+    for _ in range(60):
+        parts = [rng.choice(shared)[rng.randint(0, 3) : rng.randint(6, 30)] if rng.random() < 0.5 else [word() for _ in range(rng.randint(1, 20))] for _ in range(4)]
+        texts.append("".join(w + rng.choice([" ", " ", "\n", " \t", "\u00a0 "]) for p in parts for w in p))
+    texts += texts[10:13]
+    want = plain_passages(texts, 60, 11)
+    assert want != plain_passages(texts, 60, 1000) and want != plain_passages(texts, 1000, 11)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(frame(spark, list(enumerate(texts))), window=60, passage=11).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    """Passages of 51 words go, in less than 400 bytes and across other line ends; those of 50 words stay."""
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    passage, short = words(51), words(50)
+    assert len(" ".join(passage)) < 400
+    rows = [(1, "one " + " ".join(passage) + " two"), (2, "three\n" + "\n".join(passage) + "\nfour"), (3, "five " + " ".join(short)), (4, " ".join(short) + " six"), (5, None)]
+    docs = spark.createDataFrame([(i, t, t and len(t)) for i, t in rows], "doc_id bigint, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert got == {1: ("one  two", 8), 2: ("three\n\nfour", 11), **{i: (t, t and len(t)) for i, t in rows[2:]}}
+
+
 def test_kept_text_has_whole_characters(spark):
     shared = "é" + "b" * 50
     rows = [(1, "x" + shared), (2, "ç" + shared[1:])]
