@@ -26,9 +26,6 @@ from jobscope.llm import language, packing, quality, simhash, suffixes
 from jobscope.llm.common import col, stored, table
 from jobscope.llm.queries import tokenizer_path
 
-#: Words of the shortest passage that is cut out wherever it repeats: over 50.
-PASSAGE_WORDS = 51
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.3; a null or empty text is scored like any other, repeated rows alike."""
@@ -51,7 +48,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without repeated strings and passages; null texts stay null, and rows with one doc_id are cut each by itself."""
-    found = suffixes.remove_repeats(docs, kept="text", prefix="__", passage=PASSAGE_WORDS)
+    found = suffixes.remove_repeats(docs, kept="text", prefix="__", passage=suffixes.PASSAGE_WORDS)
     changed = F.col("__n_removed") > 0
     new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

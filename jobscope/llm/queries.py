@@ -54,9 +54,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without repeated 400-byte strings; ``text`` leaves out characters cut in half."""
-    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], kept="text")
-    return found.withColumnRenamed("kept", "text")
+    """What is left of every document without repeated 400-byte strings, in ``kept`` without characters cut in half.
+
+    ``text`` is what is left without repeated passages of over 50 words too, which may be shorter than 400 bytes.
+    """
+    docs = table(spark, sf_dir, "documents")
+    return suffixes.remove_repeats(docs, keep=["doc_id"], kept="text", passage=suffixes.PASSAGE_WORDS, apart="text")
 
 
 @query

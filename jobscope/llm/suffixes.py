@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from jobscope.llm.common import discard, map_text, small, stored
 
 WINDOW = 400
+#: Words of the shortest passage that goes wherever it repeats, in whatever number of bytes: over 50.
+PASSAGE_WORDS = 51
 #: Bytes hashed at once; longer texts are cut into overlapping pieces. Places must fit in 20 bits.
 CHUNK = 1 << 18
 #: Lengths of runs in the passes after the first.
@@ -278,7 +280,13 @@ def _in_bytes(text: bytes, spans: list[int], words: list[int]) -> list[int]:
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, kept: str = "bytes", prefix: str = "", passage: int = 0
+    docs: DataFrame,
+    window: int = WINDOW,
+    keep: list[str] | None = None,
+    kept: str = "bytes",
+    prefix: str = "",
+    passage: int = 0,
+    apart: str = "",
 ) -> DataFrame:
     """The columns ``keep`` (all by default) with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept``.
 
@@ -288,7 +296,8 @@ def remove_repeats(
     the remaining bytes; with ``kept="text"`` it is a string without characters that were cut in half, and with
     ``kept=""`` it is left out.  New names start with ``prefix``; input columns with the same names are dropped.
     With ``passage``, words (``[^\\x20\\x09-\\x0D]+``) in a sequence of so many that stands anywhere else too go as well, in
-    whatever number of bytes, and the white space between them; that before and after stays.
+    whatever number of bytes, and the white space between them; that before and after stays.  With ``apart``, the columns
+    above are of strings alone, and a further one of that name has what is left without passages too, as ``kept`` has it.
     """
     spans = repeated_spans(docs, window).withColumn("words", F.lit(None).cast("array<long>"))
     if passage:
@@ -302,19 +311,25 @@ def remove_repeats(
     joined = docs.join(small(spans), same, "left")
     fields = [T.StructField(prefix + n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     fields += [T.StructField(prefix + "kept_sha256", T.StringType())]
-    if kept:
-        fields.append(T.StructField(prefix + "kept", T.StringType() if kept == "text" else T.BinaryType()))
+    remains = [prefix + "kept"] * bool(kept) + [prefix + apart] * bool(kept and apart)
+    fields += [T.StructField(n, T.StringType() if kept == "text" else T.BinaryType()) for n in remains]
 
     def start():
+        def left(text, span):
+            edges = [0, *span, len(text)]
+            return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
         def compute(texts, spans, words):
             rows = []
             for text, span, passages in zip(texts, spans, words):
-                text = text or b""
-                span = _in_bytes(text, span or [], passages or [])
-                edges = [0, *span, len(text)]
-                rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out = rest.decode("utf-8", "ignore") if kept == "text" else rest
-                rows.append((len(text), len(text) - len(rest), len(span) // 2, hashlib.sha256(rest).hexdigest(), out))
+                text, span = text or b"", span or []
+                both = _in_bytes(text, span, passages or [])
+                span = span if apart else both
+                rest = left(text, span)
+                out = [rest, left(text, both) if apart else rest]
+                if kept == "text":
+                    out = [o.decode("utf-8", "ignore") for o in out]
+                rows.append((len(text), len(text) - len(rest), len(span) // 2, hashlib.sha256(rest).hexdigest(), *out))
             return list(zip(*rows))
 
         return compute

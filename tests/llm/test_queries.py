@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from test_texts import plain_components, plain_fingerprint, plain_removal
+from test_texts import plain_components, plain_fingerprint, plain_passages, plain_removal
 from test_vectors import plain_links, plain_parts, plain_rule, plain_top
 
 from jobscope.llm import queries
@@ -122,6 +122,15 @@ def test_op9_equals_brute_force(spark, docs):
     assert [got[d.doc_id] for d in docs] == want and any(w[1] for w in want)
 
 
+def test_op9_text_has_no_repeated_passages(spark, docs):
+    """Passages of over 50 words go from ``text`` where they are too short for the other columns."""
+    found = {r.doc_id: r for r in queries.op9_suffix_dedup(spark, SMALL).collect()}
+    texts = [d.text for d in docs]
+    for name, want in (("text", plain_passages(texts, 400, 51)), ("kept", plain_passages(texts, 400, 10**9))):
+        assert [found[d.doc_id][name] for d in docs] == [w[3].decode("utf-8", "ignore") for w in want]
+    assert any(r.n_removed == 0 and len(r.text.encode()) < r.n_bytes for r in found.values())
+
+
 def test_op10_held_out_accuracy(spark):
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect()}
     got = [r for r in queries.op10_quality(spark, MEDIUM).collect() if r.held_out and r.doc_id in quality]
